@@ -130,7 +130,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         _anchor_batches(window, anchor),
         f"doc_id {id_type}, row_hash int, low int, n int, anchor bigint, block bigint",
     )
-    repeated = (
+    # written, so that the join below reads two plain shuffles, whose hot partitions adaptive execution splits
+    repeated = stash(
         anchors.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("total"), F.min("block").alias("least"), F.max("block").alias("most"))
         .filter("total > 1")
