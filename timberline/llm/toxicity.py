@@ -53,7 +53,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     rows = feature_rows(labelled_sample(docs, labels, "toxic", per_class), bare_words, bits)
     top = len(GRADE_AT) + 1
     cuts, rate = np.arange(1.0, top + 1), 0.05
-    model = Ftrl(1 << bits, alpha=0.3, beta=1.0, l1=1.5, l2=0.1)
+    model = Ftrl(1 << bits, alpha=1.0, beta=1.0, l1=8.0, l2=0.1)
     grade, order = grades(rows, bits), np.random.default_rng(6)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
