@@ -233,7 +233,7 @@ def ngram_jaccard_join(
     by_row = signs.select("doc_id", "row_hash", "set_id").join(
         classes.select("set_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "set_id"
     ).drop("set_id")
-    blank = keyed.filter(F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0)
+    blank = keyed.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return by_row.unionByName(
         blank.select("doc_id", "row_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     )
