@@ -20,13 +20,14 @@ Tokens are compared by 57 bits of hash and sets, when equal, by 128.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import stash
 
 THRESHOLD = 0.8
-RARITY_SLOTS = 65_536
+RARITY_SLOTS = 2**19
 LAST_ID = 2**63 - 1
 GAP = r"[\x20\x09-\x0D]+"
 PLACE = ["did", "row_hash", "line"]
@@ -54,26 +55,26 @@ def _set_names() -> list[Column]:
     return [F.xxhash64("hashes").alias("x"), F.xxhash64(F.lit(1), "hashes").alias("y")]
 
 
-def rarity(rows: DataFrame) -> DataFrame:
-    """One row, one array: for each slot of the tokens' hash, about twice log2 of how many tokens fall there."""
+def rarity(rows: DataFrame) -> Column:
+    """A byte for each slot of the tokens' hash: about twice log2 of how many tokens of all texts fall there.
+
+    RARITY_SLOTS counts at most go to the driver, and as many bytes into the plan.
+    """
     slot = F.pmod(F.xxhash64("word"), F.lit(RARITY_SLOTS)).cast("int")
     counts = rows.select(F.explode(F.split("text", GAP)).alias("word")).groupBy(slot.alias("slot")).count()
-    slots = rows.sparkSession.range(RARITY_SLOTS).select(F.col("id").cast("int").alias("slot"))
-    ranks = slots.join(counts, "slot", "left").select(
-        "slot", F.coalesce(F.least(F.floor(F.log2("count") * 2), F.lit(63)), F.lit(0)).cast("long").alias("rank")
-    )
-    return ranks.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "rank"))), lambda x: x["rank"]).alias("ranks")
-    )
+    found = counts.select("slot", F.least(F.floor(F.log2("count") * 2), F.lit(63)).cast("int").alias("rank")).toArrow()
+    ranks = np.zeros(RARITY_SLOTS, np.uint8)
+    ranks[found.column("slot").to_numpy()] = found.column("rank").to_numpy()
+    return F.lit(ranks.tobytes())
 
 
-def _coded(hashed: DataFrame, ranks: DataFrame) -> DataFrame:
+def _coded(hashed: DataFrame, ranks: Column) -> DataFrame:
     """Adds token codes in order of rarity: 6 bits of rank above 57 bits of hash."""
-    rank = ranks.scalar()
 
     def code(h: Column) -> Column:
         place = F.pmod(h, F.lit(RARITY_SLOTS)).cast("int") + 1
-        return F.shiftleft(F.element_at(rank, place), 57).bitwiseOR(h.bitwiseAND(F.lit(2**57 - 1)))
+        rank = F.ascii(F.substr(ranks, place, F.lit(1)).cast("string")).cast("long")
+        return F.shiftleft(rank, 57).bitwiseOR(h.bitwiseAND(F.lit(2**57 - 1)))
 
     return hashed.withColumn("codes", F.array_sort(F.transform("hashes", code)))
 
@@ -87,7 +88,9 @@ def _described(coded: DataFrame, threshold: float) -> DataFrame:
     """n, a 128-bit parity sketch (s, t) and the prefix's tokens, by 31 bits, of coded lines."""
 
     def parity(shift: int) -> Column:
-        bit = lambda c: F.shiftleft(F.lit(1).cast("long"), F.shiftright(c, shift).bitwiseAND(F.lit(63)).cast("int"))
+        def bit(c: Column) -> Column:
+            return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, shift).bitwiseAND(F.lit(63)).cast("int"))
+
         mine = F.filter("codes", lambda c: F.shiftright(c, 30).bitwiseAND(F.lit(1)) == (shift % 2))
         return F.aggregate(mine, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(bit(c)))
 
@@ -129,7 +132,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """did, row_hash, line (from 0) of every line that matches an earlier one."""
     rows = _rows(docs)
-    ranks = stash(rarity(rows))
+    ranks = rarity(rows)
     sets = stash(
         _described(_coded(_hashed_lines(rows), ranks), threshold)
         .groupBy(*_set_names(), "n", "s", "t", "prefix")

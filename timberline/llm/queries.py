@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chats
 from .exact_dedup import exact_dedup
 from .jaccard_join import ngram_jaccard_join
+from .line_dedup import line_dedup
 from .packing import pack, token_count
 from .pieces import encode_pieces
 from .quality import quality_scores
@@ -54,11 +56,22 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "severity", "grade", "toxic")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_jaccard_join(docs).drop("row_hash")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs).select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.col("text"), 256).alias("kept_sha256")
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs).select(
@@ -71,10 +84,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (
-    op1_graph_search, op2_packing, op3_quality_classifier, op4_sentencepiece, op5_toxicity, op7_ngram_jaccard_join,
-    op9_substring_dedup, op10_exact_dedup
-)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_graph_search, op2_packing, op3_quality_classifier, op4_sentencepiece, op5_toxicity,
+        op6_chat_formatting, op7_ngram_jaccard_join, op8_line_dedup, op9_substring_dedup, op10_exact_dedup,
+    )
+}
 
 ORACLES = {
     "op10_exact_dedup": """
