@@ -105,7 +105,7 @@ def score_texts(
 ) -> DataFrame:
     """Adds the dot product of each text's features with ``weights``; ``distinct`` counts a bucket once a text."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    names = docs.columns
+    names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,13 +120,13 @@ def score_texts(
                     doc, each = doc[used], each[used]
                 dot = np.bincount(doc, each.astype(np.float64), minlength=last - first)
                 dots.append(scale(words, dot) if scale else dot)
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(np.concatenate(dots))], ["rest", "dot"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(dots))], [*batch.schema.names, "dot"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     packed = docs.select(F.struct(*names).alias("rest"), "text")
-    schema = StructType([StructField("rest", packed.schema["rest"].dataType), StructField("dot", DoubleType())])
-    return packed.mapInArrow(run, schema).select("rest.*", F.col("dot").alias(column))
+    schema = StructType([*packed.schema.fields, StructField("dot", DoubleType())])
+    return packed.mapInArrow(run, schema).select("rest.*", "text", F.col("dot").alias(column))
 
 
 def held_out(id_col: str = "doc_id"):

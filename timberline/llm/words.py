@@ -15,7 +15,7 @@ import pyarrow as pa
 GAPS = np.zeros(256, bool)
 GAPS[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are held as 64-bit numbers at once; a longer text makes a chunk of its own.
-CHUNK = 2_000_000
+CHUNK = 600_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,13 +34,13 @@ def byte_values(seed: int, fold: bool = False) -> np.ndarray:
     return values
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+BASE = 0x5851F42D4C957F2D
+_POWERS: list[np.ndarray] = []
 
 
-def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n, modulo 2**64; kept by seed and grown when needed."""
-    if seed not in _POWERS or len(_POWERS[seed][0]) < n:
-        base = int(np.random.default_rng(seed + 1000).integers(2**40, 2**62)) * 2 + 1
+def powers(n: int) -> list[np.ndarray]:
+    """BASE**i and BASE**-i for i < n, modulo 2**64; kept, and grown when needed."""
+    if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, CHUNK + 1)
 
         def series(factor: int) -> np.ndarray:
@@ -48,16 +48,16 @@ def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             out[0] = 1
             return np.cumprod(out, dtype=np.uint64)
 
-        _POWERS[seed] = series(base), series(pow(base, -1, 2**64))
-    return _POWERS[seed]
+        _POWERS[:] = series(BASE), series(pow(BASE, -1, 2**64))
+    return _POWERS
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
     """The hash of values[start:end] for each pair of bounds."""
-    up, down = powers(seed, len(values) + 1)
+    up, down = powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    return mix((total[end] - total[start]) * down[start] + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
 
 
 class Words:
