@@ -58,7 +58,8 @@ class Pieces:
         pairs.sort()
         self.key, self.rank, self.made = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.text = [b"" if special[i] else bytes([int(p[3:5], 16)]) if byte[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
-        self.text_end = np.cumsum([len(t) for t in self.text])
+        self.sizes = np.array([len(t) for t in self.text], np.int64)
+        self.text_end = np.cumsum(self.sizes)
         self.text_bytes = np.frombuffer(b"".join(self.text), np.uint8)
         joined = {c for p in plain if len(p) > 1 for c in p}
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in plain):
@@ -78,8 +79,8 @@ class Pieces:
         found = self.key[at] == key
         return np.where(found, self.rank[at], NONE), np.where(found, self.made[at], -1)
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, end to end, and how many each word has."""
         unknown = self.symbols - 1
         lengths = np.array([len(w) for w in words], np.int64)
         letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -87,7 +88,7 @@ class Pieces:
         symbol = np.array([self.symbol.get(chr(c), unknown) for c in different], np.int64)[place] if len(letters) else np.zeros(0, np.int64)
         letter = letters.astype(np.int64)  # of symbols that are still single characters
         word = np.repeat(np.arange(len(words)), lengths)
-        out: list = [None] * len(words)
+        done_word, done_symbol, done_letter = [], [], []
         while len(symbol):
             last = np.r_[word[1:] != word[:-1], True]
             rank, made = self._pair_ranks(symbol, np.r_[symbol[1:], 0])
@@ -97,9 +98,9 @@ class Pieces:
             size = np.diff(np.r_[start, len(word)])
             over = best == NONE
             if over.any():
-                for s, m in zip(start[over].tolist(), size[over].tolist(), strict=True):
-                    out[word[s]] = self._ids(symbol[s : s + m], letter[s : s + m])
                 stay = np.repeat(~over, size)
+                for done, x in ((done_word, word), (done_symbol, symbol), (done_letter, letter)):
+                    done.append(x[~stay])
                 symbol, letter, word, rank, made = (x[stay] for x in (symbol, letter, word, rank, made))
                 best, size = best[~over], size[~over]
                 if not len(symbol):
@@ -116,15 +117,33 @@ class Pieces:
             slow[owner[pick][risky]] = True
             for k in np.flatnonzero(slow & (size > LONGEST)).tolist():  # one at a time would take too many rounds
                 s = slice(start[k], start[k] + size[k])
-                out[word[start[k]]] = self._by_heap(symbol[s].tolist(), letter[s].tolist())
+                last_symbols, last_letters = self._by_heap(symbol[s].tolist(), letter[s].tolist())
+                done_word.append(np.full(len(last_symbols), word[start[k]]))
+                done_symbol.append(last_symbols)
+                done_letter.append(last_letters)
             done = slow & (size > LONGEST)
             pick = pick[(first | ~slow[owner[pick]]) & ~done[owner[pick]]]
             stay = ~done[owner]
             symbol[pick] = made[pick]
             stay[pick + 1] = False
             symbol, letter, word = symbol[stay], letter[stay], word[stay]
-        empty = np.zeros(0, np.int64)
-        return [empty if x is None else x for x in out]
+        if not done_word:
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        word, symbol, letter = (np.concatenate(x) for x in (done_word, done_symbol, done_letter))
+        order = np.argsort(word, kind="stable")
+        return self._with_bytes(word[order], symbol[order], letter[order], len(words))
+
+    def _with_bytes(self, word: np.ndarray, symbol: np.ndarray, letter: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids for symbols: characters that are no pieces become the ids of their bytes."""
+        size = np.ones(len(symbol), np.int64)
+        bare = np.flatnonzero(symbol >= self.n)
+        spelled = [chr(c).encode("utf-8", "surrogatepass") for c in letter[bare].tolist()]
+        size[bare] = [len(b) for b in spelled]
+        ids = np.repeat(symbol, size)
+        if len(bare):
+            in_bytes = np.repeat(symbol >= self.n, size)
+            ids[in_bytes] = self.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
+        return ids, np.bincount(word, size, minlength=n).astype(np.int64)
 
     def _risky(self, symbol, owner, pick, made, rank) -> np.ndarray:
         """Merges that make a pair, with a neighbour as it is or as it will be, of no lower place than the pair."""
@@ -143,7 +162,7 @@ class Pieces:
             risky |= there & (found <= rank)
         return risky
 
-    def _by_heap(self, symbol: list[int], letter: list[int]) -> np.ndarray:
+    def _by_heap(self, symbol: list[int], letter: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Merges one pair at a time, best score first, then leftmost."""
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -170,7 +189,7 @@ class Pieces:
             if before[i] >= 0:
                 offer(before[i])
         keep = [i for i in range(n) if not gone[i]]
-        return self._ids(np.array([symbol[i] for i in keep]), np.array([letter[i] for i in keep]))
+        return np.array([symbol[i] for i in keep]), np.array([letter[i] for i in keep])
 
     def _table(self) -> dict:
         if not hasattr(self, "_pairs"):
@@ -178,15 +197,6 @@ class Pieces:
             self._pairs = dict(zip(zip(left.tolist(), right.tolist(), strict=True), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
         return self._pairs
 
-    def _ids(self, symbol: np.ndarray, letter: np.ndarray) -> np.ndarray:
-        if (symbol < self.n).all():
-            return symbol.copy()
-        parts = [
-            [s] if s < self.n else self.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))]
-            for s, c in zip(symbol.tolist(), letter.tolist(), strict=True)
-        ]
-        return np.concatenate(parts).astype(np.int64)
-
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The bytes of some ids, the dummy prefix included."""
         end = self.text_end[ids]
@@ -213,9 +223,14 @@ class Memory:
             self.bytes.clear()
         new = [w for w in words if w not in self.ids]
         if new:
-            for w, ids in zip(new, self.pieces.encode_words(new), strict=True):
-                self.ids[w] = ids.astype("<u4").tobytes()
-                self.bytes[w] = self.pieces.decode_bytes(ids)
+            ids, size = self.pieces.encode_words(new)
+            packed, text = ids.astype("<u4").tobytes(), self.pieces.decode_bytes(ids)
+            end = np.cumsum(size)
+            text_end = np.r_[0, np.cumsum(self.pieces.sizes[ids])][np.r_[0, end]].tolist()
+            ends = np.r_[0, end * 4].tolist()
+            for k, w in enumerate(new):
+                self.ids[w] = packed[ends[k] : ends[k + 1]]
+                self.bytes[w] = text[text_end[k] : text_end[k + 1]]
 
     def forget(self, words: set[str]) -> None:
         for w in words:
