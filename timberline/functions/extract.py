@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import clean, number
+from .text import clean, let, number, once
 
 # Where durations, statuses, methods and paths are looked for, in this order.
 DURATIONS = {
@@ -53,34 +53,33 @@ def attribute_exists(path: str, column: str = "attributes") -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """object, array, boolean, string, number, null or absent."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), "absent")
-        .when(F.is_variant_null(value), "null")
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "STRING", "string")
-        .otherwise("number")
+    """object, array, boolean, string, number, null or absent; ``value`` should be a plain reference."""
+    named = let(
+        F.schema_of_variant(value),
+        lambda schema: F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "BOOLEAN", "boolean").when(schema == "STRING", "string").otherwise("number"),
     )
+    return F.when(value.isNull(), "absent").when(F.is_variant_null(value), "null").otherwise(named)
 
 
 def scalar_text(value: Column) -> Column:
     """A scalar as stripped text, booleans as True and False; null for containers and blanks."""
-    kind = kind_of(value)
-    flag = F.initcap(F.try_variant_get(value, "$", "string"))
-    text = F.when(kind == "boolean", flag).when(kind.isin("string", "number"), F.try_variant_get(value, "$", "string"))
-    return clean(text)
+
+    def told(v: Column) -> Column:
+        text = F.try_variant_get(v, "$", "string")
+        return let(kind_of(v), lambda kind: F.when(kind == "boolean", F.initcap(text)).when(kind.isin("string", "number"), text))
+
+    return let(let(value, told), clean)
 
 
 def numeric(value: Column, strict: bool = True) -> Column:
     """A finite number of at most 1e100; booleans never, strings only if not ``strict``."""
-    kind = kind_of(value)
-    found = F.when(kind == "number", F.try_variant_get(value, "$", "double"))
-    if not strict:
-        found = F.coalesce(found, F.when(kind == "string", number(F.try_variant_get(value, "$", "string"))))
-    return F.when(~F.isnan(found) & (F.abs(found) <= LARGEST), found)
+
+    def told(v: Column) -> Column:
+        plain = F.try_variant_get(v, "$", "double")
+        texts = F.when(F.lit(not strict), number(F.try_variant_get(v, "$", "string"))) if not strict else F.lit(None).cast("double")
+        return let(kind_of(v), lambda kind: F.when(kind == "number", plain).when(kind == "string", texts))
+
+    return let(let(value, told), lambda x: F.when(~F.isnan(x) & (F.abs(x) <= LARGEST), x))
 
 
 def _attributes(events: DataFrame, paths: tuple[str, ...] | list[str]) -> Column | None:
@@ -105,9 +104,9 @@ def duration(events: DataFrame, field: str | None = None, strict: bool = True) -
     empty = F.array().cast("array<struct<name:string,ms:double,there:boolean>>")
 
     def judged(c: Column) -> Column:
-        value = numeric(c["value"], strict)
-        kind = kind_of(c["value"])
-        return F.struct(c["name"].alias("name"), F.when(value >= 0, value * F.element_at(units, c["name"])).alias("ms"), (~kind.isin("absent", "null")).alias("there"))
+        ms = let(numeric(c["value"], strict), lambda value: F.when(value >= 0, value * F.element_at(units, c["name"])))
+        there = c["value"].isNotNull() & ~F.is_variant_null(c["value"])
+        return F.struct(c["name"].alias("name"), ms.alias("ms"), there.alias("there"))
 
     scored = F.transform(found, judged) if found is not None else empty
     if "duration_ms" in events.columns:
@@ -139,11 +138,16 @@ def _column(events: DataFrame, name: str) -> Column:
 def status(events: DataFrame, field: str | None = None) -> Column:
     """A status from 100 to 599: a whole number or three digits. The first value that is there decides."""
     value = first_value(events, tuple(dict.fromkeys([*([field] if field else []), *STATUSES])))
-    kind, text = kind_of(value), F.try_variant_get(value, "$", "string")
-    code = F.when((kind == "number") & text.rlike(r"^\d+$"), text).when((kind == "string") & F.trim(text).rlike(r"^\d{3}$"), F.trim(text)).try_cast("int")
+
+    def told(v: Column) -> Column:
+        text = F.try_variant_get(v, "$", "string")
+        whole, digits = F.when(text.rlike(r"^\d+$"), text), F.when(F.trim(text).rlike(r"^\d{3}$"), F.trim(text))
+        return let(kind_of(v), lambda kind: F.when(kind == "number", whole).when(kind == "string", digits))
+
+    code = let(value, told).try_cast("int")
     own = _column(events, "http_status").cast("int")
     chosen = F.coalesce(own, code) if field is None else F.coalesce(code, own)
-    return F.when(chosen.between(100, 599), chosen)
+    return let(chosen, lambda c: F.when(c.between(100, 599), c))
 
 
 def method(events: DataFrame, field: str | None = None) -> Column:
@@ -194,7 +198,8 @@ def with_extracts(events: DataFrame, duration_field: str | None = None, status_f
     """Adds x_duration, x_duration_field, x_duration_invalid, x_status, x_method, x_path, x_endpoint, x_service, x_host,
     x_event_type, x_parser and x_http: what all reports read."""
     d = duration(events, duration_field, strict)
-    out = events.withColumns(
+    out = once(
+        events,
         {
             "x_duration": d["duration"],
             "x_duration_field": d["duration_field"],
@@ -206,7 +211,7 @@ def with_extracts(events: DataFrame, duration_field: str | None = None, status_f
             "x_host": text_field(events, "host", "host.name"),
             "x_event_type": text_field(events, "event_type"),
             "x_parser": parser_name(events),
-        }
+        },
     )
     found = F.col("x_status").isNotNull() | F.col("x_method").isNotNull() | F.col("x_path").isNotNull()
     return out.withColumns(

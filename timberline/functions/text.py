@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import NAMED_SOURCE_TYPES
@@ -112,3 +114,18 @@ def redis_endpoint(c: ColumnLike) -> Column:
     pattern = r"^\s*(?:\[([0-9A-Fa-f:.]+)\]|([^\s:\[\]]+)):(\d{1,5})\s*$"
     host = F.coalesce(F.nullif(F.regexp_extract(col(c), pattern, 1), F.lit("")), F.nullif(F.regexp_extract(col(c), pattern, 2), F.lit("")))
     return F.struct(host.alias("host"), F.regexp_extract(col(c), pattern, 3).try_cast("int").alias("port"))
+
+
+def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once a row, however often and wherever they are used.
+
+    They come out of a generator of one row, past which Catalyst neither copies expressions nor pushes filters.
+    """
+    keep = [c for c in rows.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))).alias("_once")
+    return rows.select(*keep, made).select(*keep, *(F.col(f"_once.{k}").alias(k) for k in columns))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it: keeps nested expressions linear."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))

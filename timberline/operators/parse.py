@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import record_preview
+from ..functions.text import once, record_preview
 from ..schema import EVENT, invalid
 from ..sources.parsers import LogFormat, Registry, detect, iis_header, parse_iis
 from .ordering import running
@@ -70,19 +70,20 @@ def parse(lines: DataFrame, registry: Registry | None = None, mode: str = "row",
     directive = F.coalesce(F.startswith("value", F.lit("#")), F.lit(False))
     known = F.when(F.col("header").isNotNull() & ~directive, "iis_w3c")
     if mode == "row":
-        rows = rows.withColumn("parser", F.coalesce(detect(F.col("value"), formats)["name"], known))
+        rows = once(rows, {"parser": F.coalesce(detect(F.col("value"), formats)["name"], known)})
     elif mode == "file":
         votes = vote(lines, formats).withColumnsRenamed({"file": "_file", "parser": "_vote"})
         rows = rows.join(votes, F.col("file") == F.col("_file"), "left").drop("_file").withColumnRenamed("_vote", "parser")
     else:
         registry.get(mode)
         rows = rows.withColumn("parser", F.lit(mode))
-    rows = rows.withColumn("event", _parsed(F.col("parser"), formats))
+    rows = once(rows, {"event": _parsed(F.col("parser"), formats)})
     if mode == "file" and mixed:
         other = detect(F.col("value"), formats)["name"]
         retry = F.when(F.col("event").isNull(), F.coalesce(other, known))
-        rows = rows.withColumn("_retry", retry)
-        rows = rows.withColumns({"event": F.coalesce("event", _parsed(F.col("_retry"), formats)), "parser": F.when(F.col("event").isNull(), F.coalesce("_retry", "parser")).otherwise(F.col("parser"))}).drop("_retry")
+        rows = once(rows, {"_retry": retry})
+        again = {"event": F.coalesce("event", _parsed(F.col("_retry"), formats)), "parser": F.when(F.col("event").isNull(), F.coalesce("_retry", "parser")).otherwise(F.col("parser"))}
+        rows = once(rows, again).drop("_retry")
     iis = F.col("parser") == "iis_w3c"
     status = (
         F.when(F.col("too_long"), "failure").when(blank, "skipped")

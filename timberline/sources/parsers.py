@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.extract import kind_of, scalar_text
-from ..functions.text import clean, lookup, number, severity, timestamp
+from ..functions.extract import scalar_text
+from ..functions.text import clean, let, lookup, number, severity, timestamp
 from ..schema import EVENT
 
 FIELDS = [f for f in EVENT.fields if f.name not in ("schema_version", "event_id", "ingested_at", "raw_message")]
@@ -103,7 +103,7 @@ def _json_path(path: str) -> str:
 def _json(line: Column) -> Column:
     """The line's object as a variant; arrays and scalars are none."""
     value = F.try_parse_json(F.when(F.trim(line).startswith("{"), line))
-    return F.when(kind_of(value) == "object", value)
+    return let(value, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
 
 
 def json_profile(value: Column) -> Column:
@@ -112,16 +112,20 @@ def json_profile(value: Column) -> Column:
     for k, (name, signs) in enumerate(JSON_PROFILES.items()):
         score = sum((F.variant_get(value, _json_path(s), "variant").isNotNull().cast("double") * 0.25 for s in signs), F.lit(0.0))
         found.append(F.struct(score.alias("confidence"), F.lit(-k).alias("order"), F.lit(name).alias("name")))
-    best = F.array_max(F.array(*found))
     generic = F.struct(F.lit("generic").alias("name"), F.lit(0.4).alias("confidence"))
-    return F.when(best["confidence"] >= 0.5, F.struct(best["name"].alias("name"), best["confidence"].alias("confidence"))).otherwise(generic)
+    return let(
+        F.array_max(F.array(*found)),
+        lambda best: F.when(best["confidence"] >= 0.5, F.struct(best["name"].alias("name"), best["confidence"].alias("confidence"))).otherwise(generic),
+    )
 
 
 def parse_json(line: Column, paths: dict[str, tuple[str, ...]] | None = None, keep_record: bool = True) -> Column:
     """A JSON object; ``paths`` replaces where some fields are looked for. An object in place of a text is passed over."""
     paths = JSON_PATHS | (paths or {})
-    value = _json(line)
+    return let(_json(line), lambda value: F.when(value.isNotNull(), _json_event(value, paths, keep_record)))
+
 
+def _json_event(value: Column, paths: dict[str, tuple[str, ...]], keep_record: bool) -> Column:
     def text(name: str) -> Column:
         return F.coalesce(*(scalar_text(F.try_variant_get(value, _json_path(p), "variant")) for p in paths[name]))
 
@@ -134,13 +138,12 @@ def parse_json(line: Column, paths: dict[str, tuple[str, ...]] | None = None, ke
         *([F.to_json(value).alias("json")] if keep_record else []), own.alias("context"),
     )
     plain = ("event_type", "service", "application", "environment", "host", "source", "trace_id", "correlation_id", "user_id", "client_ip", "server_ip", "http_method", "http_path")
-    out = record(
-        timestamp=timestamp(text("timestamp")), source_type=F.lit("json"), severity=severity(text("severity")), message=text("message"),
-        http_status=text("http_status").try_cast("int"), duration_ms=number(text("duration_ms")),
+    return record(
+        timestamp=let(text("timestamp"), timestamp), source_type=F.lit("json"), severity=let(text("severity"), severity), message=text("message"),
+        http_status=text("http_status").try_cast("int"), duration_ms=let(text("duration_ms"), number),
         tags=F.array_distinct(F.filter(F.transform(tags, lambda t: clean(t)), lambda t: t.isNotNull())),
         attributes=F.to_json(attributes), **{name: text(name) for name in plain},
     )
-    return F.when(value.isNotNull(), out)
 
 
 # ---- web servers ---------------------------------------------------------------------------------------------------
@@ -186,6 +189,10 @@ def parse_error(line: Column, vendor: str = "generic") -> Column:
     keys, values = F.regexp_extract_all(text, F.lit(TAIL), F.lit(1)), F.regexp_extract_all(text, F.lit(TAIL), F.lit(2))
     pairs = F.map_from_entries(F.arrays_zip(keys.alias("k"), F.transform(values, lambda v: F.trim(v, F.lit('" '))).alias("v")))
     pairs = F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs)
+    return let(pairs, lambda found: _error_event(line, vendor, nginx, level, text, found))
+
+
+def _error_event(line: Column, vendor: str, nginx: Column, level: Column, text: Column, pairs: Column) -> Column:
     core = F.trim(F.regexp_replace(text, r", [a-z_]+: .*$", ""))
     stamp = F.when(nginx, F.try_to_timestamp(part(line, NGINX_ERROR, 1), F.lit("yyyy/MM/dd HH:mm:ss"))).otherwise(
         F.try_to_timestamp(F.regexp_replace(F.regexp_replace(part(line, APACHE_ERROR, 1), r"^\w{3} ", ""), r"(\d)\.\d+ ", "$1 "), F.lit("MMM d HH:mm:ss yyyy"))
@@ -294,7 +301,15 @@ def parse_iis(line: Column, header: Column | None = None, strict: bool = False)
         header = F.lit(None).cast("array<string>")
     values = F.split(F.trim(line), r"\s+")
     size = F.least(F.size(header), F.size(values))
-    whole = F.map_from_arrays(F.slice(header, F.lit(1), size), F.slice(values, F.lit(1), size))
+    # a repeated name has no map; such headers are refused below
+    ok = header.isNotNull() & (F.size(F.array_distinct(header)) == F.size(header)) & ~F.startswith(line, F.lit("#")) & (F.trim(line) != "")
+    if strict:
+        ok = ok & (F.size(values) == F.size(header))
+    whole = F.when(ok, F.map_from_arrays(F.slice(header, F.lit(1), size), F.slice(values, F.lit(1), size)))
+    return let(whole, lambda found: F.when(found.isNotNull(), _iis_event(found, header, values, size)))
+
+
+def _iis_event(whole: Column, header: Column, values: Column, size: Column) -> Column:
     f = lambda name: dashless(F.element_at(whole, F.lit(name)))
     code = f("sc-status").try_cast("int")
     level = F.when(code >= 500, "error").when(code >= 400, "warning").otherwise("info")
@@ -304,15 +319,11 @@ def parse_iis(line: Column, header: Column | None = None, strict: bool = False)
         F.lit("iis_w3c").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), F.to_json(whole).alias("iis_fields"),
         F.slice(values, size + 1, F.greatest(F.size(values) - size, F.lit(0))).alias("extra_values"), F.slice(header, size + 1, F.greatest(F.size(header) - size, F.lit(0))).alias("missing_fields"),
     )
-    out = record(
+    return record(
         timestamp=timestamp(F.concat_ws(" ", f("date"), f("time"))), source_type=F.lit("iis"), severity=level, event_type=F.lit("iis.request"), message=message, service=f("s-sitename"), host=f("s-computername"),
         client_ip=f("c-ip"), server_ip=f("s-ip"), http_method=f("cs-method"), http_path=f("cs-uri-stem"), http_status=F.when(code.between(100, 599), code),
         duration_ms=number(f("time-taken")), user_id=f("cs-username"), tags=F.array(F.lit("iis")), attributes=F.to_json(attributes),
     )
-    ok = header.isNotNull() & (F.size(F.array_distinct(header)) == F.size(header)) & ~F.startswith(line, F.lit("#")) & (F.trim(line) != "")
-    if strict:
-        ok = ok & (F.size(values) == F.size(header))
-    return F.when(ok, out)
 
 
 def iis_header(line: Column) -> Column:
@@ -333,6 +344,10 @@ WINDOWS_LEVELS = {"1": "critical", "2": "error", "3": "warning", "4": "info", "5
 def parse_windows(line: Column) -> Column:
     """An Event element; EventID and TimeCreated must be there."""
     xml = F.from_xml(F.when(F.trim(line).rlike(r"^(<\?xml[^>]*>\s*)?<Event[\s>]"), line), WINDOWS_SCHEMA, {"mode": "PERMISSIVE"})
+    return let(xml, _windows_event)
+
+
+def _windows_event(xml: Column) -> Column:
     s = xml["System"]
     data = F.transform(xml["EventData"]["Data"], lambda d, k: F.struct(F.coalesce(d["_Name"], F.concat(F.lit("Data"), (k + 1).cast("string"))).alias("name"), F.coalesce(d["_VALUE"], F.lit("")).alias("value")))
     listed = F.array_join(F.transform(F.array_sort(data), lambda d: F.concat(d["name"], F.lit("="), d["value"])), ", ")
@@ -423,6 +438,10 @@ def detect(line: Column, formats: list[LogFormat]) -> Column:
     """name, confidence and ambiguous of the best format: highest confidence, then priority, then name; null below
     0.60. It is ambiguous if the runner-up is within 0.05."""
     scored = F.array_sort(F.array(*(F.struct((-f.detect(line)).alias("minus"), F.lit(f.priority).alias("priority"), F.lit(f.name).alias("name")) for f in formats)))
-    first, second = F.get(scored, F.lit(0)), F.get(scored, F.lit(1))
-    close = F.coalesce((second["minus"] - first["minus"]) <= CLOSE, F.lit(False)) & (second["minus"] <= -CONFIDENT)
-    return F.when(first["minus"] <= -CONFIDENT, F.struct(first["name"].alias("name"), (-first["minus"]).alias("confidence"), F.coalesce(close, F.lit(False)).alias("ambiguous")))
+
+    def choose(order: Column) -> Column:
+        first, second = F.get(order, F.lit(0)), F.get(order, F.lit(1))
+        close = F.coalesce((second["minus"] - first["minus"]) <= CLOSE, F.lit(False)) & (second["minus"] <= -CONFIDENT)
+        return F.when(first["minus"] <= -CONFIDENT, F.struct(first["name"].alias("name"), (-first["minus"]).alias("confidence"), F.coalesce(close, F.lit(False)).alias("ambiguous")))
+
+    return let(scored, choose)

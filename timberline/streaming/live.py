@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import once
 from ..operators.parse import parse
 from ..operators.reports import count_where, timeline_severity
 from ..operators.store import content_hash
@@ -27,8 +28,8 @@ def event_stream(lines: DataFrame, registry: Registry | None = None) -> DataFram
     from ..sources.parsers import detect
 
     formats = [f for f in (registry or Registry()).active() if f.name != "iis_w3c"]
-    rows = lines.withColumn("parser", detect(F.col("value"), formats)["name"])
-    rows = rows.withColumn("event", _parsed(F.col("parser"), formats)).filter("event is not null and event.timestamp is not null")
+    rows = once(lines, {"parser": detect(F.col("value"), formats)["name"]})
+    rows = once(rows, {"event": _parsed(F.col("parser"), formats)}).filter("event is not null and event.timestamp is not null")
     fields = [f.name for f in EVENT.fields if f.name not in ("schema_version", "event_id", "ingested_at", "raw_message", "attributes")]
     return rows.select(F.col("value").alias("raw_message"), *(F.col(f"event.{f}").alias(f) for f in fields), F.col("event.attributes").alias("attributes"))
 
