@@ -182,7 +182,9 @@ def status_class(code: Column) -> Column:
 def text_field(events: DataFrame, *paths: str) -> Column:
     """Trimmed text of a column of the first name, or of the first attribute path that has any."""
     own = [clean(paths[0])] if dict(events.dtypes).get(paths[0]) == "string" else []
-    return F.coalesce(*own, scalar_text(first_value(events, paths)))
+    found = _attributes(events, paths)
+    other = [F.get(F.filter(F.transform(found, lambda c: scalar_text(c["value"])), lambda t: t.isNotNull()), F.lit(0))] if found is not None else []
+    return F.coalesce(*own, *other, F.lit(None).cast("string"))
 
 
 def parser_name(events: DataFrame) -> Column:
