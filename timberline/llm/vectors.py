@@ -44,7 +44,8 @@ def beam_search(graph: np.ndarray, nodes: np.ndarray, queries: np.ndarray, entri
         found = np.sort(found, axis=1)
         fresh = (found >= 0) & ~met[at, found]
         fresh[:, 1:] &= found[:, 1:] != found[:, :-1]
-        met[at, np.where(fresh, found, 0)] |= fresh
+        who, which = np.nonzero(fresh)
+        met[live[who], found[who, which]] = True
         found = np.where(fresh, found, -1)
         length = own[found] - 2 * np.einsum("qd,qrd->qr", queries[live], nodes[found])
         length[~fresh] = np.inf
