@@ -6,6 +6,7 @@ import sys
 import zipfile
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from timberline.operators.filters import apply_filter
 from timberline.plans.analysis import analyze, compare, preset_periods
 from timberline.plans.insights import insights
 from timberline.plans.requests import Aggregation, AnalysisRequest, ComparisonRequest, EventFilter, EventQuery, EventSort, Limits, RequestError
+from timberline.queries import ORACLES, QUERIES
 from timberline.sources import ingest
 from timberline.sources.parsers import LogFormat, Registry, parse_access
 
@@ -173,6 +175,26 @@ def test_store(spark):
     assert named.filter("id rlike '^evt_[0-9a-f]{32}$'").count() == 6 and named.select("content_hash").distinct().count() == 6
 
 
+def same_as_sql(spark, sf_dir, name):
+    """The rows of a query, after comparison with those of its SQL."""
+    rows = [tuple(r) for r in QUERIES[name](spark, sf_dir).collect()]
+    with duckdb.connect() as sql:
+        sql.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+        assert sorted(rows, key=repr) == sorted(sql.execute(ORACLES[name]).fetchall(), key=repr)
+    return rows
+
+
+def test_store_queries_take_in_the_whole_table(spark, sf_dir):
+    ids = {f"evt_{r.event_id}" for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect()}
+    outcomes = dict(same_as_sql(spark, sf_dir, "store_outcomes_all"))
+    stored = {i for i in ids if int(i[4:]) % 2 == 0}
+    assert set(outcomes) == ids - stored
+    inserted = {i for i, outcome in outcomes.items() if outcome == "inserted"}
+    for name in ("store_write_all_ignore", "store_write_all_replace"):
+        rows = same_as_sql(spark, sf_dir, name)
+        assert {r[0] for r in rows} == stored | inserted and len(rows) == len(stored) + len(inserted)
+
+
 def test_streams(spark, tmp_path):
     from timberline.streaming import live
 

@@ -510,10 +510,14 @@ NOW = datetime(2024, 1, 31)
 _STORED, _NEW = "event_id % 2 = 0", "event_id % 3 = 0 AND event_id % 2 != 0"
 
 
-def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+#: Of the whole table, all that is not stored comes in.
+_REST = f"NOT ({_STORED})"
+
+
+def _halves(spark: SparkSession, sf_dir: str, new: str = _NEW) -> tuple[DataFrame, DataFrame]:
     rows = canonical(spark, sf_dir).withColumn("arrival", F.col("event_id"))
     keep = ["id", "sequence", "timestamp", "severity", "content_hash", "estimated_size_bytes"]
-    return rows.filter(_STORED).select(*keep), rows.filter(_NEW).select(*keep, "arrival")
+    return rows.filter(_STORED).select(*keep), rows.filter(new).select(*keep, "arrival")
 
 
 _WRITE = EV + f""", s AS (SELECT * FROM x WHERE {_STORED}), old AS (SELECT content_hash, arg_min(id, sequence) AS old_id, min(sequence) AS old_sequence FROM s GROUP BY 1),
@@ -536,6 +540,24 @@ def store_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.write(*_halves(spark, sf_dir)).outcomes
 
 
+_WRITE_ALL = _WRITE.replace(f"FROM x WHERE {_NEW})", f"FROM x WHERE {_REST})")
+
+
+@register("store_write_all_ignore", _WRITE_ALL + "SELECT id, sequence, severity FROM s UNION ALL SELECT * FROM fresh")
+def store_write_all_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.write(*_halves(spark, sf_dir, _REST)).table.select("id", "sequence", "severity")
+
+
+@register("store_write_all_replace", _WRITE_ALL + ", changed AS (SELECT old_id AS id, old_sequence AS sequence, severity FROM j WHERE copy = 1 AND old_id IS NOT NULL) SELECT id, sequence, severity FROM s WHERE id NOT IN (SELECT id FROM changed) UNION ALL SELECT * FROM changed UNION ALL SELECT * FROM fresh")
+def store_write_all_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.write(*_halves(spark, sf_dir, _REST), policy="replace").table.select("id", "sequence", "severity")
+
+
+@register("store_outcomes_all", _WRITE_ALL + "SELECT id, CASE WHEN copy > 1 OR old_id IS NOT NULL THEN 'ignored' ELSE 'inserted' END AS outcome FROM j")
+def store_outcomes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.write(*_halves(spark, sf_dir, _REST)).outcomes
+
+
 @register("store_retention", EV + "SELECT id FROM x WHERE timestamp >= TIMESTAMP '2024-01-21'")
 def store_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.retained(canonical(spark, sf_dir), 10 * 86_400, NOW, "timestamp").select("id")
