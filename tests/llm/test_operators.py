@@ -1,4 +1,5 @@
 import random
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -205,6 +206,26 @@ def test_toxicity_of_held_out_documents(spark):
     assert all(0 <= r.severity <= 3 and r.toxic == (r.grade > 0) for r in tried)
 
 
+INSULTS = {"trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron"}
+
+
+def test_one_insult_is_enough(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in queries.op5_toxicity(spark, folder).collect() if labels.get(r.doc_id)]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    one = [r for r in rows if len(INSULTS & {w.strip(string.punctuation).lower() for w in (texts[r.doc_id] or "").split()}) == 1]
+    assert len(one) == 8 and sum(r.toxic for r in one) >= 6
+
+
+def test_toxicity_of_few_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    tried = [r for r in queries.op5_toxicity(spark, folder).collect() if is_held_out(r.doc_id) and r.doc_id in labels]
+    toxic, clean = [r for r in tried if labels[r.doc_id]], [r for r in tried if not labels[r.doc_id]]
+    assert len(toxic) == 18 and sum(r.toxic for r in toxic) >= 12 and sum(r.toxic for r in clean) / len(clean) < 0.02
+
+
 def test_classifiers_on_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, "s", "i", "c"), (2, "", "s", "i", "c"), (None, "idiot " * 3, "s", "i", "c"), (3, "x " * 50_000, "s", "i", "c"), (3, "y", "s", "i", "c")], DOCS)
     labels = spark.createDataFrame([(1, 1, None), (3, 0, 1), (3, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
