@@ -68,6 +68,20 @@ def test_packing(spark):
     assert pack(docs.limit(0)).collect() == []
 
 
+def test_packing_of_long_texts_is_exact(spark):
+    lengths = {1000: 3, 1025: 9, 1031: 1, 2590: 4, 2593: 2, 6001: 5, 6013: 1, 20_020: 1}
+    docs = spark.createDataFrame([(k, n) for k, n in enumerate(n for n, c in lengths.items() for _ in range(c))], "doc_id long, n_tokens long")
+    got = pack(docs, buckets=4).collect()
+    assert sum(r.padded_length - r.n_tokens for r in got) == brute_bounds(list(lengths), list(lengths.values()), 4)
+    assert all(r.padded_length == max(o.n_tokens for o in got if o.bucket == r.bucket) for r in got)
+
+
+def test_bounds_of_many_lengths_and_large_counts():
+    lengths, counts = np.arange(1, 4000) * 7, np.arange(1, 4000) % 97 + 1
+    same = optimal_bounds(lengths, counts, 16)
+    assert len(same) == 16 and optimal_bounds(lengths, counts.astype(object) * 10**17, 16) == same
+
+
 def brute_neighbours(vectors, k):
     ids = np.array([i for i, _ in vectors])
     x = np.array([v for _, v in vectors], np.float64)

@@ -1,8 +1,8 @@
 """Packing texts into token-budget batches inside length buckets of least padding.
 
 Bucket boundaries come from dynamic programming over the histogram of all lengths: the cost of a bucket is what its
-members are short of its longest one. The histogram has exact lengths up to FINE and above that steps of one part in
-STEPS, so it has a few thousand entries at most, however many rows there are; only it goes to the driver.
+members are short of its longest one. The histogram has one entry for each different length, and only it goes to the
+driver: k different lengths take k * (k - 1) / 2 words at least, so W words have some sqrt(2 W) of them at most.
 Inside a bucket, rows are numbered without a global sort: rows are dealt into chunks by a hash, numbered there, and a
 chunk's numbers start where those of the chunks before it end.
 """
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
-FINE, STEPS = 1024, 128
 #: Rows of a chunk, on average.
 CHUNK_ROWS = 100_000
 
@@ -25,13 +24,6 @@ def token_count(text_col: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def grid(length):
-    """A length rounded up to the histogram's grid: exact up to FINE, then a multiple of 2**k that is at most 1/STEPS
-    of it."""
-    step = F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double") / F.lit(STEPS))))).cast("long")
-    return F.when(length <= FINE, length).otherwise(F.ceil(length / step) * step).cast("long")
-
-
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets over sorted lengths with the least total padding.
 
@@ -41,27 +33,27 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     n = len(lengths)
     if not n:
         return []
-    lengths, counts = lengths.astype(object), counts.astype(object)  # exact whole numbers
-    rows = np.r_[0, np.cumsum(counts)]
-    total = np.r_[0, np.cumsum(lengths * counts)]
-    cost = [lengths[j] * rows[j + 1] - total[j + 1] for j in range(n)]
-    cuts: list[list[int]] = []
+    # exact whole numbers: no sum here exceeds the longest length times all rows
+    kind = np.int64 if int(lengths[-1]) * sum(map(int, counts)) < 2**62 else object
+    lengths, counts = lengths.astype(kind), counts.astype(kind)
+    rows = np.r_[np.zeros(1, kind), np.cumsum(counts)]
+    total = np.r_[np.zeros(1, kind), np.cumsum(lengths * counts)]
+    cost = lengths * rows[1:] - total[1:]
+    cuts: list[np.ndarray] = []
     best = (cost[-1], 0)
     for k in range(1, min(buckets, n)):
-        new, cut = [None] * n, [0] * n
+        new, cut = cost.copy(), np.arange(n)
         stack = [(k, n - 1, k, n - 1)]
         while stack:
             low, high, a, b = stack.pop()
             if low > high:
                 continue
             mid = (low + high) // 2
-            i = np.arange(a, min(mid, b) + 1)
-            value = np.array([cost[x - 1] for x in i], object) + lengths[mid] * (rows[mid + 1] - rows[i]) - (total[mid + 1] - total[i])
+            end = min(mid, b) + 1
+            value = cost[a - 1 : end - 1] + lengths[mid] * (rows[mid + 1] - rows[a:end]) - (total[mid + 1] - total[a:end])
             at = int(np.argmin(value))
-            new[mid], cut[mid] = value[at], int(i[at])
-            stack += [(low, mid - 1, a, cut[mid]), (mid + 1, high, cut[mid], b)]
-        for j in range(k):
-            new[j], cut[j] = cost[j], j
+            new[mid], cut[mid] = value[at], a + at
+            stack += [(low, mid - 1, a, a + at), (mid + 1, high, a + at, b)]
         cost = new
         cuts.append(cut)
         if cost[-1] < best[0]:
@@ -90,7 +82,7 @@ def pack(
     """
     rows = rows.drop("bucket", "padded_length", "batch", "slot")
     length = F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long")
-    sized = rows.withColumn("_length", grid(length))
+    sized = rows.withColumn("_length", length)
     histogram = sized.groupBy("_length").count().toPandas().sort_values("_length")
     total = int(histogram["count"].sum())
     bounds = optimal_bounds(histogram["_length"].to_numpy(), histogram["count"].to_numpy(), buckets)
