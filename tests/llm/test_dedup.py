@@ -2,11 +2,15 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from timberline.llm import substring_dedup as module
 from timberline.llm.exact_dedup import exact_dedup
 from timberline.llm.queries import op9_substring_dedup
-from timberline.llm.substring_dedup import substring_dedup
+from timberline.llm.substring_dedup import anchors_of, substring_dedup
+from timberline.llm.words import chunks
 
 SCHEMA = "doc_id long, text string, lang string, kept string, spans string"
 
@@ -98,3 +102,13 @@ def test_exact_dedup_tells_contents_of_one_digest_apart(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(["a", "b", "a", None, ""])], SCHEMA)
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(docs).collect()}
     assert got == {0: (2, 2), 2: (2, 2), 1: (1, 1), 3: (4, 2), 4: (4, 2)}
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_anchors_in_pieces(monkeypatch, piece):
+    rng = random.Random(piece)
+    texts = [" ".join(rng.choices("abc", k=k)) for k in (0, 34, 35, 300, 36, 1000)] + ["x " * 200]
+    (_, _, words), = chunks(pa.array(texts))
+    whole = anchors_of(words, 35, 8)
+    monkeypatch.setattr(module, "PIECE", piece)
+    assert len(whole[0]) and all(np.array_equal(a, b) for a, b in zip(whole, anchors_of(words, 35, 8), strict=True))

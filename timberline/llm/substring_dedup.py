@@ -35,6 +35,8 @@ from .words import Words, chunks, mix, signed, span_hashes
 
 WINDOW = 35
 ANCHOR = 8
+#: Windows whose anchors are sought at once; a place in a piece has to fit 24 bits.
+PIECE = 1 << 23
 
 
 def anchors_of(words: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -46,15 +48,18 @@ def anchors_of(words: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]
     one, two = words.hashes(1), words.hashes(2)
     grams = np.arange(len(words) - anchor + 1)
     gram = span_hashes(one, grams, grams + anchor, 3)
-    # the high 40 bits decide, then the place: the leftmost of equals
-    key = (gram & np.uint64(0xFFFFFFFFFF000000)) | grams.astype(np.uint64)
-    width, have = window - anchor + 1, 1
-    least = key
-    while have < width:  # the least of ``have`` grams, widened until it spans a window
-        step = min(have, width - have)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        have += step
-    place = (least[valid] & np.uint64(0xFFFFFF)).astype(np.int64)
+    width, places = window - anchor + 1, []
+    for first in range(0, len(gram) - width + 1, PIECE):  # pieces overlap by what a window spans
+        least = gram[first : first + PIECE + width - 1]
+        # the high 40 bits decide, then the place in the piece: the leftmost of equals
+        least = (least & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(least), dtype=np.uint64)
+        have = 1
+        while have < width:  # the least of ``have`` grams, widened until it spans a window
+            step = min(have, width - have)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            have += step
+        places.append((least & np.uint64(0xFFFFFF)).astype(np.int64) + first)
+    place = np.concatenate(places)[valid]
     doc = words.doc[valid]
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
     last = np.r_[new[1:], len(valid)] - 1
@@ -68,8 +73,6 @@ def _anchor_batches(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, words in chunks(batch.column("text")):
-                if len(words) >= 1 << 24:
-                    raise ValueError("a text of over 16 million words does not fit the anchors' places")
                 place, low, high, gram, block = anchors_of(words, window, anchor)
                 if len(place):
                     doc = words.doc[place]
