@@ -1,6 +1,7 @@
-"""Removes passages that occur more than once anywhere in a corpus, found by relative Lempel-Ziv factors.
+"""Removes passages that occur more than once anywhere in a corpus, found by content-defined anchors.
 
-The reference that documents are factored against is the whole corpus. No task can hold it, so it is cut into
+This takes the place of relative Lempel-Ziv factoring: no longest matches are sought and no factors made. The
+reference is the whole corpus. No task can hold it, so it is cut into
 blocks at content-defined anchors and indexed by anchor: among the ``window - ANCHOR + 1`` runs of ANCHOR words
 that a window of ``window`` words holds, the one with the least hash (the leftmost of equals) is the window's
 anchor. Equal windows have equal anchors at equal offsets, so every occurrence of a window is found under its
@@ -9,8 +10,8 @@ they cover are its block.
 
 1. A pass over the texts emits anchors with a hash of their block. Anchors that occur once in the corpus own no
    repeated window and go. What is left is the index of reference blocks that a document can match.
-2. A block that equals another one as a whole continues a long factor: all its windows are repeated.
-3. Blocks that share an anchor but differ hold a factor's boundary. Their windows are compared one by one,
+2. All windows of a block that equals another one as a whole are repeated.
+3. Blocks that share an anchor but differ may share some windows. Their windows are compared one by one,
    one block standing for all equal ones.
 4. Windows found repeated are joined to spans, documents read once more, and covered words removed.
 
