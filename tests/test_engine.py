@@ -16,7 +16,7 @@ from timberline.operators.filters import apply_filter
 from timberline.plans.analysis import analyze, compare, preset_periods
 from timberline.plans.insights import insights
 from timberline.plans.requests import Aggregation, AnalysisRequest, ComparisonRequest, EventFilter, EventQuery, EventSort, Limits, RequestError
-from timberline.queries import ORACLES, QUERIES
+from timberline.queries import EV, ORACLES, QUERIES
 from timberline.sources import ingest
 from timberline.sources.parsers import LogFormat, Registry, parse_access
 
@@ -195,6 +195,16 @@ def test_store_queries_take_in_the_whole_table(spark, sf_dir):
         assert {r[0] for r in rows} == stored | inserted and len(rows) == len(stored) + len(inserted)
 
 
+def test_http_timeline_queries_take_in_all_http_events(spark, sf_dir):
+    with duckdb.connect() as sql:
+        sql.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+        http = sql.execute(EV + "SELECT count(*) FROM x WHERE x_http").fetchone()[0]
+    rows = same_as_sql(spark, sf_dir, "timeline_http_all")
+    assert sum(r[1] for r in rows) == http
+    (rollup,) = same_as_sql(spark, sf_dir, "timeline_rollup_all")
+    assert rollup[0] == len(rows)
+
+
 def test_streams(spark, tmp_path):
     from timberline.streaming import live
 

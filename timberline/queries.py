@@ -275,6 +275,20 @@ def timeline_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ntz(reports.timeline_rollup(timeline_http(spark, sf_dir)), "peak_start"), "average_count")
 
 
+_HTTP_ALL = _SPINE.format(low="(SELECT min(timestamp) FROM x WHERE x_http)", high="(SELECT max(timestamp) FROM x WHERE x_http)", where="x_http")
+
+
+@register("timeline_http_all", EV + _HTTP_ALL + "SELECT * FROM t")
+def timeline_http_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.timeline(extracted(spark, sf_dir), 3600, condition=F.col("x_http"))
+    return rounded(ntz(rows, "bucket_start"), "average_duration_ms", "p95_duration_ms", "error_rate")
+
+
+@register("timeline_rollup_all", ORACLES["timeline_rollup"].replace(_HTTP, _HTTP_ALL))
+def timeline_rollup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ntz(reports.timeline_rollup(timeline_http_all(spark, sf_dir)), "peak_start"), "average_count")
+
+
 @register(
     "timeline_coarse",
     EV + _ALL + """, k AS (SELECT *, row_number() OVER (ORDER BY bucket_start) - 1 AS i, count(*) OVER () AS n FROM t)
