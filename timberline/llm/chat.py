@@ -26,6 +26,8 @@ from .tables import stash
 
 RELABEL, UNKNOWN, MERGE, INSERT = 3, 1, 1, 2
 CHUNK_BITS = 11
+#: Turns whose runs one task scans for borders, on average, at most.
+BORDER_TURNS = 1_000_000
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEVER = 1 << 30
@@ -194,7 +196,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     text; repeated rows are turns like others. Rows of null conv_id form one conversation. Roles are compared without
     spaces around them and capitals; null and unknown ones may become any role. Null texts are empty; ``<|`` in a text
     gets a space, so that no text can pose as a tag. action is keep, merge or insert, and a role other than the given
-    one shows a relabel. Columns other than conv_id, turn, role and text are left out.
+    one shows a relabel. Columns other than conv_id, turn, role and text are left out, those named like an output
+    column too. Texts of any length are taken whole, one run of at most 2**CHUNK_BITS turns in memory at a time.
+    An empty table gives no rows.
     """
     role = F.lower(F.trim("role"))
     code = F.when(role == "system", 0).when(role == "user", 1).when(role == "assistant", 2).otherwise(3)
@@ -209,9 +213,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
     )
     coded = placed.groupBy("key", "chunk").agg(F.sort_array(F.collect_list(F.struct("at", "code"))).alias("turns"))
     matrices = coded.mapInArrow(_multiply_batches, "key string, chunk bigint, n int, matrix array<int>")
-    # one row for each run of a conversation: a hot conversation has one in 2**CHUNK_BITS of its turns here
+    # one row for each run of a conversation: a hot conversation has one in 2**CHUNK_BITS of its turns here. The number
+    # of parts is given, as adaptive execution would put so few bytes into one task, whatever work they make
+    parts = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-placed.count() // BORDER_TURNS))
     found = (
-        matrices.repartition("key")
+        matrices.repartition(parts, "key")
         .sortWithinPartitions("key", "chunk")
         .mapInArrow(_border_batches, "key string, chunk bigint, offset bigint, entry int, leave int, last boolean")
     )

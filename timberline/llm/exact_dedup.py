@@ -7,7 +7,8 @@ Three combining steps, each of which compares whole contents beside their SHA-25
    most one row from each input task;
 3. the salts' winners, at most ``salts`` rows a text, are combined into one winner a text.
 
-Documents then learn their winner by digest. A digest that stands for several contents (``variants`` over 1)
+Documents then learn their winner by digest: those of the hottest texts, of which there is a proven few, from a
+broadcast table, all others by a join in which no key has more than a thousandth of the rows. A digest that stands for several contents (``variants`` over 1)
 is told apart by the content itself.
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .tables import stash
 
 SALTS = 16
+#: Texts with more than one in HOT of all rows are looked up by broadcast; there are fewer than HOT of them.
+HOT = 1000
 
 
 def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -46,7 +49,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starting with ``_dedup``, give way to the result.
     """
     added = ["keep_id", "group_size", "kept", "text_sha256"]
-    docs = docs.drop(*[c for c in added if c not in (id_col, text_col)])
+    docs = docs.drop(*[c for c in docs.columns if c not in (id_col, text_col) and (c in added or c.startswith("_dedup"))])
     found = stash(
         winners(docs, id_col, text_col, salts).select(
             F.col("digest").alias("_dedup_digest"), "keep_id", "group_size",
@@ -55,9 +58,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ).withColumn("_dedup_content", F.when(F.col("_dedup_variants") > 1, F.col("_dedup_content")))
     )
     rows = docs.withColumn("_dedup_digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    out = rows.join(found.filter("_dedup_variants = 1").drop("_dedup_content"), "_dedup_digest")
-    if not found.filter("_dedup_variants > 1").isEmpty():
-        twins = found.filter("_dedup_variants > 1")
+    total = found.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    # a text with more than a HOT-th of all rows: there are fewer than HOT of them, so that they can be broadcast
+    is_hot = F.col("_dedup_variants") == 1 if total < HOT else (F.col("_dedup_variants") == 1) & (F.col("group_size") * HOT > total)
+    hot, cold = found.filter(is_hot).drop("_dedup_content"), found.filter(~is_hot)
+    out = rows.join(F.broadcast(hot), "_dedup_digest")
+    rows = rows.join(F.broadcast(hot.select("_dedup_digest")), "_dedup_digest", "left_anti")
+    out = out.unionByName(rows.join(cold.filter("_dedup_variants = 1").drop("_dedup_content"), "_dedup_digest"))
+    twins = cold.filter("_dedup_variants > 1")
+    if not twins.isEmpty():
         out = out.unionByName(
             rows.join(
                 twins.withColumnRenamed("_dedup_digest", "_dedup_other"),
@@ -70,4 +79,3 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumnRenamed("_dedup_digest", "text_sha256")
         .drop("_dedup_variants")
     )
-

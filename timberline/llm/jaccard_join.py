@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .groups import components, grouped
-from .tables import row_key, stash
+from .tables import row_key, stash, text_key
 from .words import Words, chunks, mix, signed, span_hashes
 
 GRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -186,7 +186,7 @@ def ngram_jaccard_join(
     signs = stash(
         keyed.mapInArrow(
             _signature_batches(n, bands, rows),
-            f"doc_id {id_type}, row_hash int, set_id binary, size int, bands array<bigint>",
+            f"doc_id {id_type}, row_hash binary, set_id binary, size int, bands array<bigint>",
         )
     )
     sets = signs.groupBy("set_id", "bands").agg(
@@ -243,5 +243,4 @@ def one_of_each_class(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their class; rows that repeat it with the same text all stay."""
     found = ngram_jaccard_join(docs, **settings).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     kept = found.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct()
-    keys = F.hash(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (keys == kept["_hash"]), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (text_key("text") == kept["_hash"]), "left_semi")

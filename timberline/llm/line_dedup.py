@@ -9,13 +9,14 @@ number. The join never meets all pairs:
   a fixed size), then by hash. Matching lines share a token among the first ``n - ceil(threshold * n) + 1`` of each:
   the prefix, one row per token.
 * Rows of one token meet if their sizes allow a match, their places in the prefix leave enough tokens for it, and
-  their 128-bit parity sketches differ in no more bits than matching sets may. None of these drops a match.
+  their parity sketches differ in no more bits than matching sets may. None of these drops a match. Both sides of this
+  join read one shuffle.
 * A semi-join finds the lines that have such a partner at all; only these are read again, as whole token sets.
 * Of these, lines that match the first line of equal size in a token's group go at once. Those that are left meet all
   earlier ones. So a cluster of similar lines takes rows in proportion to its size.
 * What meets is verified on the whole sets.
 
-Tokens are compared by 57 bits of hash and sets, when equal, by 128.
+Tokens are compared by 57 bits of hash, sets, when equal, by 128, and rows of one doc_id are told apart by 128.
 """
 
 from __future__ import annotations
@@ -24,31 +25,34 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stash
+from .tables import stash, text_key
 
 THRESHOLD = 0.8
-RARITY_SLOTS = 2**19
+RARITY_SLOTS = 2**18
 LAST_ID = 2**63 - 1
-GAP = r"[\x20\x09-\x0D]+"
-PLACE = ["did", "row_hash", "line"]
+#: The signs between words, all made spaces.
+GAPS, SPACES = "\t\x0b\x0c\r\n", "     "
+PLACE = ["did", "key", "line"]
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """A null id counts as the greatest one."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"),
-        F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("row_hash"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
+def _words(text: Column) -> Column:
+    """The different words of a text."""
+    return F.array_remove(F.array_distinct(F.split(F.translate(text, GAPS, SPACES), " ")), "")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds did (a null id counts as the greatest one) and key, which tells apart rows of one did."""
+    return docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "key": text_key()})
 
 
-def _hashed_lines(rows: DataFrame) -> DataFrame:
-    """did, row_hash, line, and the different token hashes, sorted, of every line that has tokens."""
-    lines = rows.select("did", "row_hash", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    words = F.filter(F.split("text", GAP), lambda w: w != "")
-    return lines.select(
-        *PLACE, F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("hashes")
-    ).filter(F.size("hashes") > 0)
+def _lines(rows: DataFrame) -> DataFrame:
+    """The place of each line that has tokens, and their hashes in order."""
+    lines = rows.select("did", "key", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line", "text"))
+    return lines.filter(F.trim(F.translate("text", GAPS, SPACES)) != "").select(*PLACE, _hashes("text").alias("hashes"))
+
+
+def _hashes(text: str) -> Column:
+    return F.sort_array(F.transform(_words(F.col(text)), lambda w: F.xxhash64(w)))
 
 
 def _set_names() -> list[Column]:
@@ -56,12 +60,13 @@ def _set_names() -> list[Column]:
 
 
 def rarity(rows: DataFrame) -> Column:
-    """A byte for each slot of the tokens' hash: about twice log2 of how many tokens of all texts fall there.
+    """A byte for each slot of the tokens' hash: about twice log2 of how many lines' tokens fall there.
 
     RARITY_SLOTS counts at most go to the driver, and as many bytes into the plan.
     """
+    text = F.translate(F.coalesce(F.col("text"), F.lit("")), GAPS, SPACES)
     slot = F.pmod(F.xxhash64("word"), F.lit(RARITY_SLOTS)).cast("int")
-    counts = rows.select(F.explode(F.split("text", GAP)).alias("word")).groupBy(slot.alias("slot")).count()
+    counts = rows.select(F.explode(F.split(text, " ")).alias("word")).groupBy(slot.alias("slot")).count()
     found = counts.select("slot", F.least(F.floor(F.log2("count") * 2), F.lit(63)).cast("int").alias("rank")).toArrow()
     ranks = np.zeros(RARITY_SLOTS, np.uint8)
     ranks[found.column("slot").to_numpy()] = found.column("rank").to_numpy()
@@ -72,11 +77,10 @@ def _coded(hashed: DataFrame, ranks: Column) -> DataFrame:
     """Adds token codes in order of rarity: 6 bits of rank above 57 bits of hash."""
 
     def code(h: Column) -> Column:
-        place = F.pmod(h, F.lit(RARITY_SLOTS)).cast("int") + 1
-        rank = F.ascii(F.substr(ranks, place, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(rank, 57).bitwiseOR(h.bitwiseAND(F.lit(2**57 - 1)))
+        rank = F.ascii(F.substr(ranks, F.pmod(h, F.lit(RARITY_SLOTS)).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), 57).bitwiseOR(h.bitwiseAND(F.lit(2**57 - 1)))
 
-    return hashed.withColumn("codes", F.array_sort(F.transform("hashes", code)))
+    return hashed.withColumn("codes", F.sort_array(F.transform("hashes", code)))
 
 
 def _ceil(share: float, n: Column) -> Column:
@@ -85,22 +89,17 @@ def _ceil(share: float, n: Column) -> Column:
 
 
 def _described(coded: DataFrame, threshold: float) -> DataFrame:
-    """n, a 128-bit parity sketch (s, t) and the prefix's tokens, by 31 bits, of coded lines."""
-
-    def parity(shift: int) -> Column:
-        def bit(c: Column) -> Column:
-            return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, shift).bitwiseAND(F.lit(63)).cast("int"))
+    """n, a 64-bit parity sketch (s) and the prefix's tokens, by 31 bits, of coded lines."""
 
-        mine = F.filter("codes", lambda c: F.shiftright(c, 30).bitwiseAND(F.lit(1)) == (shift % 2))
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(bit(c)))
+    def flip(a: Column, c: Column) -> Column:
+        return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 40).cast("int")))
 
     n = F.size("codes")
     tokens = F.slice("codes", F.lit(1), n - _ceil(threshold, n) + 1)
     return coded.withColumns(
         {
             "n": n,
-            "s": parity(10),
-            "t": parity(17),
+            "s": F.aggregate("codes", F.lit(0).cast("long"), flip),
             "prefix": F.transform(tokens, lambda c: c.bitwiseAND(F.lit(2**31 - 1)).cast("int")),
         }
     )
@@ -110,8 +109,8 @@ def _fits(threshold: float) -> Column:
     """What rows a and b of one prefix token must satisfy if it is the first token that matching sets share."""
     n, m = F.col("a.n"), F.col("b.n")
     need = _ceil(threshold / (1 + threshold), n + m)
-    differ = F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s"))) + F.bit_count(F.col("a.t").bitwiseXOR(F.col("b.t")))
-    return (F.least(n - F.col("a.i"), m - F.col("b.i")) >= need) & (differ <= n + m - 2 * need)
+    differ = F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s")))
+    return (F.col("a.token") == F.col("b.token")) & (F.least(n - F.col("a.i"), m - F.col("b.i")) >= need) & (differ <= n + m - 2 * need)
 
 
 def _place(of: str) -> Column:
@@ -129,49 +128,41 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     return found.filter(both / union >= F.lit(threshold)).select("a.*").distinct()
 
 
-def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """did, row_hash, line (from 0) of every line that matches an earlier one."""
-    rows = _rows(docs)
-    ranks = rarity(rows)
-    sets = stash(
-        _described(_coded(_hashed_lines(rows), ranks), threshold)
-        .groupBy(*_set_names(), "n", "s", "t", "prefix")
+def _sets(rows: DataFrame, ranks: Column, threshold: float) -> DataFrame:
+    """One row for each different set: its first line's place, what describes it, and a number."""
+    return stash(
+        _described(_coded(_lines(rows), ranks), threshold)
+        .groupBy(*_set_names(), "n", "s", "prefix")
         .agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("copies"))
+        .select(
+            F.monotonically_increasing_id().alias("number"), "first.*", "n", "s", "prefix",
+            F.when(F.col("copies") > 1, F.col("x")).alias("x"), F.when(F.col("copies") > 1, F.col("y")).alias("y"),
+        )
     )
-    equal = (
-        _hashed_lines(rows).select(*PLACE, *_set_names())
-        .join(sets.filter("copies > 1").select("x", "y", "first"), ["x", "y"])
-        .filter(F.struct(*PLACE) > F.col("first"))
-        .select(*PLACE)
-    )
-    tokens = sets.select("first.*", "n", "s", "t", F.posexplode("prefix").alias("i", "token"))
-    partners = (
-        tokens.alias("a")
-        .join(tokens.alias("b"), (F.col("a.token") == F.col("b.token")) & _fits(threshold) & (_place("a") != _place("b")), "left_semi")
-        .groupBy("did", "row_hash")
-        .agg(F.collect_set("line").alias("lines"))
-    )
-    again = rows.join(partners, ["did", "row_hash"]).dropDuplicates(["did", "row_hash"])
-    parts = F.transform("lines", lambda k: F.struct(k.alias("line"), F.element_at(F.split("text", "\n"), k + 1).alias("text")))
-    words = F.filter(F.split("at.text", GAP), lambda w: w != "")
-    hashed = again.select("did", "row_hash", F.explode(parts).alias("at")).select(
-        "did", "row_hash", F.col("at.line").alias("line"),
-        F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("hashes"),
-    )
-    lines = stash(_described(_coded(hashed, ranks), threshold).drop("hashes"))
-    tokens = lines.select(*PLACE, "n", "s", "t", F.posexplode("prefix").alias("i", "token"))
-    leaders = tokens.groupBy("token", "n").agg(F.min(F.struct(*PLACE, "i", "s", "t")).alias("b")).select("token", "n", "b.*")
-    led = tokens.alias("a").join(
-        leaders.alias("b"),
-        (F.col("a.token") == F.col("b.token")) & (F.col("a.n") == F.col("b.n")) & _fits(threshold) & (_place("b") < _place("a")),
-    )
+
+
+def _equal_lines(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The places of lines whose set an earlier line has."""
+    firsts = sets.filter("x is not null").select("x", "y", F.struct(*PLACE).alias("first"))
+    return _lines(rows).select(*PLACE, *_set_names()).join(firsts, ["x", "y"]).filter(F.struct(*PLACE) > F.col("first")).select(*PLACE)
+
+
+def _partners(sets: DataFrame, threshold: float) -> DataFrame:
+    """did, key and lines, in an array, of first lines with a partner that may match them."""
+    tokens = sets.select(F.posexplode("prefix").alias("i", "token"), "n", "s", "number").repartition("token")
+    met = tokens.alias("a").join(tokens.alias("b"), _fits(threshold) & (F.col("a.number") != F.col("b.number")), "left_semi")
+    return sets.join(met.select("number").distinct(), "number", "left_semi").groupBy("did", "key").agg(F.collect_set("line").alias("lines"))
+
+
+def _similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
+    """The places of lines that match an earlier one of ``lines``."""
+    tokens = lines.select(*PLACE, "n", "s", F.posexplode("prefix").alias("i", "token"))
+    leaders = tokens.groupBy("token", "n").agg(F.min(F.struct(*PLACE, "i", "s")).alias("b")).select("token", "n", "b.*")
+    led = tokens.alias("a").join(leaders.alias("b"), (F.col("a.n") == F.col("b.n")) & _fits(threshold) & (_place("b") < _place("a")))
     near = stash(_verified(led.select(_place("a").alias("a"), _place("b").alias("b")), lines, threshold))
     left = tokens.join(near, PLACE, "left_anti")
-    rest = left.alias("a").join(
-        tokens.alias("b"), (F.col("a.token") == F.col("b.token")) & _fits(threshold) & (_place("b") < _place("a"))
-    )
-    late = _verified(rest.select(_place("a").alias("a"), _place("b").alias("b")), lines, threshold)
-    return equal.unionByName(near).unionByName(late)
+    rest = left.alias("a").join(tokens.alias("b"), _fits(threshold) & (_place("b") < _place("a")))
+    return near.unionByName(_verified(rest.select(_place("a").alias("a"), _place("b").alias("b")), lines, threshold))
 
 
 def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -179,18 +170,27 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Lines end at line feeds; those without tokens stay. Null texts are one empty line and become empty. A null doc_id
     is the last of all. Rows that repeat a doc_id with one text have the same places: they do not remove each other's
-    lines, and are treated alike. Columns named n_lines or removed give way, others stay.
+    lines, and are treated alike. Texts and lines of any length are taken whole. An empty table gives no rows. Columns
+    named n_lines or removed give way, all others stay.
     """
-    kept = docs.drop("n_lines", "removed", "did", "row_hash")
-    gone = repeated_lines(docs, threshold).groupBy("did", "row_hash").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    keyed = kept.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "row_hash": F.hash(F.coalesce(F.col("text"), F.lit("")))})
-    joined = keyed.join(gone, ["did", "row_hash"], "left").drop("did", "row_hash")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "removed")]
+    rows = _keyed(docs.select("doc_id", "text"))
+    ranks = rarity(rows)
+    sets = _sets(rows, ranks, threshold)
+    found = stash(_partners(sets, threshold))
+    whole = _keyed(docs.select(F.struct(*others).alias("rest"), "doc_id", "text")).drop("doc_id").repartition("did", "key")
+    again = whole.join(found, ["did", "key"]).select("did", "key", "lines", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    again = again.filter(F.array_contains("lines", F.col("line"))).dropDuplicates(PLACE)
+    hashed = again.select(*PLACE, _hashes("text").alias("hashes"))
+    lines = stash(_described(_coded(hashed, ranks), threshold).drop("hashes"))
+    gone = _equal_lines(rows, sets).unionByName(_similar_lines(lines, threshold))
+    gone = stash(gone.groupBy("did", "key").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+    text = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     removed = F.coalesce(F.col("removed"), F.array().cast("array<int>"))
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
-    return joined.select(
-        *[c for c in kept.columns if c != "text"],
-        F.array_join(F.transform(numbers, lambda k: F.element_at(lines, k + 1)), "\n").alias("text"),
-        F.size(lines).cast("long").alias("n_lines"),
+    kept = F.filter(text, lambda _, k: ~F.array_contains("removed", k))
+    return whole.join(gone, ["did", "key"], "left").select(
+        "rest.*",
+        F.when(F.col("removed").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.size(text).cast("long").alias("n_lines"),
         removed.alias("removed"),
     )

@@ -44,7 +44,7 @@ class Ftrl:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """doc_id, text, label of at most ``per_class`` rows for either label, those with the least hash of doc_id.
+    """doc_id, text, label of at most ``per_class`` ids for either label, those with the least hash; one row an id.
 
     Labels other than 0 and 1, and ids with both, take no part.
     """
@@ -55,8 +55,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for k in (0, 1):
         part = one.filter(F.col("label") == k).orderBy("order", "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # at most 2 * per_class short rows
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # at most 2 * per_class short rows are broadcast; of an id's texts, the one of least hash is taken
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())).alias("text"))
 
 
 def feature_rows(sample: DataFrame, features: Features, bits: int) -> list:

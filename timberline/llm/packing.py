@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import stash
+
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
 #: Rows of a chunk, on average.
@@ -78,34 +80,33 @@ def pack(
     A batch has at most ``budget`` tokens with padding; a row that is longer alone makes its own batch, padded to its
     bucket's bound (``budget // padded_length`` is then taken as 1). Null and negative lengths count as 0; rows of
     length 0 form a bucket's worth of their own bound. All batches of a bucket but its last are full. Rows of equal id
-    and length are interchangeable. Input columns named like an output column give way.
+    and length are interchangeable. Input columns named like an output column give way, all others stay.
     """
-    rows = rows.drop("bucket", "padded_length", "batch", "slot")
+    kept = [c for c in rows.columns if c not in ("bucket", "padded_length", "batch", "slot")]
     length = F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long")
-    sized = rows.withColumn("_length", length)
-    histogram = sized.groupBy("_length").count().toPandas().sort_values("_length")
+    # written once: lengths are counted once, and rows keep their chunk, whatever their ids
+    sized = stash(
+        rows.select(
+            F.struct(*kept).alias("rest"), F.col(id_col).alias("id"), length.alias("length"),
+            F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).alias("deal"),
+        )
+    )
+    histogram = sized.groupBy("length").count().toPandas().sort_values("length")
     total = int(histogram["count"].sum())
-    bounds = optimal_bounds(histogram["_length"].to_numpy(), histogram["count"].to_numpy(), buckets)
+    bounds = optimal_bounds(histogram["length"].to_numpy(), histogram["count"].to_numpy(), buckets)
     chunk_count = max(1, -(-total // chunk_rows))
     bucket, padded = F.lit(0), F.lit(bounds[0] if bounds else 0).cast("long")
     for k, bound in enumerate(bounds[:-1]):
-        bucket = F.when(F.col("_length") > bound, k + 1).otherwise(bucket)
-        padded = F.when(F.col("_length") > bound, F.lit(bounds[k + 1]).cast("long")).otherwise(padded)
-    dealt = sized.withColumn("bucket", bucket).withColumn("padded_length", padded)
-    dealt = dealt.withColumn("_chunk", F.pmod(F.xxhash64(F.col(id_col), F.lit("chunk")), F.lit(chunk_count)).cast("int"))
-    sums = Window.partitionBy("bucket").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("bucket", "_chunk").count().select(
-        F.col("bucket").alias("_b"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("count").over(sums), F.lit(0)).alias("_start")
-    )
+        bucket = F.when(F.col("length") > bound, k + 1).otherwise(bucket)
+        padded = F.when(F.col("length") > bound, F.lit(bounds[k + 1]).cast("long")).otherwise(padded)
+    dealt = sized.select("*", bucket.alias("bucket"), padded.alias("padded_length"), F.pmod("deal", F.lit(chunk_count)).cast("int").alias("chunk"))
+    sums = Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     # one row per bucket and chunk: at most buckets * (rows / chunk_rows + 1)
-    inside = Window.partitionBy("bucket", "_chunk").orderBy(F.col(id_col), F.col("_length"))
-    numbered = dealt.withColumn("_row", F.row_number().over(inside) - 1).join(
-        starts, (F.col("bucket") == F.col("_b")) & (F.col("_chunk") == F.col("_c"))
-    )
+    starts = dealt.groupBy("bucket", "chunk").count().select("bucket", "chunk", F.coalesce(F.sum("count").over(sums), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("bucket", "chunk").orderBy("id", "length", "deal")
+    numbered = dealt.withColumn("row", F.row_number().over(inside) - 1).join(starts, ["bucket", "chunk"])
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("padded_length"), F.lit(1)))).cast("long")
-    place = F.col("_start") + F.col("_row")
-    return (
-        numbered.withColumn("batch", F.floor(place / room).cast("long"))
-        .withColumn("slot", (place % room).cast("long"))
-        .drop("_length", "_chunk", "_b", "_c", "_start", "_row")
+    place = F.col("start") + F.col("row")
+    return numbered.select(
+        "rest.*", "bucket", "padded_length", F.floor(place / room).cast("long").alias("batch"), (place % room).cast("long").alias("slot")
     )

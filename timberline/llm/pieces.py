@@ -3,14 +3,14 @@
 Texts are cut where no piece can span (before a space mark that follows another character, and around characters
 that only occur alone), so equal words are encoded once per batch. All words not seen before lie in one flat
 symbol array. A round finds the best pair of each word (highest score, a segmented minimum of ranks), merges its
-occurrences from the left, and compacts the array; words without a pair leave it. All occurrences of a pair are
-merged at once only where no pair that such a merge makes ranks as high; else the leftmost alone is merged, which
-is the order of the one-at-a-time definition.
+occurrences from the left, and compacts the array; words without a pair leave it. A merge is risky if a pair that it
+makes ranks as high as it: the one-at-a-time definition would take that pair next. So a word's merges are done at once
+up to its first risky one; from there a front goes on to the right, in all such words in step, and the word's other
+merges wait for the next round.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -113,19 +113,18 @@ class Pieces:
             pick = pick[(np.arange(len(pick)) - np.repeat(run, np.diff(np.r_[run, len(pick)]))) % 2 == 0]
             first = np.r_[True, owner[pick][1:] != owner[pick][:-1]]
             risky = self._risky(symbol, owner, pick, made[pick], best[owner[pick]])
-            slow = np.zeros(len(size), bool)
-            slow[owner[pick][risky]] = True
-            for k in np.flatnonzero(slow & (size > LONGEST)).tolist():  # one at a time would take too many rounds
-                s = slice(start[k], start[k] + size[k])
-                last_symbols, last_letters = self._by_heap(symbol[s].tolist(), letter[s].tolist())
-                done_word.append(np.full(len(last_symbols), word[start[k]]))
-                done_symbol.append(last_symbols)
-                done_letter.append(last_letters)
-            done = slow & (size > LONGEST)
-            pick = pick[(first | ~slow[owner[pick]]) & ~done[owner[pick]]]
-            stay = ~done[owner]
+            # of a word's merges, those up to its first risky one are done, and from there a front goes on alone
+            some, at = np.unique(owner[pick[risky]], return_index=True)
+            front = np.flatnonzero(risky)[at]
+            bar = np.full(len(size), len(pick))
+            bar[some] = front
+            pick = pick[np.arange(len(pick)) <= bar[owner[pick]]]
             symbol[pick] = made[pick]
+            stay = np.ones(len(symbol), bool)
             stay[pick + 1] = False
+            if len(some):
+                last_pick = np.searchsorted(owner[pick], some, side="right") - 1
+                self._advance(symbol, stay, pick[last_pick], start[some], start[some] + size[some], best[some])
             symbol, letter, word = symbol[stay], letter[stay], word[stay]
         if not done_word:
             return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
@@ -162,40 +161,38 @@ class Pieces:
             risky |= there & (found <= rank)
         return risky
 
-    def _by_heap(self, symbol: list[int], letter: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Merges one pair at a time, best score first, then leftmost."""
-        n = len(symbol)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        table = self._table()
-        heap: list = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (found := table.get((symbol[i], symbol[j]))):
-                heapq.heappush(heap, (found[0], i, symbol[i], symbol[j], found[1]))
-
-        for i in range(n):
-            offer(i)
-        gone = [False] * n
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j >= n or symbol[i] != a or symbol[j] != b:
-                continue
-            symbol[i], gone[j], after[i] = made, True, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        keep = [i for i in range(n) if not gone[i]]
-        return np.array([symbol[i] for i in keep]), np.array([letter[i] for i in keep])
-
-    def _table(self) -> dict:
-        if not hasattr(self, "_pairs"):
-            left, right = np.divmod(self.key, self.symbols)
-            self._pairs = dict(zip(zip(left.tolist(), right.tolist(), strict=True), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
-        return self._pairs
+    def _advance(self, symbol, stay, at, begin, end, rank) -> None:
+        """Merges on, in one word each, from a merge just made at ``at``, as long as the next merge of the
+        one-at-a-time order (best rank, then leftmost) is at or beside it. All pairs but those of the merged symbol
+        are of ``rank`` or worse, and those of ``rank`` are to its right."""
+        left = np.r_[-1, np.maximum.accumulate(np.where(stay, np.arange(len(stay)), -1))[:-1]]  # the symbol before
+        after, top = at + 2, len(symbol) - 1
+        while n := len(at):
+            side = left[at]
+            ranks, made = self._pair_ranks(np.r_[symbol[side], symbol[at]], np.r_[symbol[at], symbol[np.minimum(after, top)]])
+            back, forth = np.where(side >= begin, ranks[:n], NONE), np.where(after < end, ranks[n:], NONE)
+            fall = (back <= rank) & (back <= forth)
+            grow = ~fall & (forth <= rank)
+            live = fall | grow
+            if fall.any():
+                stay[at[fall]] = False
+                symbol[side[fall]] = made[:n][fall]
+                at = np.where(fall, side, at)
+            if grow.any():
+                symbol[at[grow]] = made[n:][grow]
+                stay[after[grow]] = False
+            after = after + grow
+            if not live.all():
+                next_, new = self._pair_ranks(symbol[np.minimum(after, top)], symbol[np.minimum(after + 1, top)])
+                step = ~live & (after + 1 < end) & (next_ == rank)
+                symbol[after[step]] = new[step]
+                stay[after[step] + 1] = False
+                left[after[step]] = at[step]
+                at = np.where(step, after, at)
+                after = after + 2 * step
+                live |= step
+                if not live.all():
+                    at, after, begin, end, rank = (x[live] for x in (at, after, begin, end, rank))
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The bytes of some ids, the dummy prefix included."""
@@ -239,13 +236,29 @@ class Memory:
                 self.bytes.pop(w, None)
 
 
+def check_model(model: bytes) -> None:
+    """Refuses models that normalise texts, or that are not encoded as the library does (such as unigram models)."""
+    import sentencepiece
+
+    library, pieces = sentencepiece.SentencePieceProcessor(model_proto=model), Pieces(model)
+    letters = "".join(chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000 and chr(c) != SPACE)
+    if library.normalize(letters) != SPACE + letters.replace(" ", SPACE):
+        raise ValueError("a model with normalisation rules is not supported")
+    known = [p.replace(SPACE, " ") for p in pieces.pieces[:: max(1, pieces.n // 2000)]]
+    sample = "".join(known) + " ".join(known) + " " * 70
+    ids, _ = pieces.encode_words(pieces.words(sample))
+    if ids.tolist() != library.encode(sample):
+        raise ValueError("not a BPE model of the supported kind")
+
+
 def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", decode: bool = True) -> DataFrame:
     """Adds ids (binary, little-endian unsigned 32-bit, begin and end included) and decoded, the text that the ids
     stand for, to every row; input columns of these names give way.
 
     Null texts count as empty, whose ids are begin and end alone. ``model`` is the content of a SentencePiece model
-    file: BPE with byte fallback, no normalisation rules, a dummy prefix and no removal of spaces.
+    file: BPE with byte fallback, no normalisation rules, a dummy prefix and no removal of spaces; others are refused.
     """
+    check_model(model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("ids", "decoded")]
     packed = docs.select(F.struct(*names).alias("rest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -132,7 +132,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     anchors = rows.mapInArrow(
         _anchor_batches(window, anchor),
-        f"doc_id {id_type}, row_hash int, low int, n int, anchor bigint, block bigint",
+        f"doc_id {id_type}, row_hash binary, low int, n int, anchor bigint, block bigint",
     )
     # written, so that the join below reads two plain shuffles, whose hot partitions adaptive execution splits
     repeated = stash(
@@ -152,7 +152,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     )
     windows = stash(
         _with_text(rows, checked, "inner").mapInArrow(
-            _window_batches(window), f"doc_id {id_type}, row_hash int, at int, alone boolean, one bigint, two bigint"
+            _window_batches(window), f"doc_id {id_type}, row_hash binary, at int, alone boolean, one bigint, two bigint"
         )
     )
     again = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")

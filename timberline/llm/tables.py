@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,14 +25,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark's setting by which an execution's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Writes a step as Parquet to the shared folder and reads it back: its lineage ends there."""
+    """Writes a step as Parquet to the shared folder and reads it back: its lineage ends there, and its shuffle files,
+    which nothing reads again, are removed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def row_key(text: str = "text") -> list:
-    """doc_id with 32 bits of the text's hash: tells apart rows of one doc_id that differ."""
-    return [F.col("doc_id"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("row_hash")]
+    """doc_id with the 128-bit digest of the text: tells apart rows of one doc_id, or without any, that differ."""
+    return [F.col("doc_id"), text_key(text).alias("row_hash")]
+
+
+def text_key(text: str = "text") -> Column:
+    """16 bytes that stand for a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))

@@ -16,18 +16,27 @@ from pyspark.sql import functions as F
 
 from .tables import stash
 
-SHARD_ROWS, QUERY_BLOCK = 16_384, 8192
+SHARD_ROWS = 16_384
+#: Components of the queries of a block: the larger a block, the fewer times each shard is read.
+QUERY_BLOCK = 1 << 22
 DEGREE, BEAM, ALPHA, STEP = 32, 72, 1.2, 4
 SEEDS, BATCH = 16, 512
 
 
 def raised(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with a coordinate more, so that all have the largest norm."""
-    norm = (vectors.astype(np.float64) ** 2).sum(1)
+    """Vectors, scaled to components of at most 1, with a coordinate more, so that all have the largest norm."""
+    vectors = scaled(vectors)
+    norm = (vectors**2).sum(1)
     rest = np.sqrt(np.maximum(norm.max(initial=0) - norm, 0))
     return np.c_[vectors, rest].astype(np.float32)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Double-precision vectors, all divided by the largest component: what is nearest to what stays the same."""
+    vectors = vectors.astype(np.float64)
+    return vectors / max(np.abs(vectors).max(initial=0), np.finfo(np.float64).tiny)
+
+
 def beam_search(graph: np.ndarray, nodes: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the ``beam`` nearest nodes met (-1 where fewer) and their distances, all queries in step."""
     q = len(queries)
@@ -137,7 +146,7 @@ def _matrix(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 def _build(table: pa.Table) -> pa.Table:
     table = table.sort_by("node")
-    nodes = raised(_matrix(table.column("vector"), np.float32))
+    nodes = raised(_matrix(table.column("vector"), np.float64))
     graph, entries = build_graph(nodes)
     start = np.zeros(len(nodes), bool)
     start[entries] = True
@@ -167,7 +176,7 @@ def _search(k: int):
             ids = asked.column("query").to_numpy()
             for low in range(0, len(asks), BATCH):
                 part = asks[low : low + BATCH]
-                at, _ = beam_search(graph, nodes, np.c_[part, np.zeros(len(part))].astype(np.float32), entries, max(BEAM, k))
+                at, _ = beam_search(graph, nodes, np.c_[scaled(part), np.zeros(len(part))].astype(np.float32), entries, max(BEAM, k))
                 exact = np.einsum("qd,qbd->qb", part, vectors[at])
                 exact[at < 0] = -np.inf
                 best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
@@ -206,10 +215,11 @@ def nearest(
     Queries are the usable rows for which ``is_query`` (a condition on the id) holds; candidates are all usable rows
     but those of the query's own id. Scores are exact inner products in double precision; ties go to the lesser id.
     Rows with a null id or an unusable vector take no part; vectors are compared with those of their own length;
-    repeated rows count once.
+    repeated rows count once. An id with several vectors asks with all of them, and is found once, with its best score.
+    Vectors are searched as single-precision copies, scaled so that none overflows; the copies have no part in scores.
     """
     rows = vectors.filter(F.col(id_col).isNotNull() & usable(vector_col)).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("float")).alias("vector")
+        F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("vector")
     )
     rows = rows.withColumn("asks", F.coalesce(is_query(F.col("id")), F.lit(False)))
     # of equal vectors, the least k + 1 ids can be among the answers
@@ -222,13 +232,13 @@ def nearest(
         .withColumn("node", F.monotonically_increasing_id())
         .withColumn("dims", F.size("vector"))
     )
-    total, queries = nodes.agg(F.count(F.lit(1)), F.count("asks")).first()
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-queries // QUERY_BLOCK))
+    total, asking = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("asks"), F.col("dims").cast("long"))), F.lit(0))).first()
+    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-asking // QUERY_BLOCK))
     dealt = nodes.select("dims", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "vector")
     graphs = stash(
         dealt.groupBy("dims", "shard").applyInArrow(
             _build,
-            "dims int, shard int, node bigint, place int, start boolean, vector array<float>, edges array<int>",
+            "dims int, shard int, node bigint, place int, start boolean, vector array<double>, edges array<int>",
         )
     )
     meeting = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -254,6 +264,7 @@ def nearest(
     return (
         whose.join(answers, "query")
         .filter("query_id != id")
+        .groupBy("query_id", "id").agg(F.max("score").alias("score"))
         .withColumn("rank", F.row_number().over(ranked).cast("int"))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", F.col("id").alias("vec_id"), "score")
