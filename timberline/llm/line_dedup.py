@@ -11,9 +11,11 @@ number. The join never meets all pairs:
 * Rows of one token meet if their sizes allow a match, their places in the prefix leave enough tokens for it, and
   their parity sketches differ in no more bits than matching sets may. None of these drops a match. Both sides of this
   join read one shuffle.
-* A semi-join finds the lines that have such a partner at all; only these are read again, as whole token sets.
-* Of these, lines that match the first line of equal size in a token's group go at once. Those that are left meet all
-  earlier ones. So a cluster of similar lines takes rows in proportion to its size.
+* A semi-join over sketches of 64 bits finds the lines that have such a partner at all; only these are read again,
+  as whole token sets with sketches of 256 bits.
+* Of these, lines that match the first line of equal size in a token's group go at once, then those that match the
+  first line at all that may match them. Those that are left meet all earlier ones. So a cluster of similar lines
+  takes rows in proportion to its size.
 * What meets is verified on the whole sets.
 
 Tokens are compared by 57 bits of hash, sets, when equal, by 128, and rows of one doc_id are told apart by 128.
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stash, text_key
+from .tables import discard, stash, text_key
 
 THRESHOLD = 0.8
 RARITY_SLOTS = 2**18
@@ -59,25 +61,28 @@ def _set_names() -> list[Column]:
     return [F.xxhash64("hashes").alias("x"), F.xxhash64(F.lit(1), "hashes").alias("y")]
 
 
-def rarity(rows: DataFrame) -> Column:
+def rarity(hashed: DataFrame) -> Column:
     """A byte for each slot of the tokens' hash: about twice log2 of how many lines' tokens fall there.
 
     RARITY_SLOTS counts at most go to the driver, and as many bytes into the plan.
     """
-    text = F.translate(F.coalesce(F.col("text"), F.lit("")), GAPS, SPACES)
-    slot = F.pmod(F.xxhash64("word"), F.lit(RARITY_SLOTS)).cast("int")
-    counts = rows.select(F.explode(F.split(text, " ")).alias("word")).groupBy(slot.alias("slot")).count()
+    counts = hashed.select(F.explode("hashes").alias("h")).groupBy(_slot(F.col("h")).alias("slot")).count()
     found = counts.select("slot", F.least(F.floor(F.log2("count") * 2), F.lit(63)).cast("int").alias("rank")).toArrow()
     ranks = np.zeros(RARITY_SLOTS, np.uint8)
-    ranks[found.column("slot").to_numpy()] = found.column("rank").to_numpy()
+    ranks[found.column("slot").to_numpy() - 1] = found.column("rank").to_numpy()
     return F.lit(ranks.tobytes())
 
 
+def _slot(h: Column) -> Column:
+    """A place from 1 to RARITY_SLOTS; 0, which substr takes as 1, shares the first."""
+    return F.greatest(h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int"), F.lit(1))
+
+
 def _coded(hashed: DataFrame, ranks: Column) -> DataFrame:
     """Adds token codes in order of rarity: 6 bits of rank above 57 bits of hash."""
 
     def code(h: Column) -> Column:
-        rank = F.ascii(F.substr(ranks, F.pmod(h, F.lit(RARITY_SLOTS)).cast("int") + 1, F.lit(1)).cast("string"))
+        rank = F.ascii(F.substr(ranks, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int"), F.lit(1)).cast("string"))
         return F.shiftleft(rank.cast("long"), 57).bitwiseOR(h.bitwiseAND(F.lit(2**57 - 1)))
 
     return hashed.withColumn("codes", F.sort_array(F.transform("hashes", code)))
@@ -90,26 +95,37 @@ def _ceil(share: float, n: Column) -> Column:
 
 def _described(coded: DataFrame, threshold: float) -> DataFrame:
     """n, a 64-bit parity sketch (s) and the prefix's tokens, by 31 bits, of coded lines."""
-
-    def flip(a: Column, c: Column) -> Column:
-        return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 40).cast("int")))
-
     n = F.size("codes")
     tokens = F.slice("codes", F.lit(1), n - _ceil(threshold, n) + 1)
     return coded.withColumns(
-        {
-            "n": n,
-            "s": F.aggregate("codes", F.lit(0).cast("long"), flip),
-            "prefix": F.transform(tokens, lambda c: c.bitwiseAND(F.lit(2**31 - 1)).cast("int")),
-        }
+        {"n": n, "s": _parity("codes", 40), "prefix": F.transform(tokens, lambda c: c.bitwiseAND(F.lit(2**31 - 1)).cast("int"))}
     )
 
 
-def _fits(threshold: float) -> Column:
+def _parity(tokens: Column | str, shift: int) -> Column:
+    """A bit for each of 64 slots of some tokens, by bits of their hash: whether an odd number falls there."""
+
+    def flip(a: Column, c: Column) -> Column:
+        slot = F.shiftright(c, shift).bitwiseAND(F.lit(63)).cast("int")
+        return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), slot))
+
+    return F.aggregate(tokens, F.lit(0).cast("long"), flip)
+
+
+#: A finer sketch: each token flips one bit of one of these.
+FINE = ("t0", "t1", "t2", "t3")
+
+
+def _finely(coded: DataFrame) -> DataFrame:
+    quarter = lambda k: F.filter("codes", lambda c: F.shiftright(c, 20).bitwiseAND(F.lit(3)) == k)
+    return coded.withColumns({name: _parity(quarter(k), 24) for k, name in enumerate(FINE)})
+
+
+def _fits(threshold: float, sketches: tuple[str, ...] = ("s",)) -> Column:
     """What rows a and b of one prefix token must satisfy if it is the first token that matching sets share."""
     n, m = F.col("a.n"), F.col("b.n")
     need = _ceil(threshold / (1 + threshold), n + m)
-    differ = F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s")))
+    differ = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in sketches), F.lit(0))
     return (F.col("a.token") == F.col("b.token")) & (F.least(n - F.col("a.i"), m - F.col("b.i")) >= need) & (differ <= n + m - 2 * need)
 
 
@@ -128,10 +144,10 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     return found.filter(both / union >= F.lit(threshold)).select("a.*").distinct()
 
 
-def _sets(rows: DataFrame, ranks: Column, threshold: float) -> DataFrame:
+def _sets(hashed: DataFrame, ranks: Column, threshold: float) -> DataFrame:
     """One row for each different set: its first line's place, what describes it, and a number."""
     return stash(
-        _described(_coded(_lines(rows), ranks), threshold)
+        _described(_coded(hashed, ranks), threshold)
         .groupBy(*_set_names(), "n", "s", "prefix")
         .agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("copies"))
         .select(
@@ -141,10 +157,10 @@ def _sets(rows: DataFrame, ranks: Column, threshold: float) -> DataFrame:
     )
 
 
-def _equal_lines(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def _equal_lines(hashed: DataFrame, sets: DataFrame) -> DataFrame:
     """The places of lines whose set an earlier line has."""
     firsts = sets.filter("x is not null").select("x", "y", F.struct(*PLACE).alias("first"))
-    return _lines(rows).select(*PLACE, *_set_names()).join(firsts, ["x", "y"]).filter(F.struct(*PLACE) > F.col("first")).select(*PLACE)
+    return hashed.select(*PLACE, *_set_names()).join(firsts, ["x", "y"]).filter(F.struct(*PLACE) > F.col("first")).select(*PLACE)
 
 
 def _partners(sets: DataFrame, threshold: float) -> DataFrame:
@@ -155,14 +171,20 @@ def _partners(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
-    """The places of lines that match an earlier one of ``lines``."""
-    tokens = lines.select(*PLACE, "n", "s", F.posexplode("prefix").alias("i", "token"))
-    leaders = tokens.groupBy("token", "n").agg(F.min(F.struct(*PLACE, "i", "s")).alias("b")).select("token", "n", "b.*")
-    led = tokens.alias("a").join(leaders.alias("b"), (F.col("a.n") == F.col("b.n")) & _fits(threshold) & (_place("b") < _place("a")))
-    near = stash(_verified(led.select(_place("a").alias("a"), _place("b").alias("b")), lines, threshold))
-    left = tokens.join(near, PLACE, "left_anti")
-    rest = left.alias("a").join(tokens.alias("b"), _fits(threshold) & (_place("b") < _place("a")))
-    return near.unionByName(_verified(rest.select(_place("a").alias("a"), _place("b").alias("b")), lines, threshold))
+    """The places of lines that match an earlier one of ``lines``: first those that match the first line of their size
+    in a token's group, then those that match the first line at all that may match them, then all others."""
+    fits = _fits(threshold, FINE) & (_place("b") < _place("a"))
+    pair = (_place("a").alias("a"), _place("b").alias("b"))
+    tokens = stash(lines.select(*PLACE, "n", *FINE, F.posexplode("prefix").alias("i", "token")))
+    leaders = tokens.groupBy("token", "n").agg(F.min(F.struct(*PLACE, "i", *FINE)).alias("b")).select("token", "n", "b.*")
+    led = tokens.alias("a").join(leaders.alias("b"), fits & (F.col("a.n") == F.col("b.n"))).select(*pair)
+    gone = stash(_verified(led, lines, threshold))
+    left = tokens.join(gone, PLACE, "left_anti")
+    firsts = left.alias("a").join(tokens.alias("b"), fits).select(*pair).groupBy("a").agg(F.min("b").alias("b"))
+    gone = gone.unionByName(stash(_verified(firsts, lines, threshold)))
+    left = tokens.join(gone, PLACE, "left_anti")
+    rest = left.alias("a").join(tokens.alias("b"), fits).select(*pair)
+    return gone.unionByName(_verified(rest, lines, threshold))
 
 
 def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -174,16 +196,18 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named n_lines or removed give way, all others stay.
     """
     others = [c for c in docs.columns if c not in ("text", "n_lines", "removed")]
-    rows = _keyed(docs.select("doc_id", "text"))
-    ranks = rarity(rows)
-    sets = _sets(rows, ranks, threshold)
+    hashed = stash(_lines(_keyed(docs.select("doc_id", "text"))), "snappy")
+    ranks = rarity(hashed)
+    sets = _sets(hashed, ranks, threshold)
+    equal = stash(_equal_lines(hashed, sets))
+    discard(hashed)
     found = stash(_partners(sets, threshold))
+    discard(sets)
     whole = _keyed(docs.select(F.struct(*others).alias("rest"), "doc_id", "text")).drop("doc_id").repartition("did", "key")
     again = whole.join(found, ["did", "key"]).select("did", "key", "lines", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    again = again.filter(F.array_contains("lines", F.col("line"))).dropDuplicates(PLACE)
-    hashed = again.select(*PLACE, _hashes("text").alias("hashes"))
-    lines = stash(_described(_coded(hashed, ranks), threshold).drop("hashes"))
-    gone = _equal_lines(rows, sets).unionByName(_similar_lines(lines, threshold))
+    again = again.filter(F.array_contains("lines", F.col("line"))).select(*PLACE, _hashes("text").alias("hashes"))
+    lines = stash(_finely(_described(_coded(again, ranks), threshold)).drop("hashes", "s"))
+    gone = equal.unionByName(_similar_lines(lines, threshold))
     gone = stash(gone.groupBy("did", "key").agg(F.sort_array(F.collect_set("line")).alias("removed")))
     text = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     removed = F.coalesce(F.col("removed"), F.array().cast("array<int>"))

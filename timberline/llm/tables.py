@@ -25,6 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def discard(step: DataFrame) -> None:
+    """Removes the files of a stashed step that nothing reads any more."""
+    spark = step.sparkSession
+    folders = {file.rsplit("/", 1)[0] for file in step.inputFiles()}
+    for folder in folders:
+        if folder.rsplit("/", 1)[1].startswith("step-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Spark's setting by which an execution's shuffle files go when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
