@@ -40,7 +40,7 @@ from .words import Words, chunks, mix, signed, span_hashes
 WINDOW = 35
 ANCHOR = 8
 #: Different blocks of one anchor that are factored in one task, on average, at most.
-PART = 2000
+PART = 500
 #: Windows whose anchors are sought at once; a place in a piece has to fit 24 bits.
 PIECE = 1 << 23
 
