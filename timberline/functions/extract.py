@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import clean, let, number, once
+from .text import clean, once
 
 # Where durations, statuses, methods and paths are looked for, in this order.
 DURATIONS = {
@@ -52,116 +53,125 @@ def attribute_exists(path: str, column: str = "attributes") -> Column:
     return attribute_variant(path, column).isNotNull()
 
 
-def kind_of(value: Column) -> Column:
-    """object, array, boolean, string, number, null or absent; ``value`` should be a plain reference."""
-    named = let(
-        F.schema_of_variant(value),
-        lambda schema: F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "BOOLEAN", "boolean").when(schema == "STRING", "string").otherwise("number"),
-    )
-    return F.when(value.isNull(), "absent").when(F.is_variant_null(value), "null").otherwise(named)
+#: The first letters of a variant's type, for each kind of scalar.
+NUMBERS, TEXT, TRUTH, NOTHING = ("BIG", "DOU", "DEC", "INT", "FLO", "SMA", "TIN"), "STR", "BOO", "VOI"
 
 
-def scalar_text(value: Column) -> Column:
-    """A scalar as stripped text, booleans as True and False; null for containers and blanks."""
+def kind_code(value: Column) -> Column:
+    """Three letters of a variant's type: those above, OBJ or ARR; null if absent."""
+    return F.left(F.schema_of_variant(value), F.lit(3))
 
-    def told(v: Column) -> Column:
-        text = F.try_variant_get(v, "$", "string")
-        return let(kind_of(v), lambda kind: F.when(kind == "boolean", F.initcap(text)).when(kind.isin("string", "number"), text))
 
-    return let(let(value, told), clean)
+def kind_of(value: Column) -> Column:
+    """object, array, boolean, string, number, null or absent."""
+    names = {"OBJ": "object", "ARR": "array", TRUTH: "boolean", TEXT: "string", NOTHING: "null"}
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), kind_code(value)), F.when(value.isNull(), "absent").otherwise("number"))
 
 
-def numeric(value: Column, strict: bool = True) -> Column:
-    """A finite number of at most 1e100; booleans never, strings only if not ``strict``."""
+def scalar_text(value: Column) -> Column:
+    """A scalar as stripped text, booleans as True and False; null for containers and blanks."""
+    kind, text = kind_code(value), F.try_variant_get(value, "$", "string")
+    return clean(F.when(kind == TRUTH, F.initcap(text)).when(kind.isin(TEXT, *NUMBERS), text))
 
-    def told(v: Column) -> Column:
-        plain = F.try_variant_get(v, "$", "double")
-        texts = F.when(F.lit(not strict), number(F.try_variant_get(v, "$", "string"))) if not strict else F.lit(None).cast("double")
-        return let(kind_of(v), lambda kind: F.when(kind == "number", plain).when(kind == "string", texts))
 
-    return let(let(value, told), lambda x: F.when(~F.isnan(x) & (F.abs(x) <= LARGEST), x))
+def there(value: Column) -> Column:
+    """True for a value that is there and not null."""
+    return F.coalesce(~F.is_variant_null(value), F.lit(False))
 
 
-def _attributes(events: DataFrame, paths: tuple[str, ...] | list[str]) -> Column | None:
-    """An array of name and value, a variant, of some attribute paths; None for events without attributes.
+def _first(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    """The value of the first condition that holds."""
+    out = None
+    for condition, value in cases:
+        out = F.when(condition, value) if out is None else out.when(condition, value)
+    return otherwise if out is None else out
 
-    One array and one lambda over it keep the plan small, however many names are looked for.
-    """
-    if "attributes" not in events.columns or not paths:
-        return None
-    return F.array(*(F.struct(F.lit(p).alias("name"), attribute_variant(p).alias("value")) for p in paths))
 
+def first_value(events: DataFrame, paths: tuple[str, ...]) -> Column:
+    """The first value of some attribute paths that is there and not null."""
+    none = F.lit(None).cast("variant")
+    if "attributes" not in events.columns:
+        return none
+    return _first([(there(attribute_variant(p)), attribute_variant(p)) for p in paths], none)
 
-def duration(events: DataFrame, field: str | None = None, strict: bool = True) -> dict[str, Column]:
-    """duration (ms), duration_field and duration_invalid of an event.
+
+def with_duration(events: DataFrame, field: str | None = None, strict: bool = True) -> DataFrame:
+    """Adds x_duration (ms), x_duration_field and x_duration_invalid.
 
     ``field`` is looked at first, then the known names; the first valid value wins. A value is valid if it is a
-    finite number of at least 0. An event with values but no valid one is invalid.
+    finite number of at least 0; booleans never are, strings only if not ``strict``. An event with values but no valid
+    one is invalid.
     """
     names = list(dict.fromkeys([*([field] if field else []), *DURATIONS]))
-    units = F.create_map(*(F.lit(x) for n in names for x in (n, UNITS.get(n.rsplit(".", 1)[-1], 1.0))))
-    found = _attributes(events, names)
-    empty = F.array().cast("array<struct<name:string,ms:double,there:boolean>>")
-
-    def judged(c: Column) -> Column:
-        ms = let(numeric(c["value"], strict), lambda value: F.when(value >= 0, value * F.element_at(units, c["name"])))
-        there = c["value"].isNotNull() & ~F.is_variant_null(c["value"])
-        return F.struct(c["name"].alias("name"), ms.alias("ms"), there.alias("there"))
-
-    scored = F.transform(found, judged) if found is not None else empty
-    if "duration_ms" in events.columns:
-        plain = F.col("duration_ms").cast("double")
-        ok = ~F.isnan(plain) & (plain >= 0) & (plain <= LARGEST)
-        own = F.array(F.struct(F.lit("duration_ms").alias("name"), F.when(ok, plain).alias("ms"), plain.isNotNull().alias("there")))
-        place = names.index("duration_ms")
-        scored = F.concat(own, scored) if place == 0 else F.concat(F.slice(scored, 1, place), own, F.slice(scored, place + 1, len(names)))
-    best = F.get(F.filter(scored, lambda c: c["ms"].isNotNull()), F.lit(0))
-    return {
-        "duration": best["ms"],
-        "duration_field": best["name"],
-        "duration_invalid": best.isNull() & F.exists(scored, lambda c: c["there"]),
-    }
-
-
-def first_value(events: DataFrame, paths: tuple[str, ...]) -> Column:
-    """The first value of some attribute paths that is there and not null."""
-    found = _attributes(events, paths)
-    if found is None:
-        return F.lit(None).cast("variant")
-    return F.get(F.filter(found, lambda c: c["value"].isNotNull() & ~F.is_variant_null(c["value"])), F.lit(0))["value"]
+    rows, looked = events, {}
+    if "attributes" in events.columns:
+        looked = {name: f"_d{k}" for k, name in enumerate(names)}
+        rows = once(rows, {c: attribute_variant(name) for name, c in looked.items()})
+        kinds = NUMBERS if strict else (TEXT, *NUMBERS)
+
+        def number(c: str) -> Column:
+            good = F.col(c).isNotNull() & kind_code(F.col(c)).isin(*kinds)
+            return F.when(good, F.try_variant_get(c, "$", "double"))
+
+        rows = once(rows, {f"{c}n": number(c) for c in looked.values()} | {f"{c}t": there(F.col(c)) for c in looked.values()})
+    cases = []
+    for name in names:
+        if name == "duration_ms" and name in events.columns:
+            own = F.col(name).cast("double")
+            cases.append((name, own.between(0, LARGEST), own, own.isNotNull()))
+        if c := looked.get(name):
+            value = F.col(f"{c}n")
+            cases.append((name, value.between(0, LARGEST), value * UNITS.get(name.rsplit(".", 1)[-1], 1.0), F.col(f"{c}t")))
+    seen = reduce(lambda a, b: a | b, (c[3] for c in cases), F.lit(False))
+    rows = rows.withColumns(
+        {
+            "x_duration": _first([(ok, ms) for _, ok, ms, _ in cases], F.lit(None).cast("double")),
+            "x_duration_field": _first([(ok, F.lit(name)) for name, ok, _, _ in cases], F.lit(None).cast("string")),
+            "_seen": seen,
+        }
+    )
+    rows = rows.withColumn("x_duration_invalid", F.col("_seen") & F.col("x_duration").isNull())
+    return rows.drop("_seen", *(c + end for c in looked.values() for end in ("", "n", "t")))
 
 
 def _column(events: DataFrame, name: str) -> Column:
     return F.col(name) if name in events.columns else F.lit(None).cast("string")
 
 
-def status(events: DataFrame, field: str | None = None) -> Column:
-    """A status from 100 to 599: a whole number or three digits. The first value that is there decides."""
-    value = first_value(events, tuple(dict.fromkeys([*([field] if field else []), *STATUSES])))
+def _paths(field: str | None, known: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(dict.fromkeys([*([field] if field else []), *known]))
 
-    def told(v: Column) -> Column:
-        text = F.try_variant_get(v, "$", "string")
-        whole, digits = F.when(text.rlike(r"^\d+$"), text), F.when(F.trim(text).rlike(r"^\d{3}$"), F.trim(text))
-        return let(kind_of(v), lambda kind: F.when(kind == "number", whole).when(kind == "string", digits))
 
-    code = let(value, told).try_cast("int")
+def status(events: DataFrame, value: Column, field: str | None = None) -> Column:
+    """A status from 100 to 599: a whole number or three digits."""
+    kind, text = kind_code(value), F.trim(F.try_variant_get(value, "$", "string"))
+    found = F.when(kind.isin(TEXT, *NUMBERS) & text.rlike(r"^\d{3}$"), text).try_cast("int")
     own = _column(events, "http_status").cast("int")
-    chosen = F.coalesce(own, code) if field is None else F.coalesce(code, own)
-    return let(chosen, lambda c: F.when(c.between(100, 599), c))
-
-
-def method(events: DataFrame, field: str | None = None) -> Column:
-    value = scalar_text(first_value(events, tuple(dict.fromkeys([*([field] if field else []), *METHODS]))))
-    own = clean(_column(events, "http_method"))
-    return F.upper(F.coalesce(own, value) if field is None else F.coalesce(value, own))
-
-
-def path(events: DataFrame, field: str | None = None) -> Column:
-    """The request path; a route template comes before any concrete path unless ``field`` names one."""
-    own = clean(_column(events, "http_path"))
-    if field:
-        return F.coalesce(scalar_text(first_value(events, (field,))), own, scalar_text(first_value(events, PATHS)))
-    return F.coalesce(scalar_text(first_value(events, ROUTES)), own, scalar_text(first_value(events, PATHS)))
+    chosen = F.coalesce(own, found) if field is None else F.coalesce(found, own)
+    return F.when(chosen.between(100, 599), chosen)
+
+
+def with_http(events: DataFrame, wanted: set[str], status_field: str | None, method_field: str | None, path_field: str | None) -> DataFrame:
+    """Adds x_status, x_method and x_path, or those that are wanted. The first value that is there decides; a route
+    template comes before any concrete path unless ``path_field`` names one."""
+    looked = {
+        "x_status": {"_status": _paths(status_field, STATUSES)}, "x_method": {"_method": _paths(method_field, METHODS)},
+        "x_path": {"_route": (path_field,) if path_field else ROUTES, "_path": PATHS},
+    }
+    rows, made = events, []
+    for name, columns in looked.items():
+        if name in wanted:  # one step for each, so that generated methods stay small
+            rows = once(rows, {c: first_value(events, paths) for c, paths in columns.items()})
+            made += columns
+    out: dict[str, Column] = {}
+    if "x_status" in wanted:
+        out["x_status"] = status(events, F.col("_status"), status_field)
+    if "x_method" in wanted:
+        value, own = scalar_text(F.col("_method")), clean(_column(events, "http_method"))
+        out["x_method"] = F.upper(F.coalesce(own, value) if method_field is None else F.coalesce(value, own))
+    if "x_path" in wanted:
+        out["x_path"] = F.coalesce(scalar_text(F.col("_route")), clean(_column(events, "http_path")), scalar_text(F.col("_path")))
+    return rows.withColumns(out).drop(*made) if out else rows
 
 
 def endpoint(path: Column, keep_slash: bool = False) -> Column:
@@ -182,40 +192,39 @@ def status_class(code: Column) -> Column:
 def text_field(events: DataFrame, *paths: str) -> Column:
     """Trimmed text of a column of the first name, or of the first attribute path that has any."""
     own = [clean(paths[0])] if dict(events.dtypes).get(paths[0]) == "string" else []
-    found = _attributes(events, paths)
-    other = [F.get(F.filter(F.transform(found, lambda c: scalar_text(c["value"])), lambda t: t.isNotNull()), F.lit(0))] if found is not None else []
-    return F.coalesce(*own, *other, F.lit(None).cast("string"))
-
-
-def parser_name(events: DataFrame) -> Column:
-    return text_field(events, "parser_name", "parser.name", "parser")
+    found = [scalar_text(attribute_variant(p)) for p in paths] if "attributes" in events.columns else []
+    return F.coalesce(*own, *found, F.lit(None).cast("string"))
 
 
 def tags(column: str = "tags") -> Column:
     return F.filter(F.transform(column, lambda t: clean(t)), lambda t: t.isNotNull())
 
 
+#: What reports read, and where it may be found.
+TEXT_FIELDS = {
+    "x_service": ("service", "service.name"), "x_host": ("host", "host.name"), "x_event_type": ("event_type",),
+    "x_parser": ("parser_name", "parser.name", "parser"),
+}
+EXTRACTS = ("x_duration", "x_status", "x_method", "x_path", *TEXT_FIELDS, "x_endpoint", "x_http")
+
+
 def with_extracts(events: DataFrame, duration_field: str | None = None, status_field: str | None = None,
-                  method_field: str | None = None, path_field: str | None = None, strict: bool = True) -> DataFrame:
+                  method_field: str | None = None, path_field: str | None = None, strict: bool = True,
+                  only: tuple[str, ...] = EXTRACTS) -> DataFrame:
     """Adds x_duration, x_duration_field, x_duration_invalid, x_status, x_method, x_path, x_endpoint, x_service, x_host,
-    x_event_type, x_parser and x_http: what all reports read."""
-    d = duration(events, duration_field, strict)
-    out = once(
-        events,
-        {
-            "x_duration": d["duration"],
-            "x_duration_field": d["duration_field"],
-            "x_duration_invalid": d["duration_invalid"],
-            "x_status": status(events, status_field),
-            "x_method": method(events, method_field),
-            "x_path": path(events, path_field),
-            "x_service": text_field(events, "service", "service.name"),
-            "x_host": text_field(events, "host", "host.name"),
-            "x_event_type": text_field(events, "event_type"),
-            "x_parser": parser_name(events),
-        },
-    )
-    found = F.col("x_status").isNotNull() | F.col("x_method").isNotNull() | F.col("x_path").isNotNull()
-    return out.withColumns(
-        {"x_endpoint": endpoint(F.col("x_path")), "x_http": found | F.coalesce(F.col("source_type").isin(*HTTP_SOURCES), F.lit(False))}
-    )
+    x_event_type, x_parser and x_http: what all reports read, or those that ``only`` names."""
+    wanted = set(only)
+    if wanted & {"x_endpoint", "x_http"}:
+        wanted.add("x_path")
+    if "x_http" in wanted:
+        wanted |= {"x_status", "x_method"}
+    rows = with_duration(events, duration_field, strict) if "x_duration" in wanted else events
+    rows = with_http(rows, wanted, status_field, method_field, path_field)
+    texts = {name: text_field(events, *paths) for name, paths in TEXT_FIELDS.items() if name in wanted}
+    rows = once(rows, texts) if texts else rows
+    if "x_endpoint" in wanted:
+        rows = rows.withColumn("x_endpoint", endpoint(F.col("x_path")))
+    if "x_http" in wanted:
+        found = F.col("x_status").isNotNull() | F.col("x_method").isNotNull() | F.col("x_path").isNotNull()
+        rows = rows.withColumn("x_http", found | F.coalesce(F.col("source_type").isin(*HTTP_SOURCES), F.lit(False)))
+    return rows

@@ -30,8 +30,7 @@ def fold_case(c: ColumnLike) -> Column:
 
 def clean(c: ColumnLike) -> Column:
     """Trimmed text, null if blank."""
-    text = F.regexp_replace(col(c), r"^\s+|\s+$", "")
-    return F.when(text != "", text)
+    return F.nullif(F.trim(col(c), F.lit(" \t\n\x0b\x0c\r")), F.lit(""))
 
 
 def preview(c: ColumnLike, limit: int = 200, ellipsis: str = "…") -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import dimension
 from ..plans.requests import ComparisonRequest
 from .filters import predicate
+from .ordering import exact_percentiles
 from .reports import count_where, summary_severity
 
 #: Metrics for which more is worse, and those that few samples make unsure.
@@ -26,12 +27,6 @@ def scopes(events: DataFrame, request: ComparisonRequest) -> DataFrame:
     return flags.filter("in_base or in_comp")
 
 
-def _percentile(p: float, flag: str, method: str) -> Column:
-    if method == "linear":
-        return F.expr(f"percentile(CASE WHEN {flag} THEN x_duration END, {p / 100!r})")
-    return F.expr(f"percentile_disc({p / 100!r}) WITHIN GROUP (ORDER BY CASE WHEN {flag} THEN x_duration END)")
-
-
 def _metric(name: str, flag: str, request: ComparisonRequest) -> tuple[Column, Column]:
     """A metric of the rows with a flag, and how many samples it has."""
     on = F.col(flag)
@@ -46,8 +41,8 @@ def _metric(name: str, flag: str, request: ComparisonRequest) -> tuple[Column, C
         return F.try_divide(count_where(on & (folded == "critical")).cast("double"), n.cast("double")), n
     if name == "average_duration":
         return F.avg(ms), F.count(ms)
-    if name.endswith("_duration"):
-        return _percentile(float(name[1:3]), flag, request.percentile_method), F.count(ms)
+    if name.endswith("_duration"):  # joined afterwards
+        return F.lit(None).cast("double"), F.count(ms)
     if name == "server_error_rate":
         return F.try_divide(count_where(on & F.col("x_http") & (status >= 500)).cast("double"), http.cast("double")), http
     if name == "client_error_rate":
@@ -82,7 +77,14 @@ def metrics(events: DataFrame, request: ComparisonRequest) -> DataFrame:
         for side, flag in (("b", "in_base"), ("c", "in_comp")):
             value, samples = _metric(name, flag, request)
             aggs += [value.alias(f"{name}_{side}"), samples.alias(f"{name}_{side}n")]
-    wide = scopes(events, request).agg(*aggs)
+    rows = scopes(events, request)
+    wide = rows.agg(*aggs)
+    asked = {m: (float(m[1:3]), request.percentile_method) for m in request.metrics if m in ("p50_duration", "p95_duration", "p99_duration")}
+    if asked:
+        sides = F.array_compact(F.array(F.when(F.col("in_base"), "b"), F.when(F.col("in_comp"), "c")))
+        found = exact_percentiles(rows.select(F.explode(sides).alias("side"), "x_duration"), "x_duration", asked, ("side",))
+        both = found.agg(*(F.max(F.when(F.col("side") == side, F.col(m))).alias(f"{m}_{side}") for m in asked for side in "bc"))
+        wide = wide.drop(*both.columns).join(F.broadcast(both))  # one row each
     parts = [
         F.struct(F.lit(m).alias("metric"), F.col(f"{m}_b").cast("double").alias("baseline"), F.col(f"{m}_c").cast("double").alias("comparison"),
                  F.col(f"{m}_bn").alias("baseline_samples"), F.col(f"{m}_cn").alias("comparison_samples"))

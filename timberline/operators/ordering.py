@@ -1,4 +1,4 @@
-"""Running sums and numbers over a whole order, without one task that holds it all.
+"""Running sums, numbers and percentiles over a whole order, without one task that holds it all.
 
 Rows are range-partitioned by the order; sums run inside each range and start where those of the ranges before end.
 """
@@ -34,3 +34,51 @@ def running(rows: DataFrame, order: list[str], sums: dict[str, Column], keys: tu
 def numbered(rows: DataFrame, order: list[str], name: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds each row's number, from 1, in a total order."""
     return running(rows, order, {name: F.lit(1).cast("long")}, keys)
+
+
+#: What a percentile is called, its share of 100 and its method.
+Percentiles = dict[str, tuple[float, str]]
+
+
+def exact_percentiles(rows: DataFrame, column: str, wanted: Percentiles, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each key (one in all without keys, null if no value) with the wanted percentiles of a column.
+
+    ``nearest_rank`` is the value at rank ceil(p / 100 * n), the least for 0; ``linear`` interpolates. Equal values are
+    counted before the shuffle, counts are summed along ranges of values, and the values at the wanted ranks are taken:
+    no task holds all values of a key. Nulls do not count.
+    """
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    summed = running(counts, ["_x"], {"_upto": F.col("_c")}, keys)
+    totals = summed.groupBy(*(F.col(k).alias(f"_t_{k}") for k in keys)).agg(F.max("_upto").alias("_n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    joined = summed.join(totals, same) if keys else summed.join(F.broadcast(totals))  # without keys, one row
+
+    def at(rank: Column) -> Column:
+        """The value at a rank from 0."""
+        return F.min(F.when(F.col("_upto") > rank, F.col("_x")))
+
+    found, out, n = {}, {}, F.col("_n")
+    for name, (p, method) in wanted.items():
+        if method == "linear":
+            place = (n - 1) * p / 100
+            found |= {f"_{name}_low": at(F.floor(place)), f"_{name}_high": at(F.ceil(place)), f"_{name}_part": F.max(place - F.floor(place))}
+            low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
+            out[name] = low + (high - low) * F.col(f"_{name}_part")
+        else:
+            found[name] = at(F.greatest(F.ceil(n * p / 100) - 1, F.lit(0)))
+            out[name] = F.col(name)
+    return joined.groupBy(*keys).agg(*(c.alias(k) for k, c in found.items())).select(*keys, *(c.alias(k) for k, c in out.items()))
+
+
+def with_percentiles(groups: DataFrame, rows: DataFrame, column: str, wanted: Percentiles, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds percentiles of ``rows`` to one row for each key, or to a single row."""
+    found = exact_percentiles(rows, column, wanted, keys)
+    if not keys:
+        return groups.join(F.broadcast(found), how="left")  # one row each
+    found = found.withColumnsRenamed({k: f"_p_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+    return groups.join(found, same, "left").drop(*(f"_p_{k}" for k in keys))

@@ -11,6 +11,7 @@ from ..functions.extract import attribute
 from ..functions.text import floor_time
 from ..plans.requests import Aggregation, EventQuery, EventSort, Limits, RequestError
 from ..schema import severity_rank
+from ..sources.shared import stash
 from .filters import apply_filter
 
 
@@ -71,11 +72,18 @@ def facets(events: DataFrame, names: tuple[str, ...], limits: Limits = Limits())
 
 
 def aggregate(events: DataFrame, request: Aggregation) -> DataFrame:
-    """key, value, sample_count and position. Null keys are left out; buckets come in time order, others by value."""
+    """key, value, sample_count and position, for time buckets also bucket_start and bucket_end (outside).
+
+    Null keys are left out; buckets come in time order and are named by their start in UTC, others by value.
+    """
     rows = apply_filter(events, request.filter)
+    times = {}
     if request.group_by == "time_bucket":
-        key = F.date_format(floor_time("timestamp", request.bucket_seconds), "yyyy-MM-dd'T'HH:mm:ss")
-        keyed = rows.select(key.alias("key"), "duration_ms")
+        start = floor_time("timestamp", request.bucket_seconds)
+        keyed = rows.select(F.date_format(start, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("key"), start.alias("start"), "duration_ms")
+        keyed = keyed.withColumn("key", F.regexp_replace("key", "Z$", "+00:00"))
+        end = F.timestamp_seconds(F.unix_seconds(F.min("start")) + request.bucket_seconds)
+        times = {"bucket_start": F.min("start"), "bucket_end": end}
     elif request.group_by == "tag":
         keyed = rows.select(F.explode("tags").alias("key"), "duration_ms")
     else:
@@ -87,7 +95,7 @@ def aggregate(events: DataFrame, request: Aggregation) -> DataFrame:
         "sum_duration_ms": (F.coalesce(F.sum(fine), F.lit(0.0)), samples),
         "average_duration_ms": (F.avg(fine), samples),
     }[request.metric]
-    out = keyed.filter("key is not null").groupBy("key").agg(metric[0].alias("value"), metric[1].alias("sample_count"))
+    out = keyed.filter("key is not null").groupBy("key").agg(metric[0].alias("value"), metric[1].alias("sample_count"), *(c.alias(n) for n, c in times.items()))
     order = [F.asc("key")] if request.group_by == "time_bucket" else [F.col("value").desc_nulls_last(), F.asc("key")]
     top = out.orderBy(*order).limit(request.limit)
     return top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
@@ -106,12 +114,19 @@ class QueryResult:
 
 
 def run_query(events: DataFrame, query: EventQuery, limits: Limits = Limits()) -> QueryResult:
-    """A page, its facets over all that matches, and the page's place."""
+    """A page, its facets over all that matches, and the page's place.
+
+    The page, of bounded size, is found once and kept as a small table of its own; the number of all matches is one
+    more pass, only where it is asked for.
+    """
     matched = apply_filter(events, query.filter)
     total = matched.count() if query.include_total else None
     limit = limits.page_default if query.limit is None else query.limit
-    rows = page(events, query, limits) if query.include_events else None
-    returned = rows.count() if rows is not None else 0
+    rows, returned = None, 0
+    if query.include_events:
+        rows = stash(page(events, query, limits).coalesce(1))
+        returned = rows.count()
+        rows = rows.orderBy(*sort_order(query.sort))
     more = query.offset + returned < total if total is not None else returned == limit
     return QueryResult(
         rows,

@@ -8,9 +8,10 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.extract import attribute, status_class
+from ..functions.extract import DURATIONS, attribute_variant, scalar_text, status_class
 from ..functions.text import dimension, floor_time, ratio
 from ..plans.requests import Limits, RequestError, check_group_field
+from .ordering import Percentiles, numbered, with_percentiles
 from .query import labelled
 
 ERRORS, CRITICALS = ("error",), ("critical", "fatal")
@@ -34,24 +35,28 @@ def timeline_severity(severity: str = "severity") -> Column:
     return F.when(F.col(severity) == "fatal", "critical").otherwise(F.col(severity))
 
 
+#: What the summary counts the different values of.
+DISTINCT = {"event_types": "x_event_type", "services": "x_service", "hosts": "x_host", "parsers": "x_parser", "source_types": "source_type"}
+
+
 def summary(events: DataFrame) -> DataFrame:
-    """One row: counts by severity, rates, distinct values, time span, duplicates, coverage."""
+    """One row: counts by severity, rates, distinct values, time span, duplicates, coverage.
+
+    Distinct values of all fields are counted as pairs of field and value, in one shuffle of different pairs.
+    """
     folded = summary_severity()
     span = (F.unix_micros("last_seen") - F.unix_micros("first_seen")) / 1e6
     aggs = [F.count(F.lit(1)).alias("event_count")]
     aggs += [count_where(folded == s).alias(f"{s}_count") for s in ("trace", "debug", "info", "warning", "error", "critical", "unknown")]
     aggs += [
-        F.count_distinct(dimension(c)).alias(f"distinct_{n}")
-        for n, c in (("event_types", "x_event_type"), ("services", "x_service"), ("hosts", "x_host"), ("parsers", "x_parser"), ("source_types", "source_type"))
-    ]
-    aggs += [
-        (F.count(F.lit(1)) - F.count_distinct("content_hash")).alias("duplicate_content_count"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
-        F.count("x_duration").alias("duration_count"),
-        F.count("x_status").alias("status_count"),
-    ]
-    row = events.agg(*aggs)
+        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
+        F.count("x_duration").alias("duration_count"), F.count("x_status").alias("status_count"),
+    ]
+    fields = {n: dimension(c) for n, c in DISTINCT.items()} | {"contents": F.col("content_hash")}
+    pairs = events.select(F.explode(F.array(*(F.struct(F.lit(n).alias("field"), c.alias("value")) for n, c in fields.items()))).alias("p"))
+    distinct = pairs.select("p.*").filter("value is not null").distinct().agg(*(count_where(F.col("field") == n).alias(f"distinct_{n}") for n in fields))
+    row = events.agg(*aggs).join(F.broadcast(distinct))  # one row each
+    row = row.withColumn("duplicate_content_count", F.col("event_count") - F.col("distinct_contents")).drop("distinct_contents")
     return row.withColumns(
         {
             "error_rate": ratio(F.col("error_count") + F.col("critical_count"), "event_count"),
@@ -85,72 +90,82 @@ def out_of_order(events: DataFrame) -> DataFrame:
 
 
 def group_value(events: DataFrame, name: str) -> Column:
-    """The values, an array, of a distribution field; a name that is none of the known ones is an attribute path."""
+    """The value, for tags an array, of a distribution field; a name that is none of the known ones is an attribute path."""
     known = {
         "severity": "severity", "source_type": "source_type", "event_type": "x_event_type", "parser": "x_parser",
         "parser_name": "x_parser", "host": "x_host", "service": "x_service", "method": "x_method",
         "http_method": "x_method",
     }
     if name in ("tag", "tags"):
-        return F.transform(F.array_distinct("tags"), lambda t: dimension(t))
+        return F.filter(F.transform(F.array_distinct("tags"), lambda t: dimension(t)), lambda t: t.isNotNull())
     if name in ("http_status", "status_code"):
-        return F.array(F.col("x_status").cast("string"))
+        return F.col("x_status").cast("string")
     if name == "status_class":
-        return F.array(F.when(F.col("x_status").isNotNull(), status_class(F.col("x_status"))))
+        return F.when(F.col("x_status").isNotNull(), status_class(F.col("x_status")))
     if name in known:
-        return F.array(dimension(known[name]))
-    return F.array(dimension(attribute(check_group_field(name))))
+        return dimension(known[name])
+    return dimension(scalar_text(attribute_variant(check_group_field(name))))
 
 
 def distributions(events: DataFrame, names: tuple[str, ...], top: int = 10, limits: Limits = Limits()) -> DataFrame:
-    """field, value, count, percentage, position, unique_values, other_count of the commonest values of each field.
+    """The commonest values of each field: field, value, count, percentage and position, and of the field, on each row:
+    total_count (events), matched_value_count, missing_count (events without a value), unique_values, other_count (of
+    values not shown) and truncated.
 
-    Percentages are of all events, those without the field too. All fields are counted in one scan.
+    Percentages are of all events, those without the field too. All fields are counted in one scan; only the first
+    ``top`` values of each part of a field's values are sorted in one task. Over ``limits.groups`` different values of
+    a field are an error, found when the result is made.
     """
     if limits.top is not None and top > limits.top:
         raise RequestError(f"top is at most {limits.top}")
     names = tuple(dict.fromkeys(names))
-    pairs = []
-    for name in names:
-        values = F.filter(F.coalesce(group_value(events, name), F.array().cast("array<string>")), lambda v: v.isNotNull())
-        pairs.append(labelled(values, name, "field"))
-    total = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("value")))
-    counts = events.select(F.explode(F.flatten(F.array(total, *pairs))).alias("p")).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("count"))
-    whole = counts.filter("field = ''").select(F.col("count").alias("total"))
-    by_field = Window.partitionBy("field")
-    order = by_field.orderBy(F.desc("count"), F.asc("value"))
-    ranked = counts.filter("field != ''").withColumns(
-        {"position": F.row_number().over(order), "unique_values": F.count(F.lit(1)).over(by_field), "in_all": F.sum("count").over(by_field),
-         "shown": F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
-    ).filter(F.col("position") <= top)
-    shown = F.max("shown").over(by_field)
-    return ranked.join(F.broadcast(whole)).select(
-        "field", "value", "count", (F.col("count") * 100 / F.col("total")).alias("percentage"), "position", "unique_values",
-        (F.col("in_all") - shown).alias("other_count"),
+    def pair(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"))
+
+    many = [n for n in names if n in ("tag", "tags")]
+    scalars = F.array(pair("", F.lit("")), *(pair(n, group_value(events, n)) for n in names if n not in many))
+    lists = [F.when(F.size(t := F.coalesce(group_value(events, n), F.array().cast("array<string>"))) == 0, F.array(pair(n, F.lit(None)))).otherwise(labelled(t, n, "field")) for n in many]
+    pairs = F.concat(scalars, *lists) if lists else scalars
+    counts = events.select(F.explode(pairs).alias("p")).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("count"))
+    total = counts.filter("field = ''").select(F.col("count").alias("total_count"))
+    there = F.when(F.col("value").isNotNull(), F.col("count"))
+    of_field = counts.filter("field != ''").groupBy("field").agg(
+        F.coalesce(F.sum(there), F.lit(0)).alias("matched_value_count"), F.count(there).alias("unique_values"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("missing_count"),
+    )
+    if limits.groups is not None:
+        message = F.concat(F.lit("too many different values of "), F.col("field"))
+        of_field = of_field.withColumn("unique_values", F.when(F.col("unique_values") > limits.groups, F.raise_error(message).cast("long")).otherwise(F.col("unique_values")))
+    by_field = Window.partitionBy("field").orderBy(F.desc("count"), F.asc("value"))
+    ranked = counts.filter("field != '' and value is not null").withColumn("position", F.row_number().over(by_field)).filter(F.col("position") <= top)
+    shown = F.sum("count").over(Window.partitionBy("field"))  # of at most ``top`` rows
+    # one row for each asked field, and one in all
+    return ranked.withColumn("shown", shown).join(F.broadcast(of_field), "field").join(F.broadcast(total)).select(
+        "field", "value", "count", (F.col("count") * 100 / F.col("total_count")).alias("percentage"), "position", "total_count",
+        "matched_value_count", "missing_count", "unique_values", (F.col("matched_value_count") - F.col("shown")).alias("other_count"),
+        (F.col("unique_values") > top).alias("truncated"),
     )
 
 
 # ---- percentiles ---------------------------------------------------------------------------------------------------
 
 
-def percentile_sql(column: str, p: float, method: str = "nearest_rank") -> Column:
-    """Nearest rank (the value at rank ceil(p/100 * n), the least for 0) or linear interpolation."""
-    if method == "linear":
-        return F.expr(f"percentile({column}, {p / 100!r})")
-    return F.expr(f"percentile_disc({p / 100!r}) WITHIN GROUP (ORDER BY {column})")
-
-
 def percentile_name(p: float) -> str:
     return f"p{p:g}".replace(".", "_")
 
 
-def descriptive(column: str, percentiles: tuple[float, ...] = (50, 90, 95, 99), method: str = "nearest_rank") -> list[Column]:
-    """count, min, max, mean, median, population deviation and percentiles of a column."""
-    return [
+def wanted(percentiles: tuple[float, ...], method: str) -> Percentiles:
+    return {percentile_name(p): (p, method) for p in percentiles}
+
+
+def descriptive(rows: DataFrame, column: str, percentiles: tuple[float, ...] = (50, 90, 95, 99), method: str = "nearest_rank",
+                keys: tuple[str, ...] = (), more: tuple[Column, ...] = ()) -> DataFrame:
+    """count, min, max, mean, median, population deviation and percentiles of a column for each key, and ``more``."""
+    groups = rows.groupBy(*keys).agg(
         F.count(column).alias("count"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"),
-        F.expr(f"percentile({column}, 0.5)").alias("median"), F.stddev_pop(column).alias("stddev"),
-        *(percentile_sql(column, p, method).alias(percentile_name(p)) for p in percentiles),
-    ]
+        F.stddev_pop(column).alias("stddev"), *more,
+    )
+    return with_percentiles(groups, rows, column, {"median": (50.0, "linear")} | wanted(percentiles, method), keys)
 
 
 # ---- timeline ------------------------------------------------------------------------------------------------------
@@ -176,7 +191,7 @@ def choose_bucket(first: datetime, last: datetime, seconds: int | None, limits:
     raise RequestError("the time span is too long for any bucket size")
 
 
-def _bounds(events: DataFrame, start: datetime | None, end: datetime | None) -> tuple[datetime | None, datetime | None]:
+def bounds(events: DataFrame, start: datetime | None, end: datetime | None) -> tuple[datetime | None, datetime | None]:
     if start is not None and end is not None:
         return start, end
     low, high = events.agg(F.min("timestamp"), F.max("timestamp")).first()
@@ -195,7 +210,7 @@ def timeline(events: DataFrame, seconds: int | None = None, start: datetime | No
     ``start`` and ``end`` (outside) default to the events' own first and last times.
     """
     rows = events.filter(condition) if condition is not None else events
-    first, last = _bounds(rows, start, end)
+    first, last = bounds(rows, start, end)
     spark = events.sparkSession
     if first is None or last is None:
         spine = spark.range(0).select(F.timestamp_seconds("id").alias("bucket_start"))
@@ -208,12 +223,13 @@ def timeline(events: DataFrame, seconds: int | None = None, start: datetime | No
         spine = spark.range(low, high, 1, 1).select(F.timestamp_seconds(F.col("id") * seconds).alias("bucket_start"))
         rows = rows.filter((F.col("timestamp") >= F.lit(first.replace(tzinfo=None)).cast("timestamp")) & (F.col("timestamp") < F.lit(last.replace(tzinfo=None)).cast("timestamp")))
     folded = timeline_severity()
-    counted = rows.groupBy(floor_time(F.col("timestamp").cast("timestamp"), seconds).alias("bucket_start")).agg(
+    rows = rows.withColumn("bucket_start", floor_time(F.col("timestamp").cast("timestamp"), seconds))
+    counted = rows.groupBy("bucket_start").agg(
         F.count(F.lit(1)).alias("event_count"), count_where(folded == "warning").alias("warning_count"),
         count_where(folded == "error").alias("error_count"), count_where(folded == "critical").alias("critical_count"),
-        F.avg("x_duration").alias("average_duration_ms"), percentile_sql("x_duration", 95).alias("p95_duration_ms"),
-        count_where(F.col("x_status") >= 500).alias("server_error_count"),
+        F.avg("x_duration").alias("average_duration_ms"), count_where(F.col("x_status") >= 500).alias("server_error_count"),
     )
+    counted = with_percentiles(counted, rows, "x_duration", {"p95_duration_ms": (95, "nearest_rank")}, ("bucket_start",))
     # the spine has at most limits.buckets rows
     out = spine.join(counted, "bucket_start", "left")
     out = out.fillna(0, ["event_count", "warning_count", "error_count", "critical_count", "server_error_count"])
@@ -247,13 +263,14 @@ HISTOGRAM = (10, 50, 100, 250, 500, 1000, 2000, 5000, 10_000)
 
 def latency(events: DataFrame, percentiles: tuple[float, ...] = (50, 90, 95, 99), method: str = "nearest_rank") -> DataFrame:
     """One row: samples, events without and with invalid durations, statistics, percentiles, commonest field."""
-    row = events.agg(
-        *descriptive("x_duration", percentiles, method),
-        count_where(F.col("x_duration").isNull() & ~F.col("x_duration_invalid")).alias("missing_count"),
-        count_where(F.col("x_duration_invalid")).alias("invalid_count"),
+    row = descriptive(
+        events, "x_duration", percentiles, method,
+        more=(count_where(F.col("x_duration").isNull() & ~F.col("x_duration_invalid")).alias("missing_count"), count_where(F.col("x_duration_invalid")).alias("invalid_count")),
     )
     fields = events.filter("x_duration_field is not null").groupBy("x_duration_field").count()
-    best = fields.orderBy(F.desc("count"), F.asc("x_duration_field")).limit(1).select(F.col("x_duration_field").alias("detected_field"))
+    # of equals the one that is looked for first
+    place = F.array_position(F.array(*map(F.lit, DURATIONS)), F.col("x_duration_field"))
+    best = fields.orderBy(F.desc("count"), place, F.asc("x_duration_field")).limit(1).select(F.col("x_duration_field").alias("detected_field"))
     return row.join(best, how="left")
 
 
@@ -282,10 +299,11 @@ def latency_by(events: DataFrame, key: str, top: int = 10) -> DataFrame:
     chosen = rows.groupBy("key").agg(F.count(F.lit(1)).alias("sample_count")).orderBy(*order).limit(top)
     chosen = chosen.withColumn("position", F.row_number().over(Window.orderBy(*order)))
     # at most ``top`` keys
-    return rows.join(F.broadcast(chosen), "key").groupBy("key", "sample_count", "position").agg(
-        F.min("x_duration").alias("min"), F.max("x_duration").alias("max"), F.avg("x_duration").alias("mean"),
-        percentile_sql("x_duration", 95).alias("p95"),
+    kept = rows.join(F.broadcast(chosen), "key")
+    groups = kept.groupBy("key", "sample_count", "position").agg(
+        F.min("x_duration").alias("min"), F.max("x_duration").alias("max"), F.avg("x_duration").alias("mean")
     )
+    return with_percentiles(groups, kept, "x_duration", {"p95": (95, "nearest_rank")}, ("key",))
 
 
 # ---- HTTP ----------------------------------------------------------------------------------------------------------
@@ -315,13 +333,13 @@ def http_summary(events: DataFrame) -> DataFrame:
 
 
 def endpoints(events: DataFrame) -> DataFrame:
-    """One row per endpoint: requests, share, errors, durations, methods, services, first and last time."""
+    """One row per endpoint: requests, share, errors, samples, average and longest duration, methods, services, times."""
     http = http_events(events)
     total = http.agg(F.count(F.lit(1)).alias("total"))
     s = F.col("x_status")
     by = http.filter("x_endpoint is not null").groupBy(dimension("x_endpoint").alias("endpoint")).agg(
         F.count(F.lit(1)).alias("requests"), count_where(s.between(400, 499)).alias("client_errors"), count_where(s >= 500).alias("server_errors"),
-        F.count("x_duration").alias("samples"), F.avg("x_duration").alias("average_ms"), percentile_sql("x_duration", 95).alias("p95_ms"), F.max("x_duration").alias("max_ms"),
+        F.count("x_duration").alias("samples"), F.avg("x_duration").alias("average_ms"), F.max("x_duration").alias("max_ms"),
         F.array_sort(F.collect_set("x_method")).alias("methods"), F.array_sort(F.collect_set(dimension("x_service"))).alias("services"),
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
     )
@@ -330,22 +348,40 @@ def endpoints(events: DataFrame) -> DataFrame:
     ).drop("total")
 
 
+def endpoint_p95(groups: DataFrame, events: DataFrame) -> DataFrame:
+    """Adds p95_ms of the durations of each endpoint."""
+    rows = http_events(events).filter("x_endpoint is not null and x_duration is not null").select(dimension("x_endpoint").alias("endpoint"), "x_duration")
+    return with_percentiles(groups, rows, "x_duration", {"p95_ms": (95, "nearest_rank")}, ("endpoint",))
+
+
 def _top(rows: DataFrame, order: list[Column], top: int) -> DataFrame:
     return rows.orderBy(*order).limit(top).withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
+def _detailed(chosen: DataFrame, events: DataFrame, top: int, p95: bool) -> DataFrame:
+    """Adds top_status_codes (code, count) and, if ``p95`` is asked for, p95_ms to a few endpoints."""
+    # at most ``top`` endpoints
+    rows = http_events(events).withColumn("endpoint", dimension("x_endpoint")).join(F.broadcast(chosen.select("endpoint")), "endpoint", "left_semi")
+    codes = rows.filter("x_status is not null").groupBy("endpoint", F.col("x_status").cast("string").alias("code")).count()
+    first = Window.partitionBy("endpoint").orderBy(F.desc("count"), F.asc("code"))
+    codes = codes.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= top)
+    codes = codes.groupBy("endpoint").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "code", "count"))), lambda c: F.struct(c["code"].alias("code"), c["count"].alias("count"))).alias("top_status_codes"))
+    out = chosen.join(codes, "endpoint", "left")
+    return with_percentiles(out, rows, "x_duration", {"p95_ms": (95, "nearest_rank")}, ("endpoint",)) if p95 else out
+
+
 def busiest_endpoints(events: DataFrame, top: int = 10) -> DataFrame:
-    return _top(endpoints(events), [F.desc("requests"), F.asc("endpoint")], top)
+    return _detailed(_top(endpoints(events), [F.desc("requests"), F.asc("endpoint")], top), events, top, True)
 
 
 def slowest_endpoints(events: DataFrame, top: int = 10, samples: int = 5) -> DataFrame:
-    rows = endpoints(events).filter(F.col("samples") >= samples)
-    return _top(rows, [F.desc("p95_ms"), F.desc("average_ms"), F.desc("requests"), F.asc("endpoint")], top)
+    rows = endpoint_p95(endpoints(events).filter(F.col("samples") >= samples), events)
+    return _detailed(_top(rows, [F.desc("p95_ms"), F.desc("average_ms"), F.desc("requests"), F.asc("endpoint")], top), events, top, False)
 
 
 def failing_endpoints(events: DataFrame, top: int = 10, requests: int = 10) -> DataFrame:
     rows = endpoints(events).filter((F.col("requests") >= requests) & (F.col("error_rate") > 0))
-    return _top(rows, [F.desc("error_rate"), F.desc("requests"), F.asc("endpoint")], top)
+    return _detailed(_top(rows, [F.desc("error_rate"), F.desc("requests"), F.asc("endpoint")], top), events, top, True)
 
 
 def status_by(events: DataFrame, key: str, top: int = 10) -> DataFrame:
@@ -363,19 +399,18 @@ def status_by(events: DataFrame, key: str, top: int = 10) -> DataFrame:
 def even_sample(events: DataFrame, k: int) -> DataFrame:
     """k events spread evenly over the sequence: those at places floor(i * n / k).
 
-    Places are found from the counts of sequence ranges, so no task holds all events.
+    Places are found from running counts of sequence ranges, so no task holds all events; only the order's columns are
+    sorted. Events are ordered by sequence, then id.
     """
-    ranges = events.repartitionByRange("sequence").withColumn("part", F.spark_partition_id())
-    counts = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("part")
-    starts = counts.select("part", (F.sum("n").over(order) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    placed = ranges.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("sequence")) - 1).join(starts, "part")
-    place = F.col("start") + F.col("at")
-    total = F.col("total")
-    # place p is taken if some i has floor(i * n / k) = p
-    i = F.ceil(place * F.lit(k) / total)
-    hit = (F.floor(i * total / F.lit(k)) == place) & (i < k)
-    return placed.filter((total <= k) | hit).drop("part", "start", "total", "at")
+    order = ["sequence", "id"]
+    placed = numbered(events.select(*order), order, "_n").withColumn("_n", F.col("_n") - 1)
+    total = F.col("_total")
+    # a place is taken if some i has floor(i * n / k) = place
+    i = F.ceil(F.col("_n") * F.lit(k) / total)
+    hit = (F.floor(i * total / F.lit(k)) == F.col("_n")) & (i < k)
+    totals = placed.agg(F.coalesce(F.max("_n") + 1, F.lit(0)).alias("_total"))
+    chosen = placed.join(F.broadcast(totals)).filter((total <= k) | hit).select(*order)
+    return events.join(F.broadcast(chosen), order, "left_semi")  # k rows
 
 
 def hash_sample(events: DataFrame, k: int) -> DataFrame:

@@ -11,8 +11,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stash
 from .ordering import numbered, running
 
+# The fields that make up an event's content.
 HASHED = (
     "schema_version", "timestamp", "source_type", "severity", "event_type", "message", "service", "application",
     "environment", "host", "source", "trace_id", "correlation_id", "user_id",
@@ -74,19 +76,24 @@ def write(stored: DataFrame, incoming: DataFrame, policy: str = "ignore", order:
     """Adds events that are not stored yet; new ones get the next sequence numbers, in the order of column ``order``.
 
     Events are the same if their content is. ``ignore`` leaves a stored event as it is, ``reject`` fails on any
-    duplicate, ``replace`` puts the new event in the place (id and sequence) of the stored one. An id that is stored
-    with another content is an error in all cases.
+    duplicate, ``replace`` puts the new event in the place (id and sequence) of the stored one. An id that is stored,
+    or comes in again, with another content is an error in all cases.
     """
     if policy not in ("ignore", "reject", "replace"):
         raise ValueError(f"unknown policy {policy}")
     known = stored.select("id", F.col("content_hash").alias("known_hash"))
     if not incoming.join(known, "id").filter("content_hash != known_hash").isEmpty():
         raise ConflictError("an id is stored with another content")
+    several = incoming.groupBy("id").agg(F.min("content_hash").alias("one"), F.max("content_hash").alias("other")).filter("one != other")
+    if not several.isEmpty():
+        raise ConflictError("an id of the batch stands for several contents")
     marked = in_batch_first(incoming, F.col(order))
-    old = stored.groupBy("content_hash").agg(F.min_by("id", "sequence").alias("old_id"), F.min("sequence").alias("old_sequence"))
+    # of the stored rows, only those of contents that come in are grouped
+    met = stored.join(incoming.select("content_hash").distinct(), "content_hash", "left_semi")
+    old = met.groupBy("content_hash").agg(F.min_by("id", "sequence").alias("old_id"), F.min("sequence").alias("old_sequence"))
     judged = marked.join(old, "content_hash", "left")
     outcome = F.when(F.col("duplicate"), "ignored").when(F.col("old_id").isNotNull(), "replaced" if policy == "replace" else "ignored").otherwise("inserted")
-    judged = judged.withColumn("outcome", outcome)
+    judged = stash(judged.withColumn("outcome", outcome))  # read several times below
     if policy == "reject" and not judged.filter("outcome != 'inserted'").isEmpty():
         raise ConflictError("the batch holds duplicates")
     last = stored.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("last")).first()[0]

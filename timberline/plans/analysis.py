@@ -13,6 +13,7 @@ from ..functions.extract import with_extracts
 from ..functions.text import preview
 from ..operators import comparison, reports
 from ..operators.filters import apply_filter
+from ..operators.ordering import exact_percentiles
 from .insights import Insight, Thresholds, comparison_insights, comparison_warnings, insights
 from .requests import AnalysisRequest, ComparisonRequest, Limits, RequestError
 
@@ -73,7 +74,7 @@ def analyze(events: DataFrame, request: AnalysisRequest, limits: Limits = Limits
     if "insights" in order:
         top = {r.field: (r.value, r.percentage) for r in reports.distributions(rows, ("service", "host", "event_type"), 1).collect()}
         http = reports.http_summary(rows).first().asDict()
-        p95 = rows.agg(reports.percentile_sql("x_duration", 95)).first()[0] if 95 in request.percentiles else None
+        p95 = exact_percentiles(rows, "x_duration", {"p95": (95.0, request.percentile_method)}).first()[0] if 95 in request.percentiles else None
         late = reports.out_of_order(rows).first()[0]
         out.insights = insights(summary, top, http, p95, late, widened, thresholds)
     if request.samples:

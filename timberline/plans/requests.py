@@ -85,6 +85,7 @@ class EventFilter:
                 raise RequestError(str(error)) from None
 
 
+# Fixed values.
 SORT_FIELDS = ("timestamp", "inserted_at", "sequence", "severity", "event_type", "host")
 
 
@@ -97,6 +98,7 @@ class EventSort:
         _require(self.field in SORT_FIELDS, f"cannot sort by {self.field}")
 
 
+# Fixed values.
 FACET_FIELDS = ("severity", "source_type", "event_type", "parser_name", "host", "service", "tags")
 
 
@@ -118,6 +120,7 @@ class EventQuery:
         object.__setattr__(self, "facets", tuple(dict.fromkeys(self.facets)))
 
 
+# Fixed values.
 GROUPS = ("severity", "source_type", "event_type", "parser_name", "host", "service", "tag", "time_bucket")
 METRICS = ("count", "sum_duration_ms", "average_duration_ms")
 
@@ -141,20 +144,24 @@ class Aggregation:
             _require(self.bucket_seconds is None, "bucket_seconds is for time buckets")
 
 
+# Fixed values.
 COMPARISON_METRICS = (
     "event_count", "error_rate", "critical_rate", "average_duration", "p50_duration", "p95_duration", "p99_duration",
     "server_error_rate", "client_error_rate", "throughput",
 )
 GROUP_FIELDS = ("severity", "source_type", "event_type", "parser", "host", "service", "endpoint", "http_status", "http_method")
-#: Parts of names that no group key may have.
-SENSITIVE = ("password", "passwd", "secret", "token", "authorization", "cookie", "api_key", "apikey", "credential", "private_key")
+# Parts of names, between dots, that no group key may have.
+SENSITIVE = {
+    "api_key", "apikey", "auth", "authorization", "client_ip", "cookie", "correlation_id", "credential", "credentials",
+    "message", "password", "passwd", "raw_message", "secret", "server_ip", "session", "session_id", "set_cookie",
+    "source", "token", "trace_id", "user_id",
+}
 
 
 def check_group_field(name: str) -> str:
+    """A path that may be grouped by: none of its parts, ``-`` taken as ``_`` and case aside, tells of secrets or persons."""
     clean = check_path(name)
-    lowered = clean.lower()
-    _require(lowered not in ("message", "raw_message"), f"cannot group by {clean}")
-    _require(not any(s in lowered for s in SENSITIVE), f"cannot group by {clean}")
+    _require(not {p.lower().replace("-", "_") for p in clean.split(".")} & SENSITIVE, f"cannot group by {clean}")
     return clean
 
 

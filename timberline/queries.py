@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.extract import with_extracts
+from .functions.extract import EXTRACTS, with_extracts
 from .functions.text import dimension, fold_case, preview
 from .operators import comparison, parse, query, reports, store
 from .operators.filters import apply_filter
@@ -53,8 +53,9 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("tag", "attributes_json", "content")
 
 
-def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_extracts(canonical(spark, sf_dir))
+def extracted(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """The canonical view with what its reports read, or with some of it."""
+    return with_extracts(canonical(spark, sf_dir), only=only or EXTRACTS)
 
 
 EV = (
@@ -175,19 +176,20 @@ _METRIC_SQL = {
     "sum_duration_ms": ("round(coalesce(sum(duration_ms), 0), 6)", "count(duration_ms)"),
     "average_duration_ms": ("round(avg(duration_ms), 6)", "count(duration_ms)"),
 }
-for _group, _key in {**_FACETS, "tag": "tag", "time_bucket": "strftime(time_bucket(INTERVAL 3600 SECONDS, timestamp), '%Y-%m-%dT%H:%M:%S')"}.items():
+for _group, _key in {**_FACETS, "tag": "tag", "time_bucket": "strftime(time_bucket(INTERVAL 3600 SECONDS, timestamp), '%Y-%m-%dT%H:%M:%S+00:00')"}.items():
     for _metric, (_value, _samples) in _METRIC_SQL.items():
         if _group == "tag" and _metric != "count":
             continue
         _from = "(SELECT unnest(tags) AS tag, duration_ms FROM x)" if _group == "tag" else "x"
         _order = "key" if _group == "time_bucket" else "value DESC NULLS LAST, key"
+        _times = ", min(time_bucket(INTERVAL 3600 SECONDS, timestamp)) AS bucket_start, min(time_bucket(INTERVAL 3600 SECONDS, timestamp)) + INTERVAL 1 HOUR AS bucket_end" if _group == "time_bucket" else ""
         register(
             f"aggregate_{_group}_{_metric}",
-            EV + f", g AS (SELECT {_key} AS key, {_value} AS value, {_samples} AS sample_count FROM {_from} WHERE {_key} IS NOT NULL GROUP BY 1), "
+            EV + f", g AS (SELECT {_key} AS key, {_value} AS value, {_samples} AS sample_count{_times} FROM {_from} WHERE {_key} IS NOT NULL GROUP BY 1), "
             f"r AS (SELECT *, CAST(row_number() OVER (ORDER BY {_order}) AS INT) AS position FROM g) SELECT * FROM r WHERE position <= 1000",
         )(
             lambda spark, sf_dir, g=_group, m=_metric: rounded(
-                query.aggregate(canonical(spark, sf_dir), Aggregation(g, m, 3600 if g == "time_bucket" else None, 1000)), "value"
+                ntz(query.aggregate(canonical(spark, sf_dir), Aggregation(g, m, 3600 if g == "time_bucket" else None, 1000)), *(("bucket_start", "bucket_end") if g == "time_bucket" else ())), "value"
             )
         )
 
@@ -206,7 +208,7 @@ for _group, _key in {**_FACETS, "tag": "tag", "time_bucket": "strftime(time_buck
     round(count(*) * 60 / (epoch_us(max(timestamp)) / 1e6 - epoch_us(min(timestamp)) / 1e6), 6) AS events_per_minute FROM x""",
 )
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = reports.summary(extracted(spark, sf_dir))
+    row = reports.summary(extracted(spark, sf_dir, "x_duration", "x_status", "x_event_type", "x_service", "x_host", "x_parser"))
     return rounded(ntz(row, "first_seen", "last_seen"), "error_rate", "critical_rate", "span_seconds", "events_per_second", "events_per_minute")
 
 
@@ -225,8 +227,10 @@ _DIST = " UNION ALL ".join([f"SELECT '{n}' AS field, {c} AS value FROM x WHERE {
 @register(
     "distributions",
     EV + f""", p AS ({_DIST}), g AS (SELECT field, value, count(*) AS count FROM p GROUP BY 1, 2),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY field ORDER BY count DESC, value) AS INT) AS position, count(*) OVER (PARTITION BY field) AS unique_values, sum(count) OVER (PARTITION BY field) AS every FROM g)
-    SELECT field, value, count, round(count * 100 / (SELECT count(*) FROM x), 6) AS percentage, position, unique_values, CAST(every - sum(count) OVER (PARTITION BY field) AS BIGINT) AS other_count FROM r WHERE position <= 5""",
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY field ORDER BY count DESC, value) AS INT) AS position, count(*) OVER (PARTITION BY field) AS unique_values, CAST(sum(count) OVER (PARTITION BY field) AS BIGINT) AS matched_value_count FROM g)
+    SELECT field, value, count, round(count * 100 / (SELECT count(*) FROM x), 6) AS percentage, position, (SELECT count(*) FROM x) AS total_count, matched_value_count,
+    CASE WHEN field = 'tags' THEN 0 ELSE (SELECT count(*) FROM x) - matched_value_count END AS missing_count, unique_values,
+    CAST(matched_value_count - sum(count) OVER (PARTITION BY field) AS BIGINT) AS other_count, unique_values > 5 AS truncated FROM r WHERE position <= 5""",
 )
 def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.distributions(extracted(spark, sf_dir), (*_FIELDS, "tags"), 5), "percentage")
@@ -240,7 +244,7 @@ for _method, _fn in {"nearest_rank": "quantile_disc", "linear": "quantile_cont"}
         "round(stddev_pop(x_duration), 6) AS stddev, " + ", ".join(f"round({_fn}(x_duration, {p / 100}), 6) AS p{p}" for p in (50, 90, 95, 99)) + " FROM x GROUP BY event_type",
     )
     def percentiles(spark: SparkSession, sf_dir: str, method: str = _method) -> DataFrame:
-        rows = extracted(spark, sf_dir).groupBy("event_type").agg(*reports.descriptive("x_duration", (50, 90, 95, 99), method))
+        rows = reports.descriptive(extracted(spark, sf_dir, "x_duration"), "x_duration", (50, 90, 95, 99), method, ("event_type",))
         return rounded(rows, "mean", "median", "stddev", "p50", "p90", "p95", "p99")
 
 
@@ -250,19 +254,19 @@ _SPINE = """, spine AS (SELECT unnest(generate_series(time_bucket(INTERVAL 3600
     t AS (SELECT bucket_start, coalesce(n, 0) AS event_count, coalesce(w, 0) AS warning_count, coalesce(e, 0) AS error_count, coalesce(c, 0) AS critical_count, round(a, 6) AS average_duration_ms, round(p, 6) AS p95_duration_ms,
     coalesce(s, 0) AS server_error_count, round(CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE (e + c) / n END, 6) AS error_rate FROM spine LEFT JOIN g ON bucket_start = b) """
 _ALL = _SPINE.format(low="(SELECT min(timestamp) FROM x)", high="(SELECT max(timestamp) FROM x)", where="true")
-_HTTP = _SPINE.format(low="(SELECT min(timestamp) FROM x WHERE x_http AND service = 'svc2' AND event_type = 'error')", high="(SELECT max(timestamp) FROM x WHERE x_http AND service = 'svc2' AND event_type = 'error')", where="x_http AND service = 'svc2' AND event_type = 'error'")
+_HTTP = _SPINE.format(low="(SELECT min(timestamp) FROM x WHERE x_http)", high="(SELECT max(timestamp) FROM x WHERE x_http)", where="x_http")
 _BUCKETS = ("event_count", "warning_count", "error_count", "critical_count", "server_error_count")
 
 
 @register("timeline", EV + _ALL + "SELECT * FROM t")
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reports.timeline(extracted(spark, sf_dir), 3600)
+    rows = reports.timeline(extracted(spark, sf_dir, "x_duration", "x_status"), 3600)
     return rounded(ntz(rows, "bucket_start"), "average_duration_ms", "p95_duration_ms", "error_rate")
 
 
 @register("timeline_http", EV + _HTTP + "SELECT * FROM t")
 def timeline_http(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reports.timeline(extracted(spark, sf_dir), 3600, condition=F.col("x_http") & (F.col("service") == "svc2") & (F.col("event_type") == "error"))
+    rows = reports.timeline(extracted(spark, sf_dir, "x_duration", "x_http"), 3600, condition=F.col("x_http"))
     return rounded(ntz(rows, "bucket_start"), "average_duration_ms", "p95_duration_ms", "error_rate")
 
 
@@ -275,12 +279,13 @@ def timeline_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ntz(reports.timeline_rollup(timeline_http(spark, sf_dir)), "peak_start"), "average_count")
 
 
-_HTTP_ALL = _SPINE.format(low="(SELECT min(timestamp) FROM x WHERE x_http)", high="(SELECT max(timestamp) FROM x WHERE x_http)", where="x_http")
+#: The same by the day.
+_HTTP_ALL = _HTTP.replace("3600 SECONDS", "86400 SECONDS")
 
 
 @register("timeline_http_all", EV + _HTTP_ALL + "SELECT * FROM t")
 def timeline_http_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reports.timeline(extracted(spark, sf_dir), 3600, condition=F.col("x_http"))
+    rows = reports.timeline(extracted(spark, sf_dir, "x_duration", "x_http"), 86_400, condition=F.col("x_http"))
     return rounded(ntz(rows, "bucket_start"), "average_duration_ms", "p95_duration_ms", "error_rate")
 
 
@@ -296,7 +301,7 @@ def timeline_rollup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(coalesce(sum(error_count + critical_count) / nullif(sum(event_count), 0), 0), 6) AS error_rate FROM k GROUP BY i // CAST(ceil(n / 120) AS BIGINT)""",
 )
 def timeline_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ntz(reports.coarsen(reports.timeline(extracted(spark, sf_dir), 3600)), "bucket_start"), "error_rate")
+    return rounded(ntz(reports.coarsen(reports.timeline(extracted(spark, sf_dir, "x_duration", "x_status"), 3600)), "bucket_start"), "error_rate")
 
 
 @register(
@@ -306,7 +311,7 @@ def timeline_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ", count(*) FILTER (x_duration IS NULL) AS missing_count, CAST(0 AS BIGINT) AS invalid_count, (SELECT x_field FROM x WHERE x_field IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS detected_field FROM x",
 )
 def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.latency(extracted(spark, sf_dir)), "mean", "median", "stddev", "p50", "p90", "p95", "p99")
+    return rounded(reports.latency(extracted(spark, sf_dir, "x_duration")), "mean", "median", "stddev", "p50", "p90", "p95", "p99")
 
 
 _EDGES = (0, *reports.HISTOGRAM)
@@ -320,12 +325,12 @@ _PLACES = "CASE " + " ".join(f"WHEN x_duration < {b} THEN {k}" for k, b in enume
     + ") AS v(position, lower_ms, upper_ms)) SELECT s.position, CAST(lower_ms AS DOUBLE) AS lower_ms, CAST(upper_ms AS DOUBLE) AS upper_ms, coalesce(n, 0) AS count, round(coalesce(n, 0) * 100 / (SELECT count(x_duration) FROM x), 6) AS percentage FROM s LEFT JOIN g ON s.position = g.position",
 )
 def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.histogram(extracted(spark, sf_dir)), "percentage")
+    return rounded(reports.histogram(extracted(spark, sf_dir, "x_duration")), "percentage")
 
 
 @register("slowest_events", EV + ", r AS (SELECT id, x_duration AS duration, CAST(row_number() OVER (ORDER BY x_duration DESC, timestamp, sequence, id) AS INT) AS position FROM x WHERE x_duration IS NOT NULL) SELECT * FROM r WHERE position <= 25")
 def slowest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.slowest(extracted(spark, sf_dir), 25).select("id", F.col("x_duration").alias("duration"), "position")
+    return reports.slowest(extracted(spark, sf_dir, "x_duration"), 25).select("id", F.col("x_duration").alias("duration"), "position")
 
 
 for _name, _col in {"service": "service", "event_type": "event_type", "endpoint": "x_endpoint"}.items():
@@ -333,7 +338,7 @@ for _name, _col in {"service": "service", "event_type": "event_type", "endpoint"
         f"latency_by_{_name}",
         EV + f", g AS (SELECT {_col} AS key, count(*) AS sample_count, min(x_duration) AS min, max(x_duration) AS max, round(avg(x_duration), 6) AS mean, quantile_disc(x_duration, 0.95) AS p95 FROM x WHERE x_duration IS NOT NULL AND {_col} IS NOT NULL GROUP BY 1), "
         "r AS (SELECT *, CAST(row_number() OVER (ORDER BY sample_count DESC, key) AS INT) AS position FROM g) SELECT * FROM r WHERE position <= 3",
-    )(lambda spark, sf_dir, k=f"x_{_name}": rounded(reports.latency_by(extracted(spark, sf_dir), k, 3), "mean"))
+    )(lambda spark, sf_dir, k=f"x_{_name}": rounded(reports.latency_by(extracted(spark, sf_dir, "x_duration", k), k, 3), "mean"))
 
 
 @register(
@@ -343,13 +348,15 @@ for _name, _col in {"service": "service", "event_type": "event_type", "endpoint"
     "round(count(*) FILTER (x_status // 100 = 5) / count(*), 6) AS server_error_rate, round(count(*) FILTER (x_status >= 400) / count(*), 6) AS error_rate, count(*) - count(x_status) > 0.5 * count(*) AS missing_status_data FROM x WHERE x_http",
 )
 def http_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.http_summary(extracted(spark, sf_dir)), "client_error_rate", "server_error_rate", "error_rate")
+    return rounded(reports.http_summary(extracted(spark, sf_dir, "x_http")), "client_error_rate", "server_error_rate", "error_rate")
 
 
 _ENDPOINTS = """, e AS (SELECT x_endpoint AS endpoint, count(*) AS requests, count(*) FILTER (x_status BETWEEN 400 AND 499) AS client_errors, count(*) FILTER (x_status >= 500) AS server_errors, count(x_duration) AS samples,
     round(avg(x_duration), 6) AS average_ms, quantile_disc(x_duration, 0.95) AS p95_ms, max(x_duration) AS max_ms, array_to_string(list_sort(list(DISTINCT x_method) FILTER (x_method IS NOT NULL)), ',') AS methods,
     array_to_string(list_sort(list(DISTINCT service)), ',') AS services, min(timestamp) AS first_seen, max(timestamp) AS last_seen, round(count(*) * 100 / (SELECT count(*) FROM x WHERE x_http), 6) AS percentage,
-    round(count(*) FILTER (x_status >= 400) / count(*), 6) AS error_rate FROM x WHERE x_http AND x_endpoint IS NOT NULL GROUP BY 1), r AS (SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INT) AS position FROM e WHERE {where}) SELECT * FROM r WHERE position <= 4"""
+    round(count(*) FILTER (x_status >= 400) / count(*), 6) AS error_rate FROM x WHERE x_http AND x_endpoint IS NOT NULL GROUP BY 1),
+    c AS (SELECT endpoint, string_agg(concat(x_status, ':', n), ',' ORDER BY k) AS top_status_codes FROM (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY n DESC, CAST(x_status AS VARCHAR)) AS k FROM
+    (SELECT x_endpoint AS endpoint, x_status, count(*) AS n FROM x WHERE x_http AND x_status IS NOT NULL GROUP BY 1, 2)) WHERE k <= 4 GROUP BY 1), r AS (SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INT) AS position FROM e WHERE {where}) SELECT r.*, top_status_codes FROM r LEFT JOIN c USING (endpoint) WHERE position <= 4"""
 for _name, _fn, _order, _where in (
     ("busiest", reports.busiest_endpoints, "requests DESC, endpoint", "true"),
     ("slowest", reports.slowest_endpoints, "p95_ms DESC, average_ms DESC, requests DESC, endpoint", "samples >= 5"),
@@ -357,7 +364,7 @@ for _name, _fn, _order, _where in (
 ):
     register(f"endpoints_{_name}", EV + _ENDPOINTS.format(order=_order, where=_where))(
         lambda spark, sf_dir, f=_fn: ntz(rounded(f(extracted(spark, sf_dir), 4), "average_ms", "percentage", "error_rate"), "first_seen", "last_seen").withColumns(
-            {c: F.array_join(c, ",") for c in ("methods", "services")}
+            {c: F.array_join(c, ",") for c in ("methods", "services")} | {"top_status_codes": F.array_join(F.transform("top_status_codes", lambda c: F.concat_ws(":", c["code"], c["count"])), ",")}
         )
     )
 for _name, _col in {"method": "x_method", "service": "service"}.items():
@@ -365,7 +372,7 @@ for _name, _col in {"method": "x_method", "service": "service"}.items():
         f"status_by_{_name}",
         EV + f", g AS (SELECT {_col} AS key, count(*) AS total, " + ", ".join(f"count(*) FILTER (x_status // 100 = {k}) AS status_{k}xx" for k in range(1, 6))
         + f", count(*) FILTER (x_status IS NULL) AS unknown, round(count(*) FILTER (x_status >= 400) / count(*), 6) AS error_rate FROM x WHERE x_http AND {_col} IS NOT NULL GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY total DESC, key) AS INT) AS position FROM g",
-    )(lambda spark, sf_dir, k=f"x_{_name}": rounded(reports.status_by(extracted(spark, sf_dir), k), "error_rate"))
+    )(lambda spark, sf_dir, k=f"x_{_name}": rounded(reports.status_by(extracted(spark, sf_dir, "x_http", k), k), "error_rate"))
 
 
 @register("even_sample", EV + ", r AS (SELECT id, row_number() OVER (ORDER BY sequence) - 1 AS i, count(*) OVER () AS n FROM x) SELECT id FROM r WHERE i IN (SELECT (j * (SELECT count(*) FROM x)) // 37 FROM range(37) t(j))")
@@ -521,21 +528,18 @@ for _name, _rules, _stop in (
 # ---- store ---------------------------------------------------------------------------------------------------------
 
 NOW = datetime(2024, 1, 31)
-_STORED, _NEW = "event_id % 2 = 0", "event_id % 3 = 0 AND event_id % 2 != 0"
+#: What is stored of the whole table; all else comes in. Once even ids, once the first half of the time.
+_STORED, _EARLY = "event_id % 2 = 0", "timestamp < TIMESTAMP '2024-01-15'"
 
 
-#: Of the whole table, all that is not stored comes in.
-_REST = f"NOT ({_STORED})"
-
-
-def _halves(spark: SparkSession, sf_dir: str, new: str = _NEW) -> tuple[DataFrame, DataFrame]:
+def _halves(spark: SparkSession, sf_dir: str, stored: str = _STORED) -> tuple[DataFrame, DataFrame]:
     rows = canonical(spark, sf_dir).withColumn("arrival", F.col("event_id"))
     keep = ["id", "sequence", "timestamp", "severity", "content_hash", "estimated_size_bytes"]
-    return rows.filter(_STORED).select(*keep), rows.filter(new).select(*keep, "arrival")
+    return rows.filter(stored).select(*keep), rows.filter(f"NOT ({stored})").select(*keep, "arrival")
 
 
 _WRITE = EV + f""", s AS (SELECT * FROM x WHERE {_STORED}), old AS (SELECT content_hash, arg_min(id, sequence) AS old_id, min(sequence) AS old_sequence FROM s GROUP BY 1),
-    i AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY event_id, id) AS copy FROM x WHERE {_NEW}), j AS (SELECT i.*, old_id, old_sequence FROM i LEFT JOIN old USING (content_hash)),
+    i AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY event_id, id) AS copy FROM x WHERE NOT ({_STORED})), j AS (SELECT i.*, old_id, old_sequence FROM i LEFT JOIN old USING (content_hash)),
     fresh AS (SELECT id, CAST((SELECT max(sequence) FROM s) + row_number() OVER (ORDER BY event_id, id) AS BIGINT) AS sequence, severity FROM j WHERE copy = 1 AND old_id IS NULL) """
 
 
@@ -554,22 +558,22 @@ def store_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.write(*_halves(spark, sf_dir)).outcomes
 
 
-_WRITE_ALL = _WRITE.replace(f"FROM x WHERE {_NEW})", f"FROM x WHERE {_REST})")
+_WRITE_ALL = _WRITE.replace(_STORED, _EARLY)
 
 
 @register("store_write_all_ignore", _WRITE_ALL + "SELECT id, sequence, severity FROM s UNION ALL SELECT * FROM fresh")
 def store_write_all_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.write(*_halves(spark, sf_dir, _REST)).table.select("id", "sequence", "severity")
+    return store.write(*_halves(spark, sf_dir, _EARLY)).table.select("id", "sequence", "severity")
 
 
 @register("store_write_all_replace", _WRITE_ALL + ", changed AS (SELECT old_id AS id, old_sequence AS sequence, severity FROM j WHERE copy = 1 AND old_id IS NOT NULL) SELECT id, sequence, severity FROM s WHERE id NOT IN (SELECT id FROM changed) UNION ALL SELECT * FROM changed UNION ALL SELECT * FROM fresh")
 def store_write_all_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.write(*_halves(spark, sf_dir, _REST), policy="replace").table.select("id", "sequence", "severity")
+    return store.write(*_halves(spark, sf_dir, _EARLY), policy="replace").table.select("id", "sequence", "severity")
 
 
 @register("store_outcomes_all", _WRITE_ALL + "SELECT id, CASE WHEN copy > 1 OR old_id IS NOT NULL THEN 'ignored' ELSE 'inserted' END AS outcome FROM j")
 def store_outcomes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.write(*_halves(spark, sf_dir, _REST)).outcomes
+    return store.write(*_halves(spark, sf_dir, _EARLY)).outcomes
 
 
 @register("store_retention", EV + "SELECT id FROM x WHERE timestamp >= TIMESTAMP '2024-01-21'")
