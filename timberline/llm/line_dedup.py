@@ -13,7 +13,7 @@ number. The join never meets all pairs:
   join read one shuffle.
 * A semi-join over sketches of 64 bits finds the lines that have such a partner at all; only these are read again,
   as whole token sets with sketches of 256 bits.
-* Of these, lines that match a leader of a token's group, the first line of each size, go at once, then those that
+* Of these, lines that match the first fitting leader (a token's first line of each size) go at once, then those that
   match the first line at all that may match them. Those that are left meet all earlier ones. So a cluster of similar lines
   takes rows in proportion to its size.
 * What meets is verified on the whole sets.
@@ -171,17 +171,18 @@ def _partners(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
-    """The places of lines that match an earlier one of ``lines``: first those that match the first line of some size
-    in a token's group, then those that match the first line at all that may match them, then all others."""
+    """The places of lines that match an earlier one of ``lines``: first those that match the first of the leaders that
+    may match them, then those that match the first line at all that may, then all others."""
     fits = _fits(threshold, FINE) & (_place("b") < _place("a"))
     pair = (_place("a").alias("a"), _place("b").alias("b"))
     tokens = stash(lines.select(*PLACE, "n", *FINE, F.posexplode("prefix").alias("i", "token")))
     leaders = tokens.groupBy("token", "n").agg(F.min(F.struct(*PLACE, "i", *FINE)).alias("b")).select("token", "n", "b.*")
-    led = tokens.alias("a").join(leaders.alias("b"), fits).select(*pair)
-    gone = stash(_verified(led, lines, threshold))
-    left = tokens.join(gone, PLACE, "left_anti")
-    firsts = left.alias("a").join(tokens.alias("b"), fits).select(*pair).groupBy("a").agg(F.min("b").alias("b"))
-    gone = gone.unionByName(stash(_verified(firsts, lines, threshold)))
+    gone = None
+    for others in (leaders, tokens):  # of each line's partners, the first alone
+        left = tokens if gone is None else tokens.join(gone, PLACE, "left_anti")
+        firsts = left.alias("a").join(others.alias("b"), fits).select(*pair).groupBy("a").agg(F.min("b").alias("b"))
+        found = stash(_verified(firsts, lines, threshold))
+        gone = found if gone is None else gone.unionByName(found)
     left = tokens.join(gone, PLACE, "left_anti")
     rest = left.alias("a").join(tokens.alias("b"), fits).select(*pair)
     return gone.unionByName(_verified(rest, lines, threshold))
