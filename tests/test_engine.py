@@ -18,7 +18,7 @@ from timberline.plans.insights import insights
 from timberline.plans.requests import Aggregation, AnalysisRequest, ComparisonRequest, EventFilter, EventQuery, EventSort, Limits, RequestError
 from timberline.queries import EV, ORACLES, QUERIES
 from timberline.sources import ingest
-from timberline.sources.parsers import LogFormat, Registry, parse_access
+from timberline.sources.parsers import Context, LogFormat, Registry
 
 BASE = datetime(2024, 3, 1, 10)
 
@@ -135,7 +135,7 @@ def test_formats_detection_and_statuses(spark):
 
 def test_registry(spark):
     registry = Registry()
-    registry.register(LogFormat("mine", 1, "application", lambda x: F.when(x.startswith("1.2"), 0.99).otherwise(0.0), parse_access, tags=("own",)))
+    registry.register(LogFormat("mine", 1, "application", lambda x: F.when(x.startswith("1.2"), 0.99).otherwise(0.0), Registry().get("apache_nginx_access").event, tags=("own",)))
     with pytest.raises(ValueError):
         registry.register(registry.get("mine"))
     assert registry.active()[0].name == "mine" and [f.name for f in registry.find(tag="own")] == ["mine"]

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import once, record_preview
 from ..schema import EVENT, invalid
-from ..sources.parsers import LogFormat, Registry, detect, iis_header, parse_iis
+from ..sources.parsers import LogFormat, Registry, extension_of, iis_header, with_detection
 from .ordering import running
 
 LINE_LIMIT, VOTERS = 1 << 20, 20
+#: Rows up to which a table of one row a file is broadcast.
+BROADCAST = 50_000
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -31,63 +33,79 @@ def lines_of(spark: SparkSession, text: str, name: str = "text") -> DataFrame:
     return spark.createDataFrame([(name, k, v) for k, v in enumerate(text.splitlines())], "file string, position long, value string")
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """Marks a table for broadcast if it has at most BROADCAST rows; a larger one is left to a shuffled join."""
+    return F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows
+
+
 def with_headers(lines: DataFrame) -> DataFrame:
     """Adds the field names that the last ``#Fields:`` line before a row gives, or null.
 
-    A file's few header lines are gathered and looked up by position; the file's rows need no common order.
+    A file's few header lines are gathered and looked up by position; the file's rows need no common order, and no
+    shuffle unless there are over BROADCAST files with headers.
     """
     heads = lines.filter("value like '#Fields:%'").select("file", F.struct("position", iis_header(F.col("value")).alias("names")).alias("head"))
     by_file = heads.groupBy(F.col("file").alias("_file")).agg(F.array_sort(F.collect_list("head")).alias("_heads"))
-    joined = lines.join(by_file, F.col("file") == F.col("_file"), "left")
+    joined = lines.join(small(by_file), F.col("file") == F.col("_file"), "left")
     before = F.filter("_heads", lambda h: h["position"] < F.col("position"))
     return joined.withColumn("header", F.try_element_at(before, F.lit(-1))["names"]).drop("_file", "_heads")
 
 
 def vote(lines: DataFrame, formats: list[LogFormat], voters: int = VOTERS) -> DataFrame:
-    """file and parser: the format that most of a file's first lines have, then the surest, then by priority."""
+    """file and parser: the format that most of a file's first lines have, then the surest, then by priority.
+
+    Of each part of a file only the first lines are shuffled.
+    """
     first = Window.partitionBy("file").orderBy("position")
     head = lines.filter(F.trim("value") != "").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= voters)
-    best = head.select("file", detect(F.col("value"), formats).alias("d")).filter("d is not null")
-    tally = best.groupBy("file", "d.name").agg(F.count(F.lit(1)).alias("n"), F.avg("d.confidence").alias("confidence"))
+    found = with_detection(head.select("file", "value"), formats, extension=extension_of(F.col("file"))).filter("detected is not null")
+    tally = found.groupBy("file", "detected.name").agg(F.count(F.lit(1)).alias("n"), F.avg("detected.confidence").alias("confidence"))
     places = {f.name: k for k, f in enumerate(formats)}
     place = F.element_at(F.create_map(*(F.lit(x) for pair in places.items() for x in pair)), F.col("name"))
     return tally.groupBy("file").agg(F.min_by("name", F.struct(-F.col("n"), -F.col("confidence"), place)).alias("parser"))
 
 
 def parse(lines: DataFrame, registry: Registry | None = None, mode: str = "row", mixed: bool = True, limit: int = LINE_LIMIT) -> DataFrame:
-    """Adds parser, status (success, failure, skipped, header, comment), error and event to every line.
+    """Adds parser, confidence, ambiguous (of the line's detection), status (success, failure, skipped, header,
+    comment), error and event to every line.
 
     ``mode`` is ``row`` (each line by itself), ``file`` (a vote of the file's first lines; with ``mixed``, lines that
-    fail are tried by themselves) or a format's name. Over-long lines fail and lose their text.
+    have not the voted form are taken by themselves) or a format's name. Over-long lines fail and lose their text.
     """
     registry = registry or Registry()
-    formats = registry.active()
-    rows = with_headers(lines)
-    too_long = F.length("value") > limit
-    value = F.when(~too_long, F.col("value"))
-    rows = rows.withColumns({"value": value, "too_long": too_long})
-    blank = F.coalesce(F.trim("value") == "", F.lit(False))
+    formats = registry.active() if mode in ("row", "file") else [registry.get(mode)]
+    iis = any(f.name == "iis_w3c" for f in formats)
+    rows = with_headers(lines) if iis else lines.withColumn("header", F.lit(None).cast("array<string>"))
+    rows = rows.withColumns({"too_long": F.length("value") > limit, "value": F.when(F.length("value") <= limit, F.col("value"))})
     directive = F.coalesce(F.startswith("value", F.lit("#")), F.lit(False))
     known = F.when(F.col("header").isNotNull() & ~directive, "iis_w3c")
-    if mode == "row":
-        rows = once(rows, {"parser": F.coalesce(detect(F.col("value"), formats)["name"], known)})
-    elif mode == "file":
-        votes = vote(lines, formats).withColumnsRenamed({"file": "_file", "parser": "_vote"})
-        rows = rows.join(votes, F.col("file") == F.col("_file"), "left").drop("_file").withColumnRenamed("_vote", "parser")
+    if mode in ("row", "file"):
+        rows = with_detection(rows, formats, extension=extension_of(F.col("file")))
+        own = F.coalesce(F.col("detected.name"), known)
+        chosen = own
+        if mode == "file":
+            votes = vote(lines, formats).withColumnsRenamed({"file": "_file", "parser": "_vote"})
+            rows = rows.join(small(votes), F.col("file") == F.col("_file"), "left").drop("_file")
+            chosen = F.col("_vote")
+            if mixed:
+                fits = F.lit(False)
+                for f in formats:
+                    fits = fits | ((F.col("_vote") == f.name) & ((f.detect(F.col("value")) > 0) | (F.col("header").isNotNull() if f.name == "iis_w3c" else F.lit(False))))
+                chosen = F.when(F.coalesce(fits, F.lit(False)), F.col("_vote")).otherwise(F.coalesce(own, F.col("_vote")))
+        told = F.coalesce(F.col("detected.name") == F.col("parser"), F.lit(False))
+        rows = once(rows, {"parser": chosen}).drop("_vote")
+        rows = rows.withColumns({"confidence": F.when(told, F.col("detected.confidence")), "ambiguous": F.when(told, F.col("detected.ambiguous"))}).drop("detected")
     else:
-        registry.get(mode)
-        rows = rows.withColumn("parser", F.lit(mode))
-    rows = once(rows, {"event": _parsed(F.col("parser"), formats)})
-    if mode == "file" and mixed:
-        other = detect(F.col("value"), formats)["name"]
-        retry = F.when(F.col("event").isNull(), F.coalesce(other, known))
-        rows = once(rows, {"_retry": retry})
-        again = {"event": F.coalesce("event", _parsed(F.col("_retry"), formats)), "parser": F.when(F.col("event").isNull(), F.coalesce("_retry", "parser")).otherwise(F.col("parser"))}
-        rows = once(rows, again).drop("_retry")
-    iis = F.col("parser") == "iis_w3c"
+        rows = rows.withColumns({"parser": F.lit(mode), "confidence": F.lit(1.0), "ambiguous": F.lit(False)})
+    made = []
+    for f in formats:
+        rows, name = f.staged(rows, F.col("parser") == f.name, {"line": F.col("value"), "header": F.col("header")})
+        made.append(name)
+    rows = rows.withColumn("event", F.coalesce(*made)).drop(*made)
+    blank = F.coalesce(F.trim("value") == "", F.lit(False))
     status = (
         F.when(F.col("too_long"), "failure").when(blank, "skipped")
-        .when(directive & F.startswith("value", F.lit("#Fields:")), "header").when(directive & (iis | F.col("parser").isNull()), "comment")
+        .when(directive & F.startswith("value", F.lit("#Fields:")), "header").when(directive & ((F.col("parser") == "iis_w3c") | F.col("parser").isNull()), "comment")
         .when(F.col("event").isNull(), "failure").when(invalid_event().isNotNull(), "failure").otherwise("success")
     )
     error = F.when(F.col("too_long"), "RECORD_TOO_LARGE").when(F.col("parser").isNull(), "NO_FORMAT").when(F.col("event").isNull(), "NO_MATCH").otherwise(invalid_event())
@@ -95,15 +113,6 @@ def parse(lines: DataFrame, registry: Registry | None = None, mode: str = "row",
     return rows.withColumn("error", F.when(F.col("status") == "failure", error)).drop("too_long", "header")
 
 
-def _parsed(parser: Column, formats: list[LogFormat]) -> Column:
-    out = None
-    for f in formats:
-        event = parse_iis(F.col("value"), F.col("header")) if f.name == "iis_w3c" else f.parse(F.col("value"))
-        found = F.when(parser == f.name, event)
-        out = found if out is None else F.coalesce(out, found)
-    return out
-
-
 def invalid_event() -> Column:
     e = F.col("event")
     return F.when(e["timestamp"].isNull(), "INVALID_TIMESTAMP").when(F.coalesce(F.trim(e["message"]), F.lit("")) == "", "MISSING_MESSAGE").when(e["severity"].isNull(), "INVALID_SEVERITY").when(e["duration_ms"] < 0, "INVALID_DURATION")

@@ -1,7 +1,9 @@
 """Log formats as Column expressions: how sure a line's form is, and the event that it stands for.
 
-A format is a ``LogFormat``: ``detect`` gives a confidence from 0 to 1, ``parse`` a struct of canonical fields, null
-where the line does not have the form. All of them stay inside one projection; detection picks one per row or file.
+A format is a ``LogFormat``: ``detect`` gives a confidence from 0 to 1, and ``steps`` lead from the line to a struct of
+canonical fields, null where the line does not have the form. Each step names columns made of those of the steps before
+it; ``staged`` adds them to a table a few at a time, so that every piece of a line is found once and generated methods
+stay small enough to be compiled. Detection picks one format per row or file.
 """
 
 from __future__ import annotations
@@ -10,15 +12,19 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import scalar_text
-from ..functions.text import clean, let, lookup, number, severity, timestamp
+from ..functions.text import clean, let, lookup, number, once, severity, timestamp
 from ..schema import EVENT
 
 FIELDS = [f for f in EVENT.fields if f.name not in ("schema_version", "event_id", "ingested_at", "raw_message")]
 ATTRIBUTES = "attributes"
+#: Columns by name: the pieces of a line, or what is made of them.
+Pieces = dict[str, Column]
+#: Columns that one generated method makes.
+AT_ONCE = 6
 
 
 def record(**values: Column) -> Column:
@@ -43,17 +49,56 @@ def dashless(text: Column) -> Column:
     return F.nullif(text, F.lit("-"))
 
 
+@dataclass(frozen=True)
+class Context:
+    """What is known about lines beside their text."""
+
+    vendor: str = "generic"
+    year: int | None = None
+    zone: str = "UTC"
+
+
 @dataclass(frozen=True)
 class LogFormat:
+    """``steps`` end with one that makes the column ``event``; ``parse``, a single expression, may take their place."""
+
     name: str
     priority: int
     source_type: str
     detect: Callable[[Column], Column]
-    parse: Callable[[Column], Column]
+    parse: Callable[[Column], Column] | None = None
     version: str = "1.0.0"
     tags: tuple[str, ...] = ()
     extensions: tuple[str, ...] = (".log", ".txt")
     enabled: bool = True
+    steps: tuple[Callable[[Pieces], Pieces], ...] = ()
+
+    def staged(self, rows: DataFrame, chosen: Column, given: Pieces) -> tuple[DataFrame, str]:
+        """Adds the event, in the column whose name is returned, of rows for which ``chosen`` holds."""
+        steps = self.steps or (lambda p: {"event": self.parse(p["line"])},)
+        pieces, made, out = dict(given), [], f"_event_{self.name}"
+        for k, step in enumerate(steps):
+            items = [(n, F.when(chosen, c)) for n, c in step(pieces).items()]
+            for low in range(0, len(items), AT_ONCE):
+                named = {out if n == "event" else f"_{self.name}_{k}_{n}": c for n, c in items[low : low + AT_ONCE]}
+                rows = once(rows, named)
+                made += [n for n in named if n != out]
+            pieces |= {n: F.col(out if n == "event" else f"_{self.name}_{k}_{n}") for n, _ in items}
+        return rows.drop(*made), out
+
+    def event(self, line: Column, header: Column | None = None) -> Column:
+        """The event as one expression, for a single column or a stream."""
+        if not self.steps:
+            return self.parse(line)
+        none = F.lit(None).cast("array<string>")
+
+        def go(k: int, pieces: Pieces) -> Column:
+            made = self.steps[k](pieces)
+            if k == len(self.steps) - 1:
+                return made["event"]
+            return let(F.struct(*(c.alias(n) for n, c in made.items())), lambda s: go(k + 1, pieces | {n: s[n] for n in made}))
+
+        return go(0, {"line": line, "header": none if header is None else header})
 
 
 # ---- JSON ----------------------------------------------------------------------------------------------------------
@@ -119,96 +164,140 @@ def json_profile(value: Column) -> Column:
     )
 
 
-def parse_json(line: Column, paths: dict[str, tuple[str, ...]] | None = None, keep_record: bool = True) -> Column:
-    """A JSON object; ``paths`` replaces where some fields are looked for. An object in place of a text is passed over."""
+def json_steps(paths: dict[str, tuple[str, ...]] | None = None, keep_record: bool = True):
+    """A JSON object; ``paths`` replaces where some fields are looked for. An object in place of a text is passed over.
+    Keys that no canonical field takes are counted."""
     paths = JSON_PATHS | (paths or {})
-    return let(_json(line), lambda value: F.when(value.isNotNull(), _json_event(value, paths, keep_record)))
-
-
-def _json_event(value: Column, paths: dict[str, tuple[str, ...]], keep_record: bool) -> Column:
-    def text(name: str) -> Column:
-        return F.coalesce(*(scalar_text(F.try_variant_get(value, _json_path(p), "variant")) for p in paths[name]))
-
-    profile = json_profile(value)
-    tags = F.coalesce(*(F.try_variant_get(value, _json_path(p), "array<string>") for p in paths["tags"]), *(F.array(scalar_text(F.try_variant_get(value, _json_path(p), "variant"))) for p in paths["tags"]))
-    own = F.coalesce(*(F.to_json(F.try_variant_get(value, _json_path(p), "variant")) for p in paths["attributes"]))
-    attributes = F.struct(
-        F.lit("json_log").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), profile["name"].alias("json_profile"),
-        profile["confidence"].alias("json_profile_confidence"),
-        *([F.to_json(value).alias("json")] if keep_record else []), own.alias("context"),
-    )
-    plain = ("event_type", "service", "application", "environment", "host", "source", "trace_id", "correlation_id", "user_id", "client_ip", "server_ip", "http_method", "http_path")
-    return record(
-        timestamp=let(text("timestamp"), timestamp), source_type=F.lit("json"), severity=let(text("severity"), severity), message=text("message"),
-        http_status=text("http_status").try_cast("int"), duration_ms=let(text("duration_ms"), number),
-        tags=F.array_distinct(F.filter(F.transform(tags, lambda t: clean(t)), lambda t: t.isNotNull())),
-        attributes=F.to_json(attributes), **{name: text(name) for name in plain},
-    )
+    texts = [name for name in paths if name not in ("tags", "attributes")]
+
+    def value(p: Pieces) -> Pieces:
+        return {"value": F.try_parse_json(F.when(F.trim(p["line"]).startswith("{"), p["line"]))}
+
+    def found(p: Pieces) -> Pieces:
+        at = lambda path, kind="variant": F.try_variant_get(p["value"], _json_path(path), kind)
+        out = {name: F.coalesce(*(scalar_text(at(path)) for path in paths[name])) for name in texts}
+        out["tags"] = F.coalesce(*(at(path, "array<string>") for path in paths["tags"]), *(F.array(scalar_text(at(path))) for path in paths["tags"]))
+        out["own"] = F.coalesce(*(F.to_json(at(path)) for path in paths["attributes"]))
+        out["whole"] = F.to_json(p["value"])
+        out["profile"] = json_profile(p["value"])
+        return out
+
+    def made(p: Pieces) -> Pieces:
+        used = {path.split(".")[0] for name in paths for path in paths[name]}
+        keys = F.json_object_keys(p["whole"])
+        attributes = F.struct(
+            F.lit("json_log").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), p["profile"]["name"].alias("json_profile"),
+            p["profile"]["confidence"].alias("json_profile_confidence"), F.size(F.array_except(keys, F.array(*map(F.lit, sorted(used))))).alias("json_extra_keys"),
+            *([p["whole"].alias("json")] if keep_record else []), p["own"].alias("context"),
+        )
+        return {
+            "at": timestamp(p["timestamp"]), "level": severity(p["severity"]), "ms": number(p["duration_ms"]),
+            "labels": F.array_distinct(F.filter(F.transform(p["tags"], lambda t: clean(t)), lambda t: t.isNotNull())),
+            "attributes": F.to_json(attributes),
+        }
+
+    def event(p: Pieces) -> Pieces:
+        plain = {name: p[name] for name in texts if name not in ("timestamp", "severity", "duration_ms", "http_status")}
+        out = record(
+            timestamp=p["at"], source_type=F.lit("json"), severity=p["level"], http_status=p["http_status"].try_cast("int"), duration_ms=p["ms"],
+            tags=p["labels"], attributes=p["attributes"], **plain,
+        )
+        return {"event": F.when(F.startswith(p["whole"], F.lit("{")), out)}
+
+    return value, found, made, event
 
 
 # ---- web servers ---------------------------------------------------------------------------------------------------
 
+#: A text in quotes, in which a backslash takes the next sign along.
+_QUOTED = r'"((?:[^"\\]|\\.)*)"'
+#: Host, identity, user, time, request, status and bytes, as the common log format has them; the combined format adds
+#: referrer and agent, and servers are often set up to add the seconds that a request took.
 ACCESS = (
-    r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+(\d{3})\s+(\S+)'
-    r'(?:\s+"([^"]*)"\s+"([^"]*)")?(?:\s+(\d+(?:\.\d+)?))?\s*$'
-)
-REQUEST = r"^(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+(\S+)(?:\s+(HTTP/\d\.\d))?$"
+    r"^(\S+) +\S+ +(\S+(?: \S+)*?) +\[(\d{1,2}/\w{3}/\d{4}(?::\d{2}){3} [+-]\d{4})\] +" + _QUOTED + r" +(\d{3}) +(\d+|-)"
+    + "(?: +" + _QUOTED + " +" + _QUOTED + r")?(?: +(\d*\.?\d+))?\s*$"
+)
+#: A verb of any name, a target and the protocol, which version 0.9 lacks.
+REQUEST = r"^([A-Za-z]+) (\S+)(?: (HTTP/[0-9.]+))?$"
+#: An access line that was cut off or set up otherwise: address, time and request are there.
+LIKE_ACCESS = r"^\S+ .*\[\d{1,2}/\w{3}/\d{4}:[^\]]+\] +\"[A-Z]+ "
 
 
-def parse_access(line: Column, vendor: str = "generic") -> Column:
-    """Common and combined access lines; a request time in seconds may follow."""
-    request, code = part(line, ACCESS, 4), part(line, ACCESS, 5).cast("int")
-    verb, target = part(request, REQUEST, 1), part(request, REQUEST, 2)
-    message = F.concat(F.coalesce(verb, F.lit("REQUEST")), F.lit(" "), F.coalesce(target, F.lit("/")), F.lit(" -> "), code.cast("string"))
-    attributes = F.struct(
-        F.lit("apache_nginx_access").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), F.lit(vendor).alias("vendor"),
-        request.alias("request"), dashless(part(line, ACCESS, 2)).alias("remote_user"), dashless(part(line, ACCESS, 6)).try_cast("long").alias("bytes_sent"),
-        part(line, ACCESS, 7).alias("http_referer"), part(line, ACCESS, 8).alias("http_user_agent"), part(request, REQUEST, 3).alias("http_version"),
-    )
-    out = record(
-        timestamp=F.try_to_timestamp(part(line, ACCESS, 3), F.lit("dd/MMM/yyyy:HH:mm:ss Z")), source_type=F.lit(vendor if vendor in ("nginx", "apache") else "application"),
-        severity=F.lit("info"), event_type=F.lit("webserver.access"), message=message, service=F.lit(vendor), source=F.lit(vendor), host=part(line, ACCESS, 1), client_ip=part(line, ACCESS, 1),
-        http_method=F.lower(verb), http_path=target, http_status=F.when(code.between(100, 599), code), duration_ms=part(line, ACCESS, 9).try_cast("double") * 1000,
-        tags=F.array(F.lit("webserver"), F.lit("access"), F.lit(vendor)), attributes=F.to_json(attributes),
-    )
-    return F.when(line.rlike(ACCESS), out)
+def _source(vendor: str) -> Column:
+    return F.lit(vendor if vendor in ("nginx", "apache") else "application")
+
 
+def access_steps(vendor: str = "generic"):
+    """Common and combined access lines; a request time in seconds may follow."""
 
-NGINX_ERROR = r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})\s+\[([^\]]+)\]\s+(\d+#\d+):\s+(?:(\*\d+)\s+)?(.+)$"
-APACHE_ERROR = r"^\[([A-Z][a-z]{2} [A-Z][a-z]{2} [ \d]\d [\d:.]+ \d{4})\]\s+\[([^\]]+)\]\s+(?:\[client ([^\]]+)\]\s+)?(.+)$"
+    def pieces(p: Pieces) -> Pieces:
+        names = ("host", "user", "time", "request", "code", "bytes", "referer", "agent", "seconds")
+        return {n: part(p["line"], ACCESS, k) for k, n in enumerate(names, 1)}
+
+    def request(p: Pieces) -> Pieces:
+        return {"verb": part(p["request"], REQUEST, 1), "target": part(p["request"], REQUEST, 2), "version": part(p["request"], REQUEST, 3),
+                "at": F.try_to_timestamp(p["time"], F.lit("d/MMM/yyyy:HH:mm:ss Z"))}
+
+    def event(p: Pieces) -> Pieces:
+        message = F.concat(F.coalesce(p["verb"], F.lit("REQUEST")), F.lit(" "), F.coalesce(p["target"], F.lit("/")), F.lit(" -> "), p["code"])
+        attributes = F.struct(
+            F.lit("apache_nginx_access").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), F.lit(vendor).alias("vendor"), p["request"].alias("request"),
+            dashless(p["user"]).alias("remote_user"), dashless(p["bytes"]).try_cast("long").alias("bytes_sent"), p["referer"].alias("http_referer"),
+            p["agent"].alias("http_user_agent"), p["version"].alias("http_version"),
+        )
+        code = p["code"].cast("int")
+        out = record(
+            timestamp=p["at"], source_type=_source(vendor), severity=F.lit("info"), event_type=F.lit("webserver.access"), message=message, service=F.lit(vendor), source=F.lit(vendor),
+            host=p["host"], client_ip=p["host"], http_method=F.lower(p["verb"]), http_path=p["target"], http_status=F.when(code.between(100, 599), code),
+            duration_ms=p["seconds"].try_cast("double") * 1000, tags=F.array(F.lit("webserver"), F.lit("access"), F.lit(vendor)), attributes=F.to_json(attributes),
+        )
+        return {"event": F.when(p["host"].isNotNull(), out)}
+
+    return pieces, request, event
+
+
+#: Date, level, process and thread, number of the connection, message.
+NGINX_ERROR = r"^(\d{4}/\d\d/\d\d \d\d:\d\d:\d\d) \[([a-z]+)\] (\d+#\d+): (?:(\*\d+) )?(\S.*)$"
+#: Date (fractions of a second aside) and year, level behind its module, client, message.
+APACHE_ERROR = r"^\[\w{3} (\w{3} [ \d]\d \d\d:\d\d:\d\d)(?:\.\d+)? (\d{4})\] \[(?:\w*:)?(\w+)\](?: \[pid [^\]]+\])?(?: \[client ([^\]]+)\])? (\S.*)$"
 TAIL = r", ([a-z_]+): (\"[^\"]*\"|(?:(?!, [a-z_]+: ).)*)"
+#: A line with a level in brackets.
+LIKE_ERROR = r"\[(?:\w+:)?(?:error|warn|crit|notice)\]"
 # Severities of web server levels; others are warnings.
 ERROR_LEVELS = {"error": "error", "crit": "error", "critical": "error", "warn": "warning", "warning": "warning", "notice": "notice", "info": "info"}
 
 
-def parse_error(line: Column, vendor: str = "generic") -> Column:
+def error_steps(vendor: str = "generic"):
     """Error lines of either server; nginx's ``, key: value`` tail goes to attributes."""
-    nginx = line.rlike(NGINX_ERROR)
-    level = F.lower(F.trim(F.when(nginx, part(line, NGINX_ERROR, 2)).otherwise(part(line, APACHE_ERROR, 2))))
-    text = part(line, NGINX_ERROR, 5)
-    keys, values = F.regexp_extract_all(text, F.lit(TAIL), F.lit(1)), F.regexp_extract_all(text, F.lit(TAIL), F.lit(2))
-    pairs = F.map_from_entries(F.arrays_zip(keys.alias("k"), F.transform(values, lambda v: F.trim(v, F.lit('" '))).alias("v")))
-    pairs = F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs)
-    return let(pairs, lambda found: _error_event(line, vendor, nginx, level, text, found))
-
-
-def _error_event(line: Column, vendor: str, nginx: Column, level: Column, text: Column, pairs: Column) -> Column:
-    core = F.trim(F.regexp_replace(text, r", [a-z_]+: .*$", ""))
-    stamp = F.when(nginx, F.try_to_timestamp(part(line, NGINX_ERROR, 1), F.lit("yyyy/MM/dd HH:mm:ss"))).otherwise(
-        F.try_to_timestamp(F.regexp_replace(F.regexp_replace(part(line, APACHE_ERROR, 1), r"^\w{3} ", ""), r"(\d)\.\d+ ", "$1 "), F.lit("MMM d HH:mm:ss yyyy"))
-    )
-    attributes = F.struct(
-        F.lit("apache_nginx_error").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), F.lit(vendor).alias("vendor"), level.alias("severity"),
-        part(line, NGINX_ERROR, 3).alias("pid"), part(line, NGINX_ERROR, 4).alias("connection_id"),
-        *(F.element_at(pairs, F.lit(k)).alias(k) for k in ("server", "request", "upstream", "host")),
-        F.coalesce(F.element_at(pairs, F.lit("client")), part(line, APACHE_ERROR, 3)).alias("client"),
-    )
-    out = record(
-        timestamp=stamp, source_type=F.lit(vendor if vendor in ("nginx", "apache") else "application"), severity=lookup(level, ERROR_LEVELS, F.lit("warning")),
-        event_type=F.lit("webserver.error"), message=F.when(nginx, core).otherwise(part(line, APACHE_ERROR, 4)), service=F.lit(vendor), source=F.lit(vendor),
-        host=F.element_at(pairs, F.lit("host")), tags=F.array(F.lit("webserver"), F.lit("error"), F.lit(vendor)), attributes=F.to_json(attributes),
-    )
-    return F.when(nginx | line.rlike(APACHE_ERROR), out)
+
+    def pieces(p: Pieces) -> Pieces:
+        nginx = {n: part(p["line"], NGINX_ERROR, k) for k, n in enumerate(("date", "mark", "pid", "connection", "text"), 1)}
+        return nginx | {n: part(p["line"], APACHE_ERROR, k) for k, n in enumerate(("day", "year", "grade", "client", "said"), 1)}
+
+    def tail(p: Pieces) -> Pieces:
+        keys, values = (F.regexp_extract_all(p["text"], F.lit(TAIL), F.lit(k)) for k in (1, 2))
+        pairs = F.map_from_entries(F.arrays_zip(keys.alias("k"), F.transform(values, lambda v: F.trim(v, F.lit('" '))).alias("v")))
+        return {
+            "pairs": F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs), "core": F.trim(F.regexp_replace(p["text"], r", [a-z_]+: .*$", "")),
+            "level": F.lower(F.coalesce(p["mark"], p["grade"])),
+            "at": F.coalesce(F.try_to_timestamp(p["date"], F.lit("yyyy/MM/dd HH:mm:ss")), F.try_to_timestamp(F.concat_ws(" ", F.regexp_replace(p["day"], "  ", " "), p["year"]), F.lit("MMM d HH:mm:ss yyyy"))),
+        }
+
+    def event(p: Pieces) -> Pieces:
+        of = lambda k: F.element_at(p["pairs"], F.lit(k))
+        attributes = F.struct(
+            F.lit("apache_nginx_error").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), F.lit(vendor).alias("vendor"), p["level"].alias("severity"),
+            p["pid"].alias("pid"), p["connection"].alias("connection_id"), *(of(k).alias(k) for k in ("server", "request", "upstream", "host")),
+            F.coalesce(of("client"), p["client"]).alias("client"),
+        )
+        out = record(
+            timestamp=p["at"], source_type=_source(vendor), severity=lookup(p["level"], ERROR_LEVELS, F.lit("warning")), event_type=F.lit("webserver.error"),
+            message=F.coalesce(p["core"], p["said"]), service=F.lit(vendor), source=F.lit(vendor), host=of("host"),
+            tags=F.array(F.lit("webserver"), F.lit("error"), F.lit(vendor)), attributes=F.to_json(attributes),
+        )
+        return {"event": F.when(p["level"].isNotNull(), out)}
+
+    return pieces, tail, event
 
 
 # ---- syslog --------------------------------------------------------------------------------------------------------
@@ -220,32 +309,49 @@ RFC3164 = r"^<(\d{1,3})>([A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) ([^\s:
 SYSLOG_LEVELS = ("fatal", "fatal", "critical", "error", "warning", "notice", "info", "debug")
 
 
-def _syslog(line: Column, pattern: str, flavor: str, parser: str, stamp: Column, host: Column, app: Column, msgid: Column | None, text: Column, more: list[Column]) -> Column:
-    pri = part(line, pattern, 1).cast("int")
+def _syslog(p: Pieces, flavor: str, parser: str, kind: Column, text: Column, more: list[Column]) -> Pieces:
+    pri, app, host = p["pri"].cast("int"), p["app"], p["host"]
     level = F.element_at(F.array(*map(F.lit, SYSLOG_LEVELS)), pri % 8 + 1)
-    kind = F.lower(F.coalesce(msgid, app)) if msgid is not None else F.lower(app)
     attributes = F.struct(F.lit(parser).alias("parser_name"), F.lit("1.0.0").alias("parser_version"), F.floor(pri / 8).alias("facility"), (pri % 8).alias("severity_code"), *more)
     out = record(
-        timestamp=stamp, source_type=F.lit("syslog"), severity=level, event_type=F.concat(F.lit("syslog."), kind), message=text, host=host, source=app, service=app, application=app,
+        timestamp=p["at"], source_type=F.lit("syslog"), severity=level, event_type=F.concat(F.lit("syslog."), F.lower(kind)), message=text, host=host, source=app, service=app, application=app,
         tags=F.array_distinct(F.array_compact(F.array(F.lit("syslog"), F.lit(flavor), F.lower(app), F.lower(host)))), attributes=F.to_json(attributes),
     )
-    return F.when(line.rlike(pattern) & (pri <= 191), out)
+    return {"event": F.when(pri <= 191, out)}
 
 
-def parse_rfc5424(line: Column) -> Column:
+def rfc5424_steps():
     """Header, structured data (which may be absent) and message; an empty message becomes the message id."""
-    head = [dashless(part(line, RFC5424, k)) for k in range(2, 7)]
-    text = F.coalesce(clean(part(line, RFC5424, 8)), head[4], F.lit("-"))
-    more = [head[3].alias("process_id"), head[4].alias("message_id"), dashless(part(line, RFC5424, 7)).alias("structured_data")]
-    return _syslog(line, RFC5424, "rfc5424", "rfc5424_syslog", timestamp(head[0]), head[1], head[2], head[4], text, more)
+
+    def pieces(p: Pieces) -> Pieces:
+        names = ("pri", "time", "host", "app", "process", "msgid", "data", "text")
+        return {n: part(p["line"], RFC5424, k) if n in ("pri", "text") else dashless(part(p["line"], RFC5424, k)) for k, n in enumerate(names, 1)}
+
+    def made(p: Pieces) -> Pieces:
+        return {"at": timestamp(p["time"]), "said": F.coalesce(clean(p["text"]), p["msgid"], F.lit("-"))}
+
+    def event(p: Pieces) -> Pieces:
+        more = [p["process"].alias("process_id"), p["msgid"].alias("message_id"), p["data"].alias("structured_data")]
+        return _syslog(p, "rfc5424", "rfc5424_syslog", F.coalesce(p["msgid"], p["app"]), p["said"], more)
+
+    return pieces, made, event
 
 
-def parse_rfc3164(line: Column, year: Column | int | None = None) -> Column:
-    """Lines without a year take ``year``, or the present one; times are UTC."""
-    year = F.year(F.current_timestamp()) if year is None else year if isinstance(year, Column) else F.lit(year)
-    when = F.regexp_replace(part(line, RFC3164, 2), r"\s+", " ")
-    stamp = F.try_to_timestamp(F.concat(year.cast("string"), F.lit(" "), when), F.lit("yyyy MMM d HH:mm:ss"))
-    return _syslog(line, RFC3164, "rfc3164", "rfc3164_syslog", stamp, part(line, RFC3164, 3), part(line, RFC3164, 4), None, part(line, RFC3164, 6), [part(line, RFC3164, 5).alias("process_id")])
+def rfc3164_steps(year: int | None = None, zone: str = "UTC"):
+    """Lines without a year take ``year``, or the present one; times are of ``zone``."""
+
+    def pieces(p: Pieces) -> Pieces:
+        return {n: part(p["line"], RFC3164, k) for k, n in enumerate(("pri", "time", "host", "app", "process", "text"), 1)}
+
+    def made(p: Pieces) -> Pieces:
+        of = F.year(F.current_timestamp()) if year is None else F.lit(year)
+        when = F.concat(of.cast("string"), F.lit(" "), F.regexp_replace(p["time"], r"\s+", " "))
+        return {"at": F.to_utc_timestamp(F.try_to_timestamp(when, F.lit("yyyy MMM d HH:mm:ss")), zone)}
+
+    def event(p: Pieces) -> Pieces:
+        return _syslog(p, "rfc3164", "rfc3164_syslog", p["app"], p["text"], [p["process"].alias("process_id")])
+
+    return pieces, made, event
 
 
 # ---- redis ---------------------------------------------------------------------------------------------------------
@@ -266,64 +372,84 @@ REDIS_RULES = (
 )
 
 
-def parse_redis(line: Column) -> Column:
+def redis_steps():
     """Server lines, bare or behind a system log's prefix; a summary takes the message's place."""
-    g = lambda k: part(line, REDIS_LINE, k)
-    text = F.lower(g(8))
-    found = F.lit(None)
-    for needle, category, kind, level, summary in reversed(REDIS_RULES):
-        rule = F.struct(F.lit(category).alias("category"), F.lit(kind).alias("kind"), F.lit(level).alias("level"), F.lit(summary).alias("summary"))
-        found = F.when(F.contains(text, F.lit(needle)), rule).otherwise(found) if needle else rule
-    role = lookup(g(5), REDIS_ROLES)
-    stamp = F.coalesce(*(F.try_to_timestamp(g(6), F.lit(p)) for p in ("d MMM yyyy HH:mm:ss[.SSS]", "d MMM yyyy HH:mm:ss.SSSSSS")))
-    attributes = F.struct(
-        F.lit("redis_log").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), g(4).cast("long").alias("pid"), role.alias("role"), g(5).alias("role_code"),
-        g(7).alias("level_marker"), found["category"].alias("category"), g(2).alias("outer_host"), g(3).alias("outer_process"), g(8).alias("original_message"),
-    )
-    service = F.when(role == "sentinel", "redis-sentinel").otherwise("redis")
-    out = record(
-        timestamp=stamp, source_type=F.lit("redis"), severity=found["level"], event_type=found["kind"], message=found["summary"], host=g(2), service=service, application=F.lit("redis"),
-        tags=F.array_distinct(F.array_compact(F.array(F.lit("redis"), found["category"], role))), attributes=F.to_json(attributes),
-    )
-    return F.when(line.rlike(REDIS_LINE), out)
+
+    def pieces(p: Pieces) -> Pieces:
+        names = ("outer_time", "outer_host", "outer_process", "pid", "role_code", "time", "marker", "text")
+        return {n: part(p["line"], REDIS_LINE, k) for k, n in enumerate(names, 1) if n != "outer_time"}
+
+    def made(p: Pieces) -> Pieces:
+        text, found = F.lower(p["text"]), F.lit(None)
+        for needle, category, kind, level, summary in reversed(REDIS_RULES):
+            rule = F.struct(F.lit(category).alias("category"), F.lit(kind).alias("kind"), F.lit(level).alias("level"), F.lit(summary).alias("summary"))
+            found = F.when(F.contains(text, F.lit(needle)), rule).otherwise(found) if needle else rule
+        at = F.coalesce(*(F.try_to_timestamp(p["time"], F.lit(f)) for f in ("d MMM yyyy HH:mm:ss[.SSS]", "d MMM yyyy HH:mm:ss.SSSSSS")))
+        return {"rule": found, "role": lookup(p["role_code"], REDIS_ROLES), "at": at}
+
+    def event(p: Pieces) -> Pieces:
+        rule, role = p["rule"], p["role"]
+        attributes = F.struct(
+            F.lit("redis_log").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), p["pid"].cast("long").alias("pid"), role.alias("role"), p["role_code"].alias("role_code"),
+            p["marker"].alias("level_marker"), rule["category"].alias("category"), p["outer_host"].alias("outer_host"), p["outer_process"].alias("outer_process"), p["text"].alias("original_message"),
+        )
+        out = record(
+            timestamp=p["at"], source_type=F.lit("redis"), severity=rule["level"], event_type=rule["kind"], message=rule["summary"], host=p["outer_host"],
+            service=F.when(role == "sentinel", "redis-sentinel").otherwise("redis"), application=F.lit("redis"),
+            tags=F.array_distinct(F.array_compact(F.array(F.lit("redis"), rule["category"], role))), attributes=F.to_json(attributes),
+        )
+        return {"event": F.when(p["pid"].isNotNull(), out)}
+
+    return pieces, made, event
 
 
 # ---- IIS -----------------------------------------------------------------------------------------------------------
 
 
-def parse_iis(line: Column, header: Column | None = None, strict: bool = False) -> Column:
+def iis_steps(strict: bool = False):
     """A W3C data line under ``header``, the array of its lower-case field names.
 
     Without a header nothing is parsed. Short lines lack their last fields and long ones have extra values, unless
     ``strict``, which gives null for both.
     """
-    if header is None:
-        header = F.lit(None).cast("array<string>")
-    values = F.split(F.trim(line), r"\s+")
-    size = F.least(F.size(header), F.size(values))
-    # a repeated name has no map; such headers are refused below
-    ok = header.isNotNull() & (F.size(F.array_distinct(header)) == F.size(header)) & ~F.startswith(line, F.lit("#")) & (F.trim(line) != "")
-    if strict:
-        ok = ok & (F.size(values) == F.size(header))
-    whole = F.when(ok, F.map_from_arrays(F.slice(header, F.lit(1), size), F.slice(values, F.lit(1), size)))
-    return let(whole, lambda found: F.when(found.isNotNull(), _iis_event(found, header, values, size)))
-
-
-def _iis_event(whole: Column, header: Column, values: Column, size: Column) -> Column:
-    f = lambda name: dashless(F.element_at(whole, F.lit(name)))
-    code = f("sc-status").try_cast("int")
-    level = F.when(code >= 500, "error").when(code >= 400, "warning").otherwise("info")
-    message = F.concat(F.coalesce(f("cs-method"), F.lit("HTTP")), F.lit(" "), F.coalesce(f("cs-uri-stem"), F.lit("request")))
-    message = F.when(code.isNotNull(), F.concat(message, F.lit(" -> "), code.cast("string"))).otherwise(message)
-    attributes = F.struct(
-        F.lit("iis_w3c").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), F.to_json(whole).alias("iis_fields"),
-        F.slice(values, size + 1, F.greatest(F.size(values) - size, F.lit(0))).alias("extra_values"), F.slice(header, size + 1, F.greatest(F.size(header) - size, F.lit(0))).alias("missing_fields"),
-    )
-    return record(
-        timestamp=timestamp(F.concat_ws(" ", f("date"), f("time"))), source_type=F.lit("iis"), severity=level, event_type=F.lit("iis.request"), message=message, service=f("s-sitename"), host=f("s-computername"),
-        client_ip=f("c-ip"), server_ip=f("s-ip"), http_method=f("cs-method"), http_path=f("cs-uri-stem"), http_status=F.when(code.between(100, 599), code),
-        duration_ms=number(f("time-taken")), user_id=f("cs-username"), tags=F.array(F.lit("iis")), attributes=F.to_json(attributes),
-    )
+
+    def values(p: Pieces) -> Pieces:
+        return {"values": F.split(F.trim(p["line"]), r"\s+")}
+
+    def whole(p: Pieces) -> Pieces:
+        header, values = p["header"], p["values"]
+        size = F.least(F.size(header), F.size(values))
+        # a repeated name has no map; such headers are refused here
+        ok = header.isNotNull() & (F.size(F.array_distinct(header)) == F.size(header)) & ~F.startswith(p["line"], F.lit("#")) & (F.trim(p["line"]) != "")
+        if strict:
+            ok = ok & (F.size(values) == F.size(header))
+        rest = lambda x: F.slice(x, size + 1, F.greatest(F.size(x) - size, F.lit(0)))
+        return {
+            "fields": F.when(ok, F.map_from_arrays(F.slice(header, F.lit(1), size), F.slice(values, F.lit(1), size))),
+            "extra": F.when(ok, rest(values)), "missing": F.when(ok, rest(header)),
+        }
+
+    def named(p: Pieces) -> Pieces:
+        names = ("date", "time", "s-sitename", "s-computername", "c-ip", "s-ip", "cs-method", "cs-uri-stem", "sc-status", "time-taken", "cs-username")
+        return {n.replace("-", "_"): dashless(F.element_at(p["fields"], F.lit(n))) for n in names}
+
+    def event(p: Pieces) -> Pieces:
+        code = p["sc_status"].try_cast("int")
+        level = F.when(code >= 500, "error").when(code >= 400, "warning").otherwise("info")
+        message = F.concat(F.coalesce(p["cs_method"], F.lit("HTTP")), F.lit(" "), F.coalesce(p["cs_uri_stem"], F.lit("request")))
+        message = F.when(code.isNotNull(), F.concat(message, F.lit(" -> "), code.cast("string"))).otherwise(message)
+        attributes = F.struct(
+            F.lit("iis_w3c").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), F.to_json(p["fields"]).alias("iis_fields"),
+            p["extra"].alias("extra_values"), p["missing"].alias("missing_fields"),
+        )
+        out = record(
+            timestamp=timestamp(F.concat_ws(" ", p["date"], p["time"])), source_type=F.lit("iis"), severity=level, event_type=F.lit("iis.request"), message=message,
+            service=p["s_sitename"], host=p["s_computername"], client_ip=p["c_ip"], server_ip=p["s_ip"], http_method=p["cs_method"], http_path=p["cs_uri_stem"],
+            http_status=F.when(code.between(100, 599), code), duration_ms=number(p["time_taken"]), user_id=p["cs_username"], tags=F.array(F.lit("iis")), attributes=F.to_json(attributes),
+        )
+        return {"event": F.when(p["fields"].isNotNull(), out)}
+
+    return values, whole, named, event
 
 
 def iis_header(line: Column) -> Column:
@@ -341,27 +467,39 @@ WINDOWS_SCHEMA = (
 WINDOWS_LEVELS = {"1": "critical", "2": "error", "3": "warning", "4": "info", "5": "debug"}
 
 
-def parse_windows(line: Column) -> Column:
+WINDOWS_HEAD = r"^(<\?xml[^>]*>\s*)?<Event[\s>]"
+
+
+def windows_steps():
     """An Event element; EventID and TimeCreated must be there."""
-    xml = F.from_xml(F.when(F.trim(line).rlike(r"^(<\?xml[^>]*>\s*)?<Event[\s>]"), line), WINDOWS_SCHEMA, {"mode": "PERMISSIVE"})
-    return let(xml, _windows_event)
-
-
-def _windows_event(xml: Column) -> Column:
-    s = xml["System"]
-    data = F.transform(xml["EventData"]["Data"], lambda d, k: F.struct(F.coalesce(d["_Name"], F.concat(F.lit("Data"), (k + 1).cast("string"))).alias("name"), F.coalesce(d["_VALUE"], F.lit("")).alias("value")))
-    listed = F.array_join(F.transform(F.array_sort(data), lambda d: F.concat(d["name"], F.lit("="), d["value"])), ", ")
-    told = F.concat(F.lit("Windows Event "), s["EventID"], F.when(F.length(listed) > 0, F.concat(F.lit(": "), listed)).otherwise(F.lit("")))
-    provider, channel = clean(s["Provider"]["_Name"]), clean(s["Channel"])
-    attributes = F.struct(
-        F.lit("windows_event_xml").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), s["EventID"].alias("event_id"), s["EventRecordID"].alias("record_id"), data.alias("event_data"),
-    )
-    out = record(
-        timestamp=timestamp(s["TimeCreated"]["_SystemTime"]), source_type=F.lit("windows_event"), severity=lookup(F.trim(s["Level"]), WINDOWS_LEVELS, F.lit("unknown")),
-        event_type=F.concat(F.lit("windows.event."), F.trim(s["EventID"])), message=F.coalesce(clean(xml["RenderingInfo"]["Message"]), told), host=clean(s["Computer"]), source=F.coalesce(channel, provider),
-        service=provider, application=provider, tags=F.array_distinct(F.array_compact(F.array(F.lit("windows-event"), F.lower(channel), F.lower(provider)))), attributes=F.to_json(attributes),
-    )
-    return F.when(clean(s["EventID"]).isNotNull() & timestamp(s["TimeCreated"]["_SystemTime"]).isNotNull(), out)
+
+    def tree(p: Pieces) -> Pieces:
+        return {"xml": F.from_xml(F.when(F.trim(p["line"]).rlike(WINDOWS_HEAD), p["line"]), WINDOWS_SCHEMA, {"mode": "PERMISSIVE"})}
+
+    def pieces(p: Pieces) -> Pieces:
+        s = p["xml"]["System"]
+        data = F.transform(p["xml"]["EventData"]["Data"], lambda d, k: F.struct(F.coalesce(d["_Name"], F.concat(F.lit("Data"), (k + 1).cast("string"))).alias("name"), F.coalesce(d["_VALUE"], F.lit("")).alias("value")))
+        return {
+            "id": clean(s["EventID"]), "record": s["EventRecordID"], "level": F.trim(s["Level"]), "at": timestamp(s["TimeCreated"]["_SystemTime"]), "host": clean(s["Computer"]),
+            "provider": clean(s["Provider"]["_Name"]), "channel": clean(s["Channel"]), "data": data, "said": clean(p["xml"]["RenderingInfo"]["Message"]),
+        }
+
+    def told(p: Pieces) -> Pieces:
+        return {"listed": F.array_join(F.transform(F.array_sort(p["data"]), lambda d: F.concat(d["name"], F.lit("="), d["value"])), ", ")}
+
+    def event(p: Pieces) -> Pieces:
+        text = F.concat(F.lit("Windows Event "), p["id"], F.when(F.length(p["listed"]) > 0, F.concat(F.lit(": "), p["listed"])).otherwise(F.lit("")))
+        attributes = F.struct(
+            F.lit("windows_event_xml").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), p["id"].alias("event_id"), p["record"].alias("record_id"), p["data"].alias("event_data"),
+        )
+        out = record(
+            timestamp=p["at"], source_type=F.lit("windows_event"), severity=lookup(p["level"], WINDOWS_LEVELS, F.lit("unknown")), event_type=F.concat(F.lit("windows.event."), p["id"]),
+            message=F.coalesce(p["said"], text), host=p["host"], source=F.coalesce(p["channel"], p["provider"]), service=p["provider"], application=p["provider"],
+            tags=F.array_distinct(F.array_compact(F.array(F.lit("windows-event"), F.lower(p["channel"]), F.lower(p["provider"])))), attributes=F.to_json(attributes),
+        )
+        return {"event": F.when(p["id"].isNotNull() & p["at"].isNotNull(), out)}
+
+    return tree, pieces, told, event
 
 
 # ---- detection -----------------------------------------------------------------------------------------------------
@@ -371,17 +509,21 @@ def _sum(*signs: tuple[float, Column]) -> Column:
     return F.least(reduce(lambda a, b: a + b, [F.when(c, w).otherwise(0.0) for w, c in signs]), F.lit(1.0))
 
 
-def builtin_formats() -> list[LogFormat]:
-    level = r"\[(error|warn|crit|notice)\]"
+def builtin_formats(context: Context = Context()) -> list[LogFormat]:
+    # The confidences, priorities and extensions of each format.
+    iis = ((0.75, r"^#Fields:"), (0.45, r"^#Software:.*(IIS|Internet Information)"), (0.6, r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d \S+ (GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS) /"))
+    windows = lambda x: F.when(F.trim(x).rlike(WINDOWS_HEAD), _sum((0.8, F.lit(True)), (0.1, x.contains("<System")), (0.1, x.contains("<EventData")))).otherwise(0.0)
+    sure = lambda pattern, c: lambda x: F.when(x.rlike(pattern), c).otherwise(0.0)
+    json = lambda x: F.when(F.try_parse_json(F.when(F.trim(x).startswith("{"), x)).isNotNull(), 0.9).otherwise(0.0)
     return [
-        LogFormat("json_log", 90, "json", lambda x: F.when(_json(x).isNotNull(), 0.9).otherwise(0.0), parse_json, tags=("json",), extensions=(".json", ".jsonl", ".log")),
-        LogFormat("windows_event_xml", 95, "windows_event", lambda x: F.when(F.trim(x).rlike(r"^(<\?xml[^>]*>\s*)?<Event[\s>]"), _sum((0.8, F.lit(True)), (0.1, x.contains("<System")), (0.1, x.contains("<EventData")))).otherwise(0.0), parse_windows, tags=("windows",), extensions=(".xml", ".evtx.xml")),
-        LogFormat("iis_w3c", 100, "iis", lambda x: _sum((0.75, x.rlike(r"^#Fields:")), (0.45, x.rlike(r"^#Software:.*(IIS|Internet Information)")), (0.6, x.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d \S+ (GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS) /"))), parse_iis, tags=("iis", "http")),
-        LogFormat("rfc5424_syslog", 100, "syslog", lambda x: F.when(x.rlike(RFC5424), 0.95).otherwise(0.0), parse_rfc5424, tags=("syslog",), extensions=(".log", ".syslog")),
-        LogFormat("rfc3164_syslog", 105, "syslog", lambda x: F.when(x.rlike(RFC3164), 0.98).otherwise(0.0), parse_rfc3164, tags=("syslog",), extensions=(".log", ".syslog")),
-        LogFormat("redis_log", 110, "redis", lambda x: F.when(x.rlike(REDIS_LINE), 0.9).otherwise(0.0), parse_redis, tags=("redis",)),
-        LogFormat("apache_nginx_access", 120, "application", lambda x: F.when(x.rlike(ACCESS), 0.9).otherwise(0.0), parse_access, tags=("webserver", "http")),
-        LogFormat("apache_nginx_error", 121, "application", lambda x: F.when(x.rlike(NGINX_ERROR) | x.rlike(APACHE_ERROR), 0.9).when(x.rlike(level), 0.75).otherwise(0.0), parse_error, tags=("webserver",)),
+        LogFormat("json_log", 90, "json", json, tags=("json",), extensions=(".json", ".jsonl", ".log"), steps=json_steps()),
+        LogFormat("windows_event_xml", 95, "windows_event", windows, tags=("windows",), extensions=(".xml", ".evtx.xml"), steps=windows_steps()),
+        LogFormat("iis_w3c", 100, "iis", lambda x: _sum(*((c, x.rlike(p)) for c, p in iis)), tags=("iis", "http"), steps=iis_steps()),
+        LogFormat("rfc5424_syslog", 100, "syslog", sure(RFC5424, 0.95), tags=("syslog",), extensions=(".log", ".syslog"), steps=rfc5424_steps()),
+        LogFormat("rfc3164_syslog", 105, "syslog", sure(RFC3164, 0.98), tags=("syslog",), extensions=(".log", ".syslog"), steps=rfc3164_steps(context.year, context.zone)),
+        LogFormat("redis_log", 110, "redis", sure(REDIS_LINE, 0.9), tags=("redis",), steps=redis_steps()),
+        LogFormat("apache_nginx_access", 120, "application", lambda x: F.when(x.rlike(ACCESS), 0.9).when(x.rlike(LIKE_ACCESS), 0.75).otherwise(0.0), tags=("webserver", "http"), steps=access_steps(context.vendor)),
+        LogFormat("apache_nginx_error", 121, "application", lambda x: F.when(x.rlike(NGINX_ERROR) | x.rlike(APACHE_ERROR), 0.9).when(x.rlike(LIKE_ERROR), 0.75).otherwise(0.0), tags=("webserver",), steps=error_steps(context.vendor)),
     ]
 
 
@@ -389,8 +531,12 @@ def builtin_formats() -> list[LogFormat]:
 class Registry:
     """Formats by name; plugins add to it."""
 
-    formats: dict[str, LogFormat] = field(default_factory=lambda: {f.name: f for f in builtin_formats()})
+    formats: dict[str, LogFormat] = field(default_factory=dict)
     disabled: set[str] = field(default_factory=set)
+    context: Context = Context()
+
+    def __post_init__(self) -> None:
+        self.formats = self.formats or {f.name: f for f in builtin_formats(self.context)}
 
     def register(self, fmt: LogFormat, replace: bool = False) -> None:
         if fmt.name in self.formats and not replace:
@@ -434,14 +580,49 @@ class Registry:
 CONFIDENT, CLOSE = 0.60, 0.05
 
 
-def detect(line: Column, formats: list[LogFormat]) -> Column:
+def extension_of(file: Column) -> Column:
+    """The extension of a file's name, in small letters with its dot, without that of a packed file; null for none."""
+    name = F.regexp_replace(F.lower(F.element_at(F.split(file, r"[/\\\\]"), -1)), r"\.(gz|zip)$", "")
+    return F.nullif(F.regexp_extract(name, r"(\.[a-z0-9]+(?:\.xml)?)$", 1), F.lit(""))
+
+
+def scores(line: Column, formats: list[LogFormat], extension: Column | None = None) -> Pieces:
+    """Each format's confidence. A format with extensions takes no part in a file of another extension; if no format
+    knows a file's extension, all take part."""
+    known = sorted({e for f in formats for e in f.extensions})
+
+    def of(f: LogFormat) -> Column:
+        if extension is None or not f.extensions:
+            return f.detect(line)
+        fits = extension.isNull() | extension.isin(*f.extensions) | ~extension.isin(*known)
+        return F.when(fits, f.detect(line)).otherwise(0.0)
+
+    return {f"_score_{f.name}": of(f) for f in formats}
+
+
+def best(found: Pieces, formats: list[LogFormat]) -> Column:
     """name, confidence and ambiguous of the best format: highest confidence, then priority, then name; null below
     0.60. It is ambiguous if the runner-up is within 0.05."""
-    scored = F.array_sort(F.array(*(F.struct((-f.detect(line)).alias("minus"), F.lit(f.priority).alias("priority"), F.lit(f.name).alias("name")) for f in formats)))
+    places = sorted(formats, key=lambda f: (f.priority, f.name))
+    ranked = F.sort_array(F.array(*(F.struct(found[f"_score_{f.name}"].alias("confidence"), F.lit(-k).alias("place"), F.lit(f.name).alias("name")) for k, f in enumerate(places))), asc=False)
 
     def choose(order: Column) -> Column:
         first, second = F.get(order, F.lit(0)), F.get(order, F.lit(1))
-        close = F.coalesce((second["minus"] - first["minus"]) <= CLOSE, F.lit(False)) & (second["minus"] <= -CONFIDENT)
-        return F.when(first["minus"] <= -CONFIDENT, F.struct(first["name"].alias("name"), (-first["minus"]).alias("confidence"), F.coalesce(close, F.lit(False)).alias("ambiguous")))
+        close = (second["confidence"] >= CONFIDENT) & (first["confidence"] - second["confidence"] <= CLOSE)
+        return F.when(first["confidence"] >= CONFIDENT, F.struct(first["name"].alias("name"), first["confidence"].alias("confidence"), F.coalesce(close, F.lit(False)).alias("ambiguous")))
+
+    return let(ranked, choose)
+
+
+def detect(line: Column, formats: list[LogFormat], extension: Column | None = None) -> Column:
+    """``best`` as one expression."""
+    return best(scores(line, formats, extension), formats)
+
 
-    return let(scored, choose)
+def with_detection(rows: DataFrame, formats: list[LogFormat], name: str = "detected", extension: Column | None = None) -> DataFrame:
+    """Adds ``best`` of the column value; scores and choice are steps of their own."""
+    found = scores(F.col("value"), formats, extension)
+    items = list(found.items())
+    for low in range(0, len(items), AT_ONCE):
+        rows = once(rows, dict(items[low : low + AT_ONCE]))
+    return once(rows, {name: best({n: F.col(n) for n in found}, formats)}).drop(*found)

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import once
 from ..operators.parse import parse
 from ..operators.reports import count_where, timeline_severity
 from ..operators.store import content_hash
 from ..schema import EVENT
-from ..sources.parsers import Registry
+from ..sources.parsers import Registry, with_detection
 
 
 def line_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -24,12 +23,13 @@ def line_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
 
 def event_stream(lines: DataFrame, registry: Registry | None = None) -> DataFrame:
     """Events of stateless formats, line by line; formats with header lines need whole files (``foreach_files``)."""
-    from ..operators.parse import _parsed
-    from ..sources.parsers import detect
-
     formats = [f for f in (registry or Registry()).active() if f.name != "iis_w3c"]
-    rows = once(lines, {"parser": detect(F.col("value"), formats)["name"]})
-    rows = once(rows, {"event": _parsed(F.col("parser"), formats)}).filter("event is not null and event.timestamp is not null")
+    rows = with_detection(lines, formats).withColumn("parser", F.col("detected.name"))
+    made = []
+    for f in formats:
+        rows, name = f.staged(rows, F.col("parser") == f.name, {"line": F.col("value"), "header": F.lit(None).cast("array<string>")})
+        made.append(name)
+    rows = rows.withColumn("event", F.coalesce(*made)).filter("event is not null and event.timestamp is not null")
     fields = [f.name for f in EVENT.fields if f.name not in ("schema_version", "event_id", "ingested_at", "raw_message", "attributes")]
     return rows.select(F.col("value").alias("raw_message"), *(F.col(f"event.{f}").alias(f) for f in fields), F.col("event.attributes").alias("attributes"))
 
