@@ -94,7 +94,7 @@ def group_value(events: DataFrame, name: str) -> Column:
     known = {
         "severity": "severity", "source_type": "source_type", "event_type": "x_event_type", "parser": "x_parser",
         "parser_name": "x_parser", "host": "x_host", "service": "x_service", "method": "x_method",
-        "http_method": "x_method",
+        "http_method": "x_method", "endpoint": "x_endpoint",
     }
     if name in ("tag", "tags"):
         return F.filter(F.transform(F.array_distinct("tags"), lambda t: dimension(t)), lambda t: t.isNotNull())
@@ -384,6 +384,11 @@ def failing_endpoints(events: DataFrame, top: int = 10, requests: int = 10) -> D
     return _detailed(_top(rows, [F.desc("error_rate"), F.desc("requests"), F.asc("endpoint")], top), events, top, True)
 
 
+def http_distributions(events: DataFrame, top: int = 10, limits: Limits = Limits()) -> DataFrame:
+    """``distributions`` of status class, status code, method and endpoint over HTTP events."""
+    return distributions(http_events(events), ("status_class", "status_code", "http_method", "endpoint"), top, limits)
+
+
 def status_by(events: DataFrame, key: str, top: int = 10) -> DataFrame:
     """Status classes by method or service."""
     s = F.col("x_status")

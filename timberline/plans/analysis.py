@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from ..functions.text import preview
 from ..operators import comparison, reports
 from ..operators.filters import apply_filter
 from ..operators.ordering import exact_percentiles
+from ..sources.shared import stash
 from .insights import Insight, Thresholds, comparison_insights, comparison_warnings, insights
 from .requests import AnalysisRequest, ComparisonRequest, Limits, RequestError
 
@@ -43,8 +43,9 @@ def prepared(events: DataFrame, request: AnalysisRequest) -> DataFrame:
 
 
 def analyze(events: DataFrame, request: AnalysisRequest, limits: Limits = Limits(), thresholds: Thresholds = Thresholds()) -> Analysis:
-    """Runs the asked modules over one persisted projection; what is collected is a few bounded rows."""
-    rows = prepared(events, request).drop("message", "raw_message").persist(StorageLevel.MEMORY_AND_DISK)
+    """Runs the asked modules over one written projection; what is collected is a few bounded rows."""
+    # written once for all reports: a lost executor costs no second extraction, and nothing has to be unpersisted
+    rows = stash(prepared(events, request).drop("message", "raw_message"))
     out, widened, order = Analysis(), False, request.modules
     summary = reports.summary(rows).first().asDict() if {"summary", "insights"} & set(order) else None
     if limits.events is not None and summary and summary["event_count"] > limits.events:
@@ -70,7 +71,12 @@ def analyze(events: DataFrame, request: AnalysisRequest, limits: Limits = Limits
             "summary": reports.http_summary(rows), "endpoints": reports.busiest_endpoints(rows, request.top),
             "slowest": reports.slowest_endpoints(rows, request.top), "failing": reports.failing_endpoints(rows, request.top),
             "by_method": reports.status_by(rows, "x_method", request.top), "by_service": reports.status_by(rows, "x_service", request.top),
+            "distributions": reports.http_distributions(rows, request.top, limits),
         }
+        low, high = reports.bounds(reports.http_events(rows), request.start_time, request.end_time)
+        if low is not None and high is not None:
+            size, _ = reports.choose_bucket(low, high, request.bucket_seconds, limits)
+            out.http["timeline"] = reports.timeline(reports.http_events(rows), size, low, high, limits=limits)
     if "insights" in order:
         top = {r.field: (r.value, r.percentage) for r in reports.distributions(rows, ("service", "host", "event_type"), 1).collect()}
         http = reports.http_summary(rows).first().asDict()
