@@ -44,11 +44,12 @@ def random_texts(seed, n, vocabulary):
 
 
 @pytest.mark.parametrize("vocabulary", [["a"], ["a", "b"], [f"wörd{i}" for i in range(40)]])
-def test_substrings_match_brute_force(spark, vocabulary):
+def test_substrings_match_brute_force(spark, vocabulary, monkeypatch):
     texts = random_texts(len(vocabulary), 60, vocabulary) + ["", None, " \n", "x " * 500, " a b"]
     rows = [(i if i % 9 else None, t, "en", "k", "s") for i, t in enumerate(texts)] + [(1, texts[1], "en", "k", "s")]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    for window in (35, 12):
+    for window, part in ((35, 500), (12, 2)):
+        monkeypatch.setattr(module, "PART", part)
         got = substring_dedup(docs, window=window, anchor=8).collect()
         want = brute_substrings([r[1] for r in rows], window)
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == Counter(
@@ -87,6 +88,21 @@ def test_exact_dedup_cases(spark):
     assert exact_dedup(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("hot", [1, 4])
+def test_exact_dedup_of_hot_texts(spark, monkeypatch, hot):
+    """With texts looked up by broadcast and by join, and columns that pose as the operator's own."""
+    from timberline.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "HOT", hot)
+    rows = [(k, "hot" if k % 3 == 0 else f"t{k % 50}", "x", "y") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _dedup_digest string, kept string").repartition(6)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs).collect()}
+    groups = {}
+    for i, t, _, _ in rows:
+        groups.setdefault(t, []).append(i)
+    assert got == {i: (max(groups[t]), len(groups[t]), i == max(groups[t])) for i, t, _, _ in rows}
+
+
 def test_exact_dedup_tells_contents_of_one_digest_apart(spark, monkeypatch):
     from timberline.llm import exact_dedup as module
 
@@ -112,3 +128,17 @@ def test_anchors_in_pieces(monkeypatch, piece):
     whole = anchors_of(words, 35, 8)
     monkeypatch.setattr(module, "PIECE", piece)
     assert len(whole[0]) and all(np.array_equal(a, b) for a, b in zip(whole, anchors_of(words, 35, 8), strict=True))
+
+
+def test_factors_reach_as_far_as_they_match():
+    block = np.array([[0, 1, 2, 3, 4, 5, 6, 0], [9, 1, 2, 3, 4, 8, 6, 7], [1, 1, 1, 1, 1, 1, 1, 1]], np.uint64)
+    begin, length = module.factors_of(block, block[[0, 0, 0]], 3)
+    assert begin.tolist() == [1, 1, 3] and length.tolist() == [6, 4, 0]
+
+
+def test_long_texts_and_clashing_columns(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    long = " ".join(f"a{k}" for k in range(150_000))
+    docs = spark.createDataFrame([(1, long + " " + passage, "1"), (2, passage + " end", "2"), (2, None, "3")], "doc_id long, text string, row_hash string")
+    got = {r.row_hash: r for r in substring_dedup(docs).collect()}
+    assert got["1"].text == long and got["1"].n_removed == 60 and got["2"].text == "end" and got["3"].text == ""

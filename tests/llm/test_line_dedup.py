@@ -54,3 +54,34 @@ def test_lines_match_brute_force(spark, seed, vocabulary, threshold):
 
 def test_no_lines(spark):
     assert line_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_texts_that_a_short_key_would_confuse(spark):
+    """Two texts of equal 32-bit hash under one id, and under none."""
+    from pyspark.sql import functions as F
+
+    seen, pair, low = {}, None, 0
+    while pair is None:
+        rows = spark.range(low, low + 200_000).select(F.concat(F.lit("t"), F.col("id")).alias("t")).select("t", F.hash("t").alias("h")).collect()
+        low += 200_000
+        for r in rows:
+            if r.h in seen:
+                pair = (seen[r.h], r.t)
+                break
+            seen[r.h] = r.t
+    a, b = pair
+    docs = spark.createDataFrame([(1, a), (7, a), (7, b), (None, a), (None, b)], "doc_id long, text string")
+    got = sorted((r.doc_id or 99, r.text) for r in line_dedup(docs).collect())
+    assert got == sorted([(1, a), (7, ""), (7, b), (99, ""), (99, "")])
+
+
+def test_long_lines_other_columns_and_a_cluster(spark):
+    long = " ".join(f"w{k}" for k in range(30_000))
+    near = long.replace("w17 ", "other ")
+    rows = [(1, long), (2, near + "\nnew line"), (3, "\n".join(["x"] * 2000)), (4, None)]
+    rows += [(10 + k, f"template of a line with number {k} inside of it and more") for k in range(300)]
+    docs = spark.createDataFrame([(i, t, "d", "r", 5) for i, t in rows], "doc_id long, text string, did string, row_hash string, line int")
+    got = {r.doc_id: r for r in line_dedup(docs).collect()}
+    assert set(got[1].asDict()) == {"doc_id", "text", "did", "row_hash", "line", "n_lines", "removed"} and got[1].did == "d" and got[1].line == 5
+    assert got[1].text == long and got[2].text == "new line" and got[3].text == "x" and len(got[3].removed) == 1999 and got[4].text == ""
+    assert got[10].removed == [] and all(got[10 + k].removed == [0] for k in range(1, 300))

@@ -200,7 +200,7 @@ def _factor_batches(window: int, anchor: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, part: int = PART) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, part: int | None = None) -> DataFrame:
     """doc_id, row_hash, spans: places (low, n) of the first words of repeated windows, of rows that have any."""
     rows = docs.select(*row_key(), "text")
     key = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_hash binary"
@@ -219,7 +219,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     blocks = stash(mixed.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("copies"), F.min("place").alias("first")))
     index = stash(
         blocks.groupBy("anchor").agg(
-            F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"), F.min(F.struct(-F.col("copies"), "block"))["block"].alias("base")
+            F.ceil(F.count(F.lit(1)) / (part or PART)).cast("int").alias("parts"), F.min(F.struct(-F.col("copies"), "block"))["block"].alias("base")
         )
     )
     judged = mixed.join(blocks, ["anchor", "block"])
