@@ -58,3 +58,10 @@ def test_hot_conversation_repeated_rows_nulls_and_nothing(spark):
         "<|user|>\na", "\nb" + CLOSE + "<|assistant|>\n" + CLOSE]
     assert "".join(r.piece for r in sorted((r for r in got if r.conv_id is None), key=lambda r: r.place)).endswith(CLOSE)
     assert format_chats(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_long_texts_and_columns_of_other_names(spark):
+    text = "word " * 100_000
+    rows = [(1, 0, "user", text, "p", "k"), (1, 1, "assistant", "b", "p", "k")]
+    got = sorted(format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, place string, key string")).collect(), key=lambda r: r.place)
+    assert "".join(r.piece for r in got) == f"<|user|>\n{text}{CLOSE}<|assistant|>\nb{CLOSE}"

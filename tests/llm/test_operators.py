@@ -247,3 +247,49 @@ def test_classifiers_on_odd_tables(spark):
         assert len(quality_scores(docs, some).collect()) == 5
         assert len(toxicity(docs, some).collect()) == 5
     assert quality_scores(docs.limit(0), labels).collect() == [] and toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_merge_order_of_runs_of_spaces():
+    """Runs in which each merge makes a pair that ranks as high, alone and among other words."""
+    import sentencepiece
+
+    from timberline.llm.pieces import Pieces
+
+    model = queries.piece_model()
+    library, pieces = sentencepiece.SentencePieceProcessor(model_proto=model), Pieces(model)
+    rng = random.Random(8)
+    texts = [" " * n + w for n in (1, 2, 15, 16, 17, 33, 100, 5000) for w in ("", "the", "\n")]
+    texts += ["".join(rng.choice(["  ", " " * rng.randint(1, 40), "a", "an", " t", "h", ".", "▁"]) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    words = [pieces.words(t) for t in texts]
+    ids, sizes = pieces.encode_words([w for ws in words for w in ws])
+    at, sizes = 0, iter(sizes.tolist())
+    for t, ws in zip(texts, words):
+        n = sum(next(sizes) for _ in ws)
+        assert ids[at : at + n].tolist() == library.encode(t), repr(t)
+        at += n
+
+
+def test_models_of_another_kind_are_refused(monkeypatch):
+    from timberline.llm import pieces
+
+    monkeypatch.setattr(pieces.Pieces, "_pair_ranks", lambda self, a, b: (np.full(len(a), pieces.NONE), np.full(len(a), -1)))
+    with pytest.raises(ValueError):
+        pieces.check_model(queries.piece_model())
+
+
+def test_graph_search_scores_are_of_the_given_doubles(spark):
+    rows = [(0, [1.0, 1e-9]), (1, [1e300, 0.0]), (2, [1e-3, 3.0]), (3, [1.0 + 1e-12, 0.0]), (3, [2.0, 0.0]), (4, [1.0, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 1e300), (2, 3, 2.0), (3, 4, 1.0), (4, 2, 1e-3 + 3e-9)]
+
+
+def test_near_copies_of_long_texts_and_clashing_columns(spark):
+    rng = random.Random(1)
+    long = [rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(60_000)]
+    near = list(long)
+    near[100] = "else"
+    rows = [(1, " ".join(long), "x", "y"), (2, " ".join(near), "x", "y"), (3, "x " * 50_000, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, row_hash string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_jaccard_join(docs).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+    kept = one_of_each_class(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 3}
