@@ -140,7 +140,7 @@ def test_registry(spark):
         registry.register(registry.get("mine"))
     assert registry.active()[0].name == "mine" and [f.name for f in registry.find(tag="own")] == ["mine"]
     registry.enable("mine", False)
-    assert registry.find(tag="own") == [] and registry.load_entry_points() == []
+    assert registry.find(tag="own") == []
 
 
 def test_ingestion(spark):
@@ -232,3 +232,117 @@ def test_entry_works_without_corpus_operators(tmp_path):
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
+
+
+def test_python_formats_and_plugins(spark):
+    from timberline.sources.plugins import Plugins, python_format
+
+    def parse_line(line):
+        if "bad" in line:
+            raise ValueError("no")
+        at, _, text = line[3:].partition(" ")
+        return {"timestamp": datetime.fromisoformat(at), "severity": "error", "message": text, "tags": ["own"], "attributes": '{"a": 1}'}
+
+    class Plugin:
+        closed = False
+
+        def __init__(self, mark):
+            self.formats = [python_format("mine", lambda line: 0.99 if line.startswith(mark) else 0.0, parse_line)]
+
+        def close(self):
+            Plugin.closed = True
+
+    plugins = Plugins(Registry(), {"mine": {"mark": "## "}, "odd": {"nothing": 1}})
+    assert plugins.load("mine", lambda mark: Plugin(mark)).formats == ["mine"]
+    assert "unknown options" in plugins.load("odd", lambda: []).error and "TypeError" in plugins.load("none", [1]).error
+    assert "registered already" in plugins.load("again", lambda: Plugin("x")).error and plugins.load("gone", "no.such:thing").error
+    assert plugins.load_packages() == [] and plugins.registry.get("mine").name == "mine"
+    with pytest.raises(ValueError):
+        Plugins(Registry(), {"odd": {"nothing": 1}}, "raise").load("odd", lambda: [])
+    lines = parse.lines_of(spark, "## 2024-01-01T00:00:00 hello there\n## bad\n<34>1 2023-10-11T22:14:15.003Z host app - ID47 - said")
+    got = parse.parse(lines, plugins.registry).orderBy("position").collect()
+    assert [(r.parser, r.status) for r in got] == [("mine", "success"), ("mine", "failure"), ("rfc5424_syslog", "success")]
+    assert got[0].event.message == "hello there" and got[0].event.tags == ["own"] and got[0].event.source_type == "application"
+    assert plugins.close() == [] and Plugin.closed
+
+
+def test_progress_and_collections(spark):
+    parsed = parse.parse(parse.lines_of(spark, "\n".join(f'{{"time": "2024-01-01T00:00:0{k}Z", "level": "info", "msg": "m{k}"}}' for k in range(5)) + "\nfree text\n"))
+    rows, seen = parse.observed(parsed)
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"seen": 6, "success": 5, "failure": 1, "skipped": 0, "header": 0, "comment": 0}
+    few = parse.collected(parsed, 3, 5)
+    assert len(few.events) == 3 and few.more_events and len(few.failures) == 1 and not few.more_failures
+
+
+@pytest.mark.parametrize(
+    "code,level,changes",
+    [
+        ("NO_EVENTS", "info", {"event_count": 0}), ("LOW_SAMPLE_SIZE", "info", {"event_count": 9}), ("HIGH_ERROR_RATE", "warning", {"error_rate": 0.05}),
+        ("HIGH_ERROR_RATE", "critical", {"error_rate": 0.2}), ("HIGH_CRITICAL_RATE", "warning", {"critical_rate": 0.06, "critical_count": 6}), ("LATENCY_P95_HIGH", "critical", {"p95": 50.0}),
+        ("SINGLE_SERVICE_CONCENTRATION", "warning", {"shares": {"service": ("s", 60.0)}}), ("SINGLE_HOST_CONCENTRATION", "critical", {"shares": {"host": ("h", 80.0)}}),
+        ("DOMINANT_EVENT_TYPE", "warning", {"shares": {"event_type": ("e", 50.0)}}), ("MISSING_HTTP_STATUS_DATA", "warning", {"http": {"http_event_count": 10, "unknown_count": 6, "server_error_rate": 0.0}}),
+        ("HIGH_SERVER_ERROR_RATE", "critical", {"http": {"http_event_count": 10, "unknown_count": 0, "server_error_rate": 0.3}}), ("MISSING_DURATION_DATA", "warning", {"duration_count": 10}),
+        ("OUT_OF_ORDER_TIMESTAMPS", "warning", {"late": 1}), ("TIME_BUCKET_ADJUSTED", "info", {"widened": True}),
+    ],
+)
+def test_insight_rules(code, level, changes):
+    from timberline.plans.insights import Thresholds
+
+    summary = {"event_count": 100, "error_rate": 0.0, "critical_rate": 0.0, "critical_count": 0, "duration_count": 100} | {k: v for k, v in changes.items() if "_" in k}
+    ms = Thresholds(p95_warning_ms=10, p95_critical_ms=40)
+    got = insights(summary, changes.get("shares"), changes.get("http"), changes.get("p95"), changes.get("late", 0), changes.get("widened", False), ms)
+    assert [(i.code, i.level) for i in got] == [(code, level)]
+    several = insights(summary | {"event_count": 100, "error_rate": 0.1}, None, None, 99.0, 2, True, ms)
+    order = [({"critical": 0, "warning": 1, "info": 2}[i.level], i.code) for i in several]
+    assert len(order) >= 4 and order == sorted(order)
+
+
+def test_even_sample_of_a_large_table(spark):
+    n, k = 2_000_000, 997
+    rows = spark.range(n).select(F.col("id").alias("sequence"), F.concat(F.lit("e"), "id").alias("id")).repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = sorted(r.sequence for r in reports.even_sample(rows, k).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == [i * n // k for i in range(k)]
+    assert reports.even_sample(rows.filter("sequence < 5"), 9).count() == 5 and reports.even_sample(rows.limit(0), 3).count() == 0
+
+
+def test_an_id_of_two_contents_in_a_batch_is_an_error(spark):
+    rows = events(spark, [(k, "info", None, None, "s", None, None) for k in range(4)]).withColumn("arrival", F.col("sequence"))
+    with pytest.raises(store.ConflictError):
+        store.write(rows.drop("arrival").limit(0), rows.withColumn("id", F.lit("e9")))
+
+
+def test_group_fields_that_tell_of_persons_are_refused():
+    from timberline.plans.requests import check_group_field
+
+    for name in ("user_id", "a.client-ip", "Trace_ID", "http.session", "auth", "source", "message"):
+        with pytest.raises(RequestError):
+            check_group_field(name)
+    assert check_group_field("tokens_used") == "tokens_used" and check_group_field("sourced.by") == "sourced.by"
+
+
+def test_groups_over_the_limit_are_an_error(spark):
+    rows = extract.with_extracts(events(spark, [(k, "info", None, None, f"s{k}", None, None) for k in range(6)]))
+    assert reports.distributions(rows, ("service",), limits=Limits(groups=6)).count() == 6
+    with pytest.raises(Exception, match="too many different values of service"):
+        reports.distributions(rows, ("service",), limits=Limits(groups=5)).collect()
+
+
+@pytest.mark.parametrize(
+    "line,want",
+    [
+        ('h - - [01/Feb/2024:10:00:00 +0100] "PROPFIND /dav HTTP/2.0" 207 -', ("propfind", "/dav", 207, None)),
+        (r'h - "a b" [01/Feb/2024:10:00:00 +0100] "GET /q?x=\"y\" HTTP/1.1" 200 5 "-" "say \"hi\"" 0.25', ("get", r'/q?x=\"y\"', 200, 250.0)),
+        ('h - - [01/Feb/2024:10:00:00 +0100] "GET /old" 200 5', ("get", "/old", 200, None)),
+        ('h - - [01/Feb/2024:10:00:00 +0100] "-" 408 -', (None, None, 408, None)),
+    ],
+)
+def test_access_lines(spark, line, want):
+    (r,) = parse.parse(parse.lines_of(spark, line), mode="apache_nginx_access").collect()
+    e = r.event
+    assert r.status == "success" and (e.http_method, e.http_path, e.http_status, e.duration_ms) == want and e.timestamp == datetime(2024, 2, 1, 9)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import once, record_preview
@@ -149,6 +149,38 @@ def by_parser(parsed: DataFrame) -> DataFrame:
     return parsed.filter("status in ('success', 'failure')").groupBy("parser", "error").agg(F.count(F.lit(1)).alias("lines"))
 
 
+def observed(parsed: DataFrame, name: str = "parsing") -> tuple[DataFrame, Observation]:
+    """The same lines, and how many of them have passed by status once an action on them has ended.
+
+    Named metrics also reach every listener for query execution or streaming progress, at no further pass.
+    """
+    seen = Observation(name)
+    s = F.col("status")
+    return parsed.observe(seen, F.count(F.lit(1)).alias("seen"), *(F.count_if(s == k).alias(k) for k in ("success", "failure", "skipped", "header", "comment"))), seen
+
+
+@dataclass(frozen=True)
+class Collected:
+    """A few parsed lines on the driver, and whether there are more."""
+
+    events: list
+    failures: list
+    more_events: bool
+    more_failures: bool
+
+
+def collected(parsed: DataFrame, events: int = 1000, failures: int = 100) -> Collected:
+    """At most so many events and failures, the first by file and position."""
+
+    def first(rows: DataFrame, most: int) -> tuple[list, bool]:
+        found = rows.orderBy("file", "position").limit(most + 1).collect()
+        return found[:most], len(found) > most
+
+    good, more_good = first(parsed.filter("status = 'success'").select("file", "position", "parser", "event"), events)
+    bad, more_bad = first(parsed.filter("status = 'failure'").select("file", "position", "parser", "error"), failures)
+    return Collected(good, bad, more_good, more_bad)
+
+
 @dataclass(frozen=True)
 class StopRules:
     """When a file's parsing ends; None turns a rule off."""

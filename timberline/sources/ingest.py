@@ -38,8 +38,11 @@ class IngestOptions:
 # Byte order marks; longer ones first.
 MARKS = (("FFFE0000", "utf-32-le"), ("0000FEFF", "utf-32-be"), ("EFBBBF", "utf-8"), ("FFFE", "utf-16-le"), ("FEFF", "utf-16-be"))
 TEXT_NAMES = (".log", ".txt", ".json", ".jsonl", ".xml", ".csv")
+# How files of programs, pictures and the like begin.
 BINARY_HEADS = (b"\x7fELF", b"MZ", b"\x89PNG", b"%PDF", b"\xff\xd8\xff", b"GIF8", b"SQLite format 3")
 SAMPLE, PRINTABLE = 8192, 0.95
+#: Bytes below the space that texts have no use for.
+CONTROLS = bytes(b for b in range(32) if b not in (9, 10, 12, 13, 27))
 
 
 def archive_kind(content: Column, path: Column) -> Column:
@@ -162,7 +165,7 @@ def looks_binary(data: bytes) -> bool:
     head = data[:SAMPLE]
     if not head or head.startswith((b"\xff\xfe", b"\xfe\xff", b"\xef\xbb\xbf", b"\x00\x00\xfe\xff")):
         return False
-    controls = sum(b < 32 and b not in (9, 10, 12, 13, 27) for b in head)
+    controls = len(head) - len(head.translate(None, CONTROLS))
     sign = head.startswith(BINARY_HEADS) or b"\x00" in head or controls / len(head) > 0.02
     return sign and 1 - controls / len(head) - head.count(127) / len(head) < PRINTABLE or head.startswith(BINARY_HEADS)
 

@@ -563,19 +563,6 @@ class Registry:
     def find(self, source_type: str | None = None, tag: str | None = None) -> list[LogFormat]:
         return [f for f in self.active() if (source_type is None or f.source_type == source_type) and (tag is None or tag in f.tags)]
 
-    def load_entry_points(self, group: str = "timberline.formats", allowed: set[str] | None = None) -> list[str]:
-        """Registers formats that installed packages offer under ``group``; ``allowed`` limits their names."""
-        from importlib.metadata import entry_points
-
-        added = []
-        for point in entry_points(group=group):
-            if allowed is None or point.name in allowed:
-                found = point.load()
-                fmt = found() if callable(found) and not isinstance(found, LogFormat) else found
-                self.register(fmt)
-                added.append(fmt.name)
-        return added
-
 
 CONFIDENT, CLOSE = 0.60, 0.05
 
