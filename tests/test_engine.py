@@ -346,3 +346,31 @@ def test_access_lines(spark, line, want):
     (r,) = parse.parse(parse.lines_of(spark, line), mode="apache_nginx_access").collect()
     e = r.event
     assert r.status == "success" and (e.http_method, e.http_path, e.http_status, e.duration_ms) == want and e.timestamp == datetime(2024, 2, 1, 9)
+
+
+def test_files_in_micro_batches(spark, tmp_path):
+    from timberline.streaming import live
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.log").write_text("#Fields: date time cs-method cs-uri-stem sc-status\n2024-01-01 00:00:01 GET /i 500\nfree text\n")
+    seen = []
+    q = live.foreach_files(live.line_stream(spark, str(folder)), lambda rows, number: seen.extend(parse.by_parser(rows).collect()), str(tmp_path / "state"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.parser or "", r.error or "", r.lines) for r in seen) == [("iis_w3c", "", 1), ("iis_w3c", "INVALID_TIMESTAMP", 1)]
+
+
+def test_values_cleaned_and_invalid(spark):
+    """What is no duration, no status and no text, among columns and attributes."""
+    rows = [
+        (0, "info", float("nan"), 99, " ", "", '{"latency_ms": -1}'), (1, "info", -5.0, 600, None, None, '{"latency_ms": null, "duration_us": 2e105}'),
+        (2, "info", None, None, None, None, '{"elapsed_ms": [1], "status": 404.0, "service": {"name": true}}'), (3, "info", float("inf"), None, None, None, '{"request_time": 0}'),
+    ]
+    got = extract.with_extracts(events(spark, rows)).orderBy("sequence").collect()
+    assert [(r.x_duration, r.x_duration_invalid) for r in got] == [(None, True), (None, True), (None, True), (0.0, False)]
+    assert [r.x_status for r in got] == [None] * 4 and [r.x_service for r in got] == [None, None, "True", None]
+    loose = extract.with_extracts(events(spark, [(0, "info", None, None, None, None, '{"latency_ms": "12.5"}')]), strict=False, only=("x_duration",)).first()
+    assert loose.x_duration == 12.5 and "x_status" not in loose.asDict()
+    row = reports.latency(extract.with_extracts(events(spark, rows))).first()
+    assert (row["count"], row.invalid_count, row.missing_count, row.detected_field) == (1, 3, 0, "request_time")

@@ -76,7 +76,7 @@ def scalar_text(value: Column) -> Column:
 
 def there(value: Column) -> Column:
     """True for a value that is there and not null."""
-    return F.coalesce(~F.is_variant_null(value), F.lit(False))
+    return value.isNotNull() & ~F.is_variant_null(value)
 
 
 def _first(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:

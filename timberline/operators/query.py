@@ -59,14 +59,17 @@ def labelled(values: Column, name: str, label: str) -> Column:
 
 
 def facets(events: DataFrame, names: tuple[str, ...], limits: Limits = Limits()) -> DataFrame:
-    """facet, value, count and position of the commonest values of each facet, in one scan of ``events``."""
+    """facet, value, count and position of the commonest values of each facet, in one scan of ``events``.
+
+    Of each part of the counted values, only a facet's first ones go on to the task that ranks them.
+    """
     if limits.facet_fields is not None and len(names) > limits.facet_fields:
         raise RequestError(f"at most {limits.facet_fields} facets")
-    pairs = [labelled(facet_value(events, n), n, "facet") for n in names]
-    counts = (
-        events.select(F.explode(F.flatten(F.array(*(F.coalesce(p, F.array().cast("array<struct<facet:string,value:string>>")) for p in pairs)))).alias("p"))
-        .select("p.*").filter("value is not null").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("count"))
-    )
+    many = [n for n in names if n in ("tag", "tags")]
+    none = F.array().cast("array<struct<facet:string,value:string>>")
+    scalars = [F.struct(F.lit(n).alias("facet"), F.get(facet_value(events, n), F.lit(0)).cast("string").alias("value")) for n in names if n not in many]
+    pairs = F.concat(F.array(*scalars) if scalars else none, *(F.coalesce(labelled(facet_value(events, n), n, "facet"), none) for n in many))
+    counts = events.select(F.explode(pairs).alias("p")).select("p.*").filter("value is not null").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("count"))
     order = Window.partitionBy("facet").orderBy(F.desc("count"), F.asc("value"))
     return counts.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limits.facet_values)
 
