@@ -369,7 +369,7 @@ def test_values_cleaned_and_invalid(spark):
     ]
     got = extract.with_extracts(events(spark, rows)).orderBy("sequence").collect()
     assert [(r.x_duration, r.x_duration_invalid) for r in got] == [(None, True), (None, True), (None, True), (0.0, False)]
-    assert [r.x_status for r in got] == [None] * 4 and [r.x_service for r in got] == [None, None, "True", None]
+    assert [r.x_status for r in got] == [None, None, 404, None] and [r.x_service for r in got] == [None, None, "True", None]
     loose = extract.with_extracts(events(spark, [(0, "info", None, None, None, None, '{"latency_ms": "12.5"}')]), strict=False, only=("x_duration",)).first()
     assert loose.x_duration == 12.5 and "x_status" not in loose.asDict()
     row = reports.latency(extract.with_extracts(events(spark, rows))).first()
