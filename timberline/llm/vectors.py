@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .tables import stash
 
-SHARD_ROWS = 16_384
+SHARD_ROWS, LEAST_ROWS = 16_384, 4096
 #: Components of the queries of a block: the larger a block, the fewer times each shard is read.
 QUERY_BLOCK = 1 << 22
 DEGREE, BEAM, ALPHA, STEP = 32, 72, 1.2, 4
@@ -233,7 +233,10 @@ def nearest(
         .withColumn("dims", F.size("vector"))
     )
     total, asking = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("asks"), F.col("dims").cast("long"))), F.lit(0))).first()
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-asking // QUERY_BLOCK))
+    # as few shards as their size allows, but where there are fewer than cores, one a core if they keep LEAST_ROWS
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-total // shard_rows), min(cores, total // LEAST_ROWS))
+    blocks = max(1, -(-asking // QUERY_BLOCK))
     dealt = nodes.select("dims", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "vector")
     graphs = stash(
         dealt.groupBy("dims", "shard").applyInArrow(
