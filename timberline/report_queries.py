@@ -10,6 +10,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions.extract import tags as clean_tags
 from .functions.text import number, record_preview, redis_endpoint, severity, source_type, timestamp
@@ -29,7 +30,7 @@ KINDS = ("plain", "marked", "wide", "windows", "program", "gzip", "zip", "latin"
 _KIND = "list_extract([" + ", ".join(f"'{k}'" for k in KINDS) + f"], CAST(doc_id % {len(KINDS)} AS INT) + 1)"
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _packed(kind: pd.Series, content: pd.Series) -> pd.Series:
     def one(k: str, data: bytes) -> bytes:
         if k == "gzip":

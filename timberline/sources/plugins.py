@@ -27,7 +27,7 @@ def python_format(name: str, detect: Callable[[str], float], parse: Callable[[st
     counts as not of the format.
     """
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def surely(lines: pd.Series) -> pd.Series:
         def one(line: str | None) -> float:
             try:
