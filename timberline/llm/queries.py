@@ -92,7 +92,42 @@ QUERIES = {
     )
 }
 
+#: The words of each text, one a row: r is the row, k the place, n the number of words.
+_WORDS = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    x AS (SELECT r, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d), """
+
 ORACLES = {
+    "op7_ngram_jaccard_join": _WORDS
+    + """runs AS (SELECT r, n, k, list(word) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS g FROM x),
+        grams AS (SELECT DISTINCT r, array_to_string(g, ' ') AS g FROM runs WHERE k <= n - 4 OR (k = 1 AND n < 5)),
+        named AS (SELECT r, md5(string_agg(g, chr(10) ORDER BY g)) AS s, count(*) AS size FROM grams GROUP BY r),
+        sets AS (SELECT s, min(r) AS r, any_value(size) AS size, count(*) AS n_copies FROM named GROUP BY s),
+        g AS (SELECT sets.s, size, g FROM sets JOIN grams USING (r)),
+        near AS (SELECT a.s AS a, b.s AS b FROM g AS a JOIN g AS b ON a.g = b.g AND a.s < b.s GROUP BY 1, 2 HAVING count(*) / (any_value(a.size) + any_value(b.size) - count(*)) >= 0.8),
+        links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+        reach AS (SELECT s AS a, s AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        ids AS (SELECT s, min(doc_id) AS least FROM named JOIN d USING (r) GROUP BY s),
+        class AS (SELECT a AS s, min(least) AS class_id FROM reach JOIN ids ON reach.b = ids.s GROUP BY 1),
+        counted AS (SELECT a AS s, count(*) AS n_links FROM links GROUP BY 1)
+        SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies
+        FROM d LEFT JOIN named USING (r) LEFT JOIN sets USING (s) LEFT JOIN class USING (s) LEFT JOIN counted USING (s)""",
+    "op8_line_dedup": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM d),
+        t AS (SELECT r, k, doc_id, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS w FROM l),
+        sets AS (SELECT w, row_number() OVER () AS s, len(w) AS n, min(struct_pack(a := doc_id, b := k)) AS first FROM t WHERE len(w) > 0 GROUP BY w),
+        x AS (SELECT s, n, first, unnest(w) AS word FROM sets),
+        near AS (SELECT b.s, min(a.first) AS first FROM (SELECT a.s AS a, b.s AS b, count(*) AS c FROM x AS a JOIN x AS b ON a.word = b.word AND a.first < b.first AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY 1, 2) AS p
+            JOIN sets AS a ON a.s = p.a JOIN sets AS b ON b.s = p.b WHERE c / (a.n + b.n - c) >= 0.8 GROUP BY 1),
+        gone AS (SELECT r, k FROM t JOIN sets USING (w) LEFT JOIN near USING (s) WHERE least(sets.first, coalesce(near.first, sets.first)) < struct_pack(a := doc_id, b := k)),
+        kept AS (SELECT r, string_agg(line, chr(10) ORDER BY k) AS text, count(*) AS n FROM l ANTI JOIN gone USING (r, k) GROUP BY r)
+        SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, len(lines) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
+    "op9_substring_dedup": _WORDS
+    + """runs AS (SELECT r, n, k, list(word) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS g FROM x),
+        starts AS (SELECT r, k, md5(array_to_string(g, ' ')) AS g FROM runs WHERE k <= n - 34),
+        again AS (SELECT r, k FROM starts WHERE g IN (SELECT g FROM starts GROUP BY g HAVING count(*) > 1)),
+        gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS k FROM again),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM x ANTI JOIN gone USING (r, k) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
