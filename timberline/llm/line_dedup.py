@@ -13,8 +13,8 @@ number. The join never meets all pairs:
   join read one shuffle.
 * A semi-join over sketches of 64 bits finds the lines that have such a partner at all; only these are read again,
   as whole token sets with sketches of 256 bits.
-* Of these, lines that match the first fitting leader (a token's first line of each size) go at once, then those that
-  match the first line at all that may match them. Those that are left meet all earlier ones. So a cluster of similar lines
+* Of these, lines that match the likest fitting leader (a token's first line of each size) go at once, then those that
+  match the likest line at all that may match them. Those that are left meet all earlier ones. So a cluster of similar lines
   takes rows in proportion to its size.
 * What meets is verified on the whole sets.
 
@@ -121,12 +121,15 @@ def _finely(coded: DataFrame) -> DataFrame:
     return coded.withColumns({name: _parity(quarter(k), 24) for k, name in enumerate(FINE)})
 
 
+def _differ(sketches: tuple[str, ...]) -> Column:
+    return sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in sketches), F.lit(0))
+
+
 def _fits(threshold: float, sketches: tuple[str, ...] = ("s",)) -> Column:
     """What rows a and b of one prefix token must satisfy if it is the first token that matching sets share."""
     n, m = F.col("a.n"), F.col("b.n")
     need = _ceil(threshold / (1 + threshold), n + m)
-    differ = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in sketches), F.lit(0))
-    return (F.col("a.token") == F.col("b.token")) & (F.least(n - F.col("a.i"), m - F.col("b.i")) >= need) & (differ <= n + m - 2 * need)
+    return (F.col("a.token") == F.col("b.token")) & (F.least(n - F.col("a.i"), m - F.col("b.i")) >= need) & (_differ(sketches) <= n + m - 2 * need)
 
 
 def _place(of: str) -> Column:
@@ -171,17 +174,17 @@ def _partners(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
-    """The places of lines that match an earlier one of ``lines``: first those that match the first of the leaders that
-    may match them, then those that match the first line at all that may, then all others."""
+    """The places of lines that match an earlier one of ``lines``: first those that match the likest of the leaders that
+    may match them, then those that match the likest line at all that may, then all others."""
     fits = _fits(threshold, FINE) & (_place("b") < _place("a"))
     pair = (_place("a").alias("a"), _place("b").alias("b"))
     tokens = stash(lines.select(*PLACE, "n", *FINE, F.posexplode("prefix").alias("i", "token")))
     leaders = tokens.groupBy("token", "n").agg(F.min(F.struct(*PLACE, "i", *FINE)).alias("b")).select("token", "n", "b.*")
     gone = None
-    for others in (leaders, tokens):  # of each line's partners, the first alone
+    for others in (leaders, tokens):  # of each line's partners, the most similar alone
         left = tokens if gone is None else tokens.join(gone, PLACE, "left_anti")
-        firsts = left.alias("a").join(others.alias("b"), fits).select(*pair).groupBy("a").agg(F.min("b").alias("b"))
-        found = stash(_verified(firsts, lines, threshold))
+        met = left.alias("a").join(others.alias("b"), fits).select(*pair, _differ(FINE).alias("d"))
+        found = stash(_verified(met.groupBy("a").agg(F.min(F.struct("d", "b"))["b"].alias("b")), lines, threshold))
         gone = found if gone is None else gone.unionByName(found)
     left = tokens.join(gone, PLACE, "left_anti")
     rest = left.alias("a").join(tokens.alias("b"), fits).select(*pair)
