@@ -44,7 +44,7 @@ def stash(df: DataFrame, codec: str = "zstd") -> DataFrame:
     which nothing reads again, are removed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", codec).parquet(path)
