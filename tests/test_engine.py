@@ -374,3 +374,20 @@ def test_values_cleaned_and_invalid(spark):
     assert loose.x_duration == 12.5 and "x_status" not in loose.asDict()
     row = reports.latency(extract.with_extracts(events(spark, rows))).first()
     assert (row["count"], row.invalid_count, row.missing_count, row.detected_field) == (1, 3, 0, "request_time")
+
+
+def test_event_store_commits_whole_versions(spark, tmp_path):
+    rows = events(spark, [(k, "info", None, None, "s", None, None) for k in range(6)]).withColumn("arrival", F.col("sequence")).drop("attributes")
+    kept = store.EventStore(spark, str(tmp_path / "events"), rows.drop("arrival").schema)
+    assert kept.read().count() == 0
+    assert kept.add(rows.filter("sequence <= 2")) == {"inserted": 2, "replaced": 0, "ignored": 0}
+    assert kept.add(rows.filter("sequence > 2")) == {"inserted": 2, "replaced": 0, "ignored": 2}
+    assert kept.add(rows.filter("sequence > 4"), "replace")["replaced"] == 2 and kept.read().count() == 4
+    with pytest.raises(store.ConflictError):
+        kept.add(rows, "reject")
+    (tmp_path / "events" / "v9").mkdir()  # a write that did not end
+    assert kept.versions() == [1, 2, 3] and kept.read().count() == 4
+    kept.delete(kept.read().filter("sequence = 1").select("id"))
+    assert kept.read().count() == 3 and kept.vacuum(2) == 2
+    kept.clear()
+    assert kept.read().count() == 0 and store.statistics(kept.read()).first().event_count == 0

@@ -1,6 +1,6 @@
 """The event table: identity, deduplicated writes, retention, capacity, statistics.
 
-A table is a DataFrame of stored events; a write gives the table's next state, which the caller writes as one job.
+A table is a DataFrame of stored events; a write gives the table's next state, which ``EventStore`` commits as one job.
 """
 
 from __future__ import annotations
@@ -8,8 +8,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.shared import stash
 from .ordering import numbered, running
@@ -147,3 +148,53 @@ def statistics(stored: DataFrame) -> DataFrame:
 
 
 
+
+
+class EventStore:
+    """Stored events in a folder of versions, the newest complete one of which is read.
+
+    A write makes a new version beside the old ones; it counts once Spark has put its mark of success there, which
+    happens after all tasks have ended: a write that fails, or loses its driver, changes nothing. Writers must take
+    turns. Versions stay until ``vacuum``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType):
+        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Complete versions, oldest first."""
+        if not self.files.exists(self.path(self.folder)):
+            return []
+        names = [f.getPath().getName() for f in self.files.listStatus(self.path(self.folder))]
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self.files.exists(self.path(f"{self.folder}/{n}/_SUCCESS")))
+
+    def read(self) -> DataFrame:
+        found = self.versions()
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
+
+    def commit(self, table: DataFrame) -> int:
+        """Makes ``table`` the newest version."""
+        number = max([0, *self.versions()]) + 1
+        table.select(*self.schema.names).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.folder}/v{number}")
+        return number
+
+    def add(self, incoming: DataFrame, policy: str = "ignore", order: str = "arrival") -> dict[str, int]:
+        """Writes events, and tells how many became what."""
+        done = write(self.read(), incoming, policy, order)
+        self.commit(done.table)
+        return {"inserted": 0, "replaced": 0, "ignored": 0} | {r.outcome: r["count"] for r in done.outcomes.groupBy("outcome").count().collect()}
+
+    def delete(self, ids: DataFrame) -> int:
+        return self.commit(delete(self.read(), ids))
+
+    def clear(self) -> int:
+        return self.commit(self.spark.createDataFrame([], self.schema))
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes all versions but the newest ``keep``; nobody may be reading them."""
+        old = self.versions()[:-keep]
+        for number in old:
+            self.files.delete(self.path(f"{self.folder}/v{number}"), True)
+        return len(old)
