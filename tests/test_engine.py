@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from timberline.functions import extract, text
 from timberline.operators import parse, query, reports, store
 from timberline.operators.filters import apply_filter
+from timberline.operators.ordering import exact_percentiles
 from timberline.plans.analysis import analyze, compare, preset_periods
 from timberline.plans.insights import insights
 from timberline.plans.requests import Aggregation, AnalysisRequest, ComparisonRequest, EventFilter, EventQuery, EventSort, Limits, RequestError
@@ -69,7 +70,7 @@ def test_text_functions(spark):
 
 def test_percentiles_and_timeline(spark):
     rows = extract.with_extracts(events(spark, [(0, "info", 4.0, 200, "s", "/a", None), (30, "error", 1.0, 503, "s", "/a", None), (150, "fatal", 3.0, None, "s", None, None), (120, "warning", 2.0, None, "s", None, None)]))
-    row = rows.agg(reports.percentile_sql("x_duration", 50).alias("p50"), reports.percentile_sql("x_duration", 95).alias("p95"), reports.percentile_sql("x_duration", 0).alias("p0"), reports.percentile_sql("x_duration", 50, "linear").alias("l")).first()
+    row = exact_percentiles(rows, "x_duration", {"p50": (50, "nearest_rank"), "p95": (95, "nearest_rank"), "p0": (0, "nearest_rank"), "l": (50, "linear")}).first()
     assert (row.p50, row.p95, row.p0, row.l) == (2.0, 4.0, 1.0, 2.5)
     buckets = reports.timeline(rows, 60).orderBy("bucket_start").collect()
     assert [(b.event_count, b.error_count, b.critical_count, b.error_rate) for b in buckets] == [(2, 1, 0, 0.5), (0, 0, 0, 0.0), (2, 0, 1, 0.5)]
@@ -177,32 +178,39 @@ def test_store(spark):
 
 def same_as_sql(spark, sf_dir, name):
     """The rows of a query, after comparison with those of its SQL."""
-    rows = [tuple(r) for r in QUERIES[name](spark, sf_dir).collect()]
     with duckdb.connect() as sql:
         sql.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
-        assert sorted(rows, key=repr) == sorted(sql.execute(ORACLES[name]).fetchall(), key=repr)
+        found = sql.execute(ORACLES[name])
+        names, want = [d[0] for d in found.description], found.fetchall()
+    got = QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(names)
+    rows = [tuple(r) for r in got.select(*names).collect()]
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
     return rows
 
 
 def test_store_queries_take_in_the_whole_table(spark, sf_dir):
-    ids = {f"evt_{r.event_id}" for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect()}
-    outcomes = dict(same_as_sql(spark, sf_dir, "store_outcomes_all"))
-    stored = {i for i in ids if int(i[4:]) % 2 == 0}
-    assert set(outcomes) == ids - stored
-    inserted = {i for i, outcome in outcomes.items() if outcome == "inserted"}
-    for name in ("store_write_all_ignore", "store_write_all_replace"):
-        rows = same_as_sql(spark, sf_dir, name)
-        assert {r[0] for r in rows} == stored | inserted and len(rows) == len(stored) + len(inserted)
+    times = {f"evt_{r.event_id}": r.ts for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect()}
+    splits = {"": lambda i: int(i[4:]) % 2 == 0, "_all": lambda i: times[i] < datetime(2024, 1, 15)}
+    for end, is_stored in splits.items():
+        outcomes = dict(same_as_sql(spark, sf_dir, f"store_outcomes{end}"))
+        stored = {i for i in times if is_stored(i)}
+        assert stored and set(outcomes) == set(times) - stored
+        inserted = {i for i, outcome in outcomes.items() if outcome == "inserted"}
+        for name in (f"store_write{end}_ignore", f"store_write{end}_replace"):
+            rows = same_as_sql(spark, sf_dir, name)
+            assert {r[0] for r in rows} == stored | inserted and len(rows) == len(stored) + len(inserted)
 
 
 def test_http_timeline_queries_take_in_all_http_events(spark, sf_dir):
     with duckdb.connect() as sql:
         sql.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
         http = sql.execute(EV + "SELECT count(*) FROM x WHERE x_http").fetchone()[0]
-    rows = same_as_sql(spark, sf_dir, "timeline_http_all")
-    assert sum(r[1] for r in rows) == http
-    (rollup,) = same_as_sql(spark, sf_dir, "timeline_rollup_all")
-    assert rollup[0] == len(rows)
+    for end in ("", "_all"):  # by the hour, by the day
+        rows = same_as_sql(spark, sf_dir, f"timeline_http{end}")
+        assert sum(r[1] for r in rows) == http
+        (rollup,) = same_as_sql(spark, sf_dir, f"timeline_rollup{end}")
+        assert rollup[0] == len(rows)
 
 
 def test_streams(spark, tmp_path):
