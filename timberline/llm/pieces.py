@@ -89,10 +89,11 @@ class Pieces:
         letter = letters.astype(np.int64)  # of symbols that are still single characters
         word = np.repeat(np.arange(len(words)), lengths)
         done_word, done_symbol, done_letter = [], [], []
+        rank, made = self._pair_ranks(symbol, np.r_[symbol[1:], 0])
+        rank[:-1][word[1:] != word[:-1]] = NONE
+        rank[-1:] = NONE
         while len(symbol):
             last = np.r_[word[1:] != word[:-1], True]
-            rank, made = self._pair_ranks(symbol, np.r_[symbol[1:], 0])
-            rank[last] = NONE
             start = np.flatnonzero(np.r_[True, last[:-1]])
             best = np.minimum.reduceat(rank, start)
             size = np.diff(np.r_[start, len(word)])
@@ -122,10 +123,18 @@ class Pieces:
             symbol[pick] = made[pick]
             stay = np.ones(len(symbol), bool)
             stay[pick + 1] = False
+            touched = np.zeros(len(symbol), bool)
+            touched[pick] = True
             if len(some):
+                touched[np.isin(owner, some)] = True
                 last_pick = np.searchsorted(owner[pick], some, side="right") - 1
                 self._advance(symbol, stay, pick[last_pick], start[some], start[some] + size[some], best[some])
-            symbol, letter, word = symbol[stay], letter[stay], word[stay]
+            symbol, letter, word, rank, made, touched = (x[stay] for x in (symbol, letter, word, rank, made, touched))
+            # only pairs that a merged symbol is part of have changed
+            at = np.flatnonzero(touched | np.r_[touched[1:], False])
+            after = np.minimum(at + 1, len(symbol) - 1)
+            rank[at], made[at] = self._pair_ranks(symbol[at], symbol[after])
+            rank[at[(word[after] != word[at]) | (after == at)]] = NONE
         if not done_word:
             return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
         word, symbol, letter = (np.concatenate(x) for x in (done_word, done_symbol, done_letter))
