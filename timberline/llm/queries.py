@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, and SQL for those that SQL can express."""
+"""The thirteen operators as queries over the given tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats
+from .collocations import collocations
 from .exact_dedup import exact_dedup
+from .fingerprints import edited_likeness
 from .jaccard_join import ngram_jaccard_join
 from .line_dedup import line_dedup
 from .packing import pack, token_count
 from .pieces import encode_pieces
+from .prefix_trie import prefix_trie
 from .quality import quality_scores
 from .substring_dedup import substring_dedup
 from .tables import table
@@ -84,11 +87,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_graph_search, op2_packing, op3_quality_classifier, op4_sentencepiece, op5_toxicity,
         op6_chat_formatting, op7_ngram_jaccard_join, op8_line_dedup, op9_substring_dedup, op10_exact_dedup,
+        op11_fingerprints, op12_prefix_trie, op13_collocations,
     )
 }
 
@@ -132,4 +148,31 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    # crc32 of the decimal id, a bit at a time; a node is a list of turns, of which unnest gives each prefix
+    "op12_prefix_trie": r"""WITH t AS (SELECT conv_id, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, list(turn ORDER BY pos) AS own FROM t GROUP BY conv_id),
+        h AS (SELECT conv_id, own, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+            lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), list_transform(range(8), lambda i: i::BIGINT)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 9 AS h FROM c),
+        r AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns FROM h LEFT JOIN c AS b ON b.conv_id = h.base),
+        m AS (SELECT conv_id, len(turns) AS n, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
+        p AS (SELECT conv_id, n, depth, turns[1:depth] AS path FROM m),
+        nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends FROM p GROUP BY path, depth),
+        k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        x AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(path[depth].text) ELSE 0 END AS saved FROM nodes LEFT JOIN k USING (path)),
+        up AS (SELECT path[1:d] AS path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM x) GROUP BY 1)
+        SELECT x.conv_id, x.depth, parent.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, sha256(x.ends) AS ends_sha256
+        FROM x JOIN up USING (path) LEFT JOIN x AS parent ON x.depth > 0 AND parent.path = x.path[1:x.depth - 1]""",
+    "op13_collocations": r"""WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        s AS (SELECT row_number() OVER () AS s, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+        x AS (SELECT s, lang, len(w) AS m, w, unnest(range(1, len(w) + 1)) AS i FROM s),
+        g AS (SELECT lang, w[i:i + j - 1] AS p, j FROM x, (SELECT unnest([1, 2, 3, 4]) AS j) WHERE i + j - 1 <= m),
+        f AS (SELECT lang, p, j, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+        n AS (SELECT lang, count(*) AS n FROM x GROUP BY lang),
+        sub AS (SELECT lang, p[i:i + z - 1] AS p, max(f) AS longer FROM (SELECT *, unnest(range(1, j)) AS i FROM f WHERE j > 2), (SELECT unnest([2, 3]) AS z) WHERE z < j AND i + z - 1 <= j GROUP BY 1, 2),
+        kept AS (SELECT f.* FROM f LEFT JOIN sub USING (lang, p) WHERE j > 1 AND (longer IS NULL OR 100 * longer::HUGEINT < 80 * f::HUGEINT)),
+        cuts AS (SELECT kept.lang, kept.p, kept.f AS a, k, l.f AS l, r.f AS r, (2000000 * kept.f::HUGEINT) // (l.f::HUGEINT + r.f) AS score FROM (SELECT *, unnest(range(1, j)) AS k FROM kept) AS kept
+            JOIN f AS l ON l.lang = kept.lang AND l.p = kept.p[1:k] JOIN f AS r ON r.lang = kept.lang AND r.p = kept.p[k + 1:]),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+        FROM best JOIN n USING (lang) QUALIFY rank <= 2000""",
 }

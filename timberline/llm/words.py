@@ -63,10 +63,10 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: in
 class Words:
     """The words of some texts: ``start`` and ``end`` byte bounds, ``doc`` row and ``first`` word of each row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = GAPS):
         self.data, self.offsets = data, offsets
         n = len(offsets) - 1
-        inside = ~GAPS[data]
+        inside = ~gaps[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         ends = inside.copy()
@@ -105,13 +105,14 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
-    """Rows [first, last) of a column of strings with their words, about CHUNK bytes at a time."""
+def chunks(column: pa.Array, gaps: np.ndarray = GAPS) -> Iterator[tuple[int, int, Words]]:
+    """Rows [first, last) of a column of strings with their words, about CHUNK bytes at a time; bytes of ``gaps`` end a
+    word."""
     data, offsets = texts(column)
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, side="right")) - 1)
-        yield first, last, Words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        yield first, last, Words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], gaps)
         first = last
 
 
