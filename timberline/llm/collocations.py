@@ -7,6 +7,8 @@ windows that begin with it. The windows form a trie of words.
    Tasks know the frequent words by a Bloom filter of fixed size (FILTER bits); its false hits cost room, not rightness.
 2. Tasks count windows in containers, one for each prefix bucket. When BUFFER words are held, all containers are
    spilled: each subtree goes out as one sorted run of different windows with their counts, front-coded by columns.
+   First the windows are of two words; then, of up to four, and they end where two words that follow each other are no
+   frequent pair, by another such filter: what is below a container that never bursts is not shuffled.
 3. Runs are shuffled by bucket, sorted by it, and each bucket's runs are merged in turn. There, containers burst: the
    windows of a phrase are split by their next word only if the phrase has LEAST occurrences, level by level, down to
    four words. A bucket holds some BUCKET windows.
@@ -139,28 +141,68 @@ def prefix_bucket(windows: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndar
     return (hashed % np.uint64(buckets)).astype(np.int64)
 
 
-def _window_batches(hot: np.ndarray, bits: np.ndarray, buckets: int):
+def _slots(columns: list[np.ndarray]) -> np.ndarray:
+    """The filter's bit of each word, or of each pair of words."""
+    key = columns[0]
+    for other in columns[1:]:
+        key = mix(key + np.uint64(0x9E3779B97F4A7C15)) ^ other
+    return key % np.uint64(FILTER)
+
+
+def _hits(bits: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    slot = _slots(columns)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _mark_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            slot = _slots([c.to_numpy().view(np.uint64) for c in batch.columns])
+            at, inverse = np.unique(slot >> np.uint64(6), return_inverse=True)
+            bits = np.zeros(len(at), np.uint64)
+            np.bitwise_or.at(bits, inverse, np.uint64(1) << (slot & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(signed(bits))], ["at", "bits"])
+
+
+def filter_of(rows: DataFrame) -> np.ndarray:
+    """The filter of all rows of one or two columns of ids; FILTER / 64 rows at most reach the driver."""
+    marks = rows.mapInArrow(_mark_batches, "at int, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(FILTER // 64, np.uint64)
+    bits[marks.column("at").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def _window_batches(hot: np.ndarray, bits: np.ndarray, pairs: np.ndarray | None, buckets: int):
+    """Sorted runs of windows of two words, or, with the filter of pairs, of three and four."""
+    longest, shortest = (2, 2) if pairs is None else (LONGEST, 3)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def spill() -> pa.RecordBatch:
             ids, last = (np.concatenate(x) for x in zip(*held))
-            slot = ids % np.uint64(FILTER)
-            rare = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 0
-            # places of words among all, 0 for no word: a window stops at its piece's end and before a rare word
+            frequent = _hits(bits, [ids])
+            # follows[i]: the window may go on from word i to the next
+            follows = ~last
+            follows[:-1] &= frequent[:-1] & frequent[1:]
+            follows[-1] = False
+            if pairs is not None:
+                at = np.flatnonzero(follows)
+                follows[at] = _hits(pairs, [ids[at], ids[at + 1]])
+            reach, size = follows.copy(), np.ones(len(ids), np.int8)
+            for k in range(1, longest):
+                size += reach
+                reach[: len(ids) - k] &= follows[k:]
+                reach[max(0, len(ids) - k) :] = False
+            start = np.flatnonzero(size >= shortest)
+            # places of words among all, 0 for no word
             words, place = np.unique(ids, return_inverse=True)
-            place = place + 1
             words = np.r_[np.zeros(1, np.uint64), words]
-            windows = np.zeros((len(ids), LONGEST), np.int64)
-            open_ = ~rare
-            windows[:, 0] = np.where(open_, place, 0)
-            for k in range(1, min(LONGEST, len(ids))):
-                open_ = open_.copy()
-                open_[len(ids) - k :] = False
-                open_[: len(ids) - k] &= ~last[k - 1 : len(ids) - 1] & ~rare[k:]
-                windows[: len(ids) - k, k] = np.where(open_[: len(ids) - k], place[k:], 0)
-            windows = windows[windows[:, 1] > 0]  # single words are counted already
+            windows = np.zeros((len(start), LONGEST), np.int64)
+            for k in range(longest):
+                there = size[start] > k
+                windows[there, k] = place[start[there] + k] + 1
             width = np.int64(max(1, int(len(words)).bit_length()))
             low, high = (windows[:, 2] << width) | windows[:, 3], (windows[:, 0] << width) | windows[:, 1]
             order = np.lexsort((low, high))
@@ -187,8 +229,8 @@ def _window_batches(hot: np.ndarray, bits: np.ndarray, buckets: int):
     return run
 
 
-def burst(windows: np.ndarray, counts: np.ndarray, is_hot: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Phrases of two to four words (as places, 0 for none) with their counts.
+def burst(windows: np.ndarray, counts: np.ndarray, is_hot: np.ndarray, least: int, shortest: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Phrases of ``shortest`` to four words (as places, 0 for none) with their counts; all windows are as long at least.
 
     A container is split by the next word if it has ``least`` occurrences or, being of hot words alone, may have more
     elsewhere.
@@ -203,6 +245,8 @@ def burst(windows: np.ndarray, counts: np.ndarray, is_hot: np.ndarray, least: in
         found, first, group = np.unique(group * n + windows[:, k], return_index=True, return_inverse=True)
         total = np.bincount(group, counts).astype(np.int64)  # below 2**53 in one bucket
         hot = hot & is_hot[windows[:, k]]
+        if k + 1 < shortest:
+            continue
         splits = (total >= least) | hot[first]
         phrase = windows[first[splits]].copy()
         phrase[:, k + 1 :] = 0
@@ -211,13 +255,13 @@ def burst(windows: np.ndarray, counts: np.ndarray, is_hot: np.ndarray, least: in
         windows, counts, group, hot = windows[keep], counts[keep], group[keep], hot[keep]
 
 
-def _merge_batches(hot: np.ndarray, least: int):
+def _merge_batches(hot: np.ndarray, least: int, shortest: int):
     def merged(runs: list[bytes]) -> pa.RecordBatch:
         parts = [decoded(x) for x in runs]
         ids = np.unique(np.concatenate([np.zeros(1, np.uint64), *(p[0] for p in parts)]))  # 0 is the first
         windows = np.concatenate([np.searchsorted(ids, i)[w] for i, w, _ in parts])
         counts = np.concatenate([c.astype(np.int64) for _, _, c in parts])
-        found = list(burst(windows, counts, np.isin(ids, hot), least))
+        found = list(burst(windows, counts, np.isin(ids, hot), least, shortest))
         phrase = np.concatenate([np.zeros((0, LONGEST), np.int64), *(p for p, _ in found)])
         total = np.concatenate([np.zeros(0, np.int64), *(t for _, t in found)])
         return pa.RecordBatch.from_arrays([*(pa.array(signed(ids[phrase[:, k]])) for k in range(LONGEST)), pa.array(total)], ["w1", "w2", "w3", "w4", "a"])
@@ -248,15 +292,20 @@ def phrase_counts(docs: DataFrame, words: DataFrame, total: int, least: int) ->
     spark = docs.sparkSession
     # fewer than HOT rows, and FILTER / 64 at most
     hot = np.array([r.id for r in words.filter(F.col("n") * HOT > total).select("id").collect()], np.int64).view(np.uint64)
-    slot = F.pmod(F.col("id").bitwiseAND(F.lit(FILTER - 1)), F.lit(FILTER))
-    marks = words.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")).toArrow()
-    bits = np.zeros(FILTER // 64, np.uint64)
-    bits[marks.column("at").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    bits = filter_of(words.select("id"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     buckets = max(4 * parts, total // BUCKET)
-    runs = docs.mapInArrow(_window_batches(hot, bits, buckets), "bucket bigint, run binary")
-    counted = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_batches(hot, least), "w1 bigint, w2 bigint, w3 bigint, w4 bigint, a bigint")
-    whole = counted.groupBy("w1", "w2", "w3", "w4").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+    names = [f"w{k + 1}" for k in range(LONGEST)]
+
+    def counted(pairs: np.ndarray | None) -> DataFrame:
+        runs = docs.mapInArrow(_window_batches(hot, bits, pairs, buckets), "bucket bigint, run binary")
+        runs = runs.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        found = runs.mapInArrow(_merge_batches(hot, least, 2 if pairs is None else 3), ", ".join(f"{n} bigint" for n in [*names, "a"]))
+        # phrases of hot words alone have a row from several buckets
+        return stash(found.groupBy(*names).agg(F.sum("a").alias("a")).filter(F.col("a") >= least))
+
+    pairs = counted(None)
+    whole = pairs.unionByName(counted(filter_of(pairs.select("w1", "w2"))))
     return whole.select(F.expr("filter(array(w1, w2, w3, w4), w -> w != 0)").alias("w"), "a")
 
 
