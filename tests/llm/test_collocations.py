@@ -107,3 +107,5 @@ def test_containers_burst_only_where_phrases_can_be_frequent():
     hot[[7, 8]] = True
     got = {tuple(p): t for phrases, total in burst(windows, counts, hot, 3) for p, t in zip(phrases.tolist(), total.tolist())}
     assert got == {(1, 2, 0, 0): 4, (1, 2, 3, 0): 3, (7, 8, 0, 0): 1}
+    got = {tuple(p): t for phrases, total in burst(windows, counts, np.zeros(10, bool), 3, 3) for p, t in zip(phrases.tolist(), total.tolist())}
+    assert got == {(1, 2, 3, 0): 3}
