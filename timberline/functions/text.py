@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,12 @@ def record_preview(c: ColumnLike, limit: int = 200) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit - 3)), F.lit("..."))).otherwise(text)
 
 
+def summary_text(c: ColumnLike, limit: int = 300) -> Column:
+    """Runs of white space as one space, cut with three dots."""
+    text = F.trim(F.regexp_replace(col(c), r"\s+", " "))
+    return F.when(F.length(text) > limit, F.concat(F.rtrim(F.left(text, F.lit(limit - 3))), F.lit("..."))).otherwise(text)
+
+
 def dimension(c: ColumnLike, limit: int = 256) -> Column:
     """A group key of bounded length: a long one keeps its head and 16 digits of its SHA-256."""
     text = col(c)
@@ -63,6 +70,21 @@ def floor_time(ts: ColumnLike, seconds: int) -> Column:
     return F.window(col(ts), f"{seconds} seconds")["start"]
 
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def micros(t: datetime | int) -> int:
+    """Microseconds since 1970 in UTC; a time without a zone is of UTC, whatever zone the driver is in."""
+    if isinstance(t, int):
+        return t
+    return ((t if t.tzinfo else t.replace(tzinfo=timezone.utc)) - _EPOCH) // timedelta(microseconds=1)
+
+
+def instant(t: datetime | int) -> Column:
+    """A time of the driver as a literal that no zone can shift."""
+    return F.timestamp_micros(F.lit(micros(t)))
+
+
 # Names of severities in texts.
 SEVERITY_NAMES = {
     "trace": "trace", "debug": "debug", "info": "info", "notice": "notice", "warning": "warning", "warn": "warning",
@@ -109,10 +131,11 @@ def number(c: ColumnLike) -> Column:
 
 
 def redis_endpoint(c: ColumnLike) -> Column:
-    """host and port of ``host:port`` or ``[v6]:port``."""
-    pattern = r"^\s*(?:\[([0-9A-Fa-f:.]+)\]|([^\s:\[\]]+)):(\d{1,5})\s*$"
+    """host and port of ``host:port`` or ``[v6]:port``; the port may be absent, and is null above 65535."""
+    pattern = r"^\s*(?:\[([0-9A-Fa-f:.]+)\]|([^\s:\[\]]+))(?::(\d{1,5}))?\s*$"
     host = F.coalesce(F.nullif(F.regexp_extract(col(c), pattern, 1), F.lit("")), F.nullif(F.regexp_extract(col(c), pattern, 2), F.lit("")))
-    return F.struct(host.alias("host"), F.regexp_extract(col(c), pattern, 3).try_cast("int").alias("port"))
+    port = F.regexp_extract(col(c), pattern, 3).try_cast("int")
+    return F.struct(host.alias("host"), F.when(port.between(1, 65535), port).alias("port"))
 
 
 def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:

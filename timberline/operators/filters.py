@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import attribute, attribute_exists, attribute_variant, kind_of
-from ..functions.text import fold_case
+from ..functions.text import fold_case, instant
 from ..plans.requests import EventFilter, Scalar
 
 IN_COLUMNS = {
@@ -39,9 +39,9 @@ def predicate(events: DataFrame, f: EventFilter) -> Column:
     if f.exclude_event_ids:
         parts.append(~F.col("id").isin(*f.exclude_event_ids))
     if f.start_time is not None:
-        parts.append(F.col("timestamp") >= F.lit(f.start_time))
+        parts.append(F.col("timestamp") >= instant(f.start_time))
     if f.end_time is not None:
-        parts.append(F.col("timestamp") < F.lit(f.end_time))
+        parts.append(F.col("timestamp") < instant(f.end_time))
     if f.parser_names:
         parts.append(attribute("parser_name").isin(*f.parser_names))
     if f.tags_any:

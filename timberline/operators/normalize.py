@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ class Defaults:
     application: str | None = None
     environment: str | None = None
     host: str | None = None
-    attributes: dict[str, str] = field(default_factory=dict)
+    attributes: dict[str, Any] = field(default_factory=dict)
 
 
 def normalize(rows: DataFrame, aliases: dict[str, str] | None = None, defaults: Defaults = Defaults()) -> DataFrame:
@@ -28,7 +30,8 @@ def normalize(rows: DataFrame, aliases: dict[str, str] | None = None, defaults:
 
     ``aliases`` names the column that stands for a canonical field, where there is one. Severities, kinds of source,
     times and durations are read from text. A row without a time, a message or a known severity gets an error, and
-    is kept. Attributes, a variant or JSON, are joined with those of ``defaults``, of which the row's own win.
+    is kept. Attributes, a variant or JSON, are joined with those of ``defaults``, of which the row's own win; numbers,
+    booleans, nulls, lists and nested objects stay what they are. Attributes that are no object count as none.
     """
     aliases = aliases or {}
 
@@ -48,9 +51,11 @@ def normalize(rows: DataFrame, aliases: dict[str, str] | None = None, defaults:
     message = F.trim(given("message").cast("string"))
     tags = given("tags") if own("tags").startswith("array") else F.when(given("tags").isNotNull(), F.array(given("tags").cast("string")))
     mine = given("attributes")
-    mine = F.from_json(F.to_json(mine) if own("attributes") == "variant" else mine.cast("string"), "map<string,string>")
-    stands = F.create_map(*(F.lit(x) for pair in defaults.attributes.items() for x in pair)).cast("map<string,string>")
-    both = F.map_concat(F.map_filter(stands, lambda k, _: ~F.coalesce(F.map_contains_key(mine, k), F.lit(False))), F.coalesce(mine, F.create_map().cast("map<string,string>")))
+    mine = mine if own("attributes") == "variant" else F.try_parse_json(mine.cast("string"))
+    # the top level as a map from names to variants
+    mine = F.coalesce(F.try_variant_get(mine, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    stands = F.create_map(*(c for k, v in defaults.attributes.items() for c in (F.lit(k), F.parse_json(F.lit(json.dumps(v)))))).cast("map<string,variant>")
+    both = F.map_concat(F.map_filter(stands, lambda k, _: ~F.map_contains_key(mine, k)), mine)
     made = {
         "timestamp": at,
         "severity": severity(given("severity").cast("string")),
@@ -60,7 +65,7 @@ def normalize(rows: DataFrame, aliases: dict[str, str] | None = None, defaults:
         "duration_ms": number(given("duration_ms")),
         "http_status": given("http_status").try_cast("int"),
         "tags": F.coalesce(tags, F.array().cast("array<string>")),
-        "attributes": F.parse_json(F.to_json(both)),
+        "attributes": F.to_variant_object(both),
     }
     made |= {f.name: text(f.name) for f in EVENT.fields if f.name not in made and f.name not in ("schema_version", "event_id", "ingested_at")}
     out = conform(rows.select(*(c.alias(n) for n, c in made.items())))

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.text import once, record_preview
 from ..schema import EVENT, invalid
 from ..sources.parsers import LogFormat, Registry, extension_of, iis_header, with_detection
+from ..sources.shared import stash
 from .ordering import running
 
 LINE_LIMIT, VOTERS = 1 << 20, 20
 #: Rows up to which a table of one row a file is broadcast.
-BROADCAST = 50_000
+BROADCAST, BROADCAST_BYTES = 50_000, 64 << 20
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -33,9 +34,15 @@ def lines_of(spark: SparkSession, text: str, name: str = "text") -> DataFrame:
     return spark.createDataFrame([(name, k, v) for k, v in enumerate(text.splitlines())], "file string, position long, value string")
 
 
-def small(rows: DataFrame) -> DataFrame:
-    """Marks a table for broadcast if it has at most BROADCAST rows; a larger one is left to a shuffled join."""
-    return F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows
+def small(rows: DataFrame) -> DataFrame | None:
+    """Writes a table of one row a file, so that it is made once; marked for broadcast if it has at most BROADCAST rows
+    and BROADCAST_BYTES bytes, left to a shuffled join if it has more, None if it is empty."""
+    kept = stash(rows)
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    n, size = kept.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    if not n:
+        return None
+    return F.broadcast(kept) if n <= BROADCAST and size <= BROADCAST_BYTES else kept
 
 
 def with_headers(lines: DataFrame) -> DataFrame:
@@ -46,7 +53,10 @@ def with_headers(lines: DataFrame) -> DataFrame:
     """
     heads = lines.filter("value like '#Fields:%'").select("file", F.struct("position", iis_header(F.col("value")).alias("names")).alias("head"))
     by_file = heads.groupBy(F.col("file").alias("_file")).agg(F.array_sort(F.collect_list("head")).alias("_heads"))
-    joined = lines.join(small(by_file), F.col("file") == F.col("_file"), "left")
+    found = small(by_file)
+    if found is None:
+        return lines.withColumn("header", F.lit(None).cast("array<string>"))
+    joined = lines.join(found, F.col("file") == F.col("_file"), "left")
     before = F.filter("_heads", lambda h: h["position"] < F.col("position"))
     return joined.withColumn("header", F.try_element_at(before, F.lit(-1))["names"]).drop("_file", "_heads")
 
@@ -84,8 +94,8 @@ def parse(lines: DataFrame, registry: Registry | None = None, mode: str = "row",
         own = F.coalesce(F.col("detected.name"), known)
         chosen = own
         if mode == "file":
-            votes = vote(lines, formats).withColumnsRenamed({"file": "_file", "parser": "_vote"})
-            rows = rows.join(small(votes), F.col("file") == F.col("_file"), "left").drop("_file")
+            votes = small(vote(lines, formats).withColumnsRenamed({"file": "_file", "parser": "_vote"}))
+            rows = rows.withColumn("_vote", F.lit(None).cast("string")) if votes is None else rows.join(votes, F.col("file") == F.col("_file"), "left").drop("_file")
             chosen = F.col("_vote")
             if mixed:
                 fits = F.lit(False)

@@ -3,13 +3,13 @@ latency and HTTP."""
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import DURATIONS, attribute_variant, scalar_text, status_class
-from ..functions.text import dimension, floor_time, ratio
+from ..functions.text import dimension, floor_time, micros, ratio
 from ..plans.requests import Limits, RequestError, check_group_field
 from .ordering import Percentiles, numbered, with_percentiles
 from .query import labelled
@@ -174,12 +174,13 @@ def descriptive(rows: DataFrame, column: str, percentiles: tuple[float, ...] = (
 LADDER = (1, 5, 10, 30, 60, 300, 900, 1800, 3600, 21_600, 43_200, 86_400)
 
 
-def choose_bucket(first: datetime, last: datetime, seconds: int | None, limits: Limits = Limits()) -> tuple[int, bool]:
-    """The bucket size for a span, and whether it is wider than the default: an asked size that makes too many
-    buckets is an error, the default widens along the ladder."""
+def choose_bucket(first: datetime | int, last: datetime | int, seconds: int | None, limits: Limits = Limits()) -> tuple[int, bool]:
+    """The bucket size for a span (times, or microseconds since 1970), and whether it is wider than the default: an asked
+    size that makes too many buckets is an error, the default widens along the ladder."""
+    low, high = micros(first), micros(last)
 
     def count(size: int) -> int:
-        return -(-int(last.timestamp() * 1e6) // (size * 1_000_000)) - int(first.timestamp()) // size
+        return -(-high // (size * 1_000_000)) - low // (size * 1_000_000)
 
     if seconds is not None:
         if count(seconds) > limits.buckets:
@@ -191,23 +192,26 @@ def choose_bucket(first: datetime, last: datetime, seconds: int | None, limits:
     raise RequestError("the time span is too long for any bucket size")
 
 
-def bounds(events: DataFrame, start: datetime | None, end: datetime | None) -> tuple[datetime | None, datetime | None]:
-    if start is not None and end is not None:
-        return start, end
-    low, high = events.agg(F.min("timestamp"), F.max("timestamp")).first()
-    high = high + timedelta(microseconds=1) if high is not None else None
-    return start or low, end or high
+def _at() -> Column:
+    return F.unix_micros(F.col("timestamp").cast("timestamp"))
 
 
-def _utc(t: datetime) -> datetime:
-    return t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t
+def bounds(events: DataFrame, start: datetime | None, end: datetime | None) -> tuple[int | None, int | None]:
+    """First and last (outside) microsecond since 1970: as given, else of the events. Times reach the driver as whole
+    numbers, so that its own zone does not matter."""
+    low, high = (None if t is None else micros(t) for t in (start, end))
+    if low is None or high is None:
+        first, last = events.agg(F.min(_at()), F.max(_at())).first()
+        low = first if low is None else low
+        high = (None if last is None else last + 1) if high is None else high
+    return low, high
 
 
-def timeline(events: DataFrame, seconds: int | None = None, start: datetime | None = None, end: datetime | None = None,
+def timeline(events: DataFrame, seconds: int | None = None, start: datetime | int | None = None, end: datetime | int | None = None,
              condition: Column | None = None, limits: Limits = Limits()) -> DataFrame:
     """One row per epoch-aligned bucket, empty ones included: counts, error rate, average and p95 duration, 5xx.
 
-    ``start`` and ``end`` (outside) default to the events' own first and last times.
+    ``start`` and ``end`` (outside), times or microseconds since 1970, default to the events' own first and last times.
     """
     rows = events.filter(condition) if condition is not None else events
     first, last = bounds(rows, start, end)
@@ -216,12 +220,10 @@ def timeline(events: DataFrame, seconds: int | None = None, start: datetime | No
         spine = spark.range(0).select(F.timestamp_seconds("id").alias("bucket_start"))
         seconds = seconds or limits.bucket_seconds
     else:
-        first, last = _utc(first), _utc(last)
         seconds, _ = choose_bucket(first, last, seconds, limits)
-        low = int(first.timestamp()) // seconds
-        high = -(-int(last.timestamp() * 1_000_000) // (seconds * 1_000_000))
-        spine = spark.range(low, high, 1, 1).select(F.timestamp_seconds(F.col("id") * seconds).alias("bucket_start"))
-        rows = rows.filter((F.col("timestamp") >= F.lit(first.replace(tzinfo=None)).cast("timestamp")) & (F.col("timestamp") < F.lit(last.replace(tzinfo=None)).cast("timestamp")))
+        spine = spark.range(first // (seconds * 1_000_000), -(-last // (seconds * 1_000_000)), 1, 1).select(F.timestamp_seconds(F.col("id") * seconds).alias("bucket_start"))
+        rows = rows.filter((_at() >= first) & (_at() < last))
+    rows = rows.select("timestamp", "severity", "x_duration", "x_status")
     folded = timeline_severity()
     rows = rows.withColumn("bucket_start", floor_time(F.col("timestamp").cast("timestamp"), seconds))
     counted = rows.groupBy("bucket_start").agg(

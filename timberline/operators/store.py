@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import instant
 from ..sources.shared import stash
 from .ordering import numbered, running
 
@@ -117,7 +118,7 @@ def delete(stored: DataFrame, ids: DataFrame) -> DataFrame:
 
 def retained(stored: DataFrame, seconds: float, now: datetime, basis: str = "inserted_at") -> DataFrame:
     """Events at most ``seconds`` old, by the time they came in or their own."""
-    return stored.filter(F.col(basis) >= F.lit(now - timedelta(seconds=seconds)))
+    return stored.filter(F.col(basis) >= instant(now - timedelta(seconds=seconds)))
 
 
 def within_capacity(stored: DataFrame, events: int | None = None, size: int | None = None, policy: str = "oldest_inserted") -> DataFrame:

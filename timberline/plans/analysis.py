@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import with_extracts
-from ..functions.text import preview
+from ..functions.text import instant, preview
 from ..operators import comparison, reports
 from ..operators.filters import apply_filter
 from ..operators.ordering import exact_percentiles
@@ -36,9 +36,9 @@ def prepared(events: DataFrame, request: AnalysisRequest) -> DataFrame:
     """The request's events with what its reports read."""
     rows = apply_filter(events, request.filter)
     if request.start_time is not None:
-        rows = rows.filter(F.col("timestamp") >= F.lit(request.start_time))
+        rows = rows.filter(F.col("timestamp") >= instant(request.start_time))
     if request.end_time is not None:
-        rows = rows.filter(F.col("timestamp") < F.lit(request.end_time))
+        rows = rows.filter(F.col("timestamp") < instant(request.end_time))
     return with_extracts(rows, duration_field=request.duration_field)
 
 
@@ -54,8 +54,7 @@ def analyze(events: DataFrame, request: AnalysisRequest, limits: Limits = Limits
     if "distributions" in order:
         out.distributions = reports.distributions(rows, request.distributions, request.top, limits)
     if "timeline" in order:
-        low, high = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
-        first, last = request.start_time or low, request.end_time or (high and high + timedelta(microseconds=1))
+        first, last = reports.bounds(rows, request.start_time, request.end_time)
         if first is not None and last is not None:
             seconds, widened = reports.choose_bucket(first, last, request.bucket_seconds, limits)
             out.timeline = reports.timeline(rows, seconds, first, last, limits=limits)

@@ -14,7 +14,7 @@ from .operators import comparison, parse, query, reports, store
 from .operators.filters import apply_filter
 from .plans.requests import Aggregation, ComparisonRequest, EventFilter, EventQuery, EventSort, Limits
 from .sources.parsers import Registry
-from .sources.shared import table
+from .sources.shared import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,8 +46,9 @@ CANONICAL = {
 }
 
 
-def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").selectExpr(*(f"{e} AS {n}" for n, e in CANONICAL.items()), "concat('t', user_id % 3) AS tag")
+def canonical(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    rows = (spread(rows) if dealt else rows).selectExpr(*(f"{e} AS {n}" for n, e in CANONICAL.items()), "concat('t', user_id % 3) AS tag")
     return rows.withColumns(
         {"tags": F.array("tag", "event_type"), "attributes": F.parse_json("attributes_json"), "content_hash": F.sha2(F.col("content").cast("binary"), 256)}
     ).drop("tag", "attributes_json", "content")
@@ -55,7 +56,7 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extracted(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
     """The canonical view with what its reports read, or with some of it."""
-    return with_extracts(canonical(spark, sf_dir), only=only or EXTRACTS)
+    return with_extracts(canonical(spark, sf_dir, True), only=only or EXTRACTS)
 
 
 EV = (
@@ -461,7 +462,7 @@ READ_BACK = {
 
 
 def written_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    rows = canonical(spark, sf_dir)
+    rows = canonical(spark, sf_dir, True)
     return rows.select(F.lit(kind).alias("file"), F.col("event_id").alias("position"), F.expr(LINES[kind][1]).alias("value"))
 
 

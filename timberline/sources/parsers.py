@@ -45,6 +45,22 @@ def part(line: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
 
 
+#: A sign that no text holds (Unicode sets it aside), between the groups of a match.
+SPLIT = "\uffff"
+
+
+def match(line: Column, pattern: str, n: int) -> Column:
+    """All ``n`` groups of a pattern that covers the line, from one match of it; an array of another size if there is none."""
+    groups = F.regexp_replace(line, pattern, SPLIT.join(f"${k}" for k in range(1, n + 1)))
+    return F.when(~F.contains(line, F.lit(SPLIT)), F.split(groups, SPLIT))
+
+
+def groups(found: Column, names: tuple[str, ...]) -> Pieces:
+    """The groups of ``match`` by name; null if the line does not match or the group took no part or is empty."""
+    there = F.size(found) == len(names)
+    return {name: F.when(there, F.nullif(F.get(found, F.lit(k)), F.lit(""))) for k, name in enumerate(names)}
+
+
 def dashless(text: Column) -> Column:
     return F.nullif(text, F.lit("-"))
 
@@ -71,6 +87,8 @@ class LogFormat:
     tags: tuple[str, ...] = ()
     extensions: tuple[str, ...] = (".log", ".txt")
     enabled: bool = True
+    #: Signs, as a class of a pattern, with which a line of the format can begin, white space aside; None for any.
+    heads: str | None = None
     steps: tuple[Callable[[Pieces], Pieces], ...] = ()
 
     def staged(self, rows: DataFrame, chosen: Column, given: Pieces) -> tuple[DataFrame, str]:
@@ -230,15 +248,17 @@ def _source(vendor: str) -> Column:
 def access_steps(vendor: str = "generic"):
     """Common and combined access lines; a request time in seconds may follow."""
 
-    def pieces(p: Pieces) -> Pieces:
-        names = ("host", "user", "time", "request", "code", "bytes", "referer", "agent", "seconds")
-        return {n: part(p["line"], ACCESS, k) for k, n in enumerate(names, 1)}
+    names, parts = ("host", "user", "time", "request", "code", "bytes", "referer", "agent", "seconds"), ("verb", "target", "version")
+
+    def found(p: Pieces) -> Pieces:
+        return {"found": match(p["line"], ACCESS, len(names))}
 
     def request(p: Pieces) -> Pieces:
-        return {"verb": part(p["request"], REQUEST, 1), "target": part(p["request"], REQUEST, 2), "version": part(p["request"], REQUEST, 3),
-                "at": F.try_to_timestamp(p["time"], F.lit("d/MMM/yyyy:HH:mm:ss Z"))}
+        g = groups(p["found"], names)
+        return {"asked": match(g["request"], REQUEST, len(parts)), "at": F.try_to_timestamp(g["time"], F.lit("d/MMM/yyyy:HH:mm:ss Z"))}
 
     def event(p: Pieces) -> Pieces:
+        p = p | groups(p["found"], names) | groups(p["asked"], parts)
         message = F.concat(F.coalesce(p["verb"], F.lit("REQUEST")), F.lit(" "), F.coalesce(p["target"], F.lit("/")), F.lit(" -> "), p["code"])
         attributes = F.struct(
             F.lit("apache_nginx_access").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), F.lit(vendor).alias("vendor"), p["request"].alias("request"),
@@ -253,7 +273,7 @@ def access_steps(vendor: str = "generic"):
         )
         return {"event": F.when(p["host"].isNotNull(), out)}
 
-    return pieces, request, event
+    return found, request, event
 
 
 #: Date, level, process and thread, number of the connection, message.
@@ -270,11 +290,13 @@ ERROR_LEVELS = {"error": "error", "crit": "error", "critical": "error", "warn":
 def error_steps(vendor: str = "generic"):
     """Error lines of either server; nginx's ``, key: value`` tail goes to attributes."""
 
-    def pieces(p: Pieces) -> Pieces:
-        nginx = {n: part(p["line"], NGINX_ERROR, k) for k, n in enumerate(("date", "mark", "pid", "connection", "text"), 1)}
-        return nginx | {n: part(p["line"], APACHE_ERROR, k) for k, n in enumerate(("day", "year", "grade", "client", "said"), 1)}
+    nginx, apache = ("date", "mark", "pid", "connection", "text"), ("day", "year", "grade", "client", "said")
+
+    def found(p: Pieces) -> Pieces:
+        return {"nginx": match(p["line"], NGINX_ERROR, len(nginx)), "apache": match(p["line"], APACHE_ERROR, len(apache))}
 
     def tail(p: Pieces) -> Pieces:
+        p = groups(p["nginx"], nginx) | groups(p["apache"], apache)
         keys, values = (F.regexp_extract_all(p["text"], F.lit(TAIL), F.lit(k)) for k in (1, 2))
         pairs = F.map_from_entries(F.arrays_zip(keys.alias("k"), F.transform(values, lambda v: F.trim(v, F.lit('" '))).alias("v")))
         return {
@@ -284,6 +306,7 @@ def error_steps(vendor: str = "generic"):
         }
 
     def event(p: Pieces) -> Pieces:
+        p = p | groups(p["nginx"], nginx) | groups(p["apache"], apache)
         of = lambda k: F.element_at(p["pairs"], F.lit(k))
         attributes = F.struct(
             F.lit("apache_nginx_error").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), F.lit(vendor).alias("vendor"), p["level"].alias("severity"),
@@ -297,7 +320,7 @@ def error_steps(vendor: str = "generic"):
         )
         return {"event": F.when(p["level"].isNotNull(), out)}
 
-    return pieces, tail, event
+    return found, tail, event
 
 
 # ---- syslog --------------------------------------------------------------------------------------------------------
@@ -323,41 +346,54 @@ def _syslog(p: Pieces, flavor: str, parser: str, kind: Column, text: Column, mor
 def rfc5424_steps():
     """Header, structured data (which may be absent) and message; an empty message becomes the message id."""
 
+    names = ("pri", "time", "host", "app", "process", "msgid", "data", "text")
+
     def pieces(p: Pieces) -> Pieces:
-        names = ("pri", "time", "host", "app", "process", "msgid", "data", "text")
-        return {n: part(p["line"], RFC5424, k) if n in ("pri", "text") else dashless(part(p["line"], RFC5424, k)) for k, n in enumerate(names, 1)}
+        return p | {n: c if n in ("pri", "text") else dashless(c) for n, c in groups(p["found"], names).items()}
+
+    def found(p: Pieces) -> Pieces:
+        return {"found": match(p["line"], RFC5424, len(names))}
 
     def made(p: Pieces) -> Pieces:
+        p = pieces(p)
         return {"at": timestamp(p["time"]), "said": F.coalesce(clean(p["text"]), p["msgid"], F.lit("-"))}
 
     def event(p: Pieces) -> Pieces:
+        p = pieces(p)
         more = [p["process"].alias("process_id"), p["msgid"].alias("message_id"), p["data"].alias("structured_data")]
         return _syslog(p, "rfc5424", "rfc5424_syslog", F.coalesce(p["msgid"], p["app"]), p["said"], more)
 
-    return pieces, made, event
+    return found, made, event
 
 
 def rfc3164_steps(year: int | None = None, zone: str = "UTC"):
     """Lines without a year take ``year``, or the present one; times are of ``zone``."""
 
-    def pieces(p: Pieces) -> Pieces:
-        return {n: part(p["line"], RFC3164, k) for k, n in enumerate(("pri", "time", "host", "app", "process", "text"), 1)}
+    names = ("pri", "time", "host", "app", "process", "text")
+
+    def found(p: Pieces) -> Pieces:
+        return {"found": match(p["line"], RFC3164, len(names))}
 
     def made(p: Pieces) -> Pieces:
+        p = groups(p["found"], names)
         of = F.year(F.current_timestamp()) if year is None else F.lit(year)
         when = F.concat(of.cast("string"), F.lit(" "), F.regexp_replace(p["time"], r"\s+", " "))
         return {"at": F.to_utc_timestamp(F.try_to_timestamp(when, F.lit("yyyy MMM d HH:mm:ss")), zone)}
 
     def event(p: Pieces) -> Pieces:
+        p = p | groups(p["found"], names)
         return _syslog(p, "rfc3164", "rfc3164_syslog", p["app"], p["text"], [p["process"].alias("process_id")])
 
-    return pieces, made, event
+    return found, made, event
 
 
 # ---- redis ---------------------------------------------------------------------------------------------------------
 
-REDIS = r"(\d+):([MSXCAR?]) (\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}(?:\.\d{1,6})?) ([.\-*#]) (.+)$"
-REDIS_WRAPPER = r"^(?:([A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2}|\d{4}-\d{2}-\d{2}T\S+) (\S+) (redis-(?:server|sentinel))(?:\[\d+\])?: )?"
+#: Process and role (or a bare process in brackets), day, month, perhaps year, time, marker, message; the first two may
+#: be absent.
+REDIS = r"(?:(\d+):([A-Za-z?]) +)?(?:\[(\d+)\] +)?(\d{1,2} +[A-Za-z]{3} +(?:\d{4} +)?\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?) +([.\-*#]) +(\S.*)$"
+#: What a system log (time, host, process) or a container's log (time, stream, flag) puts in front.
+REDIS_WRAPPER = r"^\s*(?:(?:[A-Za-z]{3} +\d{1,2} +\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?|\d{4}-\d\d-\d\dT\S+) +(?:(\S+) +(\S+): +|(stdout|stderr|F|P) +(?:[FP] +)?))?"
 REDIS_LINE = REDIS_WRAPPER + REDIS
 # Roles, and what messages stand for, first match first.
 REDIS_ROLES = {"M": "master", "S": "replica", "X": "sentinel", "C": "child", "A": "child", "R": "unknown", "?": "unknown"}
@@ -372,35 +408,49 @@ REDIS_RULES = (
 )
 
 
-def redis_steps():
-    """Server lines, bare or behind a system log's prefix; a summary takes the message's place."""
+def redis_steps(year: int | None = None, zone: str = "UTC"):
+    """Server lines, bare or behind the prefix of a system's or a container's log; a summary takes the message's place.
+    Lines without a year take ``year``, or the present one; times are of ``zone``."""
 
-    def pieces(p: Pieces) -> Pieces:
-        names = ("outer_time", "outer_host", "outer_process", "pid", "role_code", "time", "marker", "text")
-        return {n: part(p["line"], REDIS_LINE, k) for k, n in enumerate(names, 1) if n != "outer_time"}
+    names = ("outer_host", "outer_process", "stream", "server", "letter", "bracket", "time", "marker", "text")
+
+    def matched(p: Pieces) -> Pieces:
+        return {"found": match(p["line"], REDIS_LINE, len(names))}
 
     def made(p: Pieces) -> Pieces:
+        p = groups(p["found"], names)
         text, found = F.lower(p["text"]), F.lit(None)
         for needle, category, kind, level, summary in reversed(REDIS_RULES):
             rule = F.struct(F.lit(category).alias("category"), F.lit(kind).alias("kind"), F.lit(level).alias("level"), F.lit(summary).alias("summary"))
             found = F.when(F.contains(text, F.lit(needle)), rule).otherwise(found) if needle else rule
-        at = F.coalesce(*(F.try_to_timestamp(p["time"], F.lit(f)) for f in ("d MMM yyyy HH:mm:ss[.SSS]", "d MMM yyyy HH:mm:ss.SSSSSS")))
-        return {"rule": found, "role": lookup(p["role_code"], REDIS_ROLES), "at": at}
+        of = F.year(F.current_timestamp()) if year is None else F.lit(year)
+        day = F.initcap(F.regexp_replace(p["time"], " +", " "))
+        day = F.regexp_replace(day, r"^(\d+ [A-Z][a-z]{2}) (?=\d\d:)", F.concat(F.lit("$1 "), of.cast("string"), F.lit(" ")))
+        # fractions have any number of digits
+        whole = F.try_to_timestamp(F.regexp_replace(day, r"\.\d+$", ""), F.lit("d MMM yyyy HH:mm:ss"))
+        part_of = F.coalesce(F.nullif(F.regexp_extract(day, r"(\.\d+)$", 1), F.lit("")).cast("double"), F.lit(0.0))
+        at = F.timestamp_micros(F.unix_micros(whole) + F.round(part_of * 1e6).cast("long"))
+        code = F.upper(p["letter"])
+        return {
+            "rule": found, "role_code": code, "role": F.when(code.isNotNull(), lookup(code, REDIS_ROLES, F.lit("unknown"))), "at": F.to_utc_timestamp(at, zone),
+            "pid": F.coalesce(p["server"], p["bracket"]), "process": F.coalesce(p["outer_process"], p["stream"]),
+        }
 
     def event(p: Pieces) -> Pieces:
+        p = p | groups(p["found"], names)
         rule, role = p["rule"], p["role"]
         attributes = F.struct(
             F.lit("redis_log").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), p["pid"].cast("long").alias("pid"), role.alias("role"), p["role_code"].alias("role_code"),
-            p["marker"].alias("level_marker"), rule["category"].alias("category"), p["outer_host"].alias("outer_host"), p["outer_process"].alias("outer_process"), p["text"].alias("original_message"),
+            p["marker"].alias("level_marker"), rule["category"].alias("category"), p["outer_host"].alias("outer_host"), p["process"].alias("outer_process"), p["text"].alias("original_message"),
         )
         out = record(
             timestamp=p["at"], source_type=F.lit("redis"), severity=rule["level"], event_type=rule["kind"], message=rule["summary"], host=p["outer_host"],
             service=F.when(role == "sentinel", "redis-sentinel").otherwise("redis"), application=F.lit("redis"),
             tags=F.array_distinct(F.array_compact(F.array(F.lit("redis"), rule["category"], role))), attributes=F.to_json(attributes),
         )
-        return {"event": F.when(p["pid"].isNotNull(), out)}
+        return {"event": F.when(p["marker"].isNotNull(), out)}
 
-    return pieces, made, event
+    return matched, made, event
 
 
 # ---- IIS -----------------------------------------------------------------------------------------------------------
@@ -516,12 +566,12 @@ def builtin_formats(context: Context = Context()) -> list[LogFormat]:
     sure = lambda pattern, c: lambda x: F.when(x.rlike(pattern), c).otherwise(0.0)
     json = lambda x: F.when(F.try_parse_json(F.when(F.trim(x).startswith("{"), x)).isNotNull(), 0.9).otherwise(0.0)
     return [
-        LogFormat("json_log", 90, "json", json, tags=("json",), extensions=(".json", ".jsonl", ".log"), steps=json_steps()),
-        LogFormat("windows_event_xml", 95, "windows_event", windows, tags=("windows",), extensions=(".xml", ".evtx.xml"), steps=windows_steps()),
-        LogFormat("iis_w3c", 100, "iis", lambda x: _sum(*((c, x.rlike(p)) for c, p in iis)), tags=("iis", "http"), steps=iis_steps()),
-        LogFormat("rfc5424_syslog", 100, "syslog", sure(RFC5424, 0.95), tags=("syslog",), extensions=(".log", ".syslog"), steps=rfc5424_steps()),
-        LogFormat("rfc3164_syslog", 105, "syslog", sure(RFC3164, 0.98), tags=("syslog",), extensions=(".log", ".syslog"), steps=rfc3164_steps(context.year, context.zone)),
-        LogFormat("redis_log", 110, "redis", sure(REDIS_LINE, 0.9), tags=("redis",), steps=redis_steps()),
+        LogFormat("json_log", 90, "json", json, tags=("json",), extensions=(".json", ".jsonl", ".log"), heads=r"{", steps=json_steps()),
+        LogFormat("windows_event_xml", 95, "windows_event", windows, tags=("windows",), extensions=(".xml", ".evtx.xml"), heads=r"<", steps=windows_steps()),
+        LogFormat("iis_w3c", 100, "iis", lambda x: _sum(*((c, x.rlike(p)) for c, p in iis)), tags=("iis", "http"), heads=r"#0-9", steps=iis_steps()),
+        LogFormat("rfc5424_syslog", 100, "syslog", sure(RFC5424, 0.95), tags=("syslog",), extensions=(".log", ".syslog"), heads=r"<", steps=rfc5424_steps()),
+        LogFormat("rfc3164_syslog", 105, "syslog", sure(RFC3164, 0.98), tags=("syslog",), extensions=(".log", ".syslog"), heads=r"<", steps=rfc3164_steps(context.year, context.zone)),
+        LogFormat("redis_log", 110, "redis", sure(REDIS_LINE, 0.9), tags=("redis",), heads=r"A-Za-z0-9\[", steps=redis_steps(context.year, context.zone)),
         LogFormat("apache_nginx_access", 120, "application", lambda x: F.when(x.rlike(ACCESS), 0.9).when(x.rlike(LIKE_ACCESS), 0.75).otherwise(0.0), tags=("webserver", "http"), steps=access_steps(context.vendor)),
         LogFormat("apache_nginx_error", 121, "application", lambda x: F.when(x.rlike(NGINX_ERROR) | x.rlike(APACHE_ERROR), 0.9).when(x.rlike(LIKE_ERROR), 0.75).otherwise(0.0), tags=("webserver",), steps=error_steps(context.vendor)),
     ]
@@ -573,8 +623,9 @@ def extension_of(file: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"(\.[a-z0-9]+(?:\.xml)?)$", 1), F.lit(""))
 
 
-def scores(line: Column, formats: list[LogFormat], extension: Column | None = None) -> Pieces:
-    """Each format's confidence. A format with extensions takes no part in a file of another extension; if no format
+def scores(line: Column, formats: list[LogFormat], extension: Column | None = None, first: Column | None = None) -> Pieces:
+    """Each format's confidence. ``first`` is the line's first sign that is no white space: only formats that can begin
+    with it look at the line, which for most signs are one or two. A format with extensions takes no part in a file of another extension; if no format
     knows a file's extension, all take part."""
     known = sorted({e for f in formats for e in f.extensions})
 
@@ -584,7 +635,10 @@ def scores(line: Column, formats: list[LogFormat], extension: Column | None = No
         fits = extension.isNull() | extension.isin(*f.extensions) | ~extension.isin(*known)
         return F.when(fits, f.detect(line)).otherwise(0.0)
 
-    return {f"_score_{f.name}": of(f) for f in formats}
+    def walked(f: LogFormat) -> Column:
+        return of(f) if f.heads is None or first is None else F.when(F.rlike(first, F.lit(f"^[{f.heads}]")), of(f)).otherwise(0.0)
+
+    return {f"_score_{f.name}": walked(f) for f in formats}
 
 
 def best(found: Pieces, formats: list[LogFormat]) -> Column:
@@ -608,8 +662,9 @@ def detect(line: Column, formats: list[LogFormat], extension: Column | None = No
 
 def with_detection(rows: DataFrame, formats: list[LogFormat], name: str = "detected", extension: Column | None = None) -> DataFrame:
     """Adds ``best`` of the column value; scores and choice are steps of their own."""
-    found = scores(F.col("value"), formats, extension)
+    rows = once(rows, {"_first": F.left(F.ltrim("value", F.lit(" \t\r\n")), F.lit(1))} | ({"_extension": extension} if extension is not None else {}))
+    found = scores(F.col("value"), formats, F.col("_extension") if extension is not None else None, F.col("_first"))
     items = list(found.items())
     for low in range(0, len(items), AT_ONCE):
         rows = once(rows, dict(items[low : low + AT_ONCE]))
-    return once(rows, {name: best({n: F.col(n) for n in found}, formats)}).drop(*found)
+    return once(rows, {name: best({n: F.col(n) for n in found}, formats)}).drop(*found, "_first", "_extension")

@@ -40,3 +40,10 @@ def stash(df: DataFrame, codec: str = "zstd") -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows of fewer partitions than cores, such as those of one file that cannot be split, to all cores before
+    work that costs much a row. Filters and column choices are still pushed to the scan below."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
