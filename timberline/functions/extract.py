@@ -214,6 +214,7 @@ def with_extracts(events: DataFrame, duration_field: str | None = None, status_f
     """Adds x_duration, x_duration_field, x_duration_invalid, x_status, x_method, x_path, x_endpoint, x_service, x_host,
     x_event_type, x_parser and x_http: what all reports read, or those that ``only`` names."""
     wanted = set(only)
+    events = events.drop(*EXTRACTS, "x_duration_field", "x_duration_invalid")  # those of an earlier extraction
     if wanted & {"x_endpoint", "x_http"}:
         wanted.add("x_path")
     if "x_http" in wanted:

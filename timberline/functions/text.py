@@ -139,13 +139,12 @@ def redis_endpoint(c: ColumnLike) -> Column:
 
 
 def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Adds columns that are computed once a row, however often and wherever they are used.
+    """Adds columns, of names that are not there yet, which are computed once a row, however often and wherever they are
+    used.
 
     They come out of a generator of one row, past which Catalyst neither copies expressions nor pushes filters.
     """
-    keep = [c for c in rows.columns if c not in columns]
-    made = F.explode(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))).alias("_once")
-    return rows.select(*keep, made).select(*keep, *(F.col(f"_once.{k}").alias(k) for k in columns))
+    return rows.select("*", F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

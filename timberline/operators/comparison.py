@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dimension
 from ..plans.requests import ComparisonRequest
+from ..sources.shared import stash
 from .filters import predicate
 from .ordering import exact_percentiles
 from .reports import count_where, summary_severity
@@ -77,7 +78,8 @@ def metrics(events: DataFrame, request: ComparisonRequest) -> DataFrame:
         for side, flag in (("b", "in_base"), ("c", "in_comp")):
             value, samples = _metric(name, flag, request)
             aggs += [value.alias(f"{name}_{side}"), samples.alias(f"{name}_{side}n")]
-    rows = scopes(events, request)
+    # read for values and percentiles: what they need is extracted once
+    rows = stash(scopes(events, request).select("in_base", "in_comp", "severity", "timestamp", "x_http", "x_status", "x_duration"))
     wide = rows.agg(*aggs)
     asked = {m: (float(m[1:3]), request.percentile_method) for m in request.metrics if m in ("p50_duration", "p95_duration", "p99_duration")}
     if asked:

@@ -85,6 +85,7 @@ def parse(lines: DataFrame, registry: Registry | None = None, mode: str = "row",
     registry = registry or Registry()
     formats = registry.active() if mode in ("row", "file") else [registry.get(mode)]
     iis = any(f.name == "iis_w3c" for f in formats)
+    lines = lines.drop("parser", "confidence", "ambiguous", "status", "error", "event", "header")
     rows = with_headers(lines) if iis else lines.withColumn("header", F.lit(None).cast("array<string>"))
     rows = rows.withColumns({"too_long": F.length("value") > limit, "value": F.when(F.length("value") <= limit, F.col("value"))})
     directive = F.coalesce(F.startswith("value", F.lit("#")), F.lit(False))
@@ -107,11 +108,12 @@ def parse(lines: DataFrame, registry: Registry | None = None, mode: str = "row",
         rows = rows.withColumns({"confidence": F.when(told, F.col("detected.confidence")), "ambiguous": F.when(told, F.col("detected.ambiguous"))}).drop("detected")
     else:
         rows = rows.withColumns({"parser": F.lit(mode), "confidence": F.lit(1.0), "ambiguous": F.lit(False)})
-    made = []
+    made, between = [], []
     for f in formats:
-        rows, name = f.staged(rows, F.col("parser") == f.name, {"line": F.col("value"), "header": F.col("header")})
+        rows, name, more = f.staged(rows)
         made.append(name)
-    rows = rows.withColumn("event", F.coalesce(*made)).drop(*made)
+        between += more
+    rows = rows.withColumn("event", F.coalesce(*made)).drop(*made, *between)
     blank = F.coalesce(F.trim("value") == "", F.lit(False))
     status = (
         F.when(F.col("too_long"), "failure").when(blank, "skipped")

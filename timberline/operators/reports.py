@@ -12,6 +12,7 @@ from ..functions.extract import DURATIONS, attribute_variant, scalar_text, statu
 from ..functions.text import dimension, floor_time, micros, ratio
 from ..plans.requests import Limits, RequestError, check_group_field
 from .ordering import Percentiles, numbered, with_percentiles
+from ..sources.shared import stash
 from .query import labelled
 
 ERRORS, CRITICALS = ("error",), ("critical", "fatal")
@@ -161,6 +162,8 @@ def wanted(percentiles: tuple[float, ...], method: str) -> Percentiles:
 def descriptive(rows: DataFrame, column: str, percentiles: tuple[float, ...] = (50, 90, 95, 99), method: str = "nearest_rank",
                 keys: tuple[str, ...] = (), more: tuple[Column, ...] = ()) -> DataFrame:
     """count, min, max, mean, median, population deviation and percentiles of a column for each key, and ``more``."""
+    if not more:
+        rows = stash(rows.select(*keys, column))
     groups = rows.groupBy(*keys).agg(
         F.count(column).alias("count"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"),
         F.stddev_pop(column).alias("stddev"), *more,
@@ -214,6 +217,8 @@ def timeline(events: DataFrame, seconds: int | None = None, start: datetime | in
     ``start`` and ``end`` (outside), times or microseconds since 1970, default to the events' own first and last times.
     """
     rows = events.filter(condition) if condition is not None else events
+    # read for bounds, counts and percentiles: what these need is extracted once
+    rows = stash(rows.select("timestamp", "severity", "x_duration", "x_status"))
     first, last = bounds(rows, start, end)
     spark = events.sparkSession
     if first is None or last is None:
@@ -223,7 +228,6 @@ def timeline(events: DataFrame, seconds: int | None = None, start: datetime | in
         seconds, _ = choose_bucket(first, last, seconds, limits)
         spine = spark.range(first // (seconds * 1_000_000), -(-last // (seconds * 1_000_000)), 1, 1).select(F.timestamp_seconds(F.col("id") * seconds).alias("bucket_start"))
         rows = rows.filter((_at() >= first) & (_at() < last))
-    rows = rows.select("timestamp", "severity", "x_duration", "x_status")
     folded = timeline_severity()
     rows = rows.withColumn("bucket_start", floor_time(F.col("timestamp").cast("timestamp"), seconds))
     counted = rows.groupBy("bucket_start").agg(
@@ -265,6 +269,7 @@ HISTOGRAM = (10, 50, 100, 250, 500, 1000, 2000, 5000, 10_000)
 
 def latency(events: DataFrame, percentiles: tuple[float, ...] = (50, 90, 95, 99), method: str = "nearest_rank") -> DataFrame:
     """One row: samples, events without and with invalid durations, statistics, percentiles, commonest field."""
+    events = stash(events.select("x_duration", "x_duration_invalid", "x_duration_field"))  # read three times
     row = descriptive(
         events, "x_duration", percentiles, method,
         more=(count_where(F.col("x_duration").isNull() & ~F.col("x_duration_invalid")).alias("missing_count"), count_where(F.col("x_duration_invalid")).alias("invalid_count")),
@@ -296,7 +301,7 @@ def slowest(events: DataFrame, top: int = 10) -> DataFrame:
 
 def latency_by(events: DataFrame, key: str, top: int = 10) -> DataFrame:
     """Of the keys with most samples: count, min, max, mean and p95. Percentiles are taken of these keys alone."""
-    rows = events.filter("x_duration is not null").select(dimension(key).alias("key"), "x_duration").filter("key is not null")
+    rows = stash(events.filter("x_duration is not null").select(dimension(key).alias("key"), "x_duration").filter("key is not null"))
     order = [F.desc("sample_count"), F.asc("key")]
     chosen = rows.groupBy("key").agg(F.count(F.lit(1)).alias("sample_count")).orderBy(*order).limit(top)
     chosen = chosen.withColumn("position", F.row_number().over(Window.orderBy(*order)))
@@ -372,16 +377,24 @@ def _detailed(chosen: DataFrame, events: DataFrame, top: int, p95: bool) -> Data
     return with_percentiles(out, rows, "x_duration", {"p95_ms": (95, "nearest_rank")}, ("endpoint",)) if p95 else out
 
 
+def _requests(events: DataFrame) -> DataFrame:
+    """What reports of endpoints read, extracted once."""
+    return stash(http_events(events).select("x_http", "x_endpoint", "x_status", "x_duration", "x_method", "x_service", "timestamp"))
+
+
 def busiest_endpoints(events: DataFrame, top: int = 10) -> DataFrame:
+    events = _requests(events)
     return _detailed(_top(endpoints(events), [F.desc("requests"), F.asc("endpoint")], top), events, top, True)
 
 
 def slowest_endpoints(events: DataFrame, top: int = 10, samples: int = 5) -> DataFrame:
+    events = _requests(events)
     rows = endpoint_p95(endpoints(events).filter(F.col("samples") >= samples), events)
     return _detailed(_top(rows, [F.desc("p95_ms"), F.desc("average_ms"), F.desc("requests"), F.asc("endpoint")], top), events, top, False)
 
 
 def failing_endpoints(events: DataFrame, top: int = 10, requests: int = 10) -> DataFrame:
+    events = _requests(events)
     rows = endpoints(events).filter((F.col("requests") >= requests) & (F.col("error_rate") > 0))
     return _detailed(_top(rows, [F.desc("error_rate"), F.desc("requests"), F.asc("endpoint")], top), events, top, True)
 

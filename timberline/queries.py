@@ -234,7 +234,7 @@ _DIST = " UNION ALL ".join([f"SELECT '{n}' AS field, {c} AS value FROM x WHERE {
     CAST(matched_value_count - sum(count) OVER (PARTITION BY field) AS BIGINT) AS other_count, unique_values > 5 AS truncated FROM r WHERE position <= 5""",
 )
 def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.distributions(extracted(spark, sf_dir), (*_FIELDS, "tags"), 5), "percentage")
+    return rounded(reports.distributions(extracted(spark, sf_dir, "x_status", "x_method", "x_event_type", "x_service", "x_host", "x_parser"), (*_FIELDS, "tags"), 5), "percentage")
 
 
 for _method, _fn in {"nearest_rank": "quantile_disc", "linear": "quantile_cont"}.items():
@@ -414,7 +414,7 @@ _JUDGE = """round({c} - {b}, 6) AS absolute_change, round(CASE WHEN {b} = 0 AND
     "CASE WHEN metric IN ('event_count', 'throughput') OR direction = 'unchanged' THEN 'neutral' WHEN direction = 'increased' THEN 'degraded' ELSE 'improved' END AS reading FROM j",
 )
 def comparison_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = comparison.metrics(extracted(spark, sf_dir), COMPARED)
+    rows = comparison.metrics(extracted(spark, sf_dir, "x_duration", "x_http"), COMPARED)
     return rounded(rows.drop("baseline_samples", "comparison_samples"), "baseline", "comparison", "absolute_change", "percent_change")
 
 
@@ -430,7 +430,7 @@ _GROUPED = " UNION ALL ".join(f"SELECT '{n}' AS field, CAST({c} AS VARCHAR) AS k
     + ", baseline_count >= 10 AND comparison_count >= 10 AND abs(comparison_count - baseline_count) / baseline_count * 100 >= 20 AS significant, CAST(row_number() OVER (PARTITION BY field ORDER BY abs(cs - bs) DESC, comparison_count DESC, key) AS INT) AS position FROM s) SELECT * FROM r WHERE position <= 5",
 )
 def comparison_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(comparison.groups(extracted(spark, sf_dir), COMPARED), "baseline_share", "comparison_share", "point_change", "percent_change", "absolute_change")
+    return rounded(comparison.groups(extracted(spark, sf_dir, "x_status", "x_service", "x_host"), COMPARED), "baseline_share", "comparison_share", "point_change", "percent_change", "absolute_change")
 
 
 # ---- formats: events written as lines, then read back -----------------------------------------------------------------

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ ATTRIBUTES = "attributes"
 Pieces = dict[str, Column]
 #: Columns that one generated method makes.
 AT_ONCE = 6
+#: Columns of formats that were made before.
+_STAGES: dict[tuple, list[Pieces]] = {}
 
 
 def record(**values: Column) -> Column:
@@ -91,18 +94,27 @@ class LogFormat:
     heads: str | None = None
     steps: tuple[Callable[[Pieces], Pieces], ...] = ()
 
-    def staged(self, rows: DataFrame, chosen: Column, given: Pieces) -> tuple[DataFrame, str]:
-        """Adds the event, in the column whose name is returned, of rows for which ``chosen`` holds."""
+    def staged(self, rows: DataFrame, header: bool = True) -> tuple[DataFrame, str, list[str]]:
+        """Adds the event, in the column whose name is returned, of rows whose column parser has the format's name; the
+        last value names the columns made on the way. Lines are in the column value, field names, if any, in header."""
+        key = (self, header, id(SparkContext._gateway))
+        if key not in _STAGES:  # columns are the same for all tables, and there are many of them
+            _STAGES[key] = self._stages(header)
+        stages, out = _STAGES[key], f"_event_{self.name}"
+        for named in stages:
+            rows = once(rows, named)
+        return rows, out, [n for named in stages for n in named if n != out]
+
+    def _stages(self, header: bool) -> list[Pieces]:
         steps = self.steps or (lambda p: {"event": self.parse(p["line"])},)
-        pieces, made, out = dict(given), [], f"_event_{self.name}"
+        chosen, out, stages = F.col("parser") == self.name, f"_event_{self.name}", []
+        pieces: Pieces = {"line": F.col("value"), "header": F.col("header") if header else F.lit(None).cast("array<string>")}
         for k, step in enumerate(steps):
             items = [(n, F.when(chosen, c)) for n, c in step(pieces).items()]
             for low in range(0, len(items), AT_ONCE):
-                named = {out if n == "event" else f"_{self.name}_{k}_{n}": c for n, c in items[low : low + AT_ONCE]}
-                rows = once(rows, named)
-                made += [n for n in named if n != out]
+                stages.append({out if n == "event" else f"_{self.name}_{k}_{n}": c for n, c in items[low : low + AT_ONCE]})
             pieces |= {n: F.col(out if n == "event" else f"_{self.name}_{k}_{n}") for n, _ in items}
-        return rows.drop(*made), out
+        return stages
 
     def event(self, line: Column, header: Column | None = None) -> Column:
         """The event as one expression, for a single column or a stream."""
@@ -559,13 +571,14 @@ def _sum(*signs: tuple[float, Column]) -> Column:
     return F.least(reduce(lambda a, b: a + b, [F.when(c, w).otherwise(0.0) for w, c in signs]), F.lit(1.0))
 
 
-def builtin_formats(context: Context = Context()) -> list[LogFormat]:
+@cache
+def builtin_formats(context: Context = Context()) -> tuple[LogFormat, ...]:
     # The confidences, priorities and extensions of each format.
     iis = ((0.75, r"^#Fields:"), (0.45, r"^#Software:.*(IIS|Internet Information)"), (0.6, r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d \S+ (GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS) /"))
     windows = lambda x: F.when(F.trim(x).rlike(WINDOWS_HEAD), _sum((0.8, F.lit(True)), (0.1, x.contains("<System")), (0.1, x.contains("<EventData")))).otherwise(0.0)
     sure = lambda pattern, c: lambda x: F.when(x.rlike(pattern), c).otherwise(0.0)
     json = lambda x: F.when(F.try_parse_json(F.when(F.trim(x).startswith("{"), x)).isNotNull(), 0.9).otherwise(0.0)
-    return [
+    return (
         LogFormat("json_log", 90, "json", json, tags=("json",), extensions=(".json", ".jsonl", ".log"), heads=r"{", steps=json_steps()),
         LogFormat("windows_event_xml", 95, "windows_event", windows, tags=("windows",), extensions=(".xml", ".evtx.xml"), heads=r"<", steps=windows_steps()),
         LogFormat("iis_w3c", 100, "iis", lambda x: _sum(*((c, x.rlike(p)) for c, p in iis)), tags=("iis", "http"), heads=r"#0-9", steps=iis_steps()),
@@ -574,7 +587,7 @@ def builtin_formats(context: Context = Context()) -> list[LogFormat]:
         LogFormat("redis_log", 110, "redis", sure(REDIS_LINE, 0.9), tags=("redis",), heads=r"A-Za-z0-9\[", steps=redis_steps(context.year, context.zone)),
         LogFormat("apache_nginx_access", 120, "application", lambda x: F.when(x.rlike(ACCESS), 0.9).when(x.rlike(LIKE_ACCESS), 0.75).otherwise(0.0), tags=("webserver", "http"), steps=access_steps(context.vendor)),
         LogFormat("apache_nginx_error", 121, "application", lambda x: F.when(x.rlike(NGINX_ERROR) | x.rlike(APACHE_ERROR), 0.9).when(x.rlike(LIKE_ERROR), 0.75).otherwise(0.0), tags=("webserver",), steps=error_steps(context.vendor)),
-    ]
+    )
 
 
 @dataclass

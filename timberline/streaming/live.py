@@ -27,7 +27,7 @@ def event_stream(lines: DataFrame, registry: Registry | None = None) -> DataFram
     rows = with_detection(lines, formats).withColumn("parser", F.col("detected.name"))
     made = []
     for f in formats:
-        rows, name = f.staged(rows, F.col("parser") == f.name, {"line": F.col("value"), "header": F.lit(None).cast("array<string>")})
+        rows, name, _ = f.staged(rows, header=False)
         made.append(name)
     rows = rows.withColumn("event", F.coalesce(*made)).filter("event is not null and event.timestamp is not null")
     fields = [f.name for f in EVENT.fields if f.name not in ("schema_version", "event_id", "ingested_at", "raw_message", "attributes")]
