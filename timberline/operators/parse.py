@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import once, record_preview
 from ..schema import EVENT, invalid
+from ..sources.lines import bounded_lines, numbered_lines, plain
 from ..sources.parsers import LogFormat, Registry, extension_of, iis_header, with_detection
 from ..sources.shared import stash
 from .ordering import running
@@ -18,16 +19,16 @@ LINE_LIMIT, VOTERS = 1 << 20, 20
 BROADCAST, BROADCAST_BYTES = 50_000, 64 << 20
 
 
-def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """file, position and value of every line; positions rise with the lines of a file, but leave gaps."""
-    lines = spark.read.option("encoding", encoding).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8", bounded: bool = False, limit: int = LINE_LIMIT) -> DataFrame:
+    """file, position (the line's number, from 1) and value of every line; ``bounded`` lines are never held whole above
+    ``limit`` characters, and come with preview, characters and oversized."""
+    return bounded_lines(spark, path, limit, encoding=encoding) if bounded else numbered_lines(spark, path, encoding)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as single records."""
-    rows = spark.read.option("wholetext", True).text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("position"), "value")
+    """Whole files as single records, without the line ends at their end; an empty file has none."""
+    rows = spark.read.option("wholetext", True).text(plain(path)).filter("value != ''")
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("position"), F.rtrim("value", F.lit("\r\n")).alias("value"))
 
 
 def lines_of(spark: SparkSession, text: str, name: str = "text") -> DataFrame:
@@ -87,7 +88,10 @@ def parse(lines: DataFrame, registry: Registry | None = None, mode: str = "row",
     iis = any(f.name == "iis_w3c" for f in formats)
     lines = lines.drop("parser", "confidence", "ambiguous", "status", "error", "event", "header")
     rows = with_headers(lines) if iis else lines.withColumn("header", F.lit(None).cast("array<string>"))
-    rows = rows.withColumns({"too_long": F.length("value") > limit, "value": F.when(F.length("value") <= limit, F.col("value"))})
+    long = F.coalesce(F.length("value") > limit, F.lit(False))
+    if "oversized" in lines.columns:  # found so by the reader, which has let go of the text
+        long = long | F.col("oversized")
+    rows = rows.withColumns({"too_long": long, "value": F.when(F.length("value") <= limit, F.col("value"))})
     directive = F.coalesce(F.startswith("value", F.lit("#")), F.lit(False))
     known = F.when(F.col("header").isNotNull() & ~directive, "iis_w3c")
     if mode in ("row", "file"):
@@ -144,7 +148,10 @@ def events(parsed: DataFrame, schema_version: str = "1.0") -> DataFrame:
 
 def quarantine(parsed: DataFrame) -> DataFrame:
     """Lines that failed, and why; the whole line stays beside its preview."""
-    return parsed.filter("status = 'failure'").select("file", "position", "parser", "error", record_preview("value").alias("preview"), "value")
+    preview = record_preview("value")
+    if "preview" in parsed.columns:
+        preview = F.coalesce(preview, record_preview("preview"))
+    return parsed.filter("status = 'failure'").select("file", "position", "parser", "error", preview.alias("preview"), "value")
 
 
 def statistics(parsed: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import uuid
 import zipfile
 from datetime import datetime
 
@@ -22,7 +23,7 @@ from .plans.requests import AnalysisRequest, ComparisonRequest, EventFilter, Eve
 from .queries import COMPARED, EV, LINES, canonical, ntz, register, rounded, written_lines
 from .sources import ingest
 from .sources.parsers import Context, JSON_PROFILES, Registry, json_profile
-from .sources.shared import table
+from .sources.shared import shared_dir, table
 
 # ---- ingestion: documents written as files of several kinds ------------------------------------------------------------
 
@@ -72,7 +73,7 @@ _FILE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_KIND} AS kin
     _FILE + """SELECT path, sha256(out) AS text_sha256, length(out) AS characters,
     CASE kind WHEN 'wide' THEN 'utf-16-le' WHEN 'latin' THEN 'cp1252' WHEN 'program' THEN NULL ELSE 'utf-8' END AS encoding,
     CASE WHEN kind IN ('plain', 'windows') THEN sha256(out) END AS content_sha256, crlf, CAST(n_lf - crlf AS INT) AS lf, CAST(n_cr - crlf AS INT) AS cr,
-    concat_ws(',', CASE WHEN kind = 'latin' THEN 'ENCODING_FALLBACK_USED' END, CASE WHEN (crlf > 0)::INT + (n_lf > crlf)::INT + (n_cr > crlf)::INT > 1 THEN 'MIXED_LINE_ENDINGS' END,
+    concat_ws(',', CASE WHEN kind = 'latin' THEN 'ENCODING_LOW_CONFIDENCE,ENCODING_FALLBACK_USED' END, CASE WHEN (crlf > 0)::INT + (n_lf > crlf)::INT + (n_cr > crlf)::INT > 1 THEN 'MIXED_LINE_ENDINGS' END,
     CASE WHEN kind = 'zip' THEN 'ARCHIVE_ENTRY_AUTO_SELECTED' END, CASE WHEN kind = 'wide' THEN 'UNKNOWN_CONTENT_TYPE' END) AS warnings,
     CASE WHEN kind = 'program' THEN 'BINARY_CONTENT' END AS error, CASE WHEN kind = 'zip' THEN 'b.log' END AS entry FROM e""",
 )
@@ -93,6 +94,64 @@ def ingest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("value")).alias("characters"))
 
 
+#: Latin letters and the Cyrillic ones that a document in another script gets for them.
+_LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_CYRILLIC = "абцдефгхийклмнопщрстувшжызАБЦДЕФГХИЙКЛМНОПЩРСТУВШЖЫЗ"
+_WRITTEN = ("utf-8", "cp1252", "iso-8859-5", "utf-16-le")
+
+
+@F.pandas_udf(T.BinaryType())
+def _written(encoding: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([t.encode(e) for e, t in zip(encoding, text, strict=True)])
+
+
+@register(
+    "detected_encodings",
+    f"""WITH d AS (SELECT doc_id, doc_id % 4 AS k, coalesce(text, '') AS text FROM documents),
+    t AS (SELECT *, CASE k WHEN 1 THEN regexp_replace(text, '[^\x00-\x7Fà-ÿ]', '', 'g') WHEN 2 THEN regexp_replace(translate(text, '{_LATIN}', '{_CYRILLIC}'), '[^\x00-\x7FА-я]', '', 'g') ELSE text END AS out FROM d)
+    SELECT doc_id, sha256(out) AS text_sha256, CASE WHEN k = 3 THEN 'utf-16-le' WHEN k = 0 OR NOT regexp_matches(out, '[^\x00-\x7F]') THEN 'utf-8' WHEN k = 1 THEN 'cp1252' ELSE 'iso-8859-5' END AS encoding FROM t""",
+)
+def detected_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written in four encodings, without marks, two of them in Latin and one in Cyrillic letters."""
+    k, text = F.col("doc_id") % len(_WRITTEN), F.coalesce("text", F.lit(""))
+    latin = F.regexp_replace(text, r"[^\x00-\x7Fà-ÿ]", "")
+    cyrillic = F.regexp_replace(F.translate(text, _LATIN, _CYRILLIC), r"[^\x00-\x7FА-я]", "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(k == 1, latin).when(k == 2, cyrillic).otherwise(text).alias("out"), F.element_at(F.array(*map(F.lit, _WRITTEN)), k.cast("int") + 1).alias("kind"))
+    files = rows.select(F.concat("doc_id", F.lit(".log")).alias("path"), _written("kind", "out").alias("content"), F.lit(None).cast("string").alias("error"))
+    got = ingest.ingest(files)
+    return got.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "encoding")
+
+
+# ---- lines of files ------------------------------------------------------------------------------------------------------
+
+
+def _event_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a text file for each type of event, in order of event_id, written by Spark; its path."""
+    path = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    rows = canonical(spark, sf_dir).select(F.col("event_type").alias("kind"), "event_id", F.concat_ws(" ", F.col("event_id").cast("string"), "message", F.repeat(F.lit("x"), (F.col("event_id") % 40).cast("int"))).alias("value"))
+    dealt = rows.repartition("kind").sortWithinPartitions("kind", "event_id")
+    dealt.select("kind", "value").write.partitionBy("kind").text(path)
+    return path
+
+
+_FILE_LINES = EV + ", l AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS position, concat(event_id, ' ', message, ' ', repeat('x', CAST(event_id % 40 AS INT))) AS value FROM x) "
+
+
+@register("line_numbers", _FILE_LINES + "SELECT event_type, position, value FROM l")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = parse.read_lines(spark, _event_files(spark, sf_dir))
+    return lines.select(F.regexp_extract("file", "kind=([a-z]+)/", 1).alias("event_type"), "position", "value")
+
+
+@register(
+    "bounded_lines",
+    _FILE_LINES + "SELECT event_type, position, CASE WHEN length(value) <= 50 THEN value END AS value, length(value) AS characters, length(value) > 50 AS oversized FROM l",
+)
+def bounded_line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = parse.read_lines(spark, _event_files(spark, sf_dir), bounded=True, limit=50)
+    return lines.select(F.regexp_extract("file", "kind=([a-z]+)/", 1).alias("event_type"), "position", "value", "characters", "oversized")
+
+
 # ---- detection and parsing of mixed lines ------------------------------------------------------------------------------
 
 _ORDER = tuple(LINES)

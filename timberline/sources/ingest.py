@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .encoding import ENOUGH, SURE, detect, wide
+
 
 @dataclass(frozen=True)
 class IngestOptions:
@@ -33,6 +35,7 @@ class IngestOptions:
     fallbacks: tuple[str, ...] = ("utf-8", "cp1252", "iso-8859-1")
     allow_binary: bool = False
     normalize_newlines: bool = False
+    detect: bool = True
 
 
 # Byte order marks; longer ones first.
@@ -170,33 +173,44 @@ def looks_binary(data: bytes) -> bool:
     return sign and 1 - controls / len(head) - head.count(127) / len(head) < PRINTABLE or head.startswith(BINARY_HEADS)
 
 
-DECODED = "text string, encoding string, used_fallback boolean, problem string"
+DECODED = "text string, encoding string, used_fallback boolean, problem string, confidence double"
 
 
 def decoded(files: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
-    """path, text, encoding, warnings, sha256, line_ends and error of each unpacked file.
+    """path, text, encoding, confidence, warnings, sha256, line_ends and error of each unpacked file.
 
-    The encoding is the given one, that of a byte order mark, strict UTF-8, or the first fallback that decodes.
+    The encoding is the given one, that of a byte order mark, strict UTF-8, the likeliest one if its confidence is enough
+    (``encoding.detect``), or the first fallback that decodes.
     """
     o = options
 
     def one(data: bytes | None, mark: str | None) -> tuple:
         if data is None:
-            return None, None, False, None
-        if looks_binary(data) and not o.allow_binary:
-            return None, None, False, "BINARY_CONTENT"
-        order = [o.encoding] if o.encoding else [mark] if mark else ["utf-8", *o.fallbacks]
+            return None, None, False, None, None
+        order = [o.encoding] if o.encoding else [mark] if mark else ["utf-8"]
+        guess = wide(data) if o.detect and not o.encoding and not mark else None
+        if guess:
+            order = [guess[0]]
+        elif looks_binary(data) and not o.allow_binary:
+            return None, None, False, "BINARY_CONTENT", None
+        elif len(order) == 1 and order[0] == "utf-8" and not o.encoding and not mark:
+            order += o.fallbacks
+        allowed = "BINARY_LIKE_CONTENT_ALLOWED" if not guess and looks_binary(data) else None
         for k, name in enumerate(order):
             try:
                 text = data.decode(name, o.errors if o.encoding or mark else "strict")
             except (UnicodeDecodeError, LookupError):
+                if k == 0 and len(order) > 1 and o.detect:  # no UTF-8: the likeliest before the fallbacks
+                    found = detect(data)
+                    if found and found[1] >= ENOUGH:
+                        return data.decode(found[0]), found[0], False, allowed, found[1]
                 continue
-            return text.removeprefix("﻿"), name, k > 0, "BINARY_LIKE_CONTENT_ALLOWED" if looks_binary(data) else None
-        return None, None, False, "DECODE_FAILED"
+            return text.removeprefix("\ufeff"), name, k > 0, allowed, guess[1] if guess else ENOUGH if k > 0 else 1.0
+        return None, None, False, "DECODE_FAILED", None
 
     @F.pandas_udf(DECODED)
     def decode(content: pd.Series, mark: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(c, m) for c, m in zip(content, mark, strict=True)], columns=["text", "encoding", "used_fallback", "problem"])
+        return pd.DataFrame([one(c, m) for c, m in zip(content, mark, strict=True)], columns=["text", "encoding", "used_fallback", "problem", "confidence"])
 
     rows = files.withColumn("_d", decode("content", byte_order_mark(F.col("content"))))
     text = F.col("_d.text")
@@ -204,13 +218,13 @@ def decoded(files: DataFrame, options: IngestOptions = IngestOptions()) -> DataF
     bad = F.col("_d.problem").isin("BINARY_CONTENT", "DECODE_FAILED")
     warnings = F.array_compact(
         F.array(
-            F.when(F.col("_d.used_fallback"), "ENCODING_FALLBACK_USED"), F.when(~bad, F.col("_d.problem")), F.when(ends["mixed"], "MIXED_LINE_ENDINGS"),
+            F.when(F.col("_d.confidence") < SURE, "ENCODING_LOW_CONFIDENCE"), F.when(F.col("_d.used_fallback"), "ENCODING_FALLBACK_USED"), F.when(~bad, F.col("_d.problem")), F.when(ends["mixed"], "MIXED_LINE_ENDINGS"),
             F.when(F.col("auto_entry"), "ARCHIVE_ENTRY_AUTO_SELECTED"),
             F.when(~F.lower("path").rlike(r"\.(log|txt|json|jsonl|xml|csv|gz|zip)$"), "UNKNOWN_CONTENT_TYPE"),
         )
     )
     return rows.select(
-        "path", (normalized_newlines(text) if o.normalize_newlines else text).alias("text"), F.col("_d.encoding").alias("encoding"), warnings.alias("warnings"),
+        "path", (normalized_newlines(text) if o.normalize_newlines else text).alias("text"), F.col("_d.encoding").alias("encoding"), F.col("_d.confidence").alias("confidence"), warnings.alias("warnings"),
         sha256(F.col("content")).alias("sha256"), ends.alias("line_ends"), F.coalesce("error", F.when(bad, F.col("_d.problem"))).alias("error"), "entry",
     )
 
