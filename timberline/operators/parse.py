@@ -82,12 +82,14 @@ def parse(lines: DataFrame, registry: Registry | None = None, mode: str = "row",
 
     ``mode`` is ``row`` (each line by itself), ``file`` (a vote of the file's first lines; with ``mixed``, lines that
     have not the voted form are taken by themselves) or a format's name. Over-long lines fail and lose their text.
+    Lines may come with a column header, the field names that hold for them; without it, a file's header lines are
+    looked up. With it, all but ``file`` mode also works on streams.
     """
     registry = registry or Registry()
     formats = registry.active() if mode in ("row", "file") else [registry.get(mode)]
     iis = any(f.name == "iis_w3c" for f in formats)
-    lines = lines.drop("parser", "confidence", "ambiguous", "status", "error", "event", "header")
-    rows = with_headers(lines) if iis else lines.withColumn("header", F.lit(None).cast("array<string>"))
+    lines = lines.drop("parser", "confidence", "ambiguous", "status", "error", "event")
+    rows = lines if "header" in lines.columns else with_headers(lines) if iis else lines.withColumn("header", F.lit(None).cast("array<string>"))
     long = F.coalesce(F.length("value") > limit, F.lit(False))
     if "oversized" in lines.columns:  # found so by the reader, which has let go of the text
         long = long | F.col("oversized")
@@ -210,6 +212,16 @@ class StopRules:
     error_rate: float | None = None
     rate_after: int = 100
 
+    def broken(self, seen: int, tried: int, failed: int, errors: int, failure: bool) -> str | None:
+        """The rule that stops a file whose last row, a failure or not, gives these counts (``errors``: in a row)."""
+        if failure and self.max_errors is not None and failed >= self.max_errors:
+            return "max_errors"
+        if failure and self.consecutive_errors is not None and errors >= self.consecutive_errors:
+            return "consecutive_errors"
+        if failure and self.error_rate is not None and tried >= self.rate_after and failed / tried > self.error_rate:
+            return "error_rate"
+        return "max_records" if self.max_records is not None and seen >= self.max_records else None
+
 
 def stopped(parsed: DataFrame, rules: StopRules, keys: tuple[str, ...] = ("file",), position: str = "position") -> DataFrame:
     """The rows of each file up to the one, included, at which a rule stops it.
