@@ -1,8 +1,11 @@
 import gzip
 import io
 import json
+import random
 import subprocess
 import sys
+import time
+import tracemalloc
 import zipfile
 from datetime import datetime, timedelta
 
@@ -11,15 +14,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.functions import extract, text
+from timberline.functions.extract import with_extracts
+from timberline.functions.text import redis_endpoint, summary_text
 from timberline.operators import parse, query, reports, store
 from timberline.operators.filters import apply_filter
+from timberline.operators.normalize import Defaults, normalize
 from timberline.operators.ordering import exact_percentiles
 from timberline.plans.analysis import analyze, compare, preset_periods
 from timberline.plans.insights import insights
 from timberline.plans.requests import Aggregation, AnalysisRequest, ComparisonRequest, EventFilter, EventQuery, EventSort, Limits, RequestError
-from timberline.queries import EV, ORACLES, QUERIES
+from timberline.queries import EV, ORACLES, QUERIES, canonical
+from timberline.sources import encoding as encodings
 from timberline.sources import ingest
+from timberline.sources import lines as lines_module
 from timberline.sources.parsers import Context, LogFormat, Registry
+from timberline.streaming import live
 
 BASE = datetime(2024, 3, 1, 10)
 
@@ -386,16 +395,250 @@ def test_values_cleaned_and_invalid(spark):
 
 def test_event_store_commits_whole_versions(spark, tmp_path):
     rows = events(spark, [(k, "info", None, None, "s", None, None) for k in range(6)]).withColumn("arrival", F.col("sequence")).drop("attributes")
-    kept = store.EventStore(spark, str(tmp_path / "events"), rows.drop("arrival").schema)
+    kept = store.EventStore(spark, str(tmp_path / "events"), rows.drop("arrival").schema, buckets=4)
     assert kept.read().count() == 0
     assert kept.add(rows.filter("sequence <= 2")) == {"inserted": 2, "replaced": 0, "ignored": 0}
+    before = kept.state()
     assert kept.add(rows.filter("sequence > 2")) == {"inserted": 2, "replaced": 0, "ignored": 2}
+    # the first write's files are still in use, those of the second stand beside them
+    assert all(set(parts) <= set(kept.state()["parts"][b]) for b, parts in before["parts"].items())
     assert kept.add(rows.filter("sequence > 4"), "replace")["replaced"] == 2 and kept.read().count() == 4
+    assert sorted(r.sequence for r in kept.read().collect()) == [1, 2, 3, 4]
     with pytest.raises(store.ConflictError):
         kept.add(rows, "reject")
-    (tmp_path / "events" / "v9").mkdir()  # a write that did not end
+    (tmp_path / "events" / "v9").write_text('{"parts": ')  # a writer that did not end
     assert kept.versions() == [1, 2, 3] and kept.read().count() == 4
-    kept.delete(kept.read().filter("sequence = 1").select("id"))
+    (tmp_path / "events" / "v9").unlink()
+    with pytest.raises(store.StaleError):
+        kept._commit(before, before["parts"])  # made from a version that is not the newest
+    assert kept.delete(kept.read().filter("sequence = 1").select("id")) == 1
     assert kept.read().count() == 3 and kept.vacuum(2) == 2
+    assert kept.evict(events=2) == 1 and sorted(r.sequence for r in kept.read().collect()) == [3, 4]
     kept.clear()
     assert kept.read().count() == 0 and store.statistics(kept.read()).first().event_count == 0
+    again = store.EventStore(spark, str(tmp_path / "events"), rows.drop("arrival").schema, buckets=4)
+    assert again.counters() == {"inserted": 4, "ignored": 2, "replaced": 2, "evicted": 1, "expired": 0, "writes": 3, "deletes": 1, "clears": 1}
+    assert again.add(rows.filter("sequence = 6")) == {"inserted": 1, "replaced": 0, "ignored": 0}
+    assert [r.sequence for r in again.read().collect()] == [5]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    rows = events(spark, [(k, "info", None, None, f"s{k}", None, None) for k in range(6)]).withColumn("arrival", F.col("sequence")).drop("attributes")
+    rows = rows.withColumn("content_hash", F.col("id"))
+    mine, other = (store.EventStore(spark, str(tmp_path / "events"), rows.drop("arrival").schema, buckets=4) for _ in range(2))
+    write = store.write
+
+    def slow(*args):
+        done = write(*args)
+        monkeypatch.setattr(store, "write", write)
+        other.add(rows.filter("id in ('e0', 'e1')"))  # comes in between
+        return done
+
+    monkeypatch.setattr(store, "write", slow)
+    assert mine.add(rows.filter("id not in ('e0', 'e1')"))["inserted"] == 4
+    assert sorted(r.sequence for r in mine.read().collect()) == [1, 2, 3, 4, 5, 6] and mine.versions() == [1, 2]
+
+
+def test_small_writes_do_not_shuffle_what_is_stored(spark):
+    rows = events(spark, [(k, "info", None, None, "s", None, None) for k in range(6)]).withColumn("arrival", F.col("sequence")).drop("attributes")
+    done = store.write(rows.drop("arrival").filter("sequence <= 3"), rows.filter("sequence > 3"))
+    plan = done.table._jdf.queryExecution().executedPlan().toString()
+    stored = plan.split("Union")[1]
+    assert "SortMergeJoin" not in stored.split("Scan")[0]
+
+
+# ---- lines, encodings, streams, zones --------------------------------------------------------------------------------
+
+
+def test_numbers_of_lines_over_several_splits(spark, tmp_path):
+    texts = {"a.log": [f"line {k} " + "y" * (k % 80) for k in range(3000)], "b.log": ["one\r", "two", "", "three"], "c.log": []}
+    for name, lines in texts.items():
+        (tmp_path / name).write_bytes("\n".join(lines).encode())
+    options = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0"}
+    for key, value in options.items():
+        spark.conf.set(key, value)
+    try:
+        rows = parse.read_lines(spark, str(tmp_path))
+        got = {(r.file.rsplit("/", 1)[1], r.position): r.value for r in rows.collect()}
+        bounded = {(r.file.rsplit("/", 1)[1], r.position): (r.value, r.characters) for r in lines_module.bounded_lines(spark, str(tmp_path), limit=60, split=7000).collect()}
+    finally:
+        for key in options:
+            spark.conf.unset(key)
+    want = {(name, k): line.rstrip("\r") for name, lines in texts.items() for k, line in enumerate(lines, 1)}
+    assert got == want
+    assert bounded == {k: (v if len(v) <= 60 else None, len(v)) for k, v in want.items()}
+    for packed in ("a.log.gz", "b.zip"):
+        with pytest.raises(ValueError, match="packed"):
+            parse.read_lines(spark, packed)
+    with pytest.raises(ValueError, match="utf-16"):
+        lines_module.bounded_lines(spark, str(tmp_path), encoding="utf-16")
+
+
+def test_bounded_lines_of_ranges_match_splitting_the_whole(monkeypatch):
+    rng = random.Random(2)
+    for _ in range(200):
+        monkeypatch.setattr(lines_module, "CHUNK", rng.choice([1, 3, 64]))
+        text = "".join(rng.choice(["a", "é", "\n", "\r\n", "bc", "x" * rng.randint(0, 30)]) for _ in range(rng.randint(0, 40)))
+        data, limit, split = text.encode(), rng.choice([0, 3, 10, 100]), rng.choice([1, 2, 5, 17, 1000])
+        got = [x for a in range(0, len(data), split) for x in lines_module.range_lines(io.BytesIO(data), a, min(a + split, len(data)), limit, "utf-8")]
+        want, offset = [], 0
+        for line in data.split(b"\n")[: None if data[-1:] not in (b"\n", b"") else -1]:
+            plain = line.decode().rstrip("\r")
+            want.append((offset, plain if len(plain) <= limit else None, len(plain) > limit))
+            offset += len(line) + 1
+        assert [(o, t, x) for o, t, _, _, x in got] == want
+
+
+class Endless:
+    """A stream of one line of a gigabyte, made as it is read."""
+
+    size = 1 << 30
+
+    def __init__(self):
+        self.at = 0
+
+    def read(self, n):
+        n = min(n, self.size - self.at)
+        self.at += n
+        return b"x" * n
+
+    def seek(self, at):
+        self.at = at
+
+    def tell(self):
+        return self.at
+
+
+def test_a_line_of_a_gigabyte_is_drained(spark):
+    tracemalloc.start()
+    try:
+        (line,) = lines_module.range_lines(Endless(), 0, Endless.size, 1 << 20, "utf-8")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert line == (0, None, "x" * 200, Endless.size, True) and peak < 64 << 20
+    rows = spark.createDataFrame([("f", 1, None, "x" * 200, 1 << 30, True)], "file string, position long, value string, preview string, characters long, oversized boolean")
+    (row,) = parse.quarantine(parse.parse(rows)).collect()
+    assert (row.error, row.value, row.preview) == ("RECORD_TOO_LARGE", None, "x" * 200)
+
+
+TEXTS = {
+    "cp1252": "Größere Mühlen für die Häuser der Öffentlichkeit; Les élèves étaient déjà à l’école",
+    "iso-8859-2": "Połączenie z serwerem zostało zamknięte; błąd krytyczny w źródle żądania",
+    "iso-8859-5": "Ошибка подключения к базе данных: превышено время ожидания",
+    "cp1251": "Ошибка подключения к базе данных: превышено время ожидания",
+    "koi8-r": "Ошибка подключения к базе данных: превышено время ожидания",
+    "iso-8859-7": "Σφάλμα σύνδεσης με τη βάση δεδομένων του συστήματος",
+    "utf-16-le": "Ошибка подключения; and plain words",
+    "utf-16-be": "Größere Mühlen",
+}
+
+
+@pytest.mark.parametrize("encoding", TEXTS)
+def test_encodings_without_a_mark_are_found(encoding):
+    data = TEXTS[encoding].encode(encoding)
+    name, confidence = encodings.detect(data)
+    assert data.decode(name) == TEXTS[encoding] and confidence >= encodings.ENOUGH
+
+
+def test_unsure_encodings_are_told_of(spark):
+    files = {"a.log": TEXTS["iso-8859-5"].encode("iso-8859-5"), "b.log": b"x\xe9", "c.log": "Œuvre “x”".encode("cp1252"), "d.log": b"plain", "e.bin": b"\x7fELF" + b"\0\1" * 9, "f.log": b""}
+    got = {r.path: (r.encoding, set(r.warnings)) for r in ingest.ingest(ingest.bytes_rows(spark, files)).collect()}
+    assert got["a.log"] == ("iso-8859-5", set()) and got["d.log"] == ("utf-8", set()) and got["f.log"] == ("utf-8", set())
+    assert got["b.log"] == ("cp1252", {"ENCODING_LOW_CONFIDENCE", "ENCODING_FALLBACK_USED"})
+    assert got["c.log"] == ("cp1252", {"ENCODING_LOW_CONFIDENCE"}) and got["e.bin"][0] is None
+    assert encodings.detect(b"ascii alone") is None and encodings.detect(b"") is None
+
+
+def test_files_over_several_micro_batches_parse_and_stop_as_one(spark, tmp_path):
+    head = ["#Software: Microsoft Internet Information Services 10.0", "#Fields: date time cs-method cs-uri-stem sc-status time-taken"]
+    iis = head + [f"2024-01-01 00:00:{k:02d} GET /a{k} 200 {k}" for k in range(12)] + ["#Fields: date time sc-status cs-uri-stem"] + [f"2024-01-01 00:01:{k:02d} 404 /b{k}" for k in range(8)]
+    good = '{"time": "2024-01-01T00:00:00Z", "level": "info", "msg": "m"}'
+    mixed = [good] * 4 + ["junk"] * 3 + [good] + ["junk"] * 9
+    rows = [(name, k, line) for name, lines in (("iis.log", iis), ("j.log", mixed)) for k, line in enumerate(lines)]
+    rules = parse.StopRules(consecutive_errors=5)
+    whole = parse.parse(spark.createDataFrame(rows, "file string, position long, value string"))
+    columns = ["file", "position", "status", "event"]
+    want = sorted(map(tuple, parse.stopped(whole.select("file", "position", "status", F.to_json("event").alias("event")), rules).select(*columns).collect()))
+    calls = []
+
+    def tell(counts):
+        calls.append(counts)
+        raise ValueError("somebody else's error")
+
+    listener = live.Progress(tell)
+    before = spark.conf.get(live.PROVIDER[0])
+    spark.conf.set(*live.PROVIDER)
+    spark.streams.addListener(listener)
+    (tmp_path / "in").mkdir()
+    try:
+        lines = spark.readStream.schema("file string, position long, value string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        out = live.observed_stream(live.parsed_stream(lines, rules=rules))
+        query = out.writeStream.format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "ck")).start()
+        for k, (low, high) in enumerate(((0, 5), (5, 13), (13, 99))):
+            (tmp_path / "part").write_text("\n".join(json.dumps(dict(zip(("file", "position", "value"), r))) for r in rows if low <= r[1] < high))
+            (tmp_path / "part").rename(tmp_path / "in" / f"{k}.json")
+            query.processAllAvailable()
+            time.sleep(0.5)
+        seen = len(calls)
+        query.stop()
+    finally:
+        spark.streams.removeListener(listener)
+        spark.conf.set(live.PROVIDER[0], before)
+    got = spark.table("sessions")
+    assert sorted(map(tuple, got.select(*columns).collect())) == want
+    assert [tuple(r) for r in got.filter("stopped is not null").select("file", "position", "stopped").collect()] == [("j.log", 12, "consecutive_errors")]
+    assert seen >= 2 and listener.errors == listener.calls and sum(c["seen"] for c in calls) == len(want)
+
+
+def test_timelines_do_not_depend_on_the_drivers_zone(spark, sf_dir, monkeypatch):
+    rows = with_extracts(canonical(spark, sf_dir), only=("x_duration", "x_status"))
+    got = []
+    for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+        monkeypatch.setenv("TZ", zone)
+        time.tzset()
+        try:
+            line = reports.timeline(rows).select("event_count", F.unix_micros("bucket_start").alias("at"))
+            part = apply_filter(canonical(spark, sf_dir), EventFilter(start_time=datetime(2024, 1, 5), end_time=datetime(2024, 1, 12))).count()
+            got.append((line.agg(F.sum("event_count"), F.min("at"), F.count(F.lit(1))).first(), part))
+        finally:
+            monkeypatch.undo()
+            time.tzset()
+    assert got[0][0][0] == 1000 and got[0] == got[1] == got[2]
+
+
+def test_attributes_keep_kinds_and_depth(spark):
+    rows = spark.createDataFrame(
+        [('{"n": 5, "o": {"p": 1, "q": [1, null, true]}, "z": null}', "m"), ("[1]", "m"), (None, "m"), ("bad", "m")], "attributes string, message string"
+    ).withColumn("timestamp", F.lit("2024-01-01"))
+    got = normalize(rows, None, Defaults(attributes={"n": 1, "r": {"deep": [1, 2.5]}}))
+    assert [json.loads(r.a) for r in got.select(F.to_json("attributes").alias("a")).collect()] == [
+        {"n": 5, "o": {"p": 1, "q": [1, None, True]}, "r": {"deep": [1, 2.5]}, "z": None}, *[{"n": 1, "r": {"deep": [1, 2.5]}}] * 3
+    ]
+    found = apply_filter(got, EventFilter(attribute_equals={"n": 5, "z": None}, attribute_exists=("o.p", "r.deep")))
+    assert found.count() == 1
+
+
+REDIS_FORMS = {
+    "1:M 01 Jan 2024 10:00:00.123456 * x": (1, "master", 123456, None), "[1234] 01 Jan 10:00:00 # x": (1234, None, 0, None),
+    "01 Jan 2024 10:00:00.5 . x": (None, None, 500000, None), "9:z 1 Jan 2024 10:00:00 - x": (9, "unknown", 0, None),
+    "2024-01-01T10:00:00.1Z stdout F 7:S 01 Jan 2024 10:00:00 * x": (7, "replica", 0, "stdout"),
+    "Jan  1 10:00:00 box redis-server[77]: 12:C 1 Jan 2024 10:00:00 * x": (12, "child", 0, "redis-server[77]"),
+}
+
+
+@pytest.mark.parametrize("line", REDIS_FORMS)
+def test_redis_forms(spark, line):
+    (r,) = parse.parse(parse.lines_of(spark, line), Registry(context=Context(year=2024))).collect()
+    pid, role, micros, process = REDIS_FORMS[line]
+    found = json.loads(r.event.attributes)
+    assert (r.parser, r.status, r.event.timestamp) == ("redis_log", "success", datetime(2024, 1, 1, 10, 0, 0, micros))
+    assert (found.get("pid"), found.get("role"), found.get("outer_process")) == (pid, role, process)
+
+
+def test_redis_endpoints_and_summaries(spark):
+    rows = spark.createDataFrame([("host:6379",), ("[::1]:1",), ("host",), ("host:99999",), ("",)], "e string")
+    got = [(r.x.host, r.x.port) for r in rows.select(redis_endpoint("e").alias("x")).collect()]
+    assert got == [("host", 6379), ("::1", 1), ("host", None), ("host", None), (None, None)]
+    (r,) = spark.createDataFrame([(" a  b\n" + "x" * 400,)], "t string").select(summary_text("t").alias("s")).collect()
+    assert r.s.startswith("a b xx") and r.s.endswith("...") and len(r.s) == 300
