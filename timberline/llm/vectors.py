@@ -1,10 +1,16 @@
 """Approximate nearest neighbours by largest inner product, on robust-pruned directed graphs.
 
-Equal vectors are one node. Nodes are dealt into shards of about ``shard_rows``; a task builds a shard's graph:
+Equal vectors are one node. Nodes are dealt, by a hash of the vector, into shards of about ``shard_rows`` in which all
+norms are within a factor of two, so that no long vector hides the differences between short ones; a task builds a
+shard's graph:
 batches of nodes search the graph so far greedily, what they visit is proposed as neighbours, and relaxed distance
 pruning keeps diverse ones (a candidate goes if a kept neighbour is closer to it than 1/ALPHA of its own distance).
 Graphs are written once; then each block of queries meets each shard and runs a beam search there, and the shards'
 finds are merged. Inner products become distances by one more coordinate that gives all nodes of a shard one norm.
+
+How wide a beam must be depends on the vectors: in each shard, some queries are also answered by all inner products, and
+the beam is doubled until RECALL of these answers is found; in the worst case it holds the whole shard. So the answers
+depend on the rows alone, not on the cluster.
 """
 
 from __future__ import annotations
@@ -16,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .tables import stash
 
-SHARD_ROWS, LEAST_ROWS = 16_384, 4096
+SHARD_ROWS = 8192
+#: Share of the true answers that some PROBES queries of a shard and block must find.
+RECALL, PROBES = 0.95, 48
 #: Components of the queries of a block: the larger a block, the fewer times each shard is read.
 QUERY_BLOCK = 1 << 22
 DEGREE, BEAM, ALPHA, STEP = 32, 72, 1.2, 4
@@ -154,6 +162,7 @@ def _build(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "dims": table.column("dims"),
+            "layer": table.column("layer"),
             "shard": table.column("shard"),
             "node": table.column("node"),
             "place": pa.array(np.arange(len(nodes), dtype=np.int32)),
@@ -164,6 +173,28 @@ def _build(table: pa.Table) -> pa.Table:
     )
 
 
+def _wide_enough(vectors: np.ndarray, asks: np.ndarray, ask, k: int) -> int:
+    """The beam at which probes among the queries find RECALL of the ``k`` greatest inner products."""
+    probes = np.unique(np.linspace(0, len(asks) - 1, PROBES).astype(np.int64))
+    most, n = min(k, len(vectors)), len(vectors)
+    true = -np.sort(-(asks[probes] @ vectors.T), axis=1)[:, most - 1]
+    beam = min(max(BEAM, k), max(n, k))
+    while beam < n:
+        _, exact = ask(probes, beam)
+        # found are those at least as near as the last of the true ones, rounding aside
+        hits = (exact[:, :most] >= true[:, None] - 1e-9 * np.abs(true[:, None])).sum()
+        if hits >= RECALL * most * len(probes):
+            break
+        beam = min(2 * beam, n)
+    return beam
+
+
+def _layer(vector: str = "vector"):
+    """The whole part of the norm's logarithm to base 2, for components of any size."""
+    most = F.array_max(F.transform(vector, lambda x: F.abs(x)))
+    return F.floor(F.log2(most) + F.log2(F.aggregate(F.transform(vector, lambda x: (x / most) * (x / most)), F.lit(0.0), lambda a, x: a + x)) / 2).cast("int")
+
+
 def _search(k: int):
     def run(shard: pa.Table, asked: pa.Table) -> pa.Table:
         query, found, score = [], [], []
@@ -174,13 +205,21 @@ def _search(k: int):
             entries = np.flatnonzero(shard.column("start").to_numpy())
             names, asks = shard.column("node").to_numpy(), _matrix(asked.column("vector"), np.float64)
             ids = asked.column("query").to_numpy()
-            for low in range(0, len(asks), BATCH):
-                part = asks[low : low + BATCH]
-                at, _ = beam_search(graph, nodes, np.c_[scaled(part), np.zeros(len(part))].astype(np.float32), entries, max(BEAM, k))
-                exact = np.einsum("qd,qbd->qb", part, vectors[at])
+            # a query's length does not matter to what is nearest to it
+            plain = np.stack([scaled(x) for x in asks])
+            plain /= np.sqrt((plain**2).sum(1, keepdims=True))
+            plain = np.c_[plain, np.zeros(len(plain))].astype(np.float32)
+
+            def ask(which: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+                at, _ = beam_search(graph, nodes, plain[which], entries, beam)
+                exact = np.stack([(vectors[a] * x).sum(1) for a, x in zip(at, asks[which])])
                 exact[at < 0] = -np.inf
                 best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-                at, exact = np.take_along_axis(at, best, 1), np.take_along_axis(exact, best, 1)
+                return np.take_along_axis(at, best, 1), np.take_along_axis(exact, best, 1)
+
+            beam = _wide_enough(vectors, asks, ask, k)
+            for low in range(0, len(asks), BATCH):
+                at, exact = ask(np.arange(low, min(low + BATCH, len(asks))), beam)
                 there = at >= 0
                 query.append(np.repeat(ids[low : low + BATCH], there.sum(1)))
                 found.append(names[at[there]])
@@ -217,6 +256,7 @@ def nearest(
     Rows with a null id or an unusable vector take no part; vectors are compared with those of their own length;
     repeated rows count once. An id with several vectors asks with all of them, and is found once, with its best score.
     Vectors are searched as single-precision copies, scaled so that none overflows; the copies have no part in scores.
+    Vectors of very different lengths are in shards of their own; vectors without any structure take wider beams.
     """
     rows = vectors.filter(F.col(id_col).isNotNull() & usable(vector_col)).select(
         F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("vector")
@@ -230,25 +270,26 @@ def nearest(
     nodes = stash(
         copies.join(asked, "vector", "left")
         .withColumn("node", F.monotonically_increasing_id())
-        .withColumn("dims", F.size("vector"))
+        .withColumns({"dims": F.size("vector"), "layer": _layer()})
     )
-    total, asking = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("asks"), F.col("dims").cast("long"))), F.lit(0))).first()
-    # as few shards as their size allows, but where there are fewer than cores, one a core if they keep LEAST_ROWS
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    shards = max(1, -(-total // shard_rows), min(cores, total // LEAST_ROWS))
+    asking = nodes.agg(F.coalesce(F.sum(F.when(F.col("asks"), F.col("dims").cast("long"))), F.lit(0))).first()[0]
     blocks = max(1, -(-asking // QUERY_BLOCK))
-    dealt = nodes.select("dims", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "vector")
+    sizes = nodes.groupBy("dims", "layer").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
+    dealt = nodes.join(sizes, ["dims", "layer"]).select("dims", "layer", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int").alias("shard"), "node", "vector")
     graphs = stash(
-        dealt.groupBy("dims", "shard").applyInArrow(
+        dealt.groupBy("dims", "layer", "shard").applyInArrow(
             _build,
-            "dims int, shard int, node bigint, place int, start boolean, vector array<double>, edges array<int>",
+            "dims int, layer int, shard int, node bigint, place int, start boolean, vector array<double>, edges array<int>",
         )
     )
     meeting = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # every query meets every shard of its number of dimensions
+    shards = graphs.select(F.col("dims").alias("of"), F.col("layer").alias("l"), F.col("shard").alias("s")).distinct()
     asking = nodes.filter("asks").select(
         "dims", F.col("node").alias("query"), "vector", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
-    ).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    keys = ["dims", "shard", "block"]
+    )
+    asking = asking.join(shards, F.col("dims") == F.col("of")).select("dims", F.col("l").alias("layer"), F.col("s").alias("shard"), "block", "query", "vector")
+    keys = ["dims", "layer", "shard", "block"]
     found = meeting.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(
         _search(k + 1), "query bigint, node bigint, score double"
     )
