@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.extract import attribute, attribute_variant, kind_of
 from .functions.extract import tags as clean_tags
 from .functions.text import number, record_preview, redis_endpoint, severity, source_type, timestamp
 from .operators import parse, query, reports, store
+from .operators.filters import predicate
 from .operators.normalize import Defaults, normalize
 from .plans.analysis import analyze, compare, prepared, samples
 from .plans.insights import Thresholds
@@ -396,3 +398,52 @@ def normalize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.try_variant_get("attributes", "$.n", "long").alias("event_id"), F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "severity", "source_type", "message", "host", "environment",
         F.try_variant_get("attributes", "$.region", "string").alias("region"), "error",
     )
+
+
+@register(
+    "normalize_attributes",
+    EV + """SELECT event_id, 'number' AS n_kind, CASE WHEN CAST(substr(user_id, 2) AS BIGINT) % 2 = 0 THEN 'boolean' ELSE 'null' END AS flag_kind, 'object' AS deep_kind, event_type AS deep_name, CAST(substr(user_id, 2) AS BIGINT) % 7 AS deep_number, 'array' AS list_kind,
+    'string' AS text_kind, 'default' AS kept, event_id % 10 = 3 AS equal FROM x""",
+)
+def normalize_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of all kinds keep them, at any depth, and filters find them."""
+    text = F.expr(
+        "concat('{\"n\": ', event_id % 10, ', \"flag\": ', CASE WHEN user_id_number % 2 = 0 THEN 'true' ELSE 'null' END, ', \"deep\": {\"name\": \"', event_type, '\", \"number\": ', user_id_number % 7, '}, \"list\": [1, null], \"text\": \"7\"}')"
+    )
+    rows = canonical(spark, sf_dir).withColumn("user_id_number", F.substring("user_id", 2, 20).cast("long"))
+    rows = rows.select(F.col("event_id").cast("string").alias("source"), "timestamp", "severity", "source_type", "message", text.alias("attributes"))
+    got = normalize(rows, {}, Defaults(attributes={"n": "not this", "kept": "default", "deep": {"lost": 1}}))
+    kind = lambda path: kind_of(attribute_variant(path))
+    return got.select(
+        F.col("source").cast("long").alias("event_id"), kind("n").alias("n_kind"), kind("flag").alias("flag_kind"), kind("deep").alias("deep_kind"), attribute("deep.name").alias("deep_name"),
+        attribute("deep.number", "long").alias("deep_number"), kind("list").alias("list_kind"), kind("text").alias("text_kind"), attribute("kept").alias("kept"),
+        F.coalesce(predicate(got, EventFilter(attribute_equals={"n": 3}, attribute_exists=("deep.number",))), F.lit(False)).alias("equal"),
+    )
+
+
+_FORM = "event_id % 5"
+_SAYS = "CASE event_id % 7 WHEN 0 THEN 'Ready to accept connections' WHEN 1 THEN 'MASTER <-> REPLICA sync started' WHEN 2 THEN '+sdown master m' WHEN 3 THEN 'Cluster state changed: ok' WHEN 4 THEN 'Background saving started' WHEN 5 THEN 'WARNING overcommit' ELSE 'hello' END"
+_REDIS_LINE = (
+    f"concat(CASE {_FORM} WHEN 0 THEN concat(event_id, ':', substring('MSXCz', CAST(event_id % 25 / 5 AS INT) + 1, 1), ' ') WHEN 1 THEN concat('[', event_id, '] ') "
+    f"WHEN 2 THEN concat('Jan  2 03:04:05 box redis-server[77]: ', event_id, ':M ') WHEN 3 THEN concat('2024-01-02T03:04:05Z stdout F ', event_id, ':S ') ELSE '' END, "
+    f"date_format(timestamp, CASE {_FORM} WHEN 1 THEN 'dd MMM HH:mm:ss' WHEN 4 THEN 'd MMM yyyy HH:mm:ss' ELSE 'dd MMM yyyy HH:mm:ss.SSS' END), ' ', substring('.-*#', CAST(event_id % 4 AS INT) + 1, 1), ' ', {_SAYS})"
+)
+
+
+@register(
+    "parse_redis_forms",
+    EV + f"""SELECT event_id, 'success' AS status, CASE {_FORM} WHEN 1 THEN date_trunc('second', timestamp) WHEN 4 THEN date_trunc('second', timestamp) ELSE date_trunc('millisecond', timestamp) END AS timestamp,
+    CASE event_id % 7 WHEN 2 THEN 'warning' WHEN 5 THEN 'warning' ELSE 'info' END AS severity,
+    list_extract(['redis.lifecycle.ready', 'redis.replication.sync_started', 'redis.sentinel.subjective_down', 'redis.cluster.state_ok', 'redis.persistence.bgsave_started', 'redis.message', 'redis.message'], CAST(event_id % 7 AS INT) + 1) AS event_type,
+    CASE WHEN {_FORM} != 4 THEN event_id END AS pid, CASE {_FORM} WHEN 0 THEN list_extract(['master', 'replica', 'sentinel', 'child', 'unknown'], CAST(event_id % 25 // 5 AS INT) + 1) WHEN 2 THEN 'master' WHEN 3 THEN 'replica' END AS role,
+    CASE {_FORM} WHEN 2 THEN 'redis-server[77]' WHEN 3 THEN 'stdout' END AS process, CASE WHEN {_FORM} = 2 THEN 'box' END AS host FROM x""",
+)
+def parse_redis_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with and without process, role, year and wrapper; all rules of messages."""
+    lines = canonical(spark, sf_dir, True).select(F.lit("redis").alias("file"), F.col("event_id").alias("position"), F.expr(_REDIS_LINE).alias("value"))
+    got = parse.parse(lines, Registry(context=Context(year=2024)), mode="redis_log")
+    found = F.parse_json("event.attributes")
+    return got.select(
+        F.col("position").alias("event_id"), "status", F.col("event.timestamp").cast("timestamp_ntz").alias("timestamp"), "event.severity", "event.event_type",
+        F.try_variant_get(found, "$.pid", "long").alias("pid"), F.try_variant_get(found, "$.role", "string").alias("role"), F.try_variant_get(found, "$.outer_process", "string").alias("process"), "event.host",
+    )
