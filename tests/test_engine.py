@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions import extract, text
 from timberline.functions.extract import with_extracts
-from timberline.functions.text import redis_endpoint, summary_text
+from timberline.functions.text import fold_case, redis_endpoint, summary_text
 from timberline.operators import parse, query, reports, store
 from timberline.operators.filters import apply_filter
 from timberline.operators.normalize import Defaults, normalize
@@ -619,6 +619,13 @@ def test_attributes_keep_kinds_and_depth(spark):
     assert found.count() == 1
 
 
+def test_every_letter_folds_as_unicode_says(spark):
+    letters = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    rows = [("".join(letters[k : k + 64]) + "x",) for k in range(0, len(letters), 64)] + [("STRASSE straße",), ("ΣΊΣΥΦΟΣ ﬃ İ",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select("t", fold_case("t").alias("f")).collect()
+    assert all(r.f == (None if r.t is None else r.t.casefold()) for r in got)
+
+
 REDIS_FORMS = {
     "1:M 01 Jan 2024 10:00:00.123456 * x": (1, "master", 123456, None), "[1234] 01 Jan 10:00:00 # x": (1234, None, 0, None),
     "01 Jan 2024 10:00:00.5 . x": (None, None, 500000, None), "9:z 1 Jan 2024 10:00:00 - x": (9, "unknown", 0, None),

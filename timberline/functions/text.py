@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,16 +18,24 @@ def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Letters that fold to several ones.
-FOLDS = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ŉ": "ʼn", "ς": "σ"}
+@cache
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Unicode's full case folding: letters that fold to one, these, and letters that fold to several."""
+    found = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and c.casefold() != c}
+    single = {c: f for c, f in found.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in found.items() if len(f) > 1}
 
 
 def fold_case(c: ColumnLike) -> Column:
-    """Lower case with the expansions of full case folding that matter in logs."""
-    out = F.lower(col(c))
-    for letter, plain in FOLDS.items():
-        out = F.replace(out, F.lit(letter), F.lit(plain))
-    return out
+    """Full case folding. Text of ASCII alone takes the short way, and only text with a letter that folds to several,
+    such as the German sharp s, is taken apart."""
+    text = col(c)
+    letters, plain, several = _folding()
+    one = F.translate(text, letters + "ABCDEFGHIJKLMNOPQRSTUVWXYZ", plain + "abcdefghijklmnopqrstuvwxyz")
+    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    each = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    folded = F.when(F.rlike(one, F.lit("[" + "".join(several) + "]")), each).otherwise(one)
+    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), folded).otherwise(F.lower(text))
 
 
 def clean(c: ColumnLike) -> Column:
