@@ -54,9 +54,10 @@ def canonical(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFram
     ).drop("tag", "attributes_json", "content")
 
 
-def extracted(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
-    """The canonical view with what its reports read, or with some of it."""
-    return with_extracts(canonical(spark, sf_dir, True), only=only or EXTRACTS)
+def extracted(spark: SparkSession, sf_dir: str, *only: str, dealt: bool = False) -> DataFrame:
+    """The canonical view with what its reports read, or with some of it; ``dealt`` to all cores where only counts are
+    made of it (sums of doubles depend on the order in their last digit, which rounding can show)."""
+    return with_extracts(canonical(spark, sf_dir, dealt), only=only or EXTRACTS)
 
 
 EV = (
@@ -209,7 +210,7 @@ for _group, _key in {**_FACETS, "tag": "tag", "time_bucket": "strftime(time_buck
     round(count(*) * 60 / (epoch_us(max(timestamp)) / 1e6 - epoch_us(min(timestamp)) / 1e6), 6) AS events_per_minute FROM x""",
 )
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = reports.summary(extracted(spark, sf_dir, "x_duration", "x_status", "x_event_type", "x_service", "x_host", "x_parser"))
+    row = reports.summary(extracted(spark, sf_dir, "x_duration", "x_status", "x_event_type", "x_service", "x_host", "x_parser", dealt=True))
     return rounded(ntz(row, "first_seen", "last_seen"), "error_rate", "critical_rate", "span_seconds", "events_per_second", "events_per_minute")
 
 
@@ -234,7 +235,7 @@ _DIST = " UNION ALL ".join([f"SELECT '{n}' AS field, {c} AS value FROM x WHERE {
     CAST(matched_value_count - sum(count) OVER (PARTITION BY field) AS BIGINT) AS other_count, unique_values > 5 AS truncated FROM r WHERE position <= 5""",
 )
 def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.distributions(extracted(spark, sf_dir, "x_status", "x_method", "x_event_type", "x_service", "x_host", "x_parser"), (*_FIELDS, "tags"), 5), "percentage")
+    return rounded(reports.distributions(extracted(spark, sf_dir, "x_status", "x_method", "x_event_type", "x_service", "x_host", "x_parser", dealt=True), (*_FIELDS, "tags"), 5), "percentage")
 
 
 for _method, _fn in {"nearest_rank": "quantile_disc", "linear": "quantile_cont"}.items():
@@ -430,7 +431,7 @@ _GROUPED = " UNION ALL ".join(f"SELECT '{n}' AS field, CAST({c} AS VARCHAR) AS k
     + ", baseline_count >= 10 AND comparison_count >= 10 AND abs(comparison_count - baseline_count) / baseline_count * 100 >= 20 AS significant, CAST(row_number() OVER (PARTITION BY field ORDER BY abs(cs - bs) DESC, comparison_count DESC, key) AS INT) AS position FROM s) SELECT * FROM r WHERE position <= 5",
 )
 def comparison_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(comparison.groups(extracted(spark, sf_dir, "x_status", "x_service", "x_host"), COMPARED), "baseline_share", "comparison_share", "point_change", "percent_change", "absolute_change")
+    return rounded(comparison.groups(extracted(spark, sf_dir, "x_status", "x_service", "x_host", dealt=True), COMPARED), "baseline_share", "comparison_share", "point_change", "percent_change", "absolute_change")
 
 
 # ---- formats: events written as lines, then read back -----------------------------------------------------------------
