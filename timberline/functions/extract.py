@@ -224,7 +224,7 @@ def with_extracts(events: DataFrame, duration_field: str | None = None, status_f
     texts = {name: text_field(events, *paths) for name, paths in TEXT_FIELDS.items() if name in wanted}
     rows = once(rows, texts) if texts else rows
     if "x_endpoint" in wanted:
-        rows = rows.withColumn("x_endpoint", endpoint(F.col("x_path")))
+        rows = once(rows, {"x_endpoint": endpoint(F.col("x_path"))})
     if "x_http" in wanted:
         found = F.col("x_status").isNotNull() | F.col("x_method").isNotNull() | F.col("x_path").isNotNull()
         rows = rows.withColumn("x_http", found | F.coalesce(F.col("source_type").isin(*HTTP_SOURCES), F.lit(False)))

@@ -144,7 +144,7 @@ def redis_endpoint(c: ColumnLike) -> Column:
     pattern = r"^\s*(?:\[([0-9A-Fa-f:.]+)\]|([^\s:\[\]]+))(?::(\d{1,5}))?\s*$"
     host = F.coalesce(F.nullif(F.regexp_extract(col(c), pattern, 1), F.lit("")), F.nullif(F.regexp_extract(col(c), pattern, 2), F.lit("")))
     port = F.regexp_extract(col(c), pattern, 3).try_cast("int")
-    return F.struct(host.alias("host"), F.when(port.between(1, 65535), port).alias("port"))
+    return F.struct(host.alias("host"), F.when(port.between(0, 65535), port).alias("port"))
 
 
 def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
