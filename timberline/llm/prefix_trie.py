@@ -20,7 +20,6 @@ Paths and turns are compared by 128-bit digests.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
