@@ -43,11 +43,6 @@ def record(**values: Column) -> Column:
     return F.struct(*out)
 
 
-def part(line: Column, pattern: str, group: int) -> Column:
-    """A group of a pattern; null if the line does not match or the group took no part or is empty."""
-    return F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
-
-
 #: A sign that no text holds (Unicode sets it aside), between the groups of a match.
 SPLIT = "\uffff"
 
