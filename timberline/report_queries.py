@@ -23,7 +23,8 @@ from .plans.analysis import analyze, compare, prepared, samples
 from .plans.insights import Thresholds
 from .plans.requests import AnalysisRequest, ComparisonRequest, EventFilter, EventQuery, EventSort
 from .queries import COMPARED, EV, LINES, canonical, ntz, register, rounded, written_lines
-from .sources import ingest
+from .sources import archives, ingest
+from .sources.lines import opened
 from .sources.parsers import Context, JSON_PROFILES, Registry, json_profile
 from .sources.shared import shared_dir, table
 
@@ -154,6 +155,60 @@ def bounded_line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.regexp_extract("file", "kind=([a-z]+)/", 1).alias("event_type"), "position", "value", "characters", "oversized")
 
 
+#: Documents of an archive.
+_ENTRIES = 64
+
+
+def _document_archives(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with archives of 64 documents by doc_id, made by tasks: zips of entries in several encodings and line ends,
+    packed or not; every eighth archive is cut in half, and every eighth is gzip files, one a document."""
+    path = f"{shared_dir(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    files, inner = opened(path)
+    files.create_dir(inner)
+
+    def put(name: str, data: bytes) -> None:
+        files, inner = opened(f"{path}/{name}")
+        with files.open_output_stream(inner, compression=None) as out:
+            out.write(data)
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        number = int(rows["archive"].iloc[0])
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for k, text in zip(rows["doc_id"], rows["text"], strict=True):
+                data = text.replace("\n", "\r\n").encode() if k % 3 == 1 else text.encode("utf-16") if k % 3 == 2 else text.encode()
+                if number % 8 == 3:
+                    put(f"g{number}_{k}.log.gz", gzip.compress(data, 1, mtime=0))
+                else:
+                    archive.writestr(f"d{k}.log", data, zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED, 1)
+        if number % 8 != 3:
+            put(f"a{number}.zip", out.getvalue()[: len(out.getvalue()) // (2 if number % 8 == 7 else 1)])
+        return pd.DataFrame({"archive": [number]})
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("doc_id") / _ENTRIES).alias("archive"))
+    rows.groupBy("archive").applyInPandas(write, "archive long").write.format("noop").mode("overwrite").save()
+    return path
+
+
+@register(
+    "archive_lines",
+    f"""WITH d AS (SELECT doc_id, CAST(floor(doc_id / {_ENTRIES}) AS BIGINT) AS archive, CASE WHEN doc_id % 3 = 1 THEN replace(coalesce(text, ''), chr(10), chr(13) || chr(10)) ELSE coalesce(text, '') END AS out FROM documents),
+    w AS (SELECT archive, doc_id, regexp_split_to_array(regexp_replace(out, '(\\r\\n|\\r|\\n)\\z', ''), '\\r\\n|\\r|\\n') AS lines FROM d WHERE archive % 8 <> 7 AND out <> ''),
+    l AS (SELECT archive, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS position FROM w)
+    SELECT archive, doc_id, position, CASE WHEN length(line) <= 400 THEN line END AS value, left(line, 200) AS preview, length(line) AS characters, length(line) > 400 AS oversized, NULL AS error FROM l
+    UNION ALL SELECT DISTINCT archive, NULL, NULL, NULL, NULL, NULL, NULL, 'ARCHIVE_MALFORMED' FROM d WHERE archive % 8 = 7""",
+)
+def archive_line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, read from archives, an entry a task; lines over 400 signs are not held."""
+    lines = archives.archive_lines(spark, _document_archives(spark, sf_dir), limit=400)
+    number = lambda c, pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")).cast("long")
+    return lines.select(
+        number("file", r"/[ag](\d+)[^/]*$").alias("archive"), F.coalesce(number("entry", r"^d(\d+)"), number("file", r"/g\d+_(\d+)")).alias("doc_id"),
+        "position", "value", "preview", "characters", "oversized", "error",
+    )
+
+
 # ---- detection and parsing of mixed lines ------------------------------------------------------------------------------
 
 _ORDER = tuple(LINES)

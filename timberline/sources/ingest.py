@@ -61,6 +61,11 @@ def byte_order_mark(content: Column) -> Column:
     return out
 
 
+def mark_of(head: bytes) -> str | None:
+    """The same for bytes in a task."""
+    return next((name for mark, name in MARKS if head.startswith(bytes.fromhex(mark))), None)
+
+
 def sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
@@ -97,9 +102,41 @@ def gunzip(data: bytes, o: IngestOptions) -> tuple[bytes | None, str | None]:
         return None, "ARCHIVE_MALFORMED"
     if len(out) > o.max_unpacked:
         return None, "ARCHIVE_TOO_LARGE"
-    if len(out) > o.max_ratio * max(len(data), 1) and len(out) > 1 << 20:
+    if len(out) > o.max_ratio * max(len(data), 1):
         return None, "ARCHIVE_RATIO"
-    return (None, "ARCHIVE_NESTED") if out[:2] == b"\x1f\x8b" or out[:4] == b"PK\x03\x04" else (out, None)
+    return (None, "ARCHIVE_NESTED") if looks_packed(out) else (out, None)
+
+
+def looks_packed(data: bytes) -> bool:
+    return data.startswith((b"\x1f\x8b", b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08"))
+
+
+def chosen_entries(infos: list[zipfile.ZipInfo], o: IngestOptions, every: bool = False) -> tuple[list[int], str | None, bool]:
+    """The numbers of the entries to read, in order of their names, or what forbids it; the last value tells that one was
+    chosen among several.
+
+    Entries that look like text by their names come first; others count only if none does.
+    """
+    files = [k for k, i in enumerate(infos) if not i.is_dir()]
+    names = [infos[k].filename for k in files]
+    if not files:
+        return [], "ARCHIVE_EMPTY", False
+    if len(files) > o.max_entries:
+        return [], "ARCHIVE_TOO_MANY_ENTRIES", False
+    if any(not n.strip() or n.strip().startswith(("/", "\\")) or ".." in n.replace("\\", "/").split("/") or ":" in n for n in names):
+        return [], "ARCHIVE_UNSAFE_NAME", False
+    if any(infos[k].flag_bits & 1 for k in files):
+        return [], "ARCHIVE_ENCRYPTED", False
+    if o.entry:
+        found = [k for k in files if infos[k].filename == o.entry]
+        return found[:1], None if found else "ARCHIVE_ENTRY_MISSING", False
+    texts = [k for k in files if infos[k].filename.lower().endswith(TEXT_NAMES)] or files
+    texts.sort(key=lambda k: infos[k].filename)
+    if every:
+        return texts, None, False
+    if o.strict_entry and len(texts) > 1:
+        return [], "ARCHIVE_ENTRY_AMBIGUOUS", False
+    return texts[:1], None, len(texts) > 1
 
 
 def unzip(data: bytes, o: IngestOptions) -> tuple[bytes | None, str | None, str | None, bool]:
@@ -107,32 +144,21 @@ def unzip(data: bytes, o: IngestOptions) -> tuple[bytes | None, str | None, str
     that it was chosen among several."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            files = [i for i in archive.infolist() if not i.is_dir()]
-            if not files:
-                return None, "ARCHIVE_EMPTY", None, False
-            if len(files) > o.max_entries:
-                return None, "ARCHIVE_TOO_MANY_ENTRIES", None, False
-            if any(i.filename.startswith(("/", "\\")) or ".." in i.filename.replace("\\", "/").split("/") or ":" in i.filename for i in files):
-                return None, "ARCHIVE_UNSAFE_NAME", None, False
-            texts = sorted((i for i in files if i.filename.lower().endswith(TEXT_NAMES)), key=lambda i: i.filename) or sorted(files, key=lambda i: i.filename)
-            chosen = next((i for i in files if i.filename == o.entry), None) if o.entry else texts[0]
-            if chosen is None:
-                return None, "ARCHIVE_ENTRY_MISSING", None, False
-            if o.strict_entry and not o.entry and len(texts) > 1:
-                return None, "ARCHIVE_ENTRY_AMBIGUOUS", None, False
-            if chosen.flag_bits & 1:
-                return None, "ARCHIVE_ENCRYPTED", None, False
-            if chosen.filename.lower().endswith((".zip", ".gz")):
-                return None, "ARCHIVE_NESTED", None, False
+            numbers, error, auto = chosen_entries(archive.infolist(), o)
+            if error:
+                return None, error, None, False
+            chosen = archive.infolist()[numbers[0]]
             with archive.open(chosen) as file:
                 out = file.read(o.max_unpacked + 1)
     except (zipfile.BadZipFile, OSError, EOFError, zlib.error, NotImplementedError):
         return None, "ARCHIVE_MALFORMED", None, False
     if len(out) > o.max_unpacked:
         return None, "ARCHIVE_TOO_LARGE", None, False
-    if len(out) > o.max_ratio * max(chosen.compress_size, 1) and len(out) > 1 << 20:
+    if len(out) > o.max_ratio * max(chosen.compress_size, 1):
         return None, "ARCHIVE_RATIO", None, False
-    return out, None, chosen.filename, len(texts) > 1 and not o.entry
+    if looks_packed(out) or chosen.filename.lower().endswith((".zip", ".gz")):
+        return None, "ARCHIVE_NESTED", None, False
+    return out, None, chosen.filename, auto
 
 
 UNPACKED = T.StructType(

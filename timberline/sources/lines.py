@@ -61,7 +61,8 @@ class Range(InputPartition):
 
 
 def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri) if ":/" in uri else (pa.fs.LocalFileSystem(), uri)
+    local = uri.removeprefix("file:")
+    return pa.fs.FileSystem.from_uri(uri) if ":/" in local else (pa.fs.LocalFileSystem(), local)
 
 
 def range_lines(stream: Any, start: int, end: int, limit: int, encoding: str) -> Iterator[tuple[int, str | None, str, int, bool]]:
