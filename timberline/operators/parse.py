@@ -69,7 +69,8 @@ def vote(lines: DataFrame, formats: list[LogFormat], voters: int = VOTERS) -> Da
     """
     first = Window.partitionBy("file").orderBy("position")
     head = lines.filter(F.trim("value") != "").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= voters)
-    found = with_detection(head.select("file", "value"), formats, extension=extension_of(F.col("file"))).filter("detected is not null")
+    kind = [c for c in ("content_type",) if c in lines.columns]
+    found = with_detection(head.select("file", "value", *kind), formats, extension=extension_of(F.col("file")), content_type=F.col(kind[0]) if kind else None).filter("detected is not null")
     tally = found.groupBy("file", "detected.name").agg(F.count(F.lit(1)).alias("n"), F.avg("detected.confidence").alias("confidence"))
     places = {f.name: k for k, f in enumerate(formats)}
     place = F.element_at(F.create_map(*(F.lit(x) for pair in places.items() for x in pair)), F.col("name"))
@@ -83,7 +84,8 @@ def parse(lines: DataFrame, registry: Registry | None = None, mode: str = "row",
     ``mode`` is ``row`` (each line by itself), ``file`` (a vote of the file's first lines; with ``mixed``, lines that
     have not the voted form are taken by themselves) or a format's name. Over-long lines fail and lose their text.
     Lines may come with a column header, the field names that hold for them; without it, a file's header lines are
-    looked up. With it, all but ``file`` mode also works on streams.
+    looked up. With it, all but ``file`` mode also works on streams. A column content_type (such as ``application/json``)
+    narrows the formats of files whose names have no extension.
     """
     registry = registry or Registry()
     formats = registry.active() if mode in ("row", "file") else [registry.get(mode)]
@@ -97,7 +99,7 @@ def parse(lines: DataFrame, registry: Registry | None = None, mode: str = "row",
     directive = F.coalesce(F.startswith("value", F.lit("#")), F.lit(False))
     known = F.when(F.col("header").isNotNull() & ~directive, "iis_w3c")
     if mode in ("row", "file"):
-        rows = with_detection(rows, formats, extension=extension_of(F.col("file")))
+        rows = with_detection(rows, formats, extension=extension_of(F.col("file")), content_type=F.col("content_type") if "content_type" in lines.columns else None)
         own = F.coalesce(F.col("detected.name"), known)
         chosen = own
         if mode == "file":

@@ -78,7 +78,7 @@ _FILE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_KIND} AS kin
     CASE WHEN kind IN ('plain', 'windows') THEN sha256(out) END AS content_sha256, crlf, CAST(n_lf - crlf AS INT) AS lf, CAST(n_cr - crlf AS INT) AS cr,
     concat_ws(',', CASE WHEN kind = 'latin' THEN 'ENCODING_LOW_CONFIDENCE,ENCODING_FALLBACK_USED' END, CASE WHEN (crlf > 0)::INT + (n_lf > crlf)::INT + (n_cr > crlf)::INT > 1 THEN 'MIXED_LINE_ENDINGS' END,
     CASE WHEN kind = 'zip' THEN 'ARCHIVE_ENTRY_AUTO_SELECTED' END, CASE WHEN kind = 'wide' THEN 'UNKNOWN_CONTENT_TYPE' END) AS warnings,
-    CASE WHEN kind = 'program' THEN 'BINARY_CONTENT' END AS error, CASE WHEN kind = 'zip' THEN 'b.log' END AS entry FROM e""",
+    CASE WHEN kind = 'program' THEN 'BINARY_CONTENT' WHEN out = '' THEN 'EMPTY_CONTENT' END AS error, CASE WHEN kind = 'zip' THEN 'b.log' END AS entry FROM e""",
 )
 def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = ingest.ingest(document_files(spark, sf_dir))
@@ -197,6 +197,7 @@ def _document_archives(spark: SparkSession, sf_dir: str) -> str:
     w AS (SELECT archive, doc_id, regexp_split_to_array(regexp_replace(out, '(\\r\\n|\\r|\\n)\\z', ''), '\\r\\n|\\r|\\n') AS lines FROM d WHERE archive % 8 <> 7 AND out <> ''),
     l AS (SELECT archive, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS position FROM w)
     SELECT archive, doc_id, position, CASE WHEN length(line) <= 400 THEN line END AS value, left(line, 200) AS preview, length(line) AS characters, length(line) > 400 AS oversized, NULL AS error FROM l
+    UNION ALL SELECT archive, doc_id, NULL, NULL, NULL, NULL, NULL, 'EMPTY_CONTENT' FROM d WHERE archive % 8 <> 7 AND out = ''
     UNION ALL SELECT DISTINCT archive, NULL, NULL, NULL, NULL, NULL, NULL, 'ARCHIVE_MALFORMED' FROM d WHERE archive % 8 = 7""",
 )
 def archive_line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

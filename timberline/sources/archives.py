@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import CANDIDATES, ENOUGH, detect, wide
-from .ingest import SAMPLE, IngestOptions, chosen_entries, looks_binary, looks_packed, mark_of
+from .ingest import MARKS, SAMPLE, IngestOptions, chosen_entries, looks_binary, looks_packed, mark_of
 from .lines import CHUNK, opened, range_lines
 from .shared import stash
 
@@ -35,6 +35,7 @@ from .shared import stash
 TASK = 32 << 20
 #: Bytes around signs that are no ASCII that encoding detection sees, at most, spread over the entry.
 SIGNS = 1 << 18
+MARK_BYTES = {name: bytes.fromhex(mark) for mark, name in MARKS}
 ROWS, BYTES = 4096, 4 << 20
 END = 1 << 62
 
@@ -213,6 +214,8 @@ def checked(entry: tuple, packed: int, o: IngestOptions) -> tuple[str | None, st
     if kind != "plain" and looks_packed(head):
         return None, "ARCHIVE_NESTED"
     mark = mark_of(head)
+    if not o.allow_empty and head.removeprefix(MARK_BYTES.get(mark, b"")) == b"":
+        return None, "EMPTY_CONTENT"
     if o.encoding or mark:
         name = o.encoding or mark
         return (name, None) if o.errors != "strict" or _readable(entry, name) else (None, "DECODE_FAILED")
@@ -262,8 +265,8 @@ def archive_lines(spark: SparkSession, path: str, options: IngestOptions = Inges
 
     Lines end with LF, CR LF or CR. A line over ``limit`` characters has no value, only its first characters and its
     length. An archive or entry that is broken, encrypted, unsafe, packed twice or above the limits gives one row with
-    an error and no position; the others of its archive are read. Empty entries have no lines. Entries are those of
-    ``archive_entries``.
+    an error and no position; the others of its archive are read. Empty entries are errors, or with ``allow_empty``, have
+    no lines. Entries are those of ``archive_entries``.
     """
     listed = stash(archive_entries(spark, path, options, every))
     wrong = listed.filter("error is not null").select(

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
+import stat
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -36,6 +38,8 @@ class IngestOptions:
     allow_binary: bool = False
     normalize_newlines: bool = False
     detect: bool = True
+    allow_empty: bool = False
+    follow_symlinks: bool = False
 
 
 # Byte order marks; longer ones first.
@@ -83,10 +87,50 @@ def normalized_newlines(text: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str, options: IngestOptions = IngestOptions()) -> DataFrame:
-    """path, content and error of each file; files above the size limit lose their content."""
+    """path, content and error of each file.
+
+    Files above the size limit are listed but not opened. Spark lists no files without a length, which takes care of
+    pipes and devices in a folder; a path that is one itself is a ValueError. Local links have an error and no content,
+    unless ``follow_symlinks``; other file systems have none.
+    """
+    if irregular(path, True):
+        raise ValueError(f"{path}: NOT_REGULAR_FILE")
     rows = spark.read.format("binaryFile").load(path)
-    large = F.col("length") > options.max_bytes
-    return rows.select("path", F.when(~large, F.col("content")).alias("content"), F.when(large, "FILE_TOO_LARGE").alias("error"))
+    small = F.col("length") <= options.max_bytes  # pushed to the source
+    link = _irregular(options.follow_symlinks)("path")
+    read = rows.filter(small).select("path", "content", link.alias("error"))
+    large = rows.filter(~small).select("path", F.lit(None).cast("binary").alias("content"), F.coalesce(link, F.lit("FILE_TOO_LARGE")).alias("error"))
+    return read.select("path", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error").unionByName(large)
+
+
+def irregular(path: str, follow_symlinks: bool = False) -> str | None:
+    """Why a local path is not to be read as a file; null for other file systems' paths and for those that are not there,
+    such as patterns."""
+    name = path.removeprefix("file:")
+    if ":/" in name:
+        return None
+    try:
+        mode = os.lstat(name).st_mode
+        if stat.S_ISLNK(mode):
+            if not follow_symlinks:
+                return "SYMLINK_NOT_ALLOWED"
+            mode = os.stat(name).st_mode
+    except OSError:
+        return None
+    return None if stat.S_ISREG(mode) or stat.S_ISDIR(mode) else "NOT_REGULAR_FILE"
+
+
+def _irregular(follow_symlinks: bool):
+    @F.pandas_udf("string")
+    def check(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: irregular(p, follow_symlinks)).astype(object)
+
+    return check
+
+
+def text_rows(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
+    """Given texts by name, as files in UTF-8."""
+    return bytes_rows(spark, {k: v.encode() for k, v in texts.items()})
 
 
 def bytes_rows(spark: SparkSession, sources: dict[str, bytes]) -> DataFrame:
@@ -231,7 +275,10 @@ def decoded(files: DataFrame, options: IngestOptions = IngestOptions()) -> DataF
                     if found and found[1] >= ENOUGH:
                         return data.decode(found[0]), found[0], False, allowed, found[1]
                 continue
-            return text.removeprefix("\ufeff"), name, k > 0, allowed, guess[1] if guess else ENOUGH if k > 0 else 1.0
+            text = text.removeprefix("\ufeff")
+            if not text:
+                allowed = "EMPTY_CONTENT_ALLOWED" if o.allow_empty else "EMPTY_CONTENT"
+            return text, name, k > 0, allowed, guess[1] if guess else ENOUGH if k > 0 else 1.0
         return None, None, False, "DECODE_FAILED", None
 
     @F.pandas_udf(DECODED)
@@ -241,7 +288,7 @@ def decoded(files: DataFrame, options: IngestOptions = IngestOptions()) -> DataF
     rows = files.withColumn("_d", decode("content", byte_order_mark(F.col("content"))))
     text = F.col("_d.text")
     ends = line_ends(text)
-    bad = F.col("_d.problem").isin("BINARY_CONTENT", "DECODE_FAILED")
+    bad = F.col("_d.problem").isin("BINARY_CONTENT", "DECODE_FAILED", "EMPTY_CONTENT")
     warnings = F.array_compact(
         F.array(
             F.when(F.col("_d.confidence") < SURE, "ENCODING_LOW_CONFIDENCE"), F.when(F.col("_d.used_fallback"), "ENCODING_FALLBACK_USED"), F.when(~bad, F.col("_d.problem")), F.when(ends["mixed"], "MIXED_LINE_ENDINGS"),
@@ -250,7 +297,7 @@ def decoded(files: DataFrame, options: IngestOptions = IngestOptions()) -> DataF
         )
     )
     return rows.select(
-        "path", (normalized_newlines(text) if o.normalize_newlines else text).alias("text"), F.col("_d.encoding").alias("encoding"), F.col("_d.confidence").alias("confidence"), warnings.alias("warnings"),
+        "path", F.when(~F.coalesce(bad, F.lit(False)), normalized_newlines(text) if o.normalize_newlines else text).alias("text"), F.col("_d.encoding").alias("encoding"), F.col("_d.confidence").alias("confidence"), warnings.alias("warnings"),
         sha256(F.col("content")).alias("sha256"), ends.alias("line_ends"), F.coalesce("error", F.when(bad, F.col("_d.problem"))).alias("error"), "entry",
     )
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from .ingest import irregular
 from .shared import stash
 
 PACKED = (".gz", ".zip", ".bz2", ".xz", ".zst")
@@ -28,20 +29,24 @@ CHUNK = 1 << 16
 PREVIEW = 200
 
 
-def plain(path: str) -> str:
-    """The path, unless its name is that of a packed file: these go through ``ingest``."""
+def plain(path: str, follow_symlinks: bool = False) -> str:
+    """The path, unless its name is that of a packed file: these go through ``ingest`` or ``archive_lines``. Local paths
+    must be files or folders, and no links unless ``follow_symlinks``."""
+    if problem := irregular(path, follow_symlinks):
+        raise ValueError(f"{path}: {problem}")
     if path.lower().rstrip("/").endswith(PACKED):
         raise ValueError(f"{path} is packed: unpack it with ingest, or read its folder")
     return path
 
 
-def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8", follow_symlinks: bool = False) -> DataFrame:
     """file, position (line number from 1, without gaps) and value of every line.
 
     Splits are counted in one pass; their counts, one row for each split, are summed along each file and joined back.
     Empty files have no lines; a last line end does not begin another line. Packed files are refused.
     """
-    lines = spark.read.option("encoding", encoding).text(plain(path))
+    codecs.lookup(encoding)  # an unknown one is an error here and not in a task
+    lines = spark.read.option("encoding", encoding).text(plain(path, follow_symlinks))
     # ids rise with the rows of a partition without gaps, and a split's rows lie together in one
     rows = lines.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), F.rtrim("value", F.lit("\r")).alias("value")
@@ -133,6 +138,7 @@ class BoundedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.limit = options["path"], int(options.get("limit", 1 << 20))
         self.size, self.encoding = int(options.get("split", 64 << 20)), options.get("encoding", "utf-8")
+        self.follow = options.get("follow_symlinks", "false") == "true"
 
     def partitions(self) -> list[Range]:
         files, path = opened(self.path)
@@ -142,7 +148,7 @@ class BoundedReader(DataSourceReader):
         found = [info] if info.type == pa.fs.FileType.File else [f for f in files.get_file_info(pa.fs.FileSelector(path, recursive=True)) if f.type == pa.fs.FileType.File and not f.base_name.startswith(("_", "."))]
         scheme = self.path.split(":", 1)[0] + "://" if ":/" in self.path else ""
         for f in found:
-            plain(f.path)
+            plain(scheme + f.path, self.follow)
         return [Range(scheme + f.path, at, min(at + self.size, f.size)) for f in sorted(found, key=lambda f: f.path) for at in range(0, f.size, self.size)]
 
     def read(self, part: Range) -> Iterator[tuple]:
@@ -152,7 +158,7 @@ class BoundedReader(DataSourceReader):
                 yield part.file, part.start, offset, k, text, preview, characters, oversized
 
 
-def bounded_lines(spark: SparkSession, path: str, limit: int = 1 << 20, split: int = 64 << 20, encoding: str = "utf-8") -> DataFrame:
+def bounded_lines(spark: SparkSession, path: str, limit: int = 1 << 20, split: int = 64 << 20, encoding: str = "utf-8", follow_symlinks: bool = False) -> DataFrame:
     """file, position (line number from 1), value, preview, characters and oversized of every line.
 
     A line over ``limit`` characters has no value, only its first PREVIEW characters and its length. Lines end with LF or
@@ -162,7 +168,7 @@ def bounded_lines(spark: SparkSession, path: str, limit: int = 1 << 20, split: i
     if "\n".encode(encoding) != b"\n":
         raise ValueError(f"lines of {encoding} cannot be found by bytes: use ingest")
     spark.dataSource.register(BoundedLines)
-    options = {"path": plain(path), "limit": str(limit), "split": str(split), "encoding": encoding}
+    options = {"path": plain(path, follow_symlinks), "follow_symlinks": str(follow_symlinks).lower(), "limit": str(limit), "split": str(split), "encoding": encoding}
     lines = spark.read.format("bounded_lines").options(**options).load()
     counts = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

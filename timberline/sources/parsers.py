@@ -84,6 +84,8 @@ class LogFormat:
     version: str = "1.0.0"
     tags: tuple[str, ...] = ()
     extensions: tuple[str, ...] = (".log", ".txt")
+    #: Kinds of content, which count where a file has no extension; none for any.
+    content_types: tuple[str, ...] = ("text/plain",)
     enabled: bool = True
     #: Signs, as a class of a pattern, with which a line of the format can begin, white space aside; None for any.
     heads: str | None = None
@@ -566,6 +568,11 @@ def _sum(*signs: tuple[float, Column]) -> Column:
     return F.least(reduce(lambda a, b: a + b, [F.when(c, w).otherwise(0.0) for w, c in signs]), F.lit(1.0))
 
 
+# The kinds of content of two formats; the others are plain text.
+JSON_CONTENT = ("application/json", "application/x-ndjson", "application/jsonlines", "text/json", "text/plain")
+XML_CONTENT = ("application/xml", "text/xml", "text/plain")
+
+
 @cache
 def builtin_formats(context: Context = Context()) -> tuple[LogFormat, ...]:
     # The confidences, priorities and extensions of each format.
@@ -574,11 +581,11 @@ def builtin_formats(context: Context = Context()) -> tuple[LogFormat, ...]:
     sure = lambda pattern, c: lambda x: F.when(x.rlike(pattern), c).otherwise(0.0)
     json = lambda x: F.when(F.try_parse_json(F.when(F.trim(x).startswith("{"), x)).isNotNull(), 0.9).otherwise(0.0)
     return (
-        LogFormat("json_log", 90, "json", json, tags=("json",), extensions=(".json", ".jsonl", ".log"), heads=r"{", steps=json_steps()),
-        LogFormat("windows_event_xml", 95, "windows_event", windows, tags=("windows",), extensions=(".xml", ".evtx.xml"), heads=r"<", steps=windows_steps()),
-        LogFormat("iis_w3c", 100, "iis", lambda x: _sum(*((c, x.rlike(p)) for c, p in iis)), tags=("iis", "http"), heads=r"#0-9", steps=iis_steps()),
-        LogFormat("rfc5424_syslog", 100, "syslog", sure(RFC5424, 0.95), tags=("syslog",), extensions=(".log", ".syslog"), heads=r"<", steps=rfc5424_steps()),
-        LogFormat("rfc3164_syslog", 105, "syslog", sure(RFC3164, 0.98), tags=("syslog",), extensions=(".log", ".syslog"), heads=r"<", steps=rfc3164_steps(context.year, context.zone)),
+        LogFormat("json_log", 90, "json", json, tags=("json",), extensions=(".json", ".jsonl", ".ndjson", ".log"), content_types=JSON_CONTENT, heads=r"{", steps=json_steps()),
+        LogFormat("windows_event_xml", 95, "windows_event", windows, tags=("windows",), extensions=(".xml", ".evtx.xml", ".log"), content_types=XML_CONTENT, heads=r"<", steps=windows_steps()),
+        LogFormat("iis_w3c", 100, "iis", lambda x: _sum(*((c, x.rlike(p)) for c, p in iis)), tags=("iis", "http"), extensions=(".log",), heads=r"#0-9", steps=iis_steps()),
+        LogFormat("rfc5424_syslog", 100, "syslog", sure(RFC5424, 0.95), tags=("syslog",), extensions=(".log", ".txt", ".syslog"), heads=r"<", steps=rfc5424_steps()),
+        LogFormat("rfc3164_syslog", 105, "syslog", sure(RFC3164, 0.98), tags=("syslog",), extensions=(".log", ".txt", ".syslog"), heads=r"<", steps=rfc3164_steps(context.year, context.zone)),
         LogFormat("redis_log", 110, "redis", sure(REDIS_LINE, 0.9), tags=("redis",), heads=r"A-Za-z0-9\[", steps=redis_steps(context.year, context.zone)),
         LogFormat("apache_nginx_access", 120, "application", lambda x: F.when(x.rlike(ACCESS), 0.9).when(x.rlike(LIKE_ACCESS), 0.75).otherwise(0.0), tags=("webserver", "http"), steps=access_steps(context.vendor)),
         LogFormat("apache_nginx_error", 121, "application", lambda x: F.when(x.rlike(NGINX_ERROR) | x.rlike(APACHE_ERROR), 0.9).when(x.rlike(LIKE_ERROR), 0.75).otherwise(0.0), tags=("webserver",), steps=error_steps(context.vendor)),
@@ -631,17 +638,26 @@ def extension_of(file: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"(\.[a-z0-9]+(?:\.xml)?)$", 1), F.lit(""))
 
 
-def scores(line: Column, formats: list[LogFormat], extension: Column | None = None, first: Column | None = None) -> Pieces:
+def content_type_of(named: Column) -> Column:
+    """A kind of content in small letters, without its parameters; null for none."""
+    return F.nullif(F.trim(F.element_at(F.split(F.lower(named), ";"), 1)), F.lit(""))
+
+
+def scores(line: Column, formats: list[LogFormat], extension: Column | None = None, first: Column | None = None, content_type: Column | None = None) -> Pieces:
     """Each format's confidence. ``first`` is the line's first sign that is no white space: only formats that can begin
     with it look at the line, which for most signs are one or two. A format with extensions takes no part in a file of another extension; if no format
-    knows a file's extension, all take part."""
-    known = sorted({e for f in formats for e in f.extensions})
+    knows a file's extension, all take part. Where there is no extension, the same holds for the kind of content."""
+
+    def fits(value: Column | None, own: tuple[str, ...], known: set[str]) -> Column | None:
+        return None if value is None or not own else value.isNull() | value.isin(*own) | ~value.isin(*sorted(known))
 
     def of(f: LogFormat) -> Column:
-        if extension is None or not f.extensions:
-            return f.detect(line)
-        fits = extension.isNull() | extension.isin(*f.extensions) | ~extension.isin(*known)
-        return F.when(fits, f.detect(line)).otherwise(0.0)
+        by_name = fits(extension, f.extensions, {e for g in formats for e in g.extensions})
+        by_kind = fits(content_type, f.content_types, {c for g in formats for c in g.content_types})
+        if by_kind is not None and extension is not None:
+            by_kind = extension.isNotNull() | by_kind
+        tests = [t for t in (by_name, by_kind) if t is not None]
+        return F.when(reduce(lambda a, b: a & b, tests), f.detect(line)).otherwise(0.0) if tests else f.detect(line)
 
     def walked(f: LogFormat) -> Column:
         return of(f) if f.heads is None or first is None else F.when(F.rlike(first, F.lit(f"^[{f.heads}]")), of(f)).otherwise(0.0)
@@ -668,11 +684,11 @@ def detect(line: Column, formats: list[LogFormat], extension: Column | None = No
     return best(scores(line, formats, extension), formats)
 
 
-def with_detection(rows: DataFrame, formats: list[LogFormat], name: str = "detected", extension: Column | None = None) -> DataFrame:
+def with_detection(rows: DataFrame, formats: list[LogFormat], name: str = "detected", extension: Column | None = None, content_type: Column | None = None) -> DataFrame:
     """Adds ``best`` of the column value; scores and choice are steps of their own."""
-    rows = once(rows, {"_first": F.left(F.ltrim("value", F.lit(" \t\r\n")), F.lit(1))} | ({"_extension": extension} if extension is not None else {}))
-    found = scores(F.col("value"), formats, F.col("_extension") if extension is not None else None, F.col("_first"))
+    rows = once(rows, {"_first": F.left(F.ltrim("value", F.lit(" \t\r\n")), F.lit(1))} | ({"_extension": extension} if extension is not None else {}) | ({"_content": content_type_of(content_type)} if content_type is not None else {}))
+    found = scores(F.col("value"), formats, F.col("_extension") if extension is not None else None, F.col("_first"), F.col("_content") if content_type is not None else None)
     items = list(found.items())
     for low in range(0, len(items), AT_ONCE):
         rows = once(rows, dict(items[low : low + AT_ONCE]))
-    return once(rows, {name: best({n: F.col(n) for n in found}, formats)}).drop(*found, "_first", "_extension")
+    return once(rows, {name: best({n: F.col(n) for n in found}, formats)}).drop(*found, "_first", "_extension", "_content")

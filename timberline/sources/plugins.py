@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .parsers import FIELDS, LogFormat, Pieces, Registry, record
+from .parsers import FIELDS, LogFormat, Pieces, Registry, builtin_formats, record
 
 #: What a Python parser may return beside the fields that an event has.
 _FOUND = T.StructType([T.StructField("found", T.BooleanType()), *(T.StructField(f.name, T.StringType() if f.name == "attributes" else f.dataType) for f in FIELDS)])
@@ -75,58 +75,106 @@ class Plugins:
     """Loads formats into a registry, and calls what they leave to be called in the end.
 
     A source is a ``module:attribute``, or any object: a ``LogFormat``, several of them, or a function that makes them
-    and may take ``options`` by name. An object with ``close`` is closed by ``close``, last come first. ``on_error``
-    is ``skip``, which keeps the reason, or ``raise``.
+    and may take ``options`` by name. An object with ``close`` is closed by ``close``, last come first.
+
+    Plugins are started together: all are made first, then tried on a copy of the registry, and what passes is
+    registered in one step. ``on_error`` is ``skip``, which keeps each reason, or ``raise``: then one that fails leaves
+    the registry as it was, and all that were made are closed. At most ``most`` are loaded; those beyond fail.
+    A name that is taken already fails, or with ``duplicates`` as ``replace``, takes its place; that of a format that
+    comes with this library only with ``replace_builtin``.
     """
 
     registry: Registry
     options: dict[str, dict[str, Any]] = field(default_factory=dict)
     on_error: str = "skip"
+    most: int = 100
+    duplicates: str = "reject"
+    replace_builtin: bool = False
     loaded: list[Loaded] = field(default_factory=list)
     open: list[Any] = field(default_factory=list)
 
-    def load(self, name: str, source: Any, replace: bool = False) -> Loaded:
-        result = Loaded(name)
-        self.loaded.append(result)
-        try:
-            if isinstance(source, str):
-                module, _, attribute = source.partition(":")
-                source = getattr(import_module(module), attribute or "formats")
-            if callable(source) and not isinstance(source, LogFormat):
-                options = self.options.get(name, {})
-                known = inspect.signature(source).parameters
-                takes_all = any(p.kind is p.VAR_KEYWORD for p in known.values())
-                if unknown := set(options) - set(known) if not takes_all else set():
-                    raise ValueError(f"unknown options {sorted(unknown)}")
-                source = source(**options)
-            if hasattr(source, "close"):
-                self.open.append(source)
-            found = getattr(source, "formats", source)
-            found = [found] if isinstance(found, LogFormat) else list(found)
-            if bad := [f for f in found if not isinstance(f, LogFormat)]:
-                raise TypeError(f"not a format: {bad[0]!r}")
-            for f in found:
-                self.registry.register(f, replace)
-                result.formats.append(f.name)
-        except Exception as error:  # noqa: BLE001
-            for f in result.formats:
-                self.registry.unregister(f)
-            result.formats, result.error = [], f"{type(error).__name__}: {error}"
-            if self.on_error == "raise":
-                raise
-        return result
-
-    def load_packages(self, group: str = "timberline.formats", allowed: Iterable[str] | None = None) -> list[Loaded]:
-        """Everything that installed packages offer under ``group``, or what ``allowed`` names of it."""
+    def __post_init__(self) -> None:
+        if self.on_error not in ("skip", "raise") or self.duplicates not in ("reject", "replace") or self.most < 0:
+            raise ValueError("on_error is skip or raise, duplicates reject or replace, most at least 0")
+
+    def start(self, sources: dict[str, Any]) -> list[Loaded]:
+        """Loads sources by name, in the order given."""
+        results, staged = [], Registry(dict(self.registry.formats), set(self.registry.disabled), self.registry.context)
+        count, opened = sum(r.error is None for r in self.loaded), len(self.open)
+        for name, source in sources.items():
+            result, before, began = Loaded(name), dict(staged.formats), len(self.open)
+            results.append(result)
+            try:
+                if count >= self.most:
+                    raise OverflowError(f"more than {self.most} plugins")
+                count += 1
+                for f in self._made(name, source):
+                    taken = f.name in staged.formats
+                    if taken and self.duplicates == "replace" and not self.replace_builtin and staged.formats[f.name] is self._builtin(f.name):
+                        raise PermissionError(f"{f.name} comes with the library")
+                    staged.register(f, taken and self.duplicates == "replace")
+                    result.formats.append(f.name)
+            except Exception as error:  # noqa: BLE001
+                staged.formats, result.formats, result.error = before, [], f"{type(error).__name__}: {error}"
+                self._shut(began)
+                if self.on_error == "raise":
+                    self._shut(opened)
+                    for r in results:
+                        r.formats = []
+                    self.loaded += results
+                    raise
+        self.registry.formats = staged.formats
+        self.loaded += results
+        return results
+
+    def load(self, name: str, source: Any) -> Loaded:
+        return self.start({name: source})[0]
+
+    def load_packages(self, group: str = "timberline.formats", allowed: Iterable[str] | None = None, required: bool = False) -> list[Loaded]:
+        """Everything that installed packages offer under ``group``, or what ``allowed`` names of it; with ``required``
+        there must be something."""
         chosen = None if allowed is None else set(allowed)
-        return [self.load(p.name, f"{p.module}:{p.attr}") for p in sorted(entry_points(group=group), key=lambda p: p.name) if chosen is None or p.name in chosen]
-
-    def close(self) -> list[str]:
-        """Closes what is open, and tells what failed to."""
+        found = {p.name: f"{p.module}:{p.attr}" for p in sorted(entry_points(group=group), key=lambda p: p.name) if chosen is None or p.name in chosen}
+        if required and not found:
+            missing = Loaded(group, error="LookupError: nothing is offered")
+            self.loaded.append(missing)
+            if self.on_error == "raise":
+                raise LookupError(f"nothing is offered under {group}")
+            return [missing]
+        return self.start(found)
+
+    def _made(self, name: str, source: Any) -> list[LogFormat]:
+        if isinstance(source, str):
+            module, _, attribute = source.partition(":")
+            source = getattr(import_module(module), attribute or "formats")
+        if callable(source) and not isinstance(source, LogFormat):
+            options = self.options.get(name, {})
+            known = inspect.signature(source).parameters
+            takes_all = any(p.kind is p.VAR_KEYWORD for p in known.values())
+            if unknown := set(options) - set(known) if not takes_all else set():
+                raise ValueError(f"unknown options {sorted(unknown)}")
+            source = source(**options)
+        if hasattr(source, "close"):
+            self.open.append(source)
+        found = getattr(source, "formats", source)
+        found = [found] if isinstance(found, LogFormat) else list(found)
+        if bad := [f for f in found if not isinstance(f, LogFormat)]:
+            raise TypeError(f"not a format: {bad[0]!r}")
+        return found
+
+    def _builtin(self, name: str) -> LogFormat | None:
+        return next((f for f in builtin_formats(self.registry.context) if f.name == name), None)
+
+    def _shut(self, keep: int) -> list[str]:
+        """Closes what was opened after the first ``keep``, and tells what failed to."""
         errors = []
-        while self.open:
+        while len(self.open) > keep:
             try:
                 self.open.pop().close()
             except Exception as error:  # noqa: BLE001
                 errors.append(f"{type(error).__name__}: {error}")
         return errors
+
+    def close(self) -> list[str]:
+        """Closes what is open, and tells what failed to."""
+        return self._shut(0)
