@@ -60,6 +60,19 @@ def test_hot_conversation_repeated_rows_nulls_and_nothing(spark):
     assert format_chats(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_texts_of_a_run_are_never_in_one_cell(spark):
+    plan = format_chats(spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn int, role string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    gathers = [x for x in plan.splitlines() if "collect_list" in x]
+    assert gathers and not any("text" in x for x in gathers)
+
+
+def test_many_long_texts_of_one_conversation(spark):
+    rows = spark.range(300).selectExpr("1L AS conv_id", "CAST(id AS INT) AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "repeat(concat('<|', id, ' '), 50000) AS text")
+    got = format_chats(rows).selectExpr("place", "action", "new_role", "length(piece) AS n", "left(piece, 40) AS head").collect()
+    assert len(got) == 300 and {r.action for r in got} == {"keep"} and min(r.n for r in got) > 200_000
+    assert sorted(r.place for r in got) == list(range(300)) and next(r.head for r in got if r.place == 1).startswith(f"{CLOSE}<|assistant|>\n< |1 < |1 ")
+
+
 def test_long_texts_and_columns_of_other_names(spark):
     text = "word " * 100_000
     rows = [(1, 0, "user", text, "p", "k"), (1, 1, "assistant", "b", "p", "k")]

@@ -8,7 +8,8 @@ is put in (INSERT each). The cheapest sequence is found by dynamic programming o
 Steps of the automaton are matrices of costs whose products (least sums) can be taken in any grouping. So a
 conversation needs no task of its own: all turns are sorted by conversation and turn and cut into runs of CHUNK rows;
 runs are multiplied apart, a scan over a conversation's runs finds the states at their borders, and each run then
-finds its own path between these. Turns come out one row each, with the piece of text that they add.
+finds its own path between these. Runs hold roles alone. Texts are joined to what was decided, a row a turn, so that no task holds
+more than a row of them; turns come out with the piece of text that they add.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .groups import grouped
 from .tables import stash
@@ -113,18 +113,27 @@ def tag(state: int) -> str:
     return f"<|{ROLES[state - 1]}|>\n"
 
 
-def render(before: int, after: int, text: str, last: bool) -> tuple[str, str]:
-    """A turn's action and the text that it adds: what it closes, what is put in, and itself."""
-    text = text.replace("<|", "< |")
+def opening(before: int, after: int) -> str:
+    """What a turn between two states adds before its text: what it closes, what is put in, and its own tag."""
     if before == after:
-        action, piece = "merge", "\n" + text
-    else:
-        put = BETWEEN[before, after]
-        action = "insert" if put else "keep"
-        piece = (CLOSE if before else "") + "".join(tag(s) + CLOSE for s in put) + tag(after) + text
-    if last:
-        piece += CLOSE + "".join(tag(s) + CLOSE for s in ENDING[after])
-    return action, piece
+        return "\n"
+    put = BETWEEN.get((before, after), ())
+    return (CLOSE if before else "") + "".join(tag(s) + CLOSE for s in put) + (tag(after) if after else "")
+
+
+def closing(state: int) -> str:
+    """What the last turn adds after its text."""
+    return CLOSE + "".join(tag(s) + CLOSE for s in ENDING[state])
+
+
+def rendered(before: Column, after: Column, text: Column, last: Column) -> tuple[Column, Column]:
+    """A turn's action and the piece of text that it adds."""
+    move = before * 4 + after + 1
+    moves = [(b, a) for b in range(4) for a in range(4)]
+    action = F.element_at(F.array(*(F.lit("merge" if b == a else "insert" if BETWEEN.get((b, a)) else "keep") for b, a in moves)), move)
+    start = F.element_at(F.array(*(F.lit(opening(b, a)) for b, a in moves)), move)
+    end = F.when(last, F.element_at(F.array(*(F.lit(closing(a)) for a in range(4))), after + 1)).otherwise(F.lit(""))
+    return action, F.concat(start, F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |")), end)
 
 
 def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -164,7 +173,7 @@ def _border_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
-def _render_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _path_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         turns, sizes = _lists(batch.column("turns"))
         before, after = paths(
@@ -172,20 +181,15 @@ def _render_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
         run = np.repeat(np.arange(len(sizes)), sizes)
         inside = np.arange(len(run)) - (np.cumsum(sizes) - sizes)[run]
-        final = batch.column("last").to_numpy(zero_copy_only=False)[run] & (inside == sizes[run] - 1)
-        done = [
-            render(b, a, t or "", f)
-            for b, a, t, f in zip(before.tolist(), after.tolist(), turns.field("text").to_pylist(), final.tolist(), strict=True)
-        ]
         yield pa.RecordBatch.from_arrays(
             [
-                turns.field("rest"),
+                turns.field("at"),
                 pa.array(batch.column("offset").to_numpy()[run] + inside),
-                pa.array([ROLES[a - 1] for a in after.tolist()]),
-                pa.array([d[0] for d in done], pa.string()),
-                pa.array([d[1] for d in done], pa.string()),
+                pa.array(before.astype(np.int32)),
+                pa.array(after.astype(np.int32)),
+                pa.array(batch.column("last").to_numpy(zero_copy_only=False)[run] & (inside == sizes[run] - 1)),
             ],
-            ["rest", "place", "new_role", "action", "piece"],
+            ["at", "place", "before", "after", "last"],
         )
 
 
@@ -197,7 +201,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     spaces around them and capitals; null and unknown ones may become any role. Null texts are empty; ``<|`` in a text
     gets a space, so that no text can pose as a tag. action is keep, merge or insert, and a role other than the given
     one shows a relabel. Columns other than conv_id, turn, role and text are left out, those named like an output
-    column too. Texts of any length are taken whole, one run of at most 2**CHUNK_BITS turns in memory at a time.
+    column too. Texts of any length are taken whole, one in memory at a time.
     An empty table gives no rows.
     """
     role = F.lower(F.trim("role"))
@@ -221,21 +225,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
         .sortWithinPartitions("key", "chunk")
         .mapInArrow(_border_batches, "key string, chunk bigint, offset bigint, entry int, leave int, last boolean")
     )
-    whole = placed.select("key", "chunk", "at", "code", "text", F.struct("conv_id", "turn", "role").alias("rest"))
-    rest = whole.schema["rest"].dataType
-    runs = whole.groupBy("key", "chunk").agg(F.sort_array(F.collect_list(F.struct("at", "code", "text", "rest"))).alias("turns"))
-    schema = StructType(
-        [
-            StructField("rest", rest),
-            StructField("place", LongType()),
-            StructField("new_role", StringType()),
-            StructField("action", StringType()),
-            StructField("piece", StringType()),
-        ]
-    )
-    return (
-        runs.join(found, ["key", "chunk"])
+    decided = (
+        coded.join(found, ["key", "chunk"])
         .select("turns", "offset", "entry", "leave", "last")
-        .mapInArrow(_render_batches, schema)
-        .select("rest.*", "place", "new_role", "action", "piece")
+        .mapInArrow(_path_batches, "at bigint, place bigint, before int, after int, last boolean")
+    )
+    action, piece = rendered(F.col("before"), F.col("after"), F.col("text"), F.col("last"))
+    role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("after"))
+    return placed.select("at", "conv_id", "turn", "role", "text").join(decided, "at").select(
+        "conv_id", "turn", "role", "place", role.alias("new_role"), action.alias("action"), piece.alias("piece")
     )
