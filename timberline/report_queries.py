@@ -25,7 +25,7 @@ from .plans.requests import AnalysisRequest, ComparisonRequest, EventFilter, Eve
 from .queries import COMPARED, EV, LINES, canonical, ntz, register, rounded, written_lines
 from .sources import archives, ingest
 from .sources.lines import opened
-from .sources.parsers import Context, JSON_PROFILES, Registry, json_profile
+from .sources.parsers import Context, JSON_PROFILES, Registry
 from .sources.shared import shared_dir, table
 
 # ---- ingestion: documents written as files of several kinds ------------------------------------------------------------
@@ -276,24 +276,43 @@ def parse_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PROFILE_NAMES = tuple(JSON_PROFILES)
+#: The keys of JSON records by what an event puts there; all others get its service.
+_PUT = {"time": ("timestamp", "@timestamp", "@t", "time", "timeMillis"), "level": ("level", "log.level", "severity_text", "@l"), "message": ("message", "body", "@m", "msg", "log")}
+# in the order of JSON_PROFILES: who is told, how surely, and how many keys no field of an event takes
+_TOLD = "list_extract(['generic', 'ecs', 'opentelemetry', 'serilog', 'nlog', 'log4j', 'bunyan', 'bunyan', 'docker', 'kubernetes'], k + 1)"
 
 
-@register("json_profiles", "SELECT event_id, CASE list_extract([" + ", ".join(f"'{n}'" for n in _PROFILE_NAMES) + f"], CAST(event_id % {len(_PROFILE_NAMES)} AS INT) + 1) WHEN 'pino' THEN 'bunyan' WHEN 'generic' THEN 'generic' ELSE list_extract([" + ", ".join(f"'{n}'" for n in _PROFILE_NAMES) + f"], CAST(event_id % {len(_PROFILE_NAMES)} AS INT) + 1) END AS profile FROM events")
-def json_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who wrote a record, told by its keys; two have the same keys, and the first of them is named."""
+def _profile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON line for each event, with the keys of one of the ways of writing them and the event's own values."""
+    values = {"time": F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "level": F.upper("severity"), "message": F.col("message"), "service": F.col("service")}
+    kind_of_key = {key: kind for kind, keys in _PUT.items() for key in keys}
+
+    def written(keys: tuple[str, ...]):
+        flat = [values[kind_of_key.get(k, "service")].alias(k) for k in keys if "." not in k]
+        deep = [F.struct(values[kind_of_key.get(k, "service")].alias(k.split(".")[1])).alias(k.split(".")[0]) for k in keys if "." in k]
+        return F.to_json(F.struct(*flat, *deep))
+
     out = F.lit(None).cast("string")
     for k, keys in enumerate(JSON_PROFILES.values()):
-        tree: dict = {}
-        for key in keys:
-            node = tree
-            *heads, last = key.split(".")
-            for h in heads:
-                node = node.setdefault(h, {})
-            node[last] = "x"
-        out = F.when(F.col("event_id") % len(JSON_PROFILES) == k, str(tree).replace("'", '"')).otherwise(out)
-    rows = table(spark, sf_dir, "events").select("event_id", F.parse_json(out).alias("v"))
-    return rows.select("event_id", json_profile(F.col("v"))["name"].alias("profile"))
+        out = F.when(F.col("event_id") % len(JSON_PROFILES) == k, written(keys)).otherwise(out)
+    return canonical(spark, sf_dir).select(F.lit("records.json").alias("file"), F.col("event_id").alias("position"), out.alias("value"))
+
+
+@register(
+    "json_profiles",
+    EV + f"SELECT event_id, {_TOLD} AS profile, CASE WHEN k = 8 THEN 0.75 ELSE 1.0 END::DOUBLE AS confidence, list_extract([0, 1, 2, 3, 0, 1, 1, 1, 1, 3], k + 1)::INT AS extra_keys, "
+    "CASE WHEN k IN (0, 2, 4, 6, 7, 8) THEN timestamp END AS timestamp, CASE WHEN k IN (0, 1, 4, 5, 6, 7) THEN severity ELSE 'unknown' END AS severity, CASE WHEN k IN (0, 2, 4, 5, 6, 7) THEN message END AS message, "
+    "CASE WHEN k IN (0, 1) THEN service END AS service, CASE WHEN k IN (3, 4, 5) THEN service END AS source FROM (SELECT *, CAST(event_id % 10 AS INT) AS k FROM x)",
+)
+def json_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read back from JSON of ten writers, who is told by the keys (two have the same, and the first is named):
+    fields are found under whichever key the writer has for them."""
+    got = parse.parse(_profile_records(spark, sf_dir), mode="json_log")
+    a = lambda p: F.get_json_object("event.attributes", f"$.{p}")
+    return got.select(
+        F.col("position").alias("event_id"), a("json_profile").alias("profile"), a("json_profile_confidence").cast("double").alias("confidence"), a("json_extra_keys").cast("int").alias("extra_keys"),
+        F.col("event.timestamp").cast("timestamp_ntz").alias("timestamp"), "event.severity", "event.message", "event.service", "event.source",
+    )
 
 
 # ---- queries, analysis, comparison and insights as wholes ---------------------------------------------------------------
