@@ -142,6 +142,35 @@ def test_pieces_match_the_library(spark, sf_dir):
         assert r.decoded == library.decode(np.frombuffer(r.ids, "<u4").tolist())
 
 
+def test_pieces_of_long_runs_repeated_rows_clashing_columns_and_nothing(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    run = "".join(rng.choice("etaoinshrdlu") for _ in range(30_000))  # one word
+    schema = "doc_id long, text string, ids string, decoded int, rest string"
+    rows = [(1, run, "i", 0, "r")] * 2 + [(None, "a b", None, None, None)]
+    got = encode_pieces(spark.createDataFrame(rows, schema), queries.piece_model()).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 1] and {r.rest for r in got} == {"r", None}
+    for r in got:
+        want = library.encode(run if r.doc_id else "a b", add_bos=True, add_eos=True)
+        assert np.frombuffer(r.ids, "<u4").tolist() == want and r.decoded == library.decode(want)
+    assert encode_pieces(spark.createDataFrame([], schema), queries.piece_model()).collect() == []
+
+
+def test_classifiers_keep_rows_and_other_columns(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.limit(3).selectExpr("doc_id", "text", "'x' AS score", "1 AS severity", "2 AS _dot", "3 AS own")
+    twice = rows.unionByName(rows)
+    for found, column in ((quality_scores(twice, labels), "score"), (toxicity(twice, labels), "severity")):
+        got = found.collect()
+        assert len(got) == 6 and all(r.own == 3 and isinstance(r[column], float) for r in got)
+        assert len({(r.doc_id, r[column]) for r in got}) == 3 and "_dot" not in found.columns
+    for empty in (quality_scores(rows.limit(0), labels), toxicity(rows.limit(0), labels)):
+        assert empty.collect() == []
+
+
 def word_grams(text, n=5):
     words = (text or "").encode().split()
     return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()

@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts count as empty. The largest id stays; a null id stays only where the group has no other
     (keep_id is then null). Of rows that repeat the largest id with one text all are marked kept, as they
-    cannot be told apart. Empty input gives an empty result. Input columns named like an output column, or
+    cannot be told apart. Texts of any length are compared whole, by digest and then by content. Empty input gives an empty result. Input columns named like an output column, or
     starting with ``_dedup``, give way to the result.
     """
     added = ["keep_id", "group_size", "kept", "text_sha256"]

@@ -178,7 +178,9 @@ def ngram_jaccard_join(
     class_id is the least doc_id of all rows that links connect; n_links counts the other n-gram sets as similar as
     ``threshold``; n_copies counts the rows of equal n-gram set, the row itself included. Words are kept as written.
     Null, empty and blank texts have no n-grams and no links: each is a class of its own (class_id is its doc_id).
-    A null doc_id takes part in links, but names a class only where it has no other id.
+    A null doc_id takes part in links, but names a class only where it has no other id. Repeated rows are copies like
+    others; columns but doc_id and text are left out. Texts are taken whole: one task holds a text's n-grams, and an
+    empty table gives no rows.
     """
     bands, rows = choose_bands(threshold, recall)
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -80,7 +80,8 @@ def pack(
     A batch has at most ``budget`` tokens with padding; a row that is longer alone makes its own batch, padded to its
     bucket's bound (``budget // padded_length`` is then taken as 1). Null and negative lengths count as 0; rows of
     length 0 form a bucket's worth of their own bound. All batches of a bucket but its last are full. Rows of equal id
-    and length are interchangeable. Input columns named like an output column give way, all others stay.
+    and length are interchangeable, repeated rows each get a slot. Only lengths are read, so texts may be of any length;
+    an empty table gives no rows. Input columns named like an output column give way, all others stay.
     """
     kept = [c for c in rows.columns if c not in ("bucket", "padded_length", "batch", "slot")]
     length = F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long")

@@ -266,6 +266,9 @@ def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", decode:
 
     Null texts count as empty, whose ids are begin and end alone. ``model`` is the content of a SentencePiece model
     file: BPE with byte fallback, no normalisation rules, a dummy prefix and no removal of spaces; others are refused.
+    Repeated rows all stay and are encoded alike, other columns stay, an empty table gives no rows. A text is held whole in
+    one task; one without any space is a single word, merged in as many rounds as it needs, and a run of a million
+    spaces takes about a minute.
     """
     check_model(model)
     shared = docs.sparkSession.sparkContext.broadcast(model)

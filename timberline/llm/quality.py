@@ -79,7 +79,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     """Every row of ``docs`` with score (0 to 1, higher: label 1 likelier), predicted and held_out.
 
     Whole texts are scored; null and empty ones get the bias alone. Labels are learned from ids outside the
-    held-out third only. Without any usable label all scores are 0.5.
+    held-out third only. Without any usable label all scores are 0.5. Equal texts have equal scores, repeated rows all
+    stay, an empty table gives no rows. Columns named like an output column, or ``_dot``, give way, all others stay. A
+    text is held whole in one task, with some dozens of bytes for each of its own.
     """
     docs = docs.drop("score", "predicted", "held_out", "_dot")
     seen = labels.filter(~held_out())

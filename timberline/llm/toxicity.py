@@ -114,7 +114,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     passed) and toxic (grade 0 is less likely than all others together).
 
     Whole texts are graded; null and empty ones have no features. Labels are learned from ids outside the held-out
-    third only. Without any usable label nothing is toxic.
+    third only. Without any usable label nothing is toxic. Equal texts have equal grades, repeated rows all stay, an empty
+    table gives no rows. Columns named like an output column, or ``_dot``, give way, all others stay. A text is held
+    whole in one task, with some dozens of bytes for each of its own.
     """
     docs = docs.drop("severity", "grade", "toxic", "_dot")
     weights, cuts = train_toxicity(docs, labels.filter(~held_out()), per_class)
