@@ -116,12 +116,8 @@ def parse(lines: DataFrame, registry: Registry | None = None, mode: str = "row",
         rows = rows.withColumns({"confidence": F.when(told, F.col("detected.confidence")), "ambiguous": F.when(told, F.col("detected.ambiguous"))}).drop("detected")
     else:
         rows = rows.withColumns({"parser": F.lit(mode), "confidence": F.lit(1.0), "ambiguous": F.lit(False)})
-    made, between = [], []
-    for f in formats:
-        rows, name, more = f.staged(rows)
-        made.append(name)
-        between += more
-    rows = rows.withColumn("event", F.coalesce(*made)).drop(*made, *between)
+    event = F.coalesce(*(F.when(F.col("parser") == f.name, f.event(F.col("value"), F.col("header"))) for f in formats))
+    rows = once(rows, {"event": event})
     blank = F.coalesce(F.trim("value") == "", F.lit(False))
     status = (
         F.when(F.col("too_long"), "failure").when(blank, "skipped")

@@ -14,7 +14,7 @@ from .operators import comparison, parse, query, reports, store
 from .operators.filters import apply_filter
 from .plans.requests import Aggregation, ComparisonRequest, EventFilter, EventQuery, EventSort, Limits
 from .sources.parsers import Registry
-from .sources.shared import spread, table
+from .sources.shared import dealt_by_rows, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,9 +46,10 @@ CANONICAL = {
 }
 
 
-def canonical(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+def canonical(spark: SparkSession, sf_dir: str, dealt: bool = False, costly: bool = False) -> DataFrame:
+    """The view; ``dealt`` to all cores, or for ``costly`` work such as parsing, to tasks of so many rows."""
     rows = table(spark, sf_dir, "events")
-    rows = (spread(rows) if dealt else rows).selectExpr(*(f"{e} AS {n}" for n, e in CANONICAL.items()), "concat('t', user_id % 3) AS tag")
+    rows = (dealt_by_rows(rows) if costly else spread(rows) if dealt else rows).selectExpr(*(f"{e} AS {n}" for n, e in CANONICAL.items()), "concat('t', user_id % 3) AS tag")
     return rows.withColumns(
         {"tags": F.array("tag", "event_type"), "attributes": F.parse_json("attributes_json"), "content_hash": F.sha2(F.col("content").cast("binary"), 256)}
     ).drop("tag", "attributes_json", "content")
@@ -463,7 +464,7 @@ READ_BACK = {
 
 
 def written_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    rows = canonical(spark, sf_dir, True)
+    rows = canonical(spark, sf_dir, costly=True)
     return rows.select(F.lit(kind).alias("file"), F.col("event_id").alias("position"), F.expr(LINES[kind][1]).alias("value"))
 
 
@@ -492,7 +493,7 @@ for _kind, (_parser, _) in LINES.items():
 )
 def parse_iis(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = "concat(date_format(timestamp, 'yyyy-MM-dd HH:mm:ss'), ' GET /', event_type, ' ', coalesce(cast(http_status as string), '-'), ' ', event_id % 100)"
-    rows = canonical(spark, sf_dir)
+    rows = canonical(spark, sf_dir, costly=True)
     heads = rows.filter("event_id = 0").select(F.lit("iis").alias("file"), F.lit(-1).cast("long").alias("position"), F.lit("#Fields: date time cs-method cs-uri-stem sc-status time-taken").alias("value"))
     lines = rows.select(F.lit("iis").alias("file"), F.col("event_id").alias("position"), F.expr(row).alias("value")).unionByName(heads)
     return read_back(parse.parse(lines, Registry()))

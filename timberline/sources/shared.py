@@ -47,3 +47,11 @@ def spread(rows: DataFrame) -> DataFrame:
     work that costs much a row. Filters and column choices are still pushed to the scan below."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def dealt_by_rows(rows: DataFrame, most: int = 50_000) -> DataFrame:
+    """Deals rows out in parts of about ``most``, before work that costs much a row: tasks grow in number with the input,
+    not in length. Splits of a file do not tell: a row group is read by one of them, and the others have no rows."""
+    if rows.isStreaming:
+        return rows
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most)))
