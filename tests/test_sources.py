@@ -11,6 +11,7 @@ from timberline.operators import parse
 from timberline.sources import encoding, ingest, lines
 from timberline.sources.parsers import LogFormat, Registry
 from timberline.sources.plugins import Plugins
+from timberline.sources.shared import dealt_by_rows
 
 
 def test_links_pipes_and_sizes(spark, tmp_path):
@@ -149,3 +150,30 @@ def test_short_documents_in_every_encoding(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.encoding for r in report_queries.detected_encodings(spark, str(tmp_path)).collect()}
     assert got == {d: "utf-8" if d % 4 < 2 and d != 13 else ("utf-8", "cp1252", "iso-8859-5", "utf-16-le")[d % 4] for d, _ in rows}
+
+
+def test_costly_rows_are_dealt_by_their_number(spark, tmp_path):
+    """One row group in many splits of a file: all but one of them are empty, and yet rows reach tasks evenly."""
+    spark.range(3000).selectExpr("id", "repeat(uuid(), 40) AS text").coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = spark.read.parquet(str(tmp_path / "one"))
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [r["count"] for r in dealt_by_rows(rows, 100).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(sizes) == 30 and sum(sizes) == 3000 and max(sizes) <= 130
+
+
+def test_json_texts_that_look_like_other_kinds(spark):
+    line = '{"timestamp": "2024-01-01T00:00:00Z", "level": "info", "message": "[a]", "service": "true", "host": true, "app": {"x": 1}, "env": 7, "user_id": ["u"], "source": null, "logger": " l "}'
+    row = parse.parse(parse.lines_of(spark, line), mode="json_log").first()
+    e = row.event
+    assert (row.status, e.message, e.service, e.host, e.application, e.environment, e.user_id, e.source) == ("success", "[a]", "true", "True", None, "7", None, "l")
+    assert '"json_profile":"generic","json_profile_confidence":1.0' in e.attributes
+
+
+def test_parsing_carries_no_pieces_of_formats(spark):
+    """Every row goes through one step of all formats; columns of formats it does not have would be copied at each."""
+    plan = parse.parse(parse.lines_of(spark, "junk"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") <= 8

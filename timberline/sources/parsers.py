@@ -178,11 +178,16 @@ def _json(line: Column) -> Column:
     return let(value, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
 
 
-def json_profile(value: Column) -> Column:
-    """Who wrote a record, and how surely: a quarter for each sign; the first of equals, generic below one half."""
+def json_profile(value: Column, keys: Column) -> Column:
+    """Who wrote a record of these keys, and how surely: a quarter for each sign; the first of equals, generic below one
+    half."""
     found = []
+
+    def has(sign: str) -> Column:
+        return F.variant_get(value, _json_path(sign), "variant").isNotNull() if "." in sign else F.coalesce(F.array_contains(keys, sign), F.lit(False))
+
     for k, (name, signs) in enumerate(JSON_PROFILES.items()):
-        score = sum((F.variant_get(value, _json_path(s), "variant").isNotNull().cast("double") * 0.25 for s in signs), F.lit(0.0))
+        score = sum((has(s).cast("double") * 0.25 for s in signs), F.lit(0.0))
         found.append(F.struct(score.alias("confidence"), F.lit(-k).alias("order"), F.lit(name).alias("name")))
     generic = F.struct(F.lit("generic").alias("name"), F.lit(0.4).alias("confidence"))
     return let(
@@ -200,21 +205,26 @@ def json_steps(paths: dict[str, tuple[str, ...]] | None = None, keep_record: boo
     def value(p: Pieces) -> Pieces:
         return {"value": F.try_parse_json(F.when(F.trim(p["line"]).startswith("{"), p["line"]))}
 
+    def whole(p: Pieces) -> Pieces:
+        return {"whole": F.to_json(p["value"]), "keys": F.json_object_keys(F.to_json(p["value"]))}
+
     def found(p: Pieces) -> Pieces:
         at = lambda path, kind="variant": F.try_variant_get(p["value"], _json_path(path), kind)
-        out = {name: F.coalesce(*(scalar_text(at(path)) for path in paths[name])) for name in texts}
+
+        def text(path: str) -> Column:  # its kind is asked only where the text may be that of a container or a boolean
+            return let(at(path, "string"), lambda t: F.when(t.rlike(r"^(?:[\[{]|(?:true|false)$)"), scalar_text(at(path))).otherwise(clean(t)))
+
+        out = {name: F.coalesce(*(text(path) for path in paths[name])) for name in texts}
         out["tags"] = F.coalesce(*(at(path, "array<string>") for path in paths["tags"]), *(F.array(scalar_text(at(path))) for path in paths["tags"]))
         out["own"] = F.coalesce(*(F.to_json(at(path)) for path in paths["attributes"]))
-        out["whole"] = F.to_json(p["value"])
-        out["profile"] = json_profile(p["value"])
+        out["profile"] = json_profile(p["value"], p["keys"])
         return out
 
     def made(p: Pieces) -> Pieces:
         used = {path.split(".")[0] for name in paths for path in paths[name]}
-        keys = F.json_object_keys(p["whole"])
         attributes = F.struct(
             F.lit("json_log").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), p["profile"]["name"].alias("json_profile"),
-            p["profile"]["confidence"].alias("json_profile_confidence"), F.size(F.array_except(keys, F.array(*map(F.lit, sorted(used))))).alias("json_extra_keys"),
+            p["profile"]["confidence"].alias("json_profile_confidence"), F.size(F.array_except(p["keys"], F.array(*map(F.lit, sorted(used))))).alias("json_extra_keys"),
             *([p["whole"].alias("json")] if keep_record else []), p["own"].alias("context"),
         )
         return {
@@ -231,7 +241,7 @@ def json_steps(paths: dict[str, tuple[str, ...]] | None = None, keep_record: boo
         )
         return {"event": F.when(F.startswith(p["whole"], F.lit("{")), out)}
 
-    return value, found, made, event
+    return value, whole, found, made, event
 
 
 # ---- web servers ---------------------------------------------------------------------------------------------------
