@@ -626,6 +626,20 @@ def test_every_letter_folds_as_unicode_says(spark):
     assert all(r.f == (None if r.t is None else r.t.casefold()) for r in got)
 
 
+def test_letters_fold_the_same_beside_any_other(spark):
+    """Each way of folding, and texts that must change from one to another for a single letter."""
+    rows = [(f"STRAẞE {x} ÉÇß\nЖŸ“”漢{x}",) for x in ("", "ſ", "ΑΣ", "İ", "ŉ", "µ", "ﬃ", "😀", "Ა", "Ꭰ", "\u0345", "ǰ")]
+    got = spark.createDataFrame(rows, "t string").select("t", fold_case("t").alias("f")).collect()
+    assert [r.f for r in got] == [r.t.casefold() for r in got]
+
+
+def test_folded_filter_works_on_rows_dealt_out(spark, sf_dir):
+    """A row group is read by one task: folding and the filter come after the rows are dealt, and fold a text once."""
+    found = QUERIES["filter_text_folded"](spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert -1 < plan.index("Filter") < plan.index("Generate") < plan.index("Exchange RoundRobin") and plan.count("octet_length") == 1
+
+
 REDIS_FORMS = {
     "1:M 01 Jan 2024 10:00:00.123456 * x": (1, "master", 123456, None), "[1234] 01 Jan 10:00:00 # x": (1234, None, 0, None),
     "01 Jan 2024 10:00:00.5 . x": (None, None, 500000, None), "9:z 1 Jan 2024 10:00:00 - x": (9, "unknown", 0, None),

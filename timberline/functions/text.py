@@ -26,16 +26,24 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(single.values()), {c: f for c, f in found.items() if len(f) > 1}
 
 
+#: Letters that ``lower`` folds as Unicode says, the sharp s aside: of Latin scripts, Cyrillic, Chinese, Japanese; also
+#: marks between words. All are older than any Unicode that Java may know.
+COMMON = r"\x00-\u00b4\u00b6-\u012f\u0131-\u0148\u014a-\u017e\u0400-\u0481\u2010-\u203f\u20ac\u3000-\u9fa5"
+
+
 def fold_case(c: ColumnLike) -> Column:
-    """Full case folding. Text of ASCII alone takes the short way, and only text with a letter that folds to several,
-    such as the German sharp s, is taken apart."""
+    """Full case folding. Text of ASCII alone and text of common letters take the short ways; only text with others is
+    translated, and taken apart only before letters that fold to several."""
     text = col(c)
     letters, plain, several = _folding()
-    one = F.translate(text, letters + "ABCDEFGHIJKLMNOPQRSTUVWXYZ", plain + "abcdefghijklmnopqrstuvwxyz")
     table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
-    each = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
-    folded = F.when(F.rlike(one, F.lit("[" + "".join(several) + "]")), each).otherwise(one)
-    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), folded).otherwise(F.lower(text))
+    one = F.translate(text, letters + "ABCDEFGHIJKLMNOPQRSTUVWXYZ", plain + "abcdefghijklmnopqrstuvwxyz")
+    pieces = F.split(one, "(?=[" + "".join(several) + "])")
+    unfold = lambda p: F.coalesce(F.concat(F.element_at(table, F.left(p, F.lit(1))), F.substr(p, F.lit(2))), p)
+    common = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    rare = F.array_join(F.transform(pieces, unfold), "")
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).when(F.rlike(text, F.lit(f"\\A[{COMMON}]*+\\z")), common).otherwise(rare)
 
 
 def clean(c: ColumnLike) -> Column:

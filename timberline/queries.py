@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.extract import EXTRACTS, with_extracts
-from .functions.text import dimension, fold_case, preview
+from .functions.text import dimension, fold_case, once, preview
 from .operators import comparison, parse, query, reports, store
 from .operators.filters import apply_filter
 from .plans.requests import Aggregation, ComparisonRequest, EventFilter, EventQuery, EventSort, Limits
@@ -142,9 +142,9 @@ for _name, (_filter, _where) in FILTERS.items():
 
 @register("filter_text_folded", "SELECT doc_id FROM documents WHERE contains(replace(lower(text), 'ß', 'ss'), 'strasse') OR contains(replace(lower(text), 'ß', 'ss'), 'sssch')")
 def filter_text_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = fold_case("text")
-    hit = F.contains(text, fold_case(F.lit("STRASSE"))) | F.contains(text, fold_case(F.lit("ßsch")))
-    return table(spark, sf_dir, "documents").filter(hit).select("doc_id")
+    docs = once(dealt_by_rows(table(spark, sf_dir, "documents").select("doc_id", "text")), {"folded": fold_case("text")})
+    hit = F.contains("folded", fold_case(F.lit("STRASSE"))) | F.contains("folded", fold_case(F.lit("ßsch")))
+    return docs.filter(hit).select("doc_id")
 
 
 # ---- order and pages -----------------------------------------------------------------------------------------------
