@@ -85,3 +85,21 @@ def test_long_lines_other_columns_and_a_cluster(spark):
     assert set(got[1].asDict()) == {"doc_id", "text", "did", "row_hash", "line", "n_lines", "removed"} and got[1].did == "d" and got[1].line == 5
     assert got[1].text == long and got[2].text == "new line" and got[3].text == "x" and len(got[3].removed) == 1999 and got[4].text == ""
     assert got[10].removed == [] and all(got[10 + k].removed == [0] for k in range(1, 300))
+
+
+def test_all_gaps_part_words(spark):
+    """Signs between words count alike in texts that have each of them, alone and beside others; only ASCII ones do."""
+    same = [f"one{g}two{g}three" for g in (" ", "\t", "\x0b", "\x0c", "\r", " \t\r")]
+    rows = list(enumerate([*same, "one two three", "three\ttwo one\n\t\r\n \x0b", "\x0c"]))
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].removed for k in range(9)] == [[]] + [[0]] * 5 + [[], [0], []]
+    assert got[6].text == rows[6][1] and got[7].text == "\t\r\n \x0b" and got[8].text == "\x0c"
+
+
+def test_only_texts_with_other_gaps_are_translated(spark):
+    """translate takes a sign at a time, so most texts must not go through it: it is asked for once, in a branch."""
+    from timberline.llm import line_dedup as module
+
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = module._lines(module._keyed(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == plan.count("THEN translate(") == 1

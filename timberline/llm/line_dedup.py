@@ -11,8 +11,8 @@ number. The join never meets all pairs:
 * Rows of one token meet if their sizes allow a match, their places in the prefix leave enough tokens for it, and
   their parity sketches differ in no more bits than matching sets may. None of these drops a match. Both sides of this
   join read one shuffle.
-* A semi-join over sketches of 64 bits finds the lines that have such a partner at all; only these are read again,
-  as whole token sets with sketches of 256 bits.
+* A semi-join over sketches of 64 bits finds the lines that have such a partner at all; only these are numbered in
+  order of place and read again, as whole token sets with sketches of 256 bits.
 * Of these, lines that match the likest fitting leader (a token's first line of each size) go at once, then those that
   match the likest line at all that may match them. Those that are left meet all earlier ones. So a cluster of similar lines
   takes rows in proportion to its size.
@@ -33,13 +33,16 @@ THRESHOLD = 0.8
 RARITY_SLOTS = 2**18
 LAST_ID = 2**63 - 1
 #: The signs between words, all made spaces.
-GAPS, SPACES = "\t\x0b\x0c\r\n", "     "
+GAPS, SPACES = "\t\x0b\x0c\r", "    "
 PLACE = ["did", "key", "line"]
 
 
-def _words(text: Column) -> Column:
-    """The different words of a text."""
-    return F.array_remove(F.array_distinct(F.split(F.translate(text, GAPS, SPACES), " ")), "")
+def _spaced(text: Column) -> Column:
+    """A text with spaces for all signs between words but line feeds; most texts have no others, and are not translated."""
+    found = F.contains(text, F.lit(GAPS[0]))
+    for sign in GAPS[1:]:
+        found = found | F.contains(text, F.lit(sign))
+    return F.when(found, F.translate(text, GAPS, SPACES)).otherwise(text)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -49,12 +52,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _lines(rows: DataFrame) -> DataFrame:
     """The place of each line that has tokens, and their hashes in order."""
-    lines = rows.select("did", "key", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line", "text"))
-    return lines.filter(F.trim(F.translate("text", GAPS, SPACES)) != "").select(*PLACE, _hashes("text").alias("hashes"))
+    lines = rows.select("did", "key", F.posexplode(F.split(_spaced(F.coalesce(F.col("text"), F.lit(""))), "\n")).alias("line", "text"))
+    return lines.filter(F.trim("text") != "").select(*PLACE, _hashes("text").alias("hashes"))
 
 
 def _hashes(text: str) -> Column:
-    return F.sort_array(F.transform(_words(F.col(text)), lambda w: F.xxhash64(w)))
+    """The hashes of a spaced line's different words, in order."""
+    found = F.array_distinct(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.array_remove(found, F.xxhash64(F.lit(""))))
 
 
 def _set_names() -> list[Column]:
@@ -132,19 +137,14 @@ def _fits(threshold: float, sketches: tuple[str, ...] = ("s",)) -> Column:
     return (F.col("a.token") == F.col("b.token")) & (F.least(n - F.col("a.i"), m - F.col("b.i")) >= need) & (_differ(sketches) <= n + m - 2 * need)
 
 
-def _place(of: str) -> Column:
-    return F.struct(*(F.col(f"{of}.{c}") for c in PLACE))
-
-
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The places a that match their b, on whole sets."""
-    found = pairs.distinct()
+    """The numbers a of lines that match their b, on whole sets."""
+    found = pairs
     for side in ("a", "b"):
-        named = lines.select(F.struct(*PLACE).alias(side), F.col("codes").alias(f"{side}_codes"))
-        found = found.join(named, side)
+        found = found.join(lines.select(F.col("number").alias(side), F.col("codes").alias(f"{side}_codes")), side)
     both = F.size(F.array_intersect("a_codes", "b_codes"))
     union = F.size("a_codes") + F.size("b_codes") - both
-    return found.filter(both / union >= F.lit(threshold)).select("a.*").distinct()
+    return found.filter(both / union >= F.lit(threshold)).select(F.col("a").alias("number")).distinct()
 
 
 def _sets(hashed: DataFrame, ranks: Column, threshold: float) -> DataFrame:
@@ -167,28 +167,41 @@ def _equal_lines(hashed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _partners(sets: DataFrame, threshold: float) -> DataFrame:
-    """did, key and lines, in an array, of first lines with a partner that may match them."""
+    """did, key, lines and numbers, in arrays, of first lines with a partner that may match them; numbers are in the order
+    of places."""
     tokens = sets.select(F.posexplode("prefix").alias("i", "token"), "n", "s", "number").repartition("token")
     met = tokens.alias("a").join(tokens.alias("b"), _fits(threshold) & (F.col("a.number") != F.col("b.number")), "left_semi")
-    return sets.join(met.select("number").distinct(), "number", "left_semi").groupBy("did", "key").agg(F.collect_set("line").alias("lines"))
+    places = stash(sets.join(met.select("number").distinct(), "number", "left_semi").select(*PLACE))
+    ordered = places.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).withColumn("number", F.monotonically_increasing_id())
+    found = ordered.groupBy("did", "key").agg(F.sort_array(F.collect_list(F.struct("line", "number"))).alias("found"))
+    return stash(found.select("did", "key", F.col("found.line").alias("lines"), F.col("found.number").alias("numbers")))
+
+
+def _likest(met: DataFrame) -> DataFrame:
+    """Of each a, the b whose sketch differs least; the first of such."""
+    least = F.min(F.shiftleft(_differ(FINE).cast("long"), 54).bitwiseOR(F.col("b.number")))
+    return met.groupBy(F.col("a.number").alias("a")).agg(least.bitwiseAND(F.lit(2**54 - 1)).alias("b"))
 
 
 def _similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
     """The places of lines that match an earlier one of ``lines``: first those that match the likest of the leaders that
     may match them, then those that match the likest line at all that may, then all others."""
-    fits = _fits(threshold, FINE) & (_place("b") < _place("a"))
-    pair = (_place("a").alias("a"), _place("b").alias("b"))
-    tokens = stash(lines.select(*PLACE, "n", *FINE, F.posexplode("prefix").alias("i", "token")))
-    leaders = tokens.groupBy("token", "n").agg(F.min(F.struct(*PLACE, "i", *FINE)).alias("b")).select("token", "n", "b.*")
-    gone = None
-    for others in (leaders, tokens):  # of each line's partners, the most similar alone
-        left = tokens if gone is None else tokens.join(gone, PLACE, "left_anti")
-        met = left.alias("a").join(others.alias("b"), fits).select(*pair, _differ(FINE).alias("d"))
-        found = stash(_verified(met.groupBy("a").agg(F.min(F.struct("d", "b"))["b"].alias("b")), lines, threshold))
+    fits = _fits(threshold, FINE) & (F.col("b.number") < F.col("a.number"))
+
+    def tokens(of: DataFrame) -> DataFrame:
+        return of.select("number", "n", *FINE, F.posexplode("prefix").alias("i", "token"))
+
+    leaders = tokens(lines).groupBy("token", "n").agg(F.min(F.struct("number", "i", *FINE)).alias("b")).select("token", "n", "b.*")
+    left, gone = lines, None
+    for others in (leaders, tokens(lines)):  # of each line's partners, the most similar alone
+        met = tokens(left).alias("a").join(others.alias("b"), fits)
+        found = stash(_verified(_likest(met), lines, threshold))
         gone = found if gone is None else gone.unionByName(found)
-    left = tokens.join(gone, PLACE, "left_anti")
-    rest = left.alias("a").join(tokens.alias("b"), fits).select(*pair)
-    return gone.unionByName(_verified(rest, lines, threshold))
+        left = lines.join(gone, "number", "left_anti")
+    rest = tokens(left).alias("a").join(tokens(lines).alias("b"), fits)
+    rest = rest.select(F.col("a.number").alias("a"), F.col("b.number").alias("b")).distinct()
+    gone = gone.unionByName(_verified(rest, lines, threshold))
+    return lines.select("number", *PLACE).join(gone, "number", "left_semi").select(*PLACE)
 
 
 def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -208,8 +221,10 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = stash(_partners(sets, threshold))
     discard(sets)
     whole = _keyed(docs.select(F.struct(*others).alias("rest"), "doc_id", "text")).drop("doc_id").repartition("did", "key")
-    again = whole.join(found, ["did", "key"]).select("did", "key", "lines", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    again = again.filter(F.array_contains("lines", F.col("line"))).select(*PLACE, _hashes("text").alias("hashes"))
+    again = whole.join(found, ["did", "key"])
+    again = again.select("did", "key", "lines", "numbers", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "text"))
+    at = F.array_position("lines", F.col("line"))
+    again = again.filter(at > 0).select(*PLACE, F.get("numbers", at.cast("int") - 1).alias("number"), _hashes("text").alias("hashes"))
     lines = stash(_finely(_described(_coded(again, ranks), threshold)).drop("hashes", "s"))
     gone = equal.unionByName(_similar_lines(lines, threshold))
     gone = stash(gone.groupBy("did", "key").agg(F.sort_array(F.collect_set("line")).alias("removed")))
