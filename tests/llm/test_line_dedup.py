@@ -103,3 +103,37 @@ def test_only_texts_with_other_gaps_are_translated(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = module._lines(module._keyed(docs))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == plan.count("THEN translate(") == 1
+
+
+def test_long_lines_that_only_share_words_stay_out_of_the_exact_part(spark):
+    """Lines of 150 tokens differ in most of 64 bits' slots by chance alone, and would all be read again; one shuffle of
+    prefix rows serves both sides."""
+    from pyspark.sql import functions as F
+
+    from timberline.llm import line_dedup as module
+
+    rng = random.Random(7)
+    lines = [" ".join(f"w{rng.randrange(1500)}" for _ in range(160)) for _ in range(150)]
+    near = lines[0].split(" ")
+    near[3] = "other"
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate([*lines, " ".join(near)])], "doc_id long, text string")
+    names = F.xxhash64("codes").alias("x"), F.xxhash64(F.lit(1), "codes").alias("y")
+    described = module._described(module._lines(module._keyed(docs)), module.rarity(docs), 0.8, module.COARSE)
+    assert not described.schema["codes"].dataType.containsNull  # else codes are sorted as objects
+    sets = module._sets(described.select(*module.PLACE, *names, "n", *module.COARSE, "prefix"))
+    assert sorted(r.did for r in module._partners(sets, 0.8).collect()) == [0, 150]
+    tokens = module._tokens(sets, module.COARSE).hint("merge")
+    met = tokens.alias("a").join(tokens.alias("b"), module._fits(0.8, module.COARSE) & (F.col("a.number") != F.col("b.number")), "left_semi")
+    met = met.select("number")
+    met.collect()
+    assert "ReusedExchange" in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_long_texts_are_counted_by_line(spark, monkeypatch):
+    from timberline.llm import line_dedup as module
+
+    docs = spark.createDataFrame([(1, "a\tb\na c"), (2, None), (3, "")], "doc_id long, text string")
+    ranks = [spark.range(1).select(module.rarity(docs).alias("r")).head().r]
+    monkeypatch.setattr(module, "LONG", 0)
+    ranks.append(spark.range(1).select(module.rarity(docs).alias("r")).head().r)
+    assert ranks[0] == ranks[1] and len(ranks[0]) == module.RARITY_SLOTS and sorted(ranks[0])[-2:] == [0, 2]

@@ -5,13 +5,13 @@ their sets is at least ``threshold``; a line goes if it matches any line before
 number. The join never meets all pairs:
 
 * Equal sets are one row, combined before the shuffle; only a set's first line can stay.
-* Tokens are ordered by rarity, from counts over all lines (in RARITY_SLOTS slots of a hash, so that the counts have
+* Tokens are ordered by rarity, from counts over all texts (in RARITY_SLOTS slots of a hash, so that the counts have
   a fixed size), then by hash. Matching lines share a token among the first ``n - ceil(threshold * n) + 1`` of each:
   the prefix, one row per token.
 * Rows of one token meet if their sizes allow a match, their places in the prefix leave enough tokens for it, and
   their parity sketches differ in no more bits than matching sets may. None of these drops a match. Both sides of this
   join read one shuffle.
-* A semi-join over sketches of 64 bits finds the lines that have such a partner at all; only these are numbered in
+* A semi-join over sketches of 128 bits finds the lines that have such a partner at all; only these are numbered in
   order of place and read again, as whole token sets with sketches of 256 bits.
 * Of these, lines that match the likest fitting leader (a token's first line of each size) go at once, then those that
   match the likest line at all that may match them. Those that are left meet all earlier ones. So a cluster of similar lines
@@ -31,6 +31,8 @@ from .tables import discard, stash, text_key
 
 THRESHOLD = 0.8
 RARITY_SLOTS = 2**18
+#: Bytes of a text whose words are counted line by line.
+LONG = 2**20
 LAST_ID = 2**63 - 1
 #: The signs between words, all made spaces.
 GAPS, SPACES = "\t\x0b\x0c\r", "    "
@@ -51,44 +53,45 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """The place of each line that has tokens, and their hashes in order."""
+    """The place and spaced text of each line that has tokens."""
     lines = rows.select("did", "key", F.posexplode(F.split(_spaced(F.coalesce(F.col("text"), F.lit(""))), "\n")).alias("line", "text"))
-    return lines.filter(F.trim("text") != "").select(*PLACE, _hashes("text").alias("hashes"))
+    return lines.filter(F.trim("text") != "")
 
 
 def _hashes(text: str) -> Column:
-    """The hashes of a spaced line's different words, in order."""
+    """The hashes of a spaced line's different words."""
     found = F.array_distinct(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.array_remove(found, F.xxhash64(F.lit(""))))
+    return F.array_remove(found, F.xxhash64(F.lit("")))
 
 
-def _set_names() -> list[Column]:
-    return [F.xxhash64("hashes").alias("x"), F.xxhash64(F.lit(1), "hashes").alias("y")]
+def rarity(docs: DataFrame) -> Column:
+    """A number for each slot of the tokens' hash: about twice log2 of how many words of all texts fall there.
 
-
-def rarity(hashed: DataFrame) -> Column:
-    """A byte for each slot of the tokens' hash: about twice log2 of how many lines' tokens fall there.
-
-    RARITY_SLOTS counts at most go to the driver, and as many bytes into the plan.
+    RARITY_SLOTS counts at most go to the driver, and as many numbers into the plan, as an array: in the lambda that reads
+    them each step counts, and this takes the fewest. Long texts are cut into lines first, so that no row has all words.
     """
-    counts = hashed.select(F.explode("hashes").alias("h")).groupBy(_slot(F.col("h")).alias("slot")).count()
+    text = _spaced(F.coalesce(F.col("text"), F.lit("")))
+    whole = F.array(F.replace(text, F.lit("\n"), F.lit(" ")))
+    parts = docs.select(F.explode(F.when(F.octet_length("text") < LONG, whole).otherwise(F.split(text, "\n"))).alias("text"))
+    words = parts.select(F.explode(F.split("text", " ")).alias("w")).filter("w != ''")
+    counts = words.groupBy(_slot(F.xxhash64("w")).cast("int").alias("slot")).count()
     found = counts.select("slot", F.least(F.floor(F.log2("count") * 2), F.lit(63)).cast("int").alias("rank")).toArrow()
     ranks = np.zeros(RARITY_SLOTS, np.uint8)
-    ranks[found.column("slot").to_numpy() - 1] = found.column("rank").to_numpy()
-    return F.lit(ranks.tobytes())
+    ranks[found.column("slot").to_numpy()] = found.column("rank").to_numpy()
+    return F.split(F.lit(",".join(map(str, ranks.tolist()))), ",").cast("array<bigint>")
 
 
 def _slot(h: Column) -> Column:
-    """A place from 1 to RARITY_SLOTS; 0, which substr takes as 1, shares the first."""
-    return F.greatest(h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int"), F.lit(1))
+    """A place from 0 to RARITY_SLOTS - 1."""
+    return h.bitwiseAND(F.lit(RARITY_SLOTS - 1))
 
 
 def _coded(hashed: DataFrame, ranks: Column) -> DataFrame:
-    """Adds token codes in order of rarity: 6 bits of rank above 57 bits of hash."""
+    """Adds token codes in order of rarity: 6 bits of rank above 57 bits of hash. None is null, which coalesce tells Spark:
+    arrays without nulls are sorted as plain numbers."""
 
     def code(h: Column) -> Column:
-        rank = F.ascii(F.substr(ranks, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 57).bitwiseOR(h.bitwiseAND(F.lit(2**57 - 1)))
+        return F.coalesce(F.shiftleft(F.get(ranks, _slot(h)), 57).bitwiseOR(h.bitwiseAND(F.lit(2**57 - 1))), F.lit(0).cast("long"))
 
     return hashed.withColumn("codes", F.sort_array(F.transform("hashes", code)))
 
@@ -98,43 +101,62 @@ def _ceil(share: float, n: Column) -> Column:
     return F.ceil(n * F.lit(share) - F.lit(1e-9)).cast("int")
 
 
-def _described(coded: DataFrame, threshold: float) -> DataFrame:
-    """n, a 64-bit parity sketch (s) and the prefix's tokens, by 31 bits, of coded lines."""
-    n = F.size("codes")
-    tokens = F.slice("codes", F.lit(1), n - _ceil(threshold, n) + 1)
-    return coded.withColumns(
-        {"n": n, "s": _parity("codes", 40), "prefix": F.transform(tokens, lambda c: c.bitwiseAND(F.lit(2**31 - 1)).cast("int"))}
-    )
+#: Words of the parity sketches: of all lines, and of those that may match another one.
+COARSE, FINE = ("t0", "t1"), ("t0", "t1", "t2", "t3")
+
+
+def _described(lines: DataFrame, ranks: Column, threshold: float, sketches: tuple[str, ...]) -> DataFrame:
+    """The lines' token codes, their number n, parity sketches and the prefix, in place of the text."""
+    hashed = lines.withColumn("hashes", _hashes("text")).drop("text")
+    n = F.col("n")
+    prefix = F.slice("codes", F.lit(1), n - _ceil(threshold, n) + 1)
+    return _sketched(_coded(hashed, ranks), sketches).withColumn("prefix", prefix)
 
 
-def _parity(tokens: Column | str, shift: int) -> Column:
-    """A bit for each of 64 slots of some tokens, by bits of their hash: whether an odd number falls there."""
+def _sketched(hashed: DataFrame, sketches: tuple[str, ...]) -> DataFrame:
+    """Adds n and words of parity, each of the hashes in a range of its own, in place of the hashes.
+
+    Hashes are sorted with the ranges' edges among them, so that each goes through one lambda, however many words there
+    are. The ranges' sizes give n, so Spark, which repeats no costly column, makes each range once, in compiled code.
+    """
+    edges = [F.lit(k * 2**64 // len(sketches) - 2**63).cast("long") for k in range(1, len(sketches))]
+    places = {f"{name}_end": F.array_position("hashes", e).cast("int") for name, e in zip(sketches, edges, strict=False)}
+    ranged = hashed.withColumn("hashes", F.sort_array(F.concat("hashes", F.array(*edges)))).withColumns(places)
+    ends = [F.lit(0), *(F.col(name) for name in places), F.size("hashes") + 1]
+    ranges = {f"{name}_range": F.slice("hashes", low + 1, high - low - 1) for name, low, high in zip(sketches, ends[:-1], ends[1:], strict=True)}
+    n = sum((F.size(name) for name in ranges), F.lit(0))
+    parities = {name: _parity(F.col(f"{name}_range")) for name in sketches}
+    return ranged.withColumns(ranges).withColumns({"n": n} | parities).drop("hashes", *places, *ranges)
 
-    def flip(a: Column, c: Column) -> Column:
-        slot = F.shiftright(c, shift).bitwiseAND(F.lit(63)).cast("int")
-        return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), slot))
 
-    return F.aggregate(tokens, F.lit(0).cast("long"), flip)
+def _parity(hashes: Column) -> Column:
+    """A bit for each of 64 slots of some hashes, by their last bits: whether an odd number falls there."""
 
+    def flip(a: Column, h: Column) -> Column:
+        return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
 
-#: A finer sketch: each token flips one bit of one of these.
-FINE = ("t0", "t1", "t2", "t3")
+    return F.aggregate(hashes, F.lit(0).cast("long"), flip)
 
 
-def _finely(coded: DataFrame) -> DataFrame:
-    quarter = lambda k: F.filter("codes", lambda c: F.shiftright(c, 20).bitwiseAND(F.lit(3)) == k)
-    return coded.withColumns({name: _parity(quarter(k), 24) for k, name in enumerate(FINE)})
+def _tokens(lines: DataFrame, sketches: tuple[str, ...]) -> DataFrame:
+    """A row for each token of the prefix, by 31 bits."""
+    tokens = lines.select("number", "n", *sketches, F.posexplode("prefix").alias("i", "code"))
+    return tokens.select("number", "n", *sketches, "i", F.col("code").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("token"))
 
 
 def _differ(sketches: tuple[str, ...]) -> Column:
     return sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in sketches), F.lit(0))
 
 
-def _fits(threshold: float, sketches: tuple[str, ...] = ("s",)) -> Column:
-    """What rows a and b of one prefix token must satisfy if it is the first token that matching sets share."""
+def _fits(threshold: float, sketches: tuple[str, ...]) -> Column:
+    """What rows a and b of one prefix token must satisfy if it is the first token that matching sets share.
+
+    Of n and m tokens, matching sets share c * (n + m) at least. As bits that differ are even in number if n + m is, no
+    product need be rounded.
+    """
     n, m = F.col("a.n"), F.col("b.n")
-    need = _ceil(threshold / (1 + threshold), n + m)
-    return (F.col("a.token") == F.col("b.token")) & (F.least(n - F.col("a.i"), m - F.col("b.i")) >= need) & (_differ(sketches) <= n + m - 2 * need)
+    need = (n + m) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)
+    return (F.col("a.token") == F.col("b.token")) & (n - F.col("a.i") >= need) & (m - F.col("b.i") >= need) & (_differ(sketches) <= n + m - need * 2)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -147,30 +169,29 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     return found.filter(both / union >= F.lit(threshold)).select(F.col("a").alias("number")).distinct()
 
 
-def _sets(hashed: DataFrame, ranks: Column, threshold: float) -> DataFrame:
+def _sets(described: DataFrame) -> DataFrame:
     """One row for each different set: its first line's place, what describes it, and a number."""
     return stash(
-        _described(_coded(hashed, ranks), threshold)
-        .groupBy(*_set_names(), "n", "s", "prefix")
-        .agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("copies"))
+        described.groupBy("x", "y")
+        .agg(F.min(F.struct(*PLACE, "n", *COARSE, "prefix")).alias("first"), F.count(F.lit(1)).alias("copies"))
         .select(
-            F.monotonically_increasing_id().alias("number"), "first.*", "n", "s", "prefix",
+            F.monotonically_increasing_id().alias("number"), "first.*",
             F.when(F.col("copies") > 1, F.col("x")).alias("x"), F.when(F.col("copies") > 1, F.col("y")).alias("y"),
         )
     )
 
 
-def _equal_lines(hashed: DataFrame, sets: DataFrame) -> DataFrame:
+def _equal_lines(described: DataFrame, sets: DataFrame) -> DataFrame:
     """The places of lines whose set an earlier line has."""
     firsts = sets.filter("x is not null").select("x", "y", F.struct(*PLACE).alias("first"))
-    return hashed.select(*PLACE, *_set_names()).join(firsts, ["x", "y"]).filter(F.struct(*PLACE) > F.col("first")).select(*PLACE)
+    return described.select(*PLACE, "x", "y").join(firsts, ["x", "y"]).filter(F.struct(*PLACE) > F.col("first")).select(*PLACE)
 
 
 def _partners(sets: DataFrame, threshold: float) -> DataFrame:
     """did, key, lines and numbers, in arrays, of first lines with a partner that may match them; numbers are in the order
     of places."""
-    tokens = sets.select(F.posexplode("prefix").alias("i", "token"), "n", "s", "number").repartition("token")
-    met = tokens.alias("a").join(tokens.alias("b"), _fits(threshold) & (F.col("a.number") != F.col("b.number")), "left_semi")
+    tokens = _tokens(sets, COARSE)
+    met = tokens.alias("a").join(tokens.alias("b"), _fits(threshold, COARSE) & (F.col("a.number") != F.col("b.number")), "left_semi")
     places = stash(sets.join(met.select("number").distinct(), "number", "left_semi").select(*PLACE))
     ordered = places.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).withColumn("number", F.monotonically_increasing_id())
     found = ordered.groupBy("did", "key").agg(F.sort_array(F.collect_list(F.struct("line", "number"))).alias("found"))
@@ -188,17 +209,14 @@ def _similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
     may match them, then those that match the likest line at all that may, then all others."""
     fits = _fits(threshold, FINE) & (F.col("b.number") < F.col("a.number"))
 
-    def tokens(of: DataFrame) -> DataFrame:
-        return of.select("number", "n", *FINE, F.posexplode("prefix").alias("i", "token"))
-
-    leaders = tokens(lines).groupBy("token", "n").agg(F.min(F.struct("number", "i", *FINE)).alias("b")).select("token", "n", "b.*")
+    leaders = _tokens(lines, FINE).groupBy("token", "n").agg(F.min(F.struct("number", "i", *FINE)).alias("b")).select("token", "n", "b.*")
     left, gone = lines, None
-    for others in (leaders, tokens(lines)):  # of each line's partners, the most similar alone
-        met = tokens(left).alias("a").join(others.alias("b"), fits)
+    for others in (leaders, _tokens(lines, FINE)):  # of each line's partners, the most similar alone
+        met = _tokens(left, FINE).alias("a").join(others.alias("b"), fits)
         found = stash(_verified(_likest(met), lines, threshold))
         gone = found if gone is None else gone.unionByName(found)
         left = lines.join(gone, "number", "left_anti")
-    rest = tokens(left).alias("a").join(tokens(lines).alias("b"), fits)
+    rest = _tokens(left, FINE).alias("a").join(_tokens(lines, FINE).alias("b"), fits)
     rest = rest.select(F.col("a.number").alias("a"), F.col("b.number").alias("b")).distinct()
     gone = gone.unionByName(_verified(rest, lines, threshold))
     return lines.select("number", *PLACE).join(gone, "number", "left_semi").select(*PLACE)
@@ -213,25 +231,28 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named n_lines or removed give way, all others stay.
     """
     others = [c for c in docs.columns if c not in ("text", "n_lines", "removed")]
-    hashed = stash(_lines(_keyed(docs.select("doc_id", "text"))), "snappy")
-    ranks = rarity(hashed)
-    sets = _sets(hashed, ranks, threshold)
-    equal = stash(_equal_lines(hashed, sets))
-    discard(hashed)
-    found = stash(_partners(sets, threshold))
+    texts = _lines(_keyed(docs.select("doc_id", "text")))
+    ranks = rarity(docs)
+    names = F.xxhash64("codes").alias("x"), F.xxhash64(F.lit(1), "codes").alias("y")
+    described = stash(_described(texts, ranks, threshold, COARSE).select(*PLACE, *names, "n", *COARSE, "prefix"), "snappy")
+    sets = _sets(described)
+    equal = stash(_equal_lines(described, sets))
+    discard(described)
+    found = _partners(sets, threshold)
     discard(sets)
+    # the hints: found and gone have a row a document, so that texts need not be sorted to meet them
     whole = _keyed(docs.select(F.struct(*others).alias("rest"), "doc_id", "text")).drop("doc_id").repartition("did", "key")
-    again = whole.join(found, ["did", "key"])
+    again = whole.join(found.hint("shuffle_hash"), ["did", "key"])
     again = again.select("did", "key", "lines", "numbers", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "text"))
     at = F.array_position("lines", F.col("line"))
-    again = again.filter(at > 0).select(*PLACE, F.get("numbers", at.cast("int") - 1).alias("number"), _hashes("text").alias("hashes"))
-    lines = stash(_finely(_described(_coded(again, ranks), threshold)).drop("hashes", "s"))
+    again = again.filter(at > 0).select(*PLACE, F.get("numbers", at.cast("int") - 1).alias("number"), "text")
+    lines = stash(_described(again, ranks, threshold, FINE))
     gone = equal.unionByName(_similar_lines(lines, threshold))
     gone = stash(gone.groupBy("did", "key").agg(F.sort_array(F.collect_set("line")).alias("removed")))
     text = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     removed = F.coalesce(F.col("removed"), F.array().cast("array<int>"))
     kept = F.filter(text, lambda _, k: ~F.array_contains("removed", k))
-    return whole.join(gone, ["did", "key"], "left").select(
+    return whole.join(gone.hint("shuffle_hash"), ["did", "key"], "left").select(
         "rest.*",
         F.when(F.col("removed").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.size(text).cast("long").alias("n_lines"),
