@@ -137,3 +137,49 @@ def test_words_of_long_texts_are_counted_by_line(spark, monkeypatch):
     monkeypatch.setattr(module, "LONG", 0)
     ranks.append(spark.range(1).select(module.rarity(docs).alias("r")).head().r)
     assert ranks[0] == ranks[1] and len(ranks[0]) == module.RARITY_SLOTS and sorted(ranks[0])[-2:] == [0, 2]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9])
+def test_rows_of_one_token_meet_by_class_of_size(spark, threshold):
+    """Lines of a frequent token meet only those of like size, and no pair that may match is kept apart."""
+    from timberline.llm import line_dedup as module
+
+    sizes = [*range(1, 60), 99, 100, 101, 124, 125, 126, 1000, 1250, 10**6]
+    rows = [(n, n, [5] * (n - module.math.ceil(threshold * n - 1e-9) + 1 if n < 200 else 1)) for n in sizes]
+    lines = spark.createDataFrame(rows, "number long, n int, prefix array<long>")
+    plain = [(r.n, r.i) for r in module._tokens(lines, ()).collect()]
+    keys = {}
+    for r in module._classed(module._tokens(lines, ()), threshold).collect():
+        keys.setdefault((r.n, r.most), set()).add(r.token)
+
+    def most(n, i):
+        return int((n - i) * (1 + threshold) / threshold - n + 1e-6)
+
+    for n, i in plain:
+        for m, k in plain:
+            need = (n + m) * threshold / (1 + threshold) - 1e-9
+            if n - i >= need and m - k >= need:
+                assert keys[n, most(n, i)] & keys[m, most(m, k)], (n, i, m, k)
+    assert not keys[10, most(10, 0)] & keys[1000, most(1000, 0)]
+
+
+def test_hashes_are_not_kept_after_use(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd e"), (2, "c b a\nx")], "doc_id long, text string")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = {r.doc_id: r.removed for r in line_dedup(docs).collect()}
+    assert got == {1: [], 2: [0]} and spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_edges_part_tokens_evenly():
+    import numpy as np
+
+    from timberline.llm import line_dedup as module
+
+    rng = np.random.default_rng(1)
+    counts = rng.zipf(1.3, module.RARITY_SLOTS).clip(0, 10**6)
+    mass = np.bincount(module._ranks(counts), weights=counts, minlength=64) / counts.sum()
+    edges = module._edges(counts, 4)
+    below = [mass[: e >> 57].sum() + mass[e >> 57] * (e % 2**57) / 2**57 for e in edges]
+    assert np.allclose(below, [0.25, 0.5, 0.75], atol=0.01)
+    empty = module._edges(np.zeros(module.RARITY_SLOTS, np.int64), 4)
+    assert empty[0] < empty[1] < empty[2]

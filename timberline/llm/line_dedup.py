@@ -4,13 +4,15 @@ A line is its set of tokens (words between ASCII space characters). Two lines ma
 their sets is at least ``threshold``; a line goes if it matches any line before it, in the order of doc_id, then line
 number. The join never meets all pairs:
 
+* Lines are cut into words once; the hashes of their sets are kept on disk, then counted and ordered from there.
 * Equal sets are one row, combined before the shuffle; only a set's first line can stay.
-* Tokens are ordered by rarity, from counts over all texts (in RARITY_SLOTS slots of a hash, so that the counts have
-  a fixed size), then by hash. Matching lines share a token among the first ``n - ceil(threshold * n) + 1`` of each:
+* Tokens are ordered by rarity, from counts of the lines that have them (in RARITY_SLOTS slots of a hash, so that the
+  counts have a fixed size), then by hash. Matching lines share a token among the first ``n - ceil(threshold * n) + 1`` of each:
   the prefix, one row per token.
 * Rows of one token meet if their sizes allow a match, their places in the prefix leave enough tokens for it, and
   their parity sketches differ in no more bits than matching sets may. None of these drops a match. Both sides of this
-  join read one shuffle.
+  join read one shuffle, and it is by token and class of size: a row goes to its own class and to those of the larger
+  sets that its place in the prefix lets it match.
 * A semi-join over sketches of 128 bits finds the lines that have such a partner at all; only these are numbered in
   order of place and read again, as whole token sets with sketches of 256 bits.
 * Of these, lines that match the likest fitting leader (a token's first line of each size) go at once, then those that
@@ -23,16 +25,21 @@ Tokens are compared by 57 bits of hash, sets, when equal, by 128, and rows of on
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import discard, stash, text_key
 
 THRESHOLD = 0.8
-RARITY_SLOTS = 2**18
-#: Bytes of a text whose words are counted line by line.
+RARITY_SLOTS = 2**16
+#: Not read any more, for words of all texts are counted line by line; kept for those that set it.
 LONG = 2**20
+#: How many times the least size of a class the next one's is.
+CLASS_RATIO = 1.5
 LAST_ID = 2**63 - 1
 #: The signs between words, all made spaces.
 GAPS, SPACES = "\t\x0b\x0c\r", "    "
@@ -64,23 +71,43 @@ def _hashes(text: str) -> Column:
     return F.array_remove(found, F.xxhash64(F.lit("")))
 
 
-def rarity(docs: DataFrame) -> Column:
-    """A number for each slot of the tokens' hash: about twice log2 of how many words of all texts fall there.
+def _counts(hashed: DataFrame) -> np.ndarray:
+    """In how many lines' sets tokens of each slot occur: RARITY_SLOTS counts at most go to the driver."""
+    tokens = hashed.select(F.explode("hashes").alias("h"))
+    found = tokens.groupBy(_slot(F.col("h")).cast("int").alias("slot")).count().toArrow()
+    counts = np.zeros(RARITY_SLOTS, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("count").to_numpy()
+    return counts
 
-    RARITY_SLOTS counts at most go to the driver, and as many numbers into the plan, as an array: in the lambda that reads
-    them each step counts, and this takes the fewest. Long texts are cut into lines first, so that no row has all words.
-    """
-    text = _spaced(F.coalesce(F.col("text"), F.lit("")))
-    whole = F.array(F.replace(text, F.lit("\n"), F.lit(" ")))
-    parts = docs.select(F.explode(F.when(F.octet_length("text") < LONG, whole).otherwise(F.split(text, "\n"))).alias("text"))
-    words = parts.select(F.explode(F.split("text", " ")).alias("w")).filter("w != ''")
-    counts = words.groupBy(_slot(F.xxhash64("w")).cast("int").alias("slot")).count()
-    found = counts.select("slot", F.least(F.floor(F.log2("count") * 2), F.lit(63)).cast("int").alias("rank")).toArrow()
-    ranks = np.zeros(RARITY_SLOTS, np.uint8)
-    ranks[found.column("slot").to_numpy()] = found.column("rank").to_numpy()
+
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """About twice log2 of each count."""
+    return np.minimum(np.floor(np.log2(np.maximum(counts, 1)) * 2), 63).astype(np.int64)
+
+
+def _looked_up(ranks: np.ndarray) -> Column:
+    """The ranks in the plan, as an array: in the lambda that reads them each step counts, and this takes the fewest."""
     return F.split(F.lit(",".join(map(str, ranks.tolist()))), ",").cast("array<bigint>")
 
 
+def rarity(docs: DataFrame) -> Column:
+    """A number for each slot of the tokens' hash: about twice log2 of how many lines of all texts have tokens there."""
+    return _looked_up(_ranks(_counts(_hashed(_lines(_keyed(docs))))))
+
+
+def _edges(counts: np.ndarray, parts: int) -> list[int]:
+    """Codes that part the tokens of all lines into ``parts`` of about like number; each is above the one before."""
+    mass = np.bincount(_ranks(counts), weights=counts, minlength=64)
+    below = np.cumsum(mass)
+    found: list[int] = []
+    for k in range(1, parts):
+        want = below[-1] * k / parts
+        rank = int(np.searchsorted(below, want))
+        share = 1 - (below[rank] - want) / mass[rank] if mass[rank] else 0
+        found.append(max((rank << 57) + int(min(share, 0.999) * 2**57), found[-1] + 1 if found else 0))
+    return found
+
+
 def _slot(h: Column) -> Column:
     """A place from 0 to RARITY_SLOTS - 1."""
     return h.bitwiseAND(F.lit(RARITY_SLOTS - 1))
@@ -105,28 +132,37 @@ def _ceil(share: float, n: Column) -> Column:
 COARSE, FINE = ("t0", "t1"), ("t0", "t1", "t2", "t3")
 
 
+def _hashed(lines: DataFrame) -> DataFrame:
+    """The hashes of the lines' tokens in place of the text."""
+    return lines.withColumn("hashes", _hashes("text")).drop("text")
+
+
 def _described(lines: DataFrame, ranks: Column, threshold: float, sketches: tuple[str, ...]) -> DataFrame:
     """The lines' token codes, their number n, parity sketches and the prefix, in place of the text."""
-    hashed = lines.withColumn("hashes", _hashes("text")).drop("text")
+    edges = [k * 2**64 // len(sketches) - 2**63 for k in range(1, len(sketches))]
+    return _prefixed(_sketched(_coded(_hashed(lines), ranks), "hashes", edges, sketches).drop("hashes"), threshold)
+
+
+def _prefixed(coded: DataFrame, threshold: float) -> DataFrame:
     n = F.col("n")
-    prefix = F.slice("codes", F.lit(1), n - _ceil(threshold, n) + 1)
-    return _sketched(_coded(hashed, ranks), sketches).withColumn("prefix", prefix)
+    return coded.withColumn("prefix", F.slice("codes", F.lit(1), n - _ceil(threshold, n) + 1))
 
 
-def _sketched(hashed: DataFrame, sketches: tuple[str, ...]) -> DataFrame:
-    """Adds n and words of parity, each of the hashes in a range of its own, in place of the hashes.
+def _sketched(coded: DataFrame, name: str, edges: list[int], sketches: tuple[str, ...]) -> DataFrame:
+    """Adds n and words of parity, each of the numbers of array ``name`` between two edges; the array becomes sorted.
 
-    Hashes are sorted with the ranges' edges among them, so that each goes through one lambda, however many words there
-    are. The ranges' sizes give n, so Spark, which repeats no costly column, makes each range once, in compiled code.
+    Numbers are sorted with the edges among them, so that each goes through one lambda, however many words there are.
+    The ranges' sizes give n, so Spark, which repeats no costly column, makes each range once, in compiled code.
     """
-    edges = [F.lit(k * 2**64 // len(sketches) - 2**63).cast("long") for k in range(1, len(sketches))]
-    places = {f"{name}_end": F.array_position("hashes", e).cast("int") for name, e in zip(sketches, edges, strict=False)}
-    ranged = hashed.withColumn("hashes", F.sort_array(F.concat("hashes", F.array(*edges)))).withColumns(places)
-    ends = [F.lit(0), *(F.col(name) for name in places), F.size("hashes") + 1]
-    ranges = {f"{name}_range": F.slice("hashes", low + 1, high - low - 1) for name, low, high in zip(sketches, ends[:-1], ends[1:], strict=True)}
-    n = sum((F.size(name) for name in ranges), F.lit(0))
-    parities = {name: _parity(F.col(f"{name}_range")) for name in sketches}
-    return ranged.withColumns(ranges).withColumns({"n": n} | parities).drop("hashes", *places, *ranges)
+    marks = [F.lit(e).cast("long") for e in edges]
+    places = {f"{word}_end": F.array_position(name, e).cast("int") for word, e in zip(sketches, marks, strict=False)}
+    ranged = coded.withColumn(name, F.sort_array(F.concat(name, F.array(*marks)))).withColumns(places)
+    ends = [F.lit(0), *(F.col(place) for place in places), F.size(name) + 1]
+    ranges = {f"{word}_range": F.slice(name, low + 1, high - low - 1) for word, low, high in zip(sketches, ends[:-1], ends[1:], strict=True)}
+    n = sum((F.size(word) for word in ranges), F.lit(0))
+    parities = {word: _parity(F.col(f"{word}_range")) for word in sketches}
+    ranged = ranged.withColumns(ranges).withColumns({"n": n} | parities)
+    return ranged.withColumn(name, F.concat(*ranges)).drop(*places, *ranges)
 
 
 def _parity(hashes: Column) -> Column:
@@ -159,6 +195,29 @@ def _fits(threshold: float, sketches: tuple[str, ...]) -> Column:
     return (F.col("a.token") == F.col("b.token")) & (n - F.col("a.i") >= need) & (m - F.col("b.i") >= need) & (_differ(sketches) <= n + m - need * 2)
 
 
+def _classed(tokens: DataFrame, threshold: float) -> DataFrame:
+    """The tokens' rows with the size ``most`` of the largest set that may match from place i, once for each class of
+    sizes from the set's own to that one's; the token has the class above its bits.
+
+    Of two sets that match, the smaller one goes to the class of the larger one, so all matches meet there.
+    """
+    n, bits = F.col("n"), F.lit(31)
+    most = F.floor((n - F.col("i")) * F.lit((1 + threshold) / threshold) - n + F.lit(1e-6)).cast("int")
+
+    def size_class(size: Column) -> Column:
+        return F.floor(F.log(size.cast("double")) / F.lit(math.log(CLASS_RATIO))).cast("int")
+
+    rows = tokens.withColumn("most", most).withColumn("c", F.explode(F.sequence(size_class(n), size_class(F.greatest(n, "most")))))
+    return rows.withColumn("token", F.call_function("shiftleft", F.col("c").cast("long"), bits).bitwiseOR(F.col("token"))).drop("c", "i")
+
+
+def _fits_class(threshold: float, sketches: tuple[str, ...]) -> Column:
+    """_fits for rows of classes, in as few steps as can be: this is asked of all rows of a token."""
+    n, m = F.col("a.n"), F.col("b.n")
+    likely = (F.col("a.token") == F.col("b.token")) & (m <= F.col("a.most")) & (n <= F.col("b.most"))
+    return likely & (_differ(sketches) <= (n + m) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6))
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """The numbers a of lines that match their b, on whole sets."""
     found = pairs
@@ -190,8 +249,8 @@ def _equal_lines(described: DataFrame, sets: DataFrame) -> DataFrame:
 def _partners(sets: DataFrame, threshold: float) -> DataFrame:
     """did, key, lines and numbers, in arrays, of first lines with a partner that may match them; numbers are in the order
     of places."""
-    tokens = _tokens(sets, COARSE)
-    met = tokens.alias("a").join(tokens.alias("b"), _fits(threshold, COARSE) & (F.col("a.number") != F.col("b.number")), "left_semi")
+    tokens = _classed(_tokens(sets, COARSE), threshold)
+    met = tokens.alias("a").join(tokens.alias("b"), _fits_class(threshold, COARSE) & (F.col("a.number") != F.col("b.number")), "left_semi")
     places = stash(sets.join(met.select("number").distinct(), "number", "left_semi").select(*PLACE))
     ordered = places.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).withColumn("number", F.monotonically_increasing_id())
     found = ordered.groupBy("did", "key").agg(F.sort_array(F.collect_list(F.struct("line", "number"))).alias("found"))
@@ -231,10 +290,14 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named n_lines or removed give way, all others stay.
     """
     others = [c for c in docs.columns if c not in ("text", "n_lines", "removed")]
-    texts = _lines(_keyed(docs.select("doc_id", "text")))
-    ranks = rarity(docs)
+    # words cost more to cut than hashes to read; these hardly pack, and are slower to write as Parquet
+    hashed = _hashed(_lines(_keyed(docs.select("doc_id", "text")))).persist(StorageLevel.DISK_ONLY)
+    counts = _counts(hashed)
+    ranks = _looked_up(_ranks(counts))
+    coded = _sketched(_coded(hashed, ranks).drop("hashes"), "codes", _edges(counts, len(COARSE)), COARSE)
     names = F.xxhash64("codes").alias("x"), F.xxhash64(F.lit(1), "codes").alias("y")
-    described = stash(_described(texts, ranks, threshold, COARSE).select(*PLACE, *names, "n", *COARSE, "prefix"), "snappy")
+    described = stash(_prefixed(coded, threshold).select(*PLACE, *names, "n", *COARSE, "prefix"), "snappy")
+    hashed.unpersist(True)
     sets = _sets(described)
     equal = stash(_equal_lines(described, sets))
     discard(described)
